@@ -33,6 +33,10 @@ KEPT_SCRIPT_RANGES = r"\x{0900}-\x{097F}\x{0C00}-\x{0C7F}\x{0B80}-\x{0BFF}\x{098
 # Opt-in extension: Gujarati, Kannada, Malayalam.
 EXTENDED_SCRIPT_RANGES = r"\x{0A80}-\x{0AFF}\x{0C80}-\x{0CFF}\x{0D00}-\x{0D7F}"
 WHITESPACE_RUN = rf"[{WS_CHARS}]+"
+# Same matches as EMAIL_PATTERN: a match always spans a whole whitespace-delimited
+# run (the last part is greedy to the run's end), so it can only start where a run
+# starts. Anchoring there skips the per-position backtracking of the original.
+EMAIL_PATTERN_RUN_START = rf"(?<![^{WS_CHARS}])" + EMAIL_PATTERN
 # Word tokens: Unicode letters, digits and underscore.
 TOKEN_PATTERN = r"[\p{L}\p{N}_]+"
 
@@ -59,11 +63,22 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# Literal a text must contain for a step to change it (checked before the regex runs).
+_STEP_GUARD = {URL_PATTERN: None, EMAIL_PATTERN: "@", HTML_PATTERN: "<"}
+
+
 def clean_text(c, extended_scripts: bool = False) -> Column:
-    """Cleaned text; NULL becomes ``""`` and blank text falls out as ``""``."""
+    """Cleaned text; NULL becomes ``""`` and blank text falls out as ``""``.
+
+    Steps that need a literal character (``@`` for e-mail, ``<`` for tags) run
+    only on rows containing it; the result is the same, the cost is not.
+    """
     out = F.coalesce(_col(c), F.lit(""))
     for pattern, repl in clean_steps(extended_scripts):
-        out = F.regexp_replace(out, pattern, repl)
+        guard = _STEP_GUARD.get(pattern)
+        java_pattern = EMAIL_PATTERN_RUN_START if pattern == EMAIL_PATTERN else pattern
+        replaced = F.regexp_replace(out, java_pattern, repl)
+        out = F.when(F.instr(out, guard) > 0, replaced).otherwise(out) if guard else replaced
     return F.btrim(out, F.lit(" "))
 
 

@@ -16,10 +16,30 @@ def table_path(sf_dir: str, name: str) -> str:
     return os.path.join(sf_dir, f"{name}.parquet")
 
 
+# Tables whose rows carry long texts: CPU-heavy regex work follows their scans.
+TEXT_TABLES = ("documents", "pages", "conversations", "benchmark")
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Round-robin the rows over the cores when a scan yields fewer splits than cores.
+
+    A file written as one row group scans as one task; the text stages after it
+    are CPU-bound, so they would run on one core. On a cluster reading many
+    files the scan already has more splits than cores and this is a no-op.
+    """
+    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None) -> DataFrame:
     """Scan one table; selecting ``columns`` here lets the scan prune the rest."""
     df = spark.read.parquet(table_path(sf_dir, name))
-    return df.select(*columns) if columns else df
+    df = df.select(*columns) if columns else df
+    if name in TEXT_TABLES and (columns is None or any(c in ("text", "html") for c in columns)):
+        df = spread(df)
+    return df
 
 
 def register_views(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
