@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicons as L
 from ..functions.text import TOKEN_PATTERN
 
-NUM_FEATURES = 1 << 18
+NUM_FEATURES = 1 << 16
 MAX_TOKENS = 256  # model input length, in word tokens
 
 
@@ -53,19 +53,24 @@ def build_pipeline(text_col: str = "clean_text", label_col: str = "urgency", wei
 
 
 def train(df: DataFrame, text_col: str = "clean_text", label_col: str = "urgency", key: str = "row_id",
-          reg_params=(0.001, 0.01, 0.1), seed: int = L.SEED) -> tuple[PipelineModel, DataFrame]:
+          reg_params=(0.001, 0.01), seed: int = L.SEED, max_iter: int = 50) -> tuple[PipelineModel, DataFrame]:
     """Fit on the training split; returns (best model, test rows).
 
-    The stratified 80/20 split and the class weights are Spark jobs; the
-    regularisation is chosen by weighted F1 on a validation split of the
+    The stratified 80/20 split and the class weights are Spark jobs. The split
+    is written once under the shared checkpoint folder, so the iterative fits
+    read a short lineage instead of recomputing the preparation every pass.
+    The regularisation is chosen by weighted F1 on a validation split of the
     training rows.
     """
+    from ..sources.store import checkpoint_table
     from .prepare import stratified_split
 
-    split = stratified_split(df, label_col, key, 0.2, seed)
+    spark = df.sparkSession
+    split = checkpoint_table(spark, stratified_split(df.select(key, text_col, label_col), label_col, key, 0.2, seed),
+                             "urgency-split")
     tr = with_class_weights(split.where(~F.col("is_test")), label_col)
     te = split.where(F.col("is_test"))
-    pipe = build_pipeline(text_col, label_col)
+    pipe = build_pipeline(text_col, label_col, max_iter=max_iter)
     lr = pipe.getStages()[-1]
     grid = ParamGridBuilder().addGrid(lr.regParam, list(reg_params)).build()
     ev = MulticlassClassificationEvaluator(metricName="weightedFMeasure", labelCol="label")

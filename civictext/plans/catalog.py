@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import text_queries, vector_queries  # noqa: F401
+from . import model_queries, text_queries, vector_queries  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 __all__ = ["QUERIES", "ORACLE"]

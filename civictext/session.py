@@ -28,6 +28,9 @@ def build_session(master: str | None = None, app: str = "civictext", shuffle_par
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.sql.parquet.enableVectorizedReader": "true",
     }
+    if master and master.startswith("local"):
+        # local mode: the driver JVM is the only executor
+        conf["spark.driver.memory"] = os.environ.get("CIVICTEXT_DRIVER_MEMORY", "16g")
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
