@@ -71,10 +71,20 @@ def keep_first(df: DataFrame, subset: list[str], order_col: str) -> DataFrame:
     return agg.select(*subset, "_r.*").select(*df.columns)
 
 
-def seeded_sample(df: DataFrame, n: int, key: str, seed: int = L.SEED) -> DataFrame:
-    """Exactly ``min(n, count)`` rows chosen by seeded hash order (a top-n, not a full sort)."""
+def seeded_sample(df: DataFrame, n: int, key: str, seed: int = L.SEED, spread_above: int = 10_000) -> DataFrame:
+    """Exactly ``min(n, count)`` rows chosen by seeded hash order (a top-n, not a full sort).
+
+    As in the source system, a table at or below the cap is kept whole (one
+    count job decides). A top-n result lands in one partition; a large sample
+    is spread over the cores again before the work that follows it.
+    """
+    if df.count() <= n:
+        return df
     h = seeded_hash(key, seed)
-    return df.orderBy(h, F.col(key)).limit(n)
+    out = df.orderBy(h, F.col(key)).limit(n)
+    if n > spread_above:
+        out = out.repartition(df.sparkSession.sparkContext.defaultParallelism)
+    return out
 
 
 def per_class_sample(df: DataFrame, label: str, n_per_class: int, key: str, seed: int = L.SEED) -> DataFrame:
@@ -130,7 +140,7 @@ def removal_counts(df: DataFrame, flags: dict[str, Column]) -> DataFrame:
 def prepare(df: DataFrame, text_col: str = "text", label_col: str | None = None, key: str = "row_id",
             min_length: int = 10, max_length: int = 512, detect_lang: bool = True,
             drop_duplicates: bool = True, drop_empty: bool = True, extended_scripts: bool = False,
-            language_fn=None) -> DataFrame:
+            language_fn=None, keep_text: bool = True) -> DataFrame:
     """Clean a text table: rename, clean, length filter, truncate, dedup, language, label.
 
     ``language_fn(clean_text_column) -> Column`` supplies the language tag; the
@@ -144,6 +154,8 @@ def prepare(df: DataFrame, text_col: str = "text", label_col: str | None = None,
     out = rename_canonical(df, text_col)
     out = with_clean_text(out, "text", min_length=min_length if drop_empty else None,
                           max_length=max_length * 5, extended_scripts=extended_scripts)
+    if not keep_text:  # do not carry the raw text through the dedup shuffle
+        out = out.drop("text")
     if drop_duplicates:
         out = keep_first(out, ["clean_text"], key)
     if detect_lang:

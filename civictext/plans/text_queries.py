@@ -25,8 +25,10 @@ DOC_MAX_CHARS = 512 * 5
 
 
 def prepared_documents(spark: SparkSession, sf_dir: str, detect_lang: bool = True) -> DataFrame:
+    """``(doc_id, lang, source, clean_text[, language])`` after the default preparation."""
     docs = read_table(spark, sf_dir, "documents", ["doc_id", "text", "lang", "source"])
-    return P.prepare(docs, "text", key="doc_id", min_length=DOC_MIN_LENGTH, max_length=512, detect_lang=detect_lang)
+    return P.prepare(docs, "text", key="doc_id", min_length=DOC_MIN_LENGTH, max_length=512, detect_lang=detect_lang,
+                     keep_text=False)
 
 
 PREP_SQL = f"""

@@ -10,6 +10,7 @@ from ..functions import lexicons as L
 from ..operators import similarity as S
 from ..operators import vectors as V
 from ..operators.prepare import with_clean_text
+from ..sources.store import checkpoint_table
 from ..sources.tables import read_table
 from .registry import query
 from .sqltext import q, sql_clean
@@ -20,10 +21,16 @@ EMB_THRESHOLD = 0.30  # the 64-dim test vectors top out near .51 cosine
 EMB_DUP_THRESHOLD = 0.35
 
 
-def document_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prepared documents with their hashed embedding: ``(doc_id, clean_text, embedding)``."""
+def document_vectors(spark: SparkSession, sf_dir: str, materialize: bool = False) -> DataFrame:
+    """Prepared documents with their hashed embedding: ``(doc_id, clean_text, embedding)``.
+
+    With ``materialize`` the table is written once under the shared checkpoint
+    folder; jobs that scan it twice (query side and index side of a search)
+    then read files instead of re-running the preparation.
+    """
     prep = prepared_documents(spark, sf_dir, detect_lang=False)
-    return prep.select("doc_id", "clean_text", V.hashed_embedding(F.col("clean_text")).alias("embedding"))
+    vec = prep.select("doc_id", "clean_text", V.hashed_embedding(F.col("clean_text")).alias("embedding"))
+    return checkpoint_table(spark, vec, "document-vectors") if materialize else vec
 
 
 def benchmark_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -122,7 +129,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, j) AS rk
 SELECT i AS id1, j AS id2, round(score, 4) AS score FROM r
 WHERE rk <= {L.DUPLICATE_NEIGHBOURS} AND j > i AND score >= {L.DUPLICATE_THRESHOLD}""")
 def document_near_duplicates(spark, sf_dir):
-    v = document_vectors(spark, sf_dir).select("doc_id", "embedding")
+    v = document_vectors(spark, sf_dir, materialize=True).select("doc_id", "embedding")
     return S.near_duplicates(v, key="doc_id", threshold=L.DUPLICATE_THRESHOLD, neighbours=L.DUPLICATE_NEIGHBOURS)
 
 
@@ -138,7 +145,7 @@ SELECT r.item_id, r.doc_id, round(r.score, 4) AS score, CAST(r.rank AS INTEGER)
 FROM r JOIN d ON r.doc_id = d.doc_id
 WHERE r.rank <= {L.SEARCH_TOP_K} AND r.score >= {L.SEARCH_THRESHOLD}""")
 def document_search(spark, sf_dir):
-    docs = document_vectors(spark, sf_dir)
+    docs = document_vectors(spark, sf_dir, materialize=True)
     hits = S.search(docs, benchmark_vectors(spark, sf_dir), k=L.SEARCH_TOP_K, threshold=L.SEARCH_THRESHOLD,
                     index_key="doc_id", query_key="item_id")
     return S.attach_text(hits, docs, "doc_id", "clean_text")
