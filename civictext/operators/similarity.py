@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicons as L
 
 DEFAULT_CHUNK_BYTES = 64 << 20  # broadcast bound for one query chunk
+SCORE_DECIMALS = 12  # scores are compared at this precision; ties then go to the smaller id
 
 
 def _dtype_of(df: DataFrame, col: str) -> str:
@@ -66,7 +67,9 @@ def _topk_kernel(bq_keys, bq_mat, k: int, threshold: float | None, ikey: str, ve
                 continue
             ids = pdf[ikey].to_numpy()
             B = np.vstack([np.asarray(v, dtype=np.float64) for v in pdf[vec].to_numpy()])
-            S = Q @ B.T
+            # BLAS may give equal vectors scores that differ in the last bit; rounding to
+            # 12 places makes such ties exact, so they are broken by id as specified
+            S = np.round(Q @ B.T, SCORE_DECIMALS)
             nb = S.shape[1]
             kk = min(k, nb)
             kth = np.partition(S, nb - kk, axis=1)[:, nb - kk]

@@ -71,22 +71,25 @@ def dedup_within_watermark(stream: DataFrame, keys: list[str], time_col: str, wa
 
 
 def run_to_table(spark: SparkSession, stream: DataFrame, name: str, output_mode: str = "append",
-                 batch_fn: Callable[[DataFrame, int], DataFrame] | None = None) -> str:
+                 batch_fn: Callable[[DataFrame, int], DataFrame] | None = None, path: str | None = None) -> str:
     """Run ``stream`` over all available input into a parquet table; returns its path.
 
     With ``batch_fn`` each micro-batch is transformed by a batch job first.
     Update/complete modes and ``batch_fn`` go through ``foreachBatch`` and tag
-    rows with ``batch_id``.
+    rows with ``batch_id``. Passing the same ``path`` again resumes from the
+    stream's checkpoint (offsets, watermark and state survive the restart).
     """
-    out = scratch_path(spark, f"stream-{name}")
+    out = path or scratch_path(spark, f"stream-{name}")
     ckpt = os.path.join(out + "-checkpoint")
     w = stream.writeStream.option("checkpointLocation", ckpt).trigger(availableNow=True).outputMode(output_mode)
     if batch_fn is None and output_mode == "append":
         q = w.format("parquet").option("path", out).start()
     else:
         def write(batch: DataFrame, batch_id: int) -> None:
+            # one folder per micro-batch, overwritten on retry: a re-run batch
+            # replaces its own output instead of appending a second copy
             res = batch_fn(batch, batch_id) if batch_fn else batch
-            res.withColumn("batch_id", F.lit(batch_id).cast("long")).write.mode("append").parquet(out)
+            res.write.mode("overwrite").parquet(os.path.join(out, f"batch_id={batch_id}"))
 
         q = w.foreachBatch(write).start()
     q.awaitTermination()
