@@ -167,3 +167,23 @@ def prepare(df: DataFrame, text_col: str = "text", label_col: str | None = None,
             out = out.withColumnRenamed("label", "label_orig")
         out = out.withColumnRenamed(label_col, "label")
     return out
+
+
+def dense_row_ids(df: DataFrame, key: str, out: str = "row_num", partitions: int | None = None) -> DataFrame:
+    """0-based dense row numbers in ``key`` order, without a one-partition global sort.
+
+    Rows are range-partitioned on ``key``; each partition numbers its own rows
+    and adds the count of all earlier partitions. Only the per-partition counts
+    (one number per partition) go through the driver.
+    """
+    n = partitions or df.sparkSession.sparkContext.defaultParallelism
+    ranged = df.repartitionByRange(n, F.col(key)).withColumn("_pid", F.spark_partition_id())
+    counts = sorted((r["_pid"], r["c"]) for r in ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("c")).collect())
+    offsets, run = {}, 0
+    for pid, c in counts:
+        offsets[pid] = run
+        run += c
+    off = F.element_at(F.create_map(*[x for pid, o in offsets.items() for x in (F.lit(pid), F.lit(o))]),
+                       F.col("_pid")) if offsets else F.lit(0)
+    w = Window.partitionBy("_pid").orderBy(F.col(key))
+    return (ranged.withColumn(out, (off + F.row_number().over(w) - 1).cast("long")).drop("_pid"))

@@ -135,3 +135,9 @@ def predict_topics(tm: TopicModel, df: DataFrame, keep: list[str]) -> DataFrame:
     conf = F.round(F.lit(1.0) / denom, 4)
     scored = out.select(*keep, "cluster", conf.alias("confidence"))
     return scored.join(F.broadcast(tm.mapping), "cluster").drop("cluster")
+
+
+def topic_word_chart(info: DataFrame, words: DataFrame, n_topics: int = 8, topic_col: str = "topic_id") -> DataFrame:
+    """Chart rows: the words (and weights) of the ``n_topics`` largest topics, outliers excluded."""
+    top = top_topics(info.where(F.col(topic_col) != -1), n_topics, topic_col).select(topic_col)
+    return words.join(F.broadcast(top), topic_col)  # at most n_topics keys

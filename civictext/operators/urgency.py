@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import HashingTF, IDF, IndexToString, RegexTokenizer, StringIndexer
+from pyspark.ml.feature import HashingTF, IDF, IndexToString, RegexTokenizer, SQLTransformer, StringIndexer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
 from pyspark.sql import DataFrame, Window
@@ -41,15 +41,16 @@ def with_class_weights(train: DataFrame, label: str, out: str = "weight") -> Dat
 
 def build_pipeline(text_col: str = "clean_text", label_col: str = "urgency", weight_col: str = "weight",
                    reg_param: float = 0.01, max_iter: int = 100) -> Pipeline:
-    tok = RegexTokenizer(inputCol=text_col, outputCol="_tokens", pattern=TOKEN_PATTERN, gaps=False,
+    tok = RegexTokenizer(inputCol=text_col, outputCol="_all_tokens", pattern=TOKEN_PATTERN, gaps=False,
                          toLowercase=True)
+    cut = SQLTransformer(statement=f"SELECT *, slice(_all_tokens, 1, {MAX_TOKENS}) AS _tokens FROM __THIS__")
     tf = HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=NUM_FEATURES)
     idf = IDF(inputCol="_tf", outputCol="features")
     idx = StringIndexer(inputCol=label_col, outputCol="label", stringOrderType="alphabetAsc",
                         handleInvalid="keep")
     lr = LogisticRegression(featuresCol="features", labelCol="label", weightCol=weight_col, family="multinomial",
                             regParam=reg_param, maxIter=max_iter, tol=1e-6)
-    return Pipeline(stages=[tok, tf, idf, idx, lr])
+    return Pipeline(stages=[tok, cut, tf, idf, idx, lr])
 
 
 def train(df: DataFrame, text_col: str = "clean_text", label_col: str = "urgency", key: str = "row_id",
@@ -80,7 +81,7 @@ def train(df: DataFrame, text_col: str = "clean_text", label_col: str = "urgency
 
 
 def label_order(model: PipelineModel) -> list[str]:
-    return list(model.stages[3].labels)
+    return list(model.stages[4].labels)
 
 
 def predict(model: PipelineModel, df: DataFrame, out: str = "predicted") -> DataFrame:
@@ -94,7 +95,7 @@ def predict(model: PipelineModel, df: DataFrame, out: str = "predicted") -> Data
             .withColumn("probabilities",
                         F.map_from_arrays(F.array(*[F.lit(x) for x in labels]),
                                           F.transform(p, lambda v: F.round(v, 4))))
-            .drop("_tokens", "_tf", "features", "rawPrediction", "probability"))
+            .drop("_all_tokens", "_tokens", "_tf", "features", "rawPrediction", "probability"))
 
 
 def confusion(pred: DataFrame, label_col: str, pred_col: str) -> DataFrame:

@@ -184,3 +184,18 @@ def language_accuracy(spark, sf_dir):
     profile = LG.train_language_profile(train, "clean_text", "lang", top_n=LANG_TOP)
     det = LG.detect_language(test.select("doc_id", "lang", "clean_text"), profile, "clean_text", "doc_id")
     return LG.language_accuracy(det, "lang").select("lang", "n", F.col("correct").cast("long"), "accuracy")
+
+
+# --- K10: chart rows, words of the largest topics ------------------------------------------------
+@query("rule_topic_word_chart", f"""WITH {PREP_SQL},
+rt AS (SELECT {sql_topic_field('clean_text', 'topic_id')} AS topic_id, clean_text FROM d),
+{_sql_ctfidf('rt', 'topic_id', 'clean_text')},
+ct AS (SELECT topic_id, count(*) AS count FROM rt WHERE topic_id <> -1 GROUP BY topic_id
+       ORDER BY count DESC, topic_id LIMIT 8)
+SELECT r.cls AS topic_id, r.word, round(r.weight, 4) AS weight, CAST(r.rank AS INTEGER) AS rank
+FROM r JOIN ct ON r.cls = ct.topic_id""")
+def rule_topic_word_chart(spark, sf_dir):
+    prep = prepared_documents(spark, sf_dir, detect_lang=False)
+    rt = prep.select(topic_rule("clean_text")["topic_id"].alias("topic_id"), "clean_text")
+    words = T.class_term_weights(rt, "topic_id", "clean_text")
+    return T.topic_word_chart(T.topic_info(rt, words), words, 8)

@@ -360,3 +360,18 @@ def region_priority_heatmap(spark, sf_dir):
     j = per_cust.join(cust, per_cust.o_custkey == cust.c_custkey)
     return (j.groupBy("r_name").pivot("o_orderpriority", PRIORITIES).agg(F.sum("k"))
             .na.fill(0, subset=PRIORITIES))
+
+
+# --- A1: language distribution of the prepared table ------------------------------------------
+@query("language_distribution", f"""WITH {PREP_SQL}
+SELECT language, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 4) AS share FROM p GROUP BY language""")
+def language_distribution(spark, sf_dir):
+    return R.distribution(prepared_documents(spark, sf_dir), "language")
+
+
+# --- P11: dense row numbers in key order (skew-safe, no one-partition sort) ---------------------
+@query("dense_row_ids", "SELECT doc_id, CAST(row_number() OVER (ORDER BY doc_id) - 1 AS BIGINT) AS row_num "
+                        "FROM documents")
+def dense_row_ids(spark, sf_dir):
+    d = read_table(spark, sf_dir, "documents", ["doc_id"])
+    return P.dense_row_ids(d, "doc_id")

@@ -193,3 +193,18 @@ def ivf_embedding_search(spark, sf_dir):
     qv = e.select(F.col("vec_id").alias("query_id"), "embedding")
     return S.ivf_search(cells, cents, qv, k=L.SEARCH_TOP_K, threshold=EMB_THRESHOLD, index_key="vec_id",
                         query_key="query_id")
+
+
+# --- N3: paraphrase pairs = near-duplicate rule at a lower threshold ------------------------------
+PARAPHRASE_THRESHOLD = 0.75
+
+
+@query("document_paraphrase_pairs", f"""{DOC_WEIGHTS_SQL},
+dv AS ({_sql_dense('dw', 'doc_id')}),
+s AS (SELECT a.doc_id AS i, b.doc_id AS j, list_dot_product(a.v, b.v) AS score FROM dv a, dv b),
+r AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, j) AS rk FROM s)
+SELECT i AS id1, j AS id2, round(score, 4) AS score FROM r
+WHERE rk <= {L.DUPLICATE_NEIGHBOURS} AND j > i AND score >= {PARAPHRASE_THRESHOLD}""")
+def document_paraphrase_pairs(spark, sf_dir):
+    v = document_vectors(spark, sf_dir, materialize=True).select("doc_id", "embedding")
+    return S.near_duplicates(v, key="doc_id", threshold=PARAPHRASE_THRESHOLD, neighbours=L.DUPLICATE_NEIGHBOURS)
