@@ -13,10 +13,23 @@ from . import lexicons as L
 from .text import _col, contains_any
 
 
-def urgency_label(c, lexicon=None) -> Column:
-    """Urgency label by the training lexicon (or any ``[(label, keywords)]``)."""
+def _lowered(c, lowered: bool) -> Column:
+    return _col(c) if lowered else F.lower(_col(c))
+
+
+def lowered_text(df, src: str = "clean_text", out: str = "_low"):
+    """Add the lower-cased text once, so several rules share it instead of each
+    lower-casing the text again inside every keyword test."""
+    return df.withColumn(out, F.lower(F.col(src)))
+
+
+def urgency_label(c, lexicon=None, lowered: bool = False) -> Column:
+    """Urgency label by the training lexicon (or any ``[(label, keywords)]``).
+
+    Pass ``lowered=True`` when ``c`` is already lower-cased (see ``lowered_text``).
+    """
     lexicon = L.TRAINING_URGENCY if lexicon is None else lexicon
-    low = F.lower(_col(c))
+    low = _lowered(c, lowered)
     out = None
     for label, keywords in lexicon:
         cond = contains_any(low, keywords)
@@ -24,10 +37,10 @@ def urgency_label(c, lexicon=None) -> Column:
     return out.otherwise(F.lit("LOW"))
 
 
-def api_urgency(c, lexicon=None) -> Column:
+def api_urgency(c, lexicon=None, lowered: bool = False) -> Column:
     """Request-time urgency: struct(urgency, confidence, p_low, p_medium, p_high, p_critical)."""
     lexicon = L.API_URGENCY if lexicon is None else lexicon
-    low = F.lower(_col(c))
+    low = _lowered(c, lowered)
     default_label, default_conf = L.API_URGENCY_DEFAULT
 
     def payload(label, conf):
@@ -56,10 +69,10 @@ def probability_map(s: Column) -> Column:
     )
 
 
-def topic_rule(c, topics=None) -> Column:
+def topic_rule(c, topics=None, lowered: bool = False) -> Column:
     """struct(topic_id, topic_label, confidence, top_keywords); no hit gives -1, General/Other."""
     topics = L.TOPICS if topics is None else topics
-    low = F.lower(_col(c))
+    low = _lowered(c, lowered)
     no_id, no_label, no_conf = L.NO_TOPIC
 
     def payload(tid, label, conf, kws):

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
-from ..functions.rules import api_urgency, probability_map, topic_rule, urgency_label
+from ..functions.rules import api_urgency, lowered_text, probability_map, topic_rule, urgency_label
 from ..operators import prepare as P
 from ..operators import similarity as S
 from ..operators import topics as T
@@ -36,7 +36,7 @@ def analyze(df: DataFrame, key: str, text_col: str = "text", index: DataFrame |
             top_k: int = L.MISINFO_TOP_K, threshold: float = L.MISINFO_THRESHOLD) -> DataFrame:
     """One output row per input row with nested ``topic``, ``urgency`` and ``similarity`` records."""
     base = P.with_clean_text(df.select(key, text_col), text_col)
-    base = base.withColumn("language", script_language(F.col("clean_text")))
+    base = lowered_text(base.withColumn("language", script_language(F.col("clean_text"))))
     needs_vec = index is not None or topic_model is not None
     if needs_vec:  # embed once, reuse for topic and similarity
         base = base.withColumn("embedding", V.hashed_embedding(F.col("clean_text")))
@@ -48,7 +48,7 @@ def analyze(df: DataFrame, key: str, text_col: str = "text", index: DataFrame |
             F.array().cast("array<string>").alias("top_keywords"), F.lit("kmeans").alias("method"))
         ).drop("topic_id", "confidence")
     else:
-        r = topic_rule(F.col("clean_text"))
+        r = topic_rule(F.col("_low"), lowered=True)
         out = base.withColumn("topic", F.struct(r["topic_id"].alias("topic_id"), r["topic_label"].alias("topic_label"),
                                                 r["confidence"].alias("confidence"),
                                                 r["top_keywords"].alias("top_keywords"),
@@ -59,7 +59,7 @@ def analyze(df: DataFrame, key: str, text_col: str = "text", index: DataFrame |
         out = out.join(pr.select(key, F.struct(F.col("predicted").alias("urgency"), "confidence", "probabilities",
                                                F.lit("logistic-regression").alias("method")).alias("urgency")), key)
     else:
-        u = api_urgency(F.col("clean_text"))
+        u = api_urgency(F.col("_low"), lowered=True)
         out = out.withColumn("urgency", F.struct(u["urgency"].alias("urgency"), u["confidence"].alias("confidence"),
                                                  probability_map(u).alias("probabilities"),
                                                  F.lit("rule-based").alias("method")))

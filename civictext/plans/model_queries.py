@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
-from ..functions.rules import topic_rule, urgency_label
+from ..functions.rules import lowered_text, topic_rule, urgency_label
 from ..functions.text import supported_language
 from ..operators import language as LG
 from ..operators import prepare as P
@@ -101,9 +101,9 @@ SELECT round(sum(tp) / sum(support), 4) AS accuracy,
        CAST(sum(support) AS BIGINT) AS n
 FROM cls""")
 def rule_agreement_metrics(spark, sf_dir):
-    prep = prepared_documents(spark, sf_dir, detect_lang=False)
-    lab = prep.select(urgency_label("clean_text", FREQUENT_LEXICON).alias("actual"),
-                      urgency_label("clean_text").alias("predicted"))
+    prep = lowered_text(prepared_documents(spark, sf_dir, detect_lang=False))
+    lab = prep.select(urgency_label("_low", FREQUENT_LEXICON, lowered=True).alias("actual"),
+                      urgency_label("_low", lowered=True).alias("predicted"))
     return U.evaluate(lab, "actual", "predicted")
 
 

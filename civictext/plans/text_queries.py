@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
-from ..functions.rules import api_urgency, topic_rule, urgency_label
+from ..functions.rules import api_urgency, lowered_text, topic_rule, urgency_label
 from ..functions.text import clean_text
 from ..operators import prepare as P
 from ..operators import reports as R
@@ -48,8 +48,8 @@ SELECT language, urgency, count(*) AS n, round(count(*) / sum(count(*)) OVER (),
 FROM u GROUP BY language, urgency
 """)
 def urgency_by_language(spark, sf_dir):
-    prep = prepared_documents(spark, sf_dir)
-    return R.distribution(prep.withColumn("urgency", urgency_label("clean_text")), "language", "urgency")
+    prep = lowered_text(prepared_documents(spark, sf_dir))
+    return R.distribution(prep.withColumn("urgency", urgency_label("_low", lowered=True)), "language", "urgency")
 
 
 # --- T1-T8 on three text sources ---------------------------------------------
@@ -82,8 +82,8 @@ SELECT doc_id, {sql_topic_field('clean_text', 'topic_id')} AS topic_id,
        'rule-based' AS method
 FROM p""")
 def rule_topics(spark, sf_dir):
-    prep = prepared_documents(spark, sf_dir, detect_lang=False)
-    t = prep.select("doc_id", topic_rule("clean_text").alias("t"))
+    prep = lowered_text(prepared_documents(spark, sf_dir, detect_lang=False))
+    t = prep.select("doc_id", topic_rule("_low", lowered=True).alias("t"))
     return t.select("doc_id", "t.topic_id", "t.topic_label", "t.confidence",
                     F.array_join("t.top_keywords", "|").alias("top_keywords"), F.lit("rule-based").alias("method"))
 
@@ -100,8 +100,8 @@ SELECT doc_id, {sql_api_urgency_field('clean_text', 'urgency')} AS urgency,
        'rule-based' AS method
 FROM p""")
 def api_urgency_query(spark, sf_dir):
-    prep = prepared_documents(spark, sf_dir, detect_lang=False)
-    u = prep.select("doc_id", api_urgency("clean_text").alias("u"))
+    prep = lowered_text(prepared_documents(spark, sf_dir, detect_lang=False))
+    u = prep.select("doc_id", api_urgency("_low", lowered=True).alias("u"))
     return u.select("doc_id", "u.*", F.lit("rule-based").alias("method"))
 
 
@@ -248,9 +248,9 @@ def complaints_prepare(spark, sf_dir):
     raw = P.seeded_sample(raw, COMPLAINT_CAP, "doc_id")
     t = raw.select("doc_id", F.col("Category").alias("category"), P.composite_complaint_text().alias("text"))
     from ..operators.language import script_language
-    c = P.with_clean_text(t, "text", min_length=20)
+    c = lowered_text(P.with_clean_text(t, "text", min_length=20))
     return c.select("doc_id", "category", "clean_text", script_language(F.col("clean_text")).alias("language"),
-                    urgency_label("clean_text").alias("urgency"))
+                    urgency_label("_low", lowered=True).alias("urgency"))
 
 
 # --- S3 + D2 + X1 + P7 + C4: news preparation ------------------------------------------------
@@ -311,8 +311,8 @@ WITH {PREP_SQL},
 u AS (SELECT {sql_urgency('clean_text')} AS urgency FROM p)
 SELECT coalesce(urgency, 'TOTAL') AS urgency, count(*) AS n FROM u GROUP BY ROLLUP (urgency)""")
 def urgency_rollup(spark, sf_dir):
-    prep = prepared_documents(spark, sf_dir, detect_lang=False)
-    return R.rollup_counts(prep.withColumn("urgency", urgency_label("clean_text")), "urgency")
+    prep = lowered_text(prepared_documents(spark, sf_dir, detect_lang=False))
+    return R.rollup_counts(prep.withColumn("urgency", urgency_label("_low", lowered=True)), "urgency")
 
 
 # --- A3: topic volume and mean urgency -----------------------------------------------------------
@@ -324,9 +324,9 @@ SELECT topic_id, count(*) AS n,
              4) AS mean_urgency
 FROM u GROUP BY topic_id""")
 def topic_urgency_volume(spark, sf_dir):
-    prep = prepared_documents(spark, sf_dir, detect_lang=False)
-    t = prep.select(topic_rule("clean_text")["topic_id"].alias("topic_id"),
-                    urgency_label("clean_text").alias("urgency"))
+    prep = lowered_text(prepared_documents(spark, sf_dir, detect_lang=False))
+    t = prep.select(topic_rule("_low", lowered=True)["topic_id"].alias("topic_id"),
+                    urgency_label("_low", lowered=True).alias("urgency"))
     return R.topic_volume(t)
 
 
