@@ -58,6 +58,34 @@ def _chunked_queries(queries: DataFrame, qkey: str, vec: str, max_bytes: int):
         yield keys, mat
 
 
+def _topk_cells(S: np.ndarray, ids: np.ndarray, k: int, threshold: float | None):
+    """(row, col) positions of each row's top ``k`` scores (>= threshold); ties at the
+    cut keep the smallest ids, so no more than ``k`` per row are emitted."""
+    nb = S.shape[1]
+    kk = min(k, nb)
+    kth = np.partition(S, nb - kk, axis=1)[:, nb - kk]
+    mask = S >= kth[:, None]
+    if threshold is not None:
+        mask &= S >= threshold
+    counts = mask.sum(axis=1)
+    for r in np.nonzero(counts > kk)[0]:
+        idx = np.nonzero(mask[r])[0]
+        keep = idx[np.lexsort((ids[idx], -S[r, idx]))[:kk]]
+        mask[r] = False
+        mask[r, keep] = True
+    return np.nonzero(mask)
+
+
+def _scores(Q: np.ndarray, B: np.ndarray) -> np.ndarray:
+    # BLAS may give equal vectors scores that differ in the last bit; rounding to
+    # 12 places makes such ties exact, so they are broken by id as specified
+    return np.round(Q @ B.T, SCORE_DECIMALS)
+
+
+def _matrix(col) -> np.ndarray:
+    return np.vstack([np.asarray(v, dtype=np.float64) for v in col])
+
+
 def _topk_kernel(bq_keys, bq_mat, k: int, threshold: float | None, ikey: str, vec: str, qkey: str):
     def run(batches):
         keys = bq_keys.value
@@ -66,23 +94,8 @@ def _topk_kernel(bq_keys, bq_mat, k: int, threshold: float | None, ikey: str, ve
             if len(pdf) == 0:
                 continue
             ids = pdf[ikey].to_numpy()
-            B = np.vstack([np.asarray(v, dtype=np.float64) for v in pdf[vec].to_numpy()])
-            # BLAS may give equal vectors scores that differ in the last bit; rounding to
-            # 12 places makes such ties exact, so they are broken by id as specified
-            S = np.round(Q @ B.T, SCORE_DECIMALS)
-            nb = S.shape[1]
-            kk = min(k, nb)
-            kth = np.partition(S, nb - kk, axis=1)[:, nb - kk]
-            mask = S >= kth[:, None]
-            if threshold is not None:
-                mask &= S >= threshold
-            counts = mask.sum(axis=1)
-            for r in np.nonzero(counts > kk)[0]:  # ties at the cut: keep the k smallest ids
-                idx = np.nonzero(mask[r])[0]
-                keep = idx[np.lexsort((ids[idx], -S[r, idx]))[:kk]]
-                mask[r] = False
-                mask[r, keep] = True
-            qi, bi = np.nonzero(mask)
+            S = _scores(Q, _matrix(pdf[vec].to_numpy()))
+            qi, bi = _topk_cells(S, ids, k, threshold)
             if len(qi) == 0:
                 continue
             yield pd.DataFrame({qkey: keys[qi], ikey: ids[bi], "score": S[qi, bi]})
@@ -90,6 +103,15 @@ def _topk_kernel(bq_keys, bq_mat, k: int, threshold: float | None, ikey: str, ve
     return run
 
 
+def _merge_topk(cand: DataFrame, query_key: str, index_key: str, k: int, round_to: int | None) -> DataFrame:
+    """Global top-k per query from partial lists (partial group limit before the shuffle)."""
+    w = Window.partitionBy(query_key).orderBy(F.desc("score"), F.asc(index_key))
+    top = cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    if round_to is not None:
+        top = top.withColumn("score", F.round("score", round_to))
+    return top.select(query_key, index_key, "score", "rank")
+
+
 def search(index: DataFrame, queries: DataFrame, k: int = L.SEARCH_TOP_K, threshold: float | None = L.SEARCH_THRESHOLD,
            index_key: str = "id", query_key: str = "query_id", vec: str = "embedding", query_vec: str | None = None,
            max_chunk_bytes: int = DEFAULT_CHUNK_BYTES, round_to: int | None = 4) -> DataFrame:
@@ -115,11 +137,7 @@ def search(index: DataFrame, queries: DataFrame, k: int = L.SEARCH_TOP_K, thresh
     cand = parts[0]
     for p in parts[1:]:
         cand = cand.unionByName(p)
-    w = Window.partitionBy(query_key).orderBy(F.desc("score"), F.asc(index_key))
-    top = cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    if round_to is not None:
-        top = top.withColumn("score", F.round("score", round_to))
-    return top.select(query_key, index_key, "score", "rank")
+    return _merge_topk(cand, query_key, index_key, k, round_to)
 
 
 def attach_text(hits: DataFrame, index: DataFrame, index_key: str, text_col: str = "text",
@@ -196,33 +214,136 @@ def build_ivf(index: DataFrame, key: str = "id", vec: str = "embedding", nlist:
     return cells, centroids
 
 
+def _nearest_cells(Q: np.ndarray, C: np.ndarray, nprobe: int) -> np.ndarray:
+    d = ((Q[:, None, :] - C[None, :, :]) ** 2).sum(axis=2)
+    return np.argsort(d, axis=1, kind="stable")[:, :nprobe]
+
+
 def ivf_search(cells: DataFrame, centroids: np.ndarray, queries: DataFrame, k: int = L.SEARCH_TOP_K,
                threshold: float | None = L.SEARCH_THRESHOLD, nprobe: int = L.IVF_NPROBE, index_key: str = "id",
-               query_key: str = "query_id", vec: str = "embedding", query_vec: str | None = None) -> DataFrame:
-    """Approximate top-k: probe each query's ``nprobe`` nearest cells, equi-join on cell."""
+               query_key: str = "query_id", vec: str = "embedding", query_vec: str | None = None,
+               max_chunk_bytes: int = DEFAULT_CHUNK_BYTES, round_to: int | None = 4) -> DataFrame:
+    """Approximate top-k over the ``nprobe`` cells nearest to each query.
+
+    Query chunks (size-checked) are broadcast with an inverted list cell ->
+    queries probing it. Each index batch multiplies, per cell present in the
+    batch, only the queries probing that cell with the batch's rows of that
+    cell. Index rows of a hot cell are spread over all tasks like any other
+    rows, so a cell holding a third of the table is not one task's work, and
+    only per-batch top-k rows are emitted (no query x cell-member rows).
+    """
     sc = cells.sparkSession.sparkContext
     query_vec = query_vec or vec
-    bc = sc.broadcast(centroids)  # at most nlist x dim
     npr = min(nprobe, len(centroids))
-    qtype = _dtype_of(queries, query_key)
+    schema = f"{query_key} {_dtype_of(queries, query_key)}, {index_key} {_dtype_of(cells, index_key)}, score double"
+    idx = cells.select(index_key, vec, "cell")
+    parts = []
+    for keys, mat in _chunked_queries(queries.select(query_key, F.col(query_vec).alias("_qv")), query_key, "_qv",
+                                      max_chunk_bytes):
+        near = _nearest_cells(mat, centroids, npr)
+        lists = {}
+        for c in np.unique(near):
+            lists[int(c)] = np.nonzero((near == c).any(axis=1))[0]
+        bk, bm, bl = sc.broadcast(keys), sc.broadcast(mat), sc.broadcast(lists)
+
+        def run(batches, bk=bk, bm=bm, bl=bl):
+            keys_, Q, inv = bk.value, bm.value, bl.value
+            for pdf in batches:
+                if len(pdf) == 0:
+                    continue
+                ids = pdf[index_key].to_numpy()
+                cell = pdf["cell"].to_numpy()
+                B = _matrix(pdf[vec].to_numpy())
+                out = []
+                for c in np.unique(cell):
+                    qs = inv.get(int(c))
+                    if qs is None:
+                        continue
+                    members = np.nonzero(cell == c)[0]
+                    S = _scores(Q[qs], B[members])
+                    qi, bi = _topk_cells(S, ids[members], k, threshold)
+                    if len(qi):
+                        out.append(pd.DataFrame({query_key: keys_[qs][qi], index_key: ids[members][bi],
+                                                 "score": S[qi, bi]}))
+                if out:
+                    yield pd.concat(out, ignore_index=True)
+
+        parts.append(idx.mapInPandas(run, schema))
+    if not parts:
+        return cells.sparkSession.createDataFrame([], schema + ", rank int")
+    cand = parts[0]
+    for p in parts[1:]:
+        cand = cand.unionByName(p)
+    return _merge_topk(cand, query_key, index_key, k, round_to)
+
+
+def ivf_near_duplicates(df: DataFrame, key: str = "id", vec: str = "embedding",
+                        threshold: float = L.DUPLICATE_THRESHOLD, neighbours: int = L.DUPLICATE_NEIGHBOURS,
+                        nlist: int = L.IVF_NLIST, nprobe: int = L.IVF_NPROBE, block_rows: int = 20_000,
+                        seed: int = L.SEED) -> DataFrame:
+    """Near-duplicate pairs for a table too large to broadcast, over IVF cells.
+
+    Every row probes its ``nprobe`` nearest cells. A cell's members are split
+    into ``ceil(members / block_rows)`` index salts and the rows probing it into
+    ``ceil(probers / block_rows)`` query salts; each (cell, index salt, query
+    salt) group holds at most ``block_rows`` rows per side, is scored with one
+    matrix product and emits only each query's top neighbours. A hot cell
+    (say a third of the table made of copies) becomes many bounded groups,
+    never one task or an all-pairs row set. With ``nprobe`` equal to the number
+    of cells the result equals ``near_duplicates``.
+    """
+    from ..sources.store import checkpoint_table
+
+    spark = df.sparkSession
+    cells, cents = build_ivf(df, key=key, vec=vec, nlist=nlist, seed=seed)
+    cells = checkpoint_table(spark, cells, "ivf-cells")  # read three times below
+    npr = min(nprobe, len(cents))
+    bc = spark.sparkContext.broadcast(cents)  # nlist x dim
+    ktype = _dtype_of(df, key)
 
     def probe(batches):
         C = bc.value
         for pdf in batches:
             if len(pdf) == 0:
                 continue
-            Qm = np.vstack([np.asarray(v, dtype=np.float64) for v in pdf["_qv"].to_numpy()])
-            d = ((Qm[:, None, :] - C[None, :, :]) ** 2).sum(axis=2)
-            near = np.argsort(d, axis=1, kind="stable")[:, :npr]
+            near = _nearest_cells(_matrix(pdf[vec].to_numpy()), C, npr)
             rep = np.repeat(np.arange(len(pdf)), npr)
-            yield pd.DataFrame({query_key: pdf[query_key].to_numpy()[rep], "cell": near.reshape(-1).astype(np.int32),
-                                "_qv": [pdf["_qv"].iloc[i] for i in rep]})
-
-    probes = queries.select(query_key, F.col(query_vec).alias("_qv")).mapInPandas(
-        probe, f"{query_key} {qtype}, cell int, _qv array<double>")
-    cand = probes.join(cells, "cell").select(query_key, index_key, dot(F.col("_qv"), F.col(vec)).alias("score"))
-    if threshold is not None:
-        cand = cand.where(F.col("score") >= threshold)
-    w = Window.partitionBy(query_key).orderBy(F.desc("score"), F.asc(index_key))
-    return (cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-            .withColumn("score", F.round("score", 4)).select(query_key, index_key, "score", "rank"))
+            yield pd.DataFrame({key: pdf[key].to_numpy()[rep], "cell": near.reshape(-1).astype(np.int32),
+                                vec: pdf[vec].iloc[rep].to_numpy()})
+
+    probes = cells.select(key, vec).mapInPandas(probe, f"{key} {ktype}, cell int, {vec} array<double>")
+    # per-cell sizes: at most nlist rows each
+    isz = {r["cell"]: r["count"] for r in cells.groupBy("cell").count().collect()}
+    qsz = {r["cell"]: r["count"] for r in probes.groupBy("cell").count().collect()}
+
+    def salts(sizes):
+        m = {c: max(1, math.ceil(n / block_rows)) for c, n in sizes.items()}
+        return F.create_map(*[x for c, v in m.items() for x in (F.lit(int(c)), F.lit(int(v)))])
+
+    s_i, s_q = salts(isz), salts(qsz)
+    n_i = F.coalesce(F.element_at(s_i, F.col("cell")), F.lit(1))
+    n_q = F.coalesce(F.element_at(s_q, F.col("cell")), F.lit(1))
+    left = (cells.select(key, vec, "cell")
+            .withColumn("isalt", F.pmod(F.xxhash64(F.col(key)), n_i).cast("int"))
+            .withColumn("qsalt", F.explode(F.sequence(F.lit(0), n_q - 1))))
+    right = (probes.withColumn("qsalt", F.pmod(F.xxhash64(F.col(key)), n_q).cast("int"))
+             .withColumn("isalt", F.explode(F.sequence(F.lit(0), n_i - 1)))
+             .withColumnRenamed(key, "_q").withColumnRenamed(vec, "_qv"))
+    k = neighbours
+
+    def block(index_pdf, query_pdf):
+        if len(index_pdf) == 0 or len(query_pdf) == 0:
+            return pd.DataFrame({"_q": [], key: [], "score": []})
+        ids = index_pdf[key].to_numpy()
+        S = _scores(_matrix(query_pdf["_qv"].to_numpy()), _matrix(index_pdf[vec].to_numpy()))
+        qi, bi = _topk_cells(S, ids, k, threshold)
+        return pd.DataFrame({"_q": query_pdf["_q"].to_numpy()[qi], key: ids[bi], "score": S[qi, bi]})
+
+    cand = (left.groupBy("cell", "isalt", "qsalt")
+            .cogroup(right.groupBy("cell", "isalt", "qsalt"))
+            .applyInPandas(block, f"_q {ktype}, {key} {ktype}, score double"))
+    # a query probing several cells has one partial list per (cell, salt) group; a
+    # (query, row) pair occurs in exactly one group, so merging needs no dedup
+    top = _merge_topk(cand, "_q", key, k, None)
+    pairs = top.where((F.col(key) > F.col("_q")) & (F.col("score") >= threshold))
+    return pairs.select(F.col("_q").alias("id1"), F.col(key).alias("id2"), F.round("score", 4).alias("score"))

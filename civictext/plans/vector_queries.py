@@ -208,3 +208,10 @@ WHERE rk <= {L.DUPLICATE_NEIGHBOURS} AND j > i AND score >= {PARAPHRASE_THRESHOL
 def document_paraphrase_pairs(spark, sf_dir):
     v = document_vectors(spark, sf_dir, materialize=True).select("doc_id", "embedding")
     return S.near_duplicates(v, key="doc_id", threshold=PARAPHRASE_THRESHOLD, neighbours=L.DUPLICATE_NEIGHBOURS)
+
+
+# --- V3 + V6 at scale: near duplicates over IVF cells in bounded salted blocks (rows-only) --------
+@query("ivf_near_duplicates")
+def ivf_near_duplicates(spark, sf_dir):
+    e = read_table(spark, sf_dir, "embeddings", ["vec_id", "embedding"])
+    return S.ivf_near_duplicates(e, key="vec_id", threshold=EMB_DUP_THRESHOLD, neighbours=L.DUPLICATE_NEIGHBOURS)
