@@ -1,16 +1,26 @@
 """Vector similarity: exact top-k search, near-duplicate pairs, verdicts, IVF.
 
-Exact search is a block kernel, not a join: the query side is split into
-chunks whose size is checked against a byte bound, each chunk is broadcast,
-and every index partition computes ``Q @ B.T`` per Arrow batch with NumPy and
-emits only its per-batch top-k (ties at the cut kept only up to k by id).
-A window ``row_number() <= k`` per query (planned as a partial group limit
-before the shuffle) then merges the partial lists. Rows emitted are bounded
-by ``|Q| * k`` per batch, whatever the data; nothing proportional to
-``|Q| * |I|`` is materialised or shuffled.
-
-The approximate path (IVF) clusters the index with KMeans, probes each
-query's ``nprobe`` nearest cells and equi-joins on the cell id.
+Exact top-k is computed by block kernels, never by a join that emits all
+pairs:
+
+* **Broadcast path** -- when the query side fits one chunk under a byte bound
+  (checked by a count before anything is collected), it is broadcast and every
+  index partition computes ``Q @ B.T`` per Arrow batch with NumPy, emitting
+  only its per-batch top-k.
+* **Block path** -- otherwise (for example near duplicates of a large table,
+  where the query side is the table itself) both sides are cut into salted
+  blocks of at most ``block_rows`` rows; each (query block, index block) group
+  of a ``cogroup`` is scored with one matrix product and emits only top-k
+  rows. Groups are bounded whatever the data; nothing passes through the
+  driver but per-cell block counts.
+
+A ``row_number() <= k`` window per query (planned as a partial group limit
+before the shuffle) merges the partial lists. Score ties are made exact at 12
+decimal places and broken by the smaller id.
+
+IVF restricts both paths to each query's ``nprobe`` nearest KMeans cells: the
+broadcast path carries an inverted list cell -> probing queries, the block
+path salts each cell separately, so a hot cell becomes many bounded blocks.
 """
 
 from __future__ import annotations
@@ -24,7 +34,8 @@ from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
 
-DEFAULT_CHUNK_BYTES = 64 << 20  # broadcast bound for one query chunk
+DEFAULT_CHUNK_BYTES = 64 << 20  # broadcast bound for the query side
+DEFAULT_BLOCK_ROWS = 20_000  # rows per side of one block group
 SCORE_DECIMALS = 12  # scores are compared at this precision; ties then go to the smaller id
 
 
@@ -32,30 +43,18 @@ def _dtype_of(df: DataFrame, col: str) -> str:
     return df.schema[col].dataType.simpleString()
 
 
-def _chunked_queries(queries: DataFrame, qkey: str, vec: str, max_bytes: int):
-    """Yield NumPy (keys, matrix) chunks of the query side, each under ``max_bytes``."""
-    stats = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec)).alias("d")).first()
+def _fits_broadcast(queries: DataFrame, qvec: str, max_bytes: int) -> tuple[int, int, bool]:
+    """(rows, width, fits): the query side's size, measured before any collect."""
+    stats = queries.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(qvec)).alias("d")).first()
     n, d = int(stats["n"]), int(stats["d"] or 0)
-    if n == 0:
-        return
-    per_row = d * 8 + 64
-    rows_per_chunk = max(1, max_bytes // per_row)
-    n_chunks = max(1, math.ceil(n / rows_per_chunk))
-    while True:
-        if n_chunks == 1:
-            parts = [queries]
-            break
-        tagged = queries.withColumn("_chunk", F.pmod(F.xxhash64(F.col(qkey)), F.lit(n_chunks)))
-        sizes = tagged.groupBy("_chunk").count().collect()  # at most n_chunks rows
-        if max(r["count"] for r in sizes) <= rows_per_chunk:
-            parts = [tagged.where(F.col("_chunk") == r["_chunk"]).drop("_chunk") for r in sizes]
-            break
-        n_chunks *= 2
-    for part in parts:
-        rows = part.select(qkey, vec).collect()  # bounded by rows_per_chunk
-        keys = np.array([r[0] for r in rows])
-        mat = np.array([np.asarray(r[1], dtype=np.float64) for r in rows], dtype=np.float64).reshape(len(rows), d)
-        yield keys, mat
+    return n, d, n * (d * 8 + 64) <= max_bytes
+
+
+def _collect_queries(queries: DataFrame, qkey: str, qvec: str, d: int):
+    rows = queries.select(qkey, qvec).collect()  # size checked by _fits_broadcast
+    keys = np.array([r[0] for r in rows])
+    mat = np.array([np.asarray(r[1], dtype=np.float64) for r in rows], dtype=np.float64).reshape(len(rows), d)
+    return keys, mat
 
 
 def _topk_cells(S: np.ndarray, ids: np.ndarray, k: int, threshold: float | None):
@@ -86,23 +85,6 @@ def _matrix(col) -> np.ndarray:
     return np.vstack([np.asarray(v, dtype=np.float64) for v in col])
 
 
-def _topk_kernel(bq_keys, bq_mat, k: int, threshold: float | None, ikey: str, vec: str, qkey: str):
-    def run(batches):
-        keys = bq_keys.value
-        Q = bq_mat.value
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            ids = pdf[ikey].to_numpy()
-            S = _scores(Q, _matrix(pdf[vec].to_numpy()))
-            qi, bi = _topk_cells(S, ids, k, threshold)
-            if len(qi) == 0:
-                continue
-            yield pd.DataFrame({qkey: keys[qi], ikey: ids[bi], "score": S[qi, bi]})
-
-    return run
-
-
 def _merge_topk(cand: DataFrame, query_key: str, index_key: str, k: int, round_to: int | None) -> DataFrame:
     """Global top-k per query from partial lists (partial group limit before the shuffle)."""
     w = Window.partitionBy(query_key).orderBy(F.desc("score"), F.asc(index_key))
@@ -112,31 +94,86 @@ def _merge_topk(cand: DataFrame, query_key: str, index_key: str, k: int, round_t
     return top.select(query_key, index_key, "score", "rank")
 
 
+def _block_topk(index: DataFrame, queries: DataFrame, index_key: str, query_key: str, vec: str, qvec: str,
+                k: int, threshold: float | None, block_rows: int) -> DataFrame:
+    """Candidate top-k rows from salted blocks; both sides carry an int ``cell``.
+
+    Index rows of cell c are spread over ``ceil(|I_c| / block_rows)`` index salts
+    and replicated to each query salt of c; query rows probing c are spread over
+    ``ceil(|Q_c| / block_rows)`` query salts and replicated to each index salt.
+    Every (cell, index salt, query salt) group therefore holds about
+    ``block_rows`` rows per side and emits at most ``k`` rows per query.
+    """
+    itype, qtype = _dtype_of(index, index_key), _dtype_of(queries, query_key)
+    isz = {r["cell"]: r["count"] for r in index.groupBy("cell").count().collect()}  # one row per cell
+    qsz = {r["cell"]: r["count"] for r in queries.groupBy("cell").count().collect()}
+
+    def salts(sizes):
+        m = {int(c): max(1, math.ceil(n / block_rows)) for c, n in sizes.items()}
+        if not m:
+            return F.lit(1)
+        lookup = F.create_map(*[x for c, v in m.items() for x in (F.lit(c), F.lit(v))])
+        return F.coalesce(F.element_at(lookup, F.col("cell")), F.lit(1))
+
+    n_i, n_q = salts(isz), salts(qsz)
+    left = (index.select(index_key, vec, "cell")
+            .withColumn("isalt", F.pmod(F.xxhash64(F.col(index_key)), n_i).cast("int"))
+            .withColumn("qsalt", F.explode(F.sequence(F.lit(0), n_q - 1))))
+    right = (queries.select(query_key, F.col(qvec).alias("_qv"), "cell")
+             .withColumn("qsalt", F.pmod(F.xxhash64(F.col(query_key)), n_q).cast("int"))
+             .withColumn("isalt", F.explode(F.sequence(F.lit(0), n_i - 1))))
+
+    def block(ipdf: pd.DataFrame, qpdf: pd.DataFrame) -> pd.DataFrame:
+        if len(ipdf) == 0 or len(qpdf) == 0:
+            return pd.DataFrame({query_key: [], index_key: [], "score": []})
+        ids = ipdf[index_key].to_numpy()
+        S = _scores(_matrix(qpdf["_qv"].to_numpy()), _matrix(ipdf[vec].to_numpy()))
+        qi, bi = _topk_cells(S, ids, k, threshold)
+        return pd.DataFrame({query_key: qpdf[query_key].to_numpy()[qi], index_key: ids[bi], "score": S[qi, bi]})
+
+    return (left.groupBy("cell", "isalt", "qsalt")
+            .cogroup(right.groupBy("cell", "isalt", "qsalt"))
+            .applyInPandas(block, f"{query_key} {qtype}, {index_key} {itype}, score double"))
+
+
 def search(index: DataFrame, queries: DataFrame, k: int = L.SEARCH_TOP_K, threshold: float | None = L.SEARCH_THRESHOLD,
            index_key: str = "id", query_key: str = "query_id", vec: str = "embedding", query_vec: str | None = None,
-           max_chunk_bytes: int = DEFAULT_CHUNK_BYTES, round_to: int | None = 4) -> DataFrame:
+           max_chunk_bytes: int = DEFAULT_CHUNK_BYTES, block_rows: int = DEFAULT_BLOCK_ROWS,
+           round_to: int | None = 4) -> DataFrame:
     """Top-``k`` index rows per query by dot product (cosine on unit vectors).
 
     Returns ``(query_key, index_key, score, rank)``; ``score >= threshold`` is
     applied on the exact score, and the score is then rounded.
     """
-    spark = index.sparkSession
-    sc = spark.sparkContext
-    query_vec = query_vec or vec
-    idx = index.select(F.col(index_key), F.col(vec))
     if index_key == query_key:
         raise ValueError("index_key and query_key must differ")
+    spark = index.sparkSession
+    query_vec = query_vec or vec
+    q = queries.select(query_key, F.col(query_vec).alias("_qv"))
+    n, d, fits = _fits_broadcast(q, "_qv", max_chunk_bytes)
     schema = f"{query_key} {_dtype_of(queries, query_key)}, {index_key} {_dtype_of(index, index_key)}, score double"
-    parts = []
-    for keys, mat in _chunked_queries(queries.select(query_key, F.col(query_vec).alias("_qv")), query_key, "_qv",
-                                      max_chunk_bytes):
-        bk, bm = sc.broadcast(keys), sc.broadcast(mat)
-        parts.append(idx.mapInPandas(_topk_kernel(bk, bm, k, threshold, index_key, vec, query_key), schema))
-    if not parts:
+    if n == 0:
         return spark.createDataFrame([], schema + ", rank int")
-    cand = parts[0]
-    for p in parts[1:]:
-        cand = cand.unionByName(p)
+    idx = index.select(F.col(index_key), F.col(vec))
+    if fits:
+        keys, mat = _collect_queries(q, query_key, "_qv", d)
+        bk, bm = spark.sparkContext.broadcast(keys), spark.sparkContext.broadcast(mat)
+
+        def run(batches):
+            keys_, Q = bk.value, bm.value
+            for pdf in batches:
+                if len(pdf) == 0:
+                    continue
+                ids = pdf[index_key].to_numpy()
+                S = _scores(Q, _matrix(pdf[vec].to_numpy()))
+                qi, bi = _topk_cells(S, ids, k, threshold)
+                if len(qi):
+                    yield pd.DataFrame({query_key: keys_[qi], index_key: ids[bi], "score": S[qi, bi]})
+
+        cand = idx.mapInPandas(run, schema)
+    else:
+        cand = _block_topk(idx.withColumn("cell", F.lit(0)), q.withColumn("cell", F.lit(0)), index_key, query_key,
+                           vec, "_qv", k, threshold, block_rows)
     return _merge_topk(cand, query_key, index_key, k, round_to)
 
 
@@ -148,19 +185,20 @@ def attach_text(hits: DataFrame, index: DataFrame, index_key: str, text_col: str
 
 
 def near_duplicates(df: DataFrame, key: str = "id", vec: str = "embedding", threshold: float = L.DUPLICATE_THRESHOLD,
-                    neighbours: int | None = L.DUPLICATE_NEIGHBOURS,
-                    max_chunk_bytes: int = DEFAULT_CHUNK_BYTES) -> DataFrame:
+                    neighbours: int | None = L.DUPLICATE_NEIGHBOURS, max_chunk_bytes: int = DEFAULT_CHUNK_BYTES,
+                    block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
     """Pairs ``(id1, id2, score)`` with ``id2 > id1``: each row's top-``neighbours``
     (itself included) by score, kept when the score reaches ``threshold``.
 
     ``neighbours=None`` keeps every pair above the threshold (no neighbour cap).
+    A table larger than one broadcast chunk goes through the block path.
     """
     q = df.select(F.col(key).alias("_q"), F.col(vec).alias("_v"))
     k = neighbours if neighbours is not None else 1 << 30
     # top-k then ">= threshold" equals top-k among the rows ">= threshold", so the
-    # threshold is applied inside the kernel and fewer candidates are emitted
-    hits = search(df, q, k=k, threshold=threshold, index_key=key,
-                  query_key="_q", vec=vec, query_vec="_v", max_chunk_bytes=max_chunk_bytes, round_to=None)
+    # threshold is applied inside the kernels and fewer candidates are emitted
+    hits = search(df, q, k=k, threshold=threshold, index_key=key, query_key="_q", vec=vec, query_vec="_v",
+                  max_chunk_bytes=max_chunk_bytes, block_rows=block_rows, round_to=None)
     pairs = hits.where((F.col(key) > F.col("_q")) & (F.col("score") >= threshold))
     return pairs.select(F.col("_q").alias("id1"), F.col(key).alias("id2"), F.round("score", 4).alias("score"))
 
@@ -175,7 +213,7 @@ def verdicts(queries: DataFrame, hits: DataFrame, query_key: str, index_key: str
         F.count(F.lit(1)).alias("num_similar"),
         F.max("score").alias("_max"),
         F.avg("score").alias("_avg"),
-        F.sort_array(F.collect_list(F.struct("rank", index_key))).alias("_hits"))
+        F.sort_array(F.collect_list(F.struct("rank", index_key))).alias("_hits"))  # at most k per query
     j = queries.select(query_key).join(agg, query_key, "left")
     sus = (F.col("_max") > L.MISINFO_MAX_SUSPICIOUS) | (
         (F.col("num_similar") >= L.MISINFO_MIN_HITS_FOR_AVG) & (F.col("_avg") > L.MISINFO_AVG_SUSPICIOUS))
@@ -210,7 +248,7 @@ def build_ivf(index: DataFrame, key: str = "id", vec: str = "embedding", nlist:
     feats = index.select(key, vec, array_to_vector(F.col(vec)).alias("_f"))
     model = KMeans(k=k, seed=seed, featuresCol="_f", predictionCol="cell", maxIter=max_iter).fit(feats)
     cells = model.transform(feats).select(key, vec, F.col("cell").cast("int"))
-    centroids = np.array([np.asarray(c, dtype=np.float64) for c in model.clusterCenters()])
+    centroids = np.array([np.asarray(c, dtype=np.float64) for c in model.clusterCenters()])  # nlist x dim
     return cells, centroids
 
 
@@ -219,34 +257,54 @@ def _nearest_cells(Q: np.ndarray, C: np.ndarray, nprobe: int) -> np.ndarray:
     return np.argsort(d, axis=1, kind="stable")[:, :nprobe]
 
 
+def _probes(queries: DataFrame, centroids: np.ndarray, qkey: str, qvec: str, nprobe: int) -> DataFrame:
+    """``(qkey, cell, qvec)``: one row per query and probed cell (centroids broadcast, <= nlist rows)."""
+    bc = queries.sparkSession.sparkContext.broadcast(centroids)
+    qtype, vtype = _dtype_of(queries, qkey), _dtype_of(queries, qvec)
+
+    def probe(batches):
+        C = bc.value
+        for pdf in batches:
+            if len(pdf) == 0:
+                continue
+            near = _nearest_cells(_matrix(pdf[qvec].to_numpy()), C, nprobe)
+            rep = np.repeat(np.arange(len(pdf)), nprobe)
+            yield pd.DataFrame({qkey: pdf[qkey].to_numpy()[rep], "cell": near.reshape(-1).astype(np.int32),
+                                qvec: pdf[qvec].iloc[rep].to_numpy()})
+
+    return queries.select(qkey, qvec).mapInPandas(probe, f"{qkey} {qtype}, cell int, {qvec} {vtype}")
+
+
 def ivf_search(cells: DataFrame, centroids: np.ndarray, queries: DataFrame, k: int = L.SEARCH_TOP_K,
                threshold: float | None = L.SEARCH_THRESHOLD, nprobe: int = L.IVF_NPROBE, index_key: str = "id",
                query_key: str = "query_id", vec: str = "embedding", query_vec: str | None = None,
-               max_chunk_bytes: int = DEFAULT_CHUNK_BYTES, round_to: int | None = 4) -> DataFrame:
+               max_chunk_bytes: int = DEFAULT_CHUNK_BYTES, block_rows: int = DEFAULT_BLOCK_ROWS,
+               round_to: int | None = 4) -> DataFrame:
     """Approximate top-k over the ``nprobe`` cells nearest to each query.
 
-    Query chunks (size-checked) are broadcast with an inverted list cell ->
-    queries probing it. Each index batch multiplies, per cell present in the
-    batch, only the queries probing that cell with the batch's rows of that
-    cell. Index rows of a hot cell are spread over all tasks like any other
-    rows, so a cell holding a third of the table is not one task's work, and
-    only per-batch top-k rows are emitted (no query x cell-member rows).
+    A bounded query side is broadcast with an inverted list cell -> probing
+    queries; each index batch multiplies, per cell present in the batch, only
+    the queries probing that cell with the batch's rows of that cell. A larger
+    query side goes through salted blocks per cell. Index rows of a hot cell
+    are spread over many tasks either way, and only top-k rows are emitted.
     """
-    sc = cells.sparkSession.sparkContext
+    spark = cells.sparkSession
     query_vec = query_vec or vec
     npr = min(nprobe, len(centroids))
+    q = queries.select(query_key, F.col(query_vec).alias("_qv"))
+    n, d, fits = _fits_broadcast(q, "_qv", max_chunk_bytes)
     schema = f"{query_key} {_dtype_of(queries, query_key)}, {index_key} {_dtype_of(cells, index_key)}, score double"
+    if n == 0:
+        return spark.createDataFrame([], schema + ", rank int")
     idx = cells.select(index_key, vec, "cell")
-    parts = []
-    for keys, mat in _chunked_queries(queries.select(query_key, F.col(query_vec).alias("_qv")), query_key, "_qv",
-                                      max_chunk_bytes):
+    if fits:
+        keys, mat = _collect_queries(q, query_key, "_qv", d)
         near = _nearest_cells(mat, centroids, npr)
-        lists = {}
-        for c in np.unique(near):
-            lists[int(c)] = np.nonzero((near == c).any(axis=1))[0]
+        lists = {int(c): np.nonzero((near == c).any(axis=1))[0] for c in np.unique(near)}
+        sc = spark.sparkContext
         bk, bm, bl = sc.broadcast(keys), sc.broadcast(mat), sc.broadcast(lists)
 
-        def run(batches, bk=bk, bm=bm, bl=bl):
+        def run(batches):
             keys_, Q, inv = bk.value, bm.value, bl.value
             for pdf in batches:
                 if len(pdf) == 0:
@@ -268,82 +326,35 @@ def ivf_search(cells: DataFrame, centroids: np.ndarray, queries: DataFrame, k: i
                 if out:
                     yield pd.concat(out, ignore_index=True)
 
-        parts.append(idx.mapInPandas(run, schema))
-    if not parts:
-        return cells.sparkSession.createDataFrame([], schema + ", rank int")
-    cand = parts[0]
-    for p in parts[1:]:
-        cand = cand.unionByName(p)
+        cand = idx.mapInPandas(run, schema)
+    else:
+        cand = _block_topk(idx, _probes(q, centroids, query_key, "_qv", npr), index_key, query_key, vec, "_qv",
+                           k, threshold, block_rows)
     return _merge_topk(cand, query_key, index_key, k, round_to)
 
 
 def ivf_near_duplicates(df: DataFrame, key: str = "id", vec: str = "embedding",
                         threshold: float = L.DUPLICATE_THRESHOLD, neighbours: int = L.DUPLICATE_NEIGHBOURS,
-                        nlist: int = L.IVF_NLIST, nprobe: int = L.IVF_NPROBE, block_rows: int = 20_000,
+                        nlist: int = L.IVF_NLIST, nprobe: int = L.IVF_NPROBE, block_rows: int = DEFAULT_BLOCK_ROWS,
                         seed: int = L.SEED) -> DataFrame:
-    """Near-duplicate pairs for a table too large to broadcast, over IVF cells.
-
-    Every row probes its ``nprobe`` nearest cells. A cell's members are split
-    into ``ceil(members / block_rows)`` index salts and the rows probing it into
-    ``ceil(probers / block_rows)`` query salts; each (cell, index salt, query
-    salt) group holds at most ``block_rows`` rows per side, is scored with one
-    matrix product and emits only each query's top neighbours. A hot cell
-    (say a third of the table made of copies) becomes many bounded groups,
-    never one task or an all-pairs row set. With ``nprobe`` equal to the number
-    of cells the result equals ``near_duplicates``.
+    """Near-duplicate pairs over IVF cells, in salted blocks.
+
+    Every row probes its ``nprobe`` nearest cells; each (cell, index salt,
+    query salt) group holds about ``block_rows`` rows per side and emits only
+    each row's top neighbours. A hot cell (say a third of the table made of
+    copies) becomes many bounded groups, never one task or an all-pairs row
+    set. With ``nprobe`` equal to the number of cells the result equals
+    ``near_duplicates``.
     """
     from ..sources.store import checkpoint_table
 
     spark = df.sparkSession
     cells, cents = build_ivf(df, key=key, vec=vec, nlist=nlist, seed=seed)
-    cells = checkpoint_table(spark, cells, "ivf-cells")  # read three times below
+    cells = checkpoint_table(spark, cells, "ivf-cells")  # read several times below
     npr = min(nprobe, len(cents))
-    bc = spark.sparkContext.broadcast(cents)  # nlist x dim
-    ktype = _dtype_of(df, key)
-
-    def probe(batches):
-        C = bc.value
-        for pdf in batches:
-            if len(pdf) == 0:
-                continue
-            near = _nearest_cells(_matrix(pdf[vec].to_numpy()), C, npr)
-            rep = np.repeat(np.arange(len(pdf)), npr)
-            yield pd.DataFrame({key: pdf[key].to_numpy()[rep], "cell": near.reshape(-1).astype(np.int32),
-                                vec: pdf[vec].iloc[rep].to_numpy()})
-
-    probes = cells.select(key, vec).mapInPandas(probe, f"{key} {ktype}, cell int, {vec} array<double>")
-    # per-cell sizes: at most nlist rows each
-    isz = {r["cell"]: r["count"] for r in cells.groupBy("cell").count().collect()}
-    qsz = {r["cell"]: r["count"] for r in probes.groupBy("cell").count().collect()}
-
-    def salts(sizes):
-        m = {c: max(1, math.ceil(n / block_rows)) for c, n in sizes.items()}
-        return F.create_map(*[x for c, v in m.items() for x in (F.lit(int(c)), F.lit(int(v)))])
-
-    s_i, s_q = salts(isz), salts(qsz)
-    n_i = F.coalesce(F.element_at(s_i, F.col("cell")), F.lit(1))
-    n_q = F.coalesce(F.element_at(s_q, F.col("cell")), F.lit(1))
-    left = (cells.select(key, vec, "cell")
-            .withColumn("isalt", F.pmod(F.xxhash64(F.col(key)), n_i).cast("int"))
-            .withColumn("qsalt", F.explode(F.sequence(F.lit(0), n_q - 1))))
-    right = (probes.withColumn("qsalt", F.pmod(F.xxhash64(F.col(key)), n_q).cast("int"))
-             .withColumn("isalt", F.explode(F.sequence(F.lit(0), n_i - 1)))
-             .withColumnRenamed(key, "_q").withColumnRenamed(vec, "_qv"))
-    k = neighbours
-
-    def block(index_pdf, query_pdf):
-        if len(index_pdf) == 0 or len(query_pdf) == 0:
-            return pd.DataFrame({"_q": [], key: [], "score": []})
-        ids = index_pdf[key].to_numpy()
-        S = _scores(_matrix(query_pdf["_qv"].to_numpy()), _matrix(index_pdf[vec].to_numpy()))
-        qi, bi = _topk_cells(S, ids, k, threshold)
-        return pd.DataFrame({"_q": query_pdf["_q"].to_numpy()[qi], key: ids[bi], "score": S[qi, bi]})
-
-    cand = (left.groupBy("cell", "isalt", "qsalt")
-            .cogroup(right.groupBy("cell", "isalt", "qsalt"))
-            .applyInPandas(block, f"_q {ktype}, {key} {ktype}, score double"))
-    # a query probing several cells has one partial list per (cell, salt) group; a
-    # (query, row) pair occurs in exactly one group, so merging needs no dedup
-    top = _merge_topk(cand, "_q", key, k, None)
+    probes = _probes(cells.select(F.col(key).alias("_q"), F.col(vec).alias("_qv")), cents, "_q", "_qv", npr)
+    cand = _block_topk(cells, probes, key, "_q", vec, "_qv", neighbours, threshold, block_rows)
+    # a (query, row) pair occurs in exactly one (cell, salt) group, so no dedup is needed
+    top = _merge_topk(cand, "_q", key, neighbours, None)
     pairs = top.where((F.col(key) > F.col("_q")) & (F.col("score") >= threshold))
     return pairs.select(F.col("_q").alias("id1"), F.col(key).alias("id2"), F.round("score", 4).alias("score"))

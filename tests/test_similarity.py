@@ -31,8 +31,8 @@ def brute_topk(M, Q, k, t):
 def test_search_equals_brute_force(spark):
     df, M = fixture_vectors(spark)
     q = df.select(F.col("id").alias("query_id"), "embedding")
-    for chunk in (S.DEFAULT_CHUNK_BYTES, 200):  # one broadcast chunk, and many small ones
-        got = S.search(df, q, k=5, threshold=0.1, index_key="id", max_chunk_bytes=chunk).collect()
+    for chunk in (S.DEFAULT_CHUNK_BYTES, 200):  # broadcast path, then the salted block path
+        got = S.search(df, q, k=5, threshold=0.1, index_key="id", max_chunk_bytes=chunk, block_rows=7).collect()
         exp = brute_topk(M, M, 5, 0.1)
         by_q = {}
         for r in got:
@@ -45,6 +45,9 @@ def test_search_equals_brute_force(spark):
 def test_near_duplicates_top5_semantics(spark):
     df, M = fixture_vectors(spark)
     got = sorted((r.id1, r.id2) for r in S.near_duplicates(df, "id", threshold=0.95, neighbours=5).collect())
+    blocked = sorted((r.id1, r.id2) for r in S.near_duplicates(df, "id", threshold=0.95, neighbours=5,
+                                                               max_chunk_bytes=100, block_rows=9).collect())
+    assert blocked == got
     exp = []
     for i in range(len(M)):
         s = M @ M[i]
@@ -84,7 +87,7 @@ def test_ivf_search_recall_and_exhaustive_probe(spark):
     assert len(approx & exact) / len(exact) > 0.6
     full = {(r.query_id, r.id, r.score) for r in S.ivf_search(cells, cents, q, k=5, threshold=None,
                                                                nprobe=len(cents), index_key="id",
-                                                               max_chunk_bytes=2000).collect()}
+                                                               max_chunk_bytes=2000, block_rows=11).collect()}
     assert full == exact  # probing every cell is exhaustive
 
 
