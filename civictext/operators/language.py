@@ -89,6 +89,11 @@ def detect_language(df: DataFrame, profile: DataFrame, text_col: str, key: str,
     and are read to the driver; the token table is checked against
     ``max_profile_rows`` before it is broadcast.
     """
+    from ..sources.store import checkpoint_table
+
+    # the profile is a model table (at most top_n rows per language): write it once so
+    # the two small reads below and the join do not each re-run the training job
+    profile = checkpoint_table(df.sparkSession, profile, "language-profile")
     langs = profile.select("lang", "floor", "prior").distinct().orderBy("lang").collect()
     n_profile = profile.count()
     if n_profile > max_profile_rows:
