@@ -17,6 +17,36 @@ def _lowered(c, lowered: bool) -> Column:
     return _col(c) if lowered else F.lower(_col(c))
 
 
+# A rule over a named column is written as one SQL CASE expression and parsed
+# once (``F.expr``); building the same tree one Column call at a time costs a
+# JVM round trip per keyword, and those calls grow slower as the tree deepens.
+def _sql_lowered(c, lowered: bool) -> str | None:
+    if not isinstance(c, str):
+        return None
+    name = "`" + c.replace("`", "``") + "`"
+    return name if lowered else f"lower({name})"
+
+
+def _sql_str(s: str) -> str | None:
+    """A plain SQL string literal, or None when the text needs escapes (then the Column path is used)."""
+    return None if ("'" in s or "\\" in s) else f"'{s}'"
+
+
+def _sql_double(x) -> str:
+    return f"{float(x)!r}D"
+
+
+def _sql_contains_any(low: str, keywords) -> str | None:
+    lits = [_sql_str(k) for k in keywords]
+    if any(x is None for x in lits):
+        return None
+    return "(" + (" OR ".join(f"contains({low}, {x})" for x in lits) or "false") + ")"
+
+
+def _sql_case(branches, default: str) -> Column:
+    return F.expr("CASE " + " ".join(f"WHEN {c} THEN {v}" for c, v in branches) + f" ELSE {default} END")
+
+
 def lowered_text(df, src: str = "clean_text", out: str = "_low"):
     """Add the lower-cased text once, so several rules share it instead of each
     lower-casing the text again inside every keyword test."""
@@ -29,6 +59,12 @@ def urgency_label(c, lexicon=None, lowered: bool = False) -> Column:
     Pass ``lowered=True`` when ``c`` is already lower-cased (see ``lowered_text``).
     """
     lexicon = L.TRAINING_URGENCY if lexicon is None else lexicon
+    low_sql = _sql_lowered(c, lowered)
+    if low_sql is not None:
+        conds = [_sql_contains_any(low_sql, kws) for _, kws in lexicon]
+        labels = [_sql_str(label) for label, _ in lexicon]
+        if None not in conds and None not in labels:
+            return _sql_case(zip(conds, labels), "'LOW'")
     low = _lowered(c, lowered)
     out = None
     for label, keywords in lexicon:
@@ -40,8 +76,19 @@ def urgency_label(c, lexicon=None, lowered: bool = False) -> Column:
 def api_urgency(c, lexicon=None, lowered: bool = False) -> Column:
     """Request-time urgency: struct(urgency, confidence, p_low, p_medium, p_high, p_critical)."""
     lexicon = L.API_URGENCY if lexicon is None else lexicon
-    low = _lowered(c, lowered)
     default_label, default_conf = L.API_URGENCY_DEFAULT
+    low_sql = _sql_lowered(c, lowered)
+    if low_sql is not None:
+        def payload_sql(label, conf):
+            p = L.API_URGENCY_PROBABILITIES[label]
+            return (f"named_struct('urgency', {_sql_str(label)}, 'confidence', {_sql_double(conf)}, "
+                    f"'p_low', {_sql_double(p[0])}, 'p_medium', {_sql_double(p[1])}, "
+                    f"'p_high', {_sql_double(p[2])}, 'p_critical', {_sql_double(p[3])})")
+        conds = [_sql_contains_any(low_sql, kws) for _, _, kws in lexicon]
+        if None not in conds and all(_sql_str(label) for label, _, _ in lexicon) and _sql_str(default_label):
+            return _sql_case([(cnd, payload_sql(label, conf)) for cnd, (label, conf, _) in zip(conds, lexicon)],
+                             payload_sql(default_label, default_conf))
+    low = _lowered(c, lowered)
 
     def payload(label, conf):
         p = L.API_URGENCY_PROBABILITIES[label]
@@ -72,8 +119,21 @@ def probability_map(s: Column) -> Column:
 def topic_rule(c, topics=None, lowered: bool = False) -> Column:
     """struct(topic_id, topic_label, confidence, top_keywords); no hit gives -1, General/Other."""
     topics = L.TOPICS if topics is None else topics
-    low = _lowered(c, lowered)
     no_id, no_label, no_conf = L.NO_TOPIC
+    low_sql = _sql_lowered(c, lowered)
+    if low_sql is not None:
+        def payload_sql(tid, label, conf, kws):
+            arr = ", ".join(_sql_str(k) or "NULL" for k in kws)
+            return (f"named_struct('topic_id', CAST({int(tid)} AS INT), 'topic_label', {_sql_str(label)}, "
+                    f"'confidence', {_sql_double(conf)}, 'top_keywords', CAST(array({arr}) AS ARRAY<STRING>))")
+        conds = [_sql_contains_any(low_sql, kws) for _, kws in topics]
+        names_ok = all(_sql_str(label) for label, _ in topics) and _sql_str(no_label)
+        if None not in conds and names_ok:
+            return _sql_case(
+                [(cnd, payload_sql(tid, label, L.TOPIC_CONFIDENCE, kws[: L.TOPIC_KEYWORDS_SHOWN]))
+                 for tid, (cnd, (label, kws)) in enumerate(zip(conds, topics))],
+                payload_sql(no_id, no_label, no_conf, []))
+    low = _lowered(c, lowered)
 
     def payload(tid, label, conf, kws):
         return F.struct(

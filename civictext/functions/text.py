@@ -82,16 +82,20 @@ def clean_text(c, extended_scripts: bool = False) -> Column:
     exactly that); here steps that need a literal (``://``/``www.``, ``@``,
     ``<``) run only on rows containing it, and the last two steps share one pass.
     """
-    out = F.coalesce(_col(c), F.lit(""))
+    raw = F.coalesce(_col(c), F.lit(""))
+    out = raw
     steps = clean_steps(extended_scripts)
     for pattern, repl in steps[:4]:
         guard = _STEP_GUARD.get(pattern)
         java_pattern = EMAIL_PATTERN_RUN_START if pattern == EMAIL_PATTERN else pattern
         replaced = F.regexp_replace(out, java_pattern, repl)
         if guard:
+            # Steps only turn characters into spaces, so a literal missing from the
+            # raw text is missing from every later stage too. Testing the raw text
+            # keeps each stage's value referenced once (inside the taken branch).
             cond = None
             for g in guard:
-                cond = (F.instr(out, g) > 0) if cond is None else cond | (F.instr(out, g) > 0)
+                cond = (F.instr(raw, g) > 0) if cond is None else cond | (F.instr(raw, g) > 0)
             out = F.when(cond, replaced).otherwise(out)
         else:
             out = replaced

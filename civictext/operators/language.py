@@ -36,12 +36,14 @@ LETTER_CLASS = r"\p{L}\p{M}"
 
 
 def _count_in(c: Column, char_class: str) -> Column:
-    return F.length(F.regexp_replace(c, f"[^{char_class}]", ""))
+    # deleting whole runs (``+``) gives the same string as deleting one character
+    # per match, with one replacement per run instead of one per character
+    return F.length(F.regexp_replace(c, f"[^{char_class}]+", ""))
 
 
 def script_language(c: Column) -> Column:
     """``unknown`` for empty text, the dominant Indic script's language, else ``en``."""
-    indic = F.regexp_replace(c, f"[^{INDIC_RANGE}]", "")
+    indic = F.regexp_replace(c, f"[^{INDIC_RANGE}]+", "")
     letters = _count_in(c, LETTER_CLASS)
     best = F.greatest(*[F.struct(_count_in(indic, rng).alias("n"), F.lit(code).alias("lang"))
                         for code, rng in SCRIPT_BLOCKS])
@@ -51,6 +53,25 @@ def script_language(c: Column) -> Column:
             .otherwise(F.lit("en")))
 
 
+def with_script_language(df: DataFrame, text_col: str = "clean_text", out: str = "language") -> DataFrame:
+    """Add ``script_language`` of ``text_col`` as ``out``, each regex pass run once per row.
+
+    The Indic-only string and the winning script are separate projections
+    (Catalyst keeps a costly expression that is used more than once in its own
+    projection), and the per-script counts run on the short Indic-only string.
+    """
+    c = F.col(text_col)
+    staged = df.withColumn("_indic", F.regexp_replace(c, f"[^{INDIC_RANGE}]+", ""))
+    counts = [F.struct(_count_in(F.col("_indic"), rng).alias("n"), F.lit(code).alias("lang"))
+              for code, rng in SCRIPT_BLOCKS]
+    staged = staged.withColumn("_best", F.when(F.length("_indic") > 0, F.greatest(*counts)))
+    lang = (F.when(F.coalesce(c, F.lit("")) == "", F.lit("unknown"))
+            .when(F.col("_best").isNull(), F.lit("en"))
+            .when(F.col("_best.n") * 2 > _count_in(c, LETTER_CLASS), F.col("_best.lang"))
+            .otherwise(F.lit("en")))
+    return staged.withColumn(out, lang).drop("_indic", "_best")
+
+
 def train_language_profile(df: DataFrame, text_col: str, label_col: str, top_n: int = 300) -> DataFrame:
     """Profile ``(lang, token, logp, floor, prior)``: top ``top_n`` tokens per language.
 

@@ -8,8 +8,12 @@ Scale notes
   collapses a hot duplicate group on the map side before the shuffle) rather
   than a window, which would sort a hot group inside one task.
 * Seeded order is ``md5('<seed>:' || key)`` so Spark and SQL engines agree.
-  Ranks inside a class are computed per (class, hash bucket) and offset by the
-  bucket counts, so a class holding a third of the rows is split 1024 ways.
+  Samples, per-class caps and stratified splits take "the first n rows in
+  seeded order" without a global sort or a per-class funnel: the rows are
+  counted per (class, 20-bit hash bucket), a window over those counts finds
+  the one bucket of each class holding its cut, and only the rows of that
+  bucket (about 1/1M of the class) are ranked. Rows before it are in, rows
+  after it are out -- exactly the rows of ``ORDER BY hash, key LIMIT n``.
 """
 
 from __future__ import annotations
@@ -20,7 +24,8 @@ from pyspark.sql import functions as F
 from ..functions import lexicons as L
 from ..functions.text import clean_text, null_as_nan, once, supported_language, truncate
 
-HASH_BUCKET_BITS = 10  # 1024 rank buckets per class
+HASH_BUCKET_BITS = 20  # about 1M hash buckets per class
+MAX_BROADCAST_CLASSES = 1_000_000  # cut table rows (one per class) allowed in a broadcast
 
 
 def seeded_hash(key, seed: int = L.SEED) -> Column:
@@ -71,43 +76,90 @@ def keep_first(df: DataFrame, subset: list[str], order_col: str) -> DataFrame:
     return agg.select(*subset, "_r.*").select(*df.columns)
 
 
-def seeded_sample(df: DataFrame, n: int, key: str, seed: int = L.SEED, spread_above: int = 10_000) -> DataFrame:
-    """Exactly ``min(n, count)`` rows chosen by seeded hash order (a top-n, not a full sort).
+def hash_bucket(h: Column, bits: int = HASH_BUCKET_BITS) -> Column:
+    """The top ``bits`` bits of a hex hash; bucket order agrees with the hash's order."""
+    digits = (bits + 3) // 4
+    return F.shiftright(F.conv(F.substring(h, 1, digits), 16, 10).cast("bigint"), 4 * digits - bits).cast("int")
 
-    As in the source system, a table at or below the cap is kept whole (one
-    count job decides). A top-n result lands in one partition; a large sample
-    is spread over the cores again before the work that follows it.
+
+def first_in_seeded_order(df: DataFrame, key: str, n: int | None = None, fraction: float | None = None,
+                          label: str | None = None, seed: int = L.SEED, flag: str | None = None,
+                          bits: int = HASH_BUCKET_BITS) -> DataFrame:
+    """The first ``n`` (or ``ceil(fraction * class size)``) rows of each class in seeded order.
+
+    Without ``flag`` the other rows are dropped; with it every row is kept and
+    ``flag`` tells whether it is among the first. Exact: the same rows as a
+    ``row_number()`` over ``(hash, key)`` per class, but no task ever sorts a
+    whole class or receives candidates from every map task. Three passes over
+    the input: bucket counts, then the rows decided by their bucket, then the
+    ranked rows of each class's cut bucket.
     """
-    if df.count() <= n:
-        return df
-    h = seeded_hash(key, seed)
-    out = df.orderBy(h, F.col(key)).limit(n)
-    if n > spread_above:
-        out = out.repartition(df.sparkSession.sparkContext.defaultParallelism)
-    return out
+    if (n is None) == (fraction is None):
+        raise ValueError("give exactly one of n and fraction")
+    grp = [label] if label else []
+    rows = df.withColumn("_h", seeded_hash(key, seed))
+    rows = rows.withColumn("_b", hash_bucket(F.col("_h"), bits))
+    counts = rows.groupBy(*grp, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    by_class = Window.partitionBy(*grp)  # at most 2**bits small count rows per class
+    counts = counts.select(
+        *grp, "_b", "_n",
+        F.coalesce(F.sum("_n").over(by_class.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)),
+                   F.lit(0)).alias("_before"),
+        F.sum("_n").over(by_class).alias("_total"))
+    limit = F.lit(n) if n is not None else F.ceil(F.lit(fraction) * F.col("_total"))
+    cut = (counts.where((F.col("_before") < limit) & (F.col("_before") + F.col("_n") >= limit))
+           .select(*grp, F.col("_b").alias("_cut"), (limit - F.col("_before")).alias("_need")))
+    if n is not None and n <= 0:  # nothing is among the first zero rows
+        cut = cut.where(F.lit(False))
+    # one row per class whose cut falls inside it; broadcast only under a checked row count
+    n_cut = cut.count()
+    if not grp:
+        rows, cut, grp_join = rows.withColumn("_k", F.lit(1)), cut.withColumn("_k", F.lit(1)), ["_k"]
+    else:
+        grp_join = grp
+    cut_side = F.broadcast(cut) if n_cut <= MAX_BROADCAST_CLASSES else cut
+    joined = rows.join(cut_side, grp_join, "left")
+    if n is not None and n <= 0:
+        before = F.lit(False)
+    else:  # no cut in a class: it is smaller than its limit, so all of it is in
+        before = F.col("_cut").isNull() | (F.col("_b") < F.col("_cut"))
+    drop = ["_h", "_b", "_cut", "_need"] + (["_k"] if "_k" in grp_join else [])
+    decided = joined.where(F.col("_cut").isNull() | (F.col("_b") != F.col("_cut")))
+    boundary = joined.where(F.col("_b") == F.col("_cut"))
+    w = Window.partitionBy(*grp_join, "_b").orderBy("_h", key)
+    ranked_in = F.row_number().over(w) <= F.col("_need")
+    if flag:
+        return (decided.withColumn(flag, before)
+                .unionByName(boundary.withColumn(flag, ranked_in))
+                .drop(*drop))
+    boundary = boundary.withColumn("_in", ranked_in).where(F.col("_in")).drop("_in")
+    return decided.where(before).unionByName(boundary).drop(*drop)
+
+
+def seeded_sample(df: DataFrame, n: int, key: str, seed: int = L.SEED) -> DataFrame:
+    """Exactly ``min(n, count)`` rows chosen by seeded hash order.
+
+    As in the source system, a table at or below the cap is kept whole. The
+    sample stays spread over the input's partitions (no top-n funnel into one
+    task), see ``first_in_seeded_order``.
+    """
+    return first_in_seeded_order(df, key, n=n, seed=seed)
 
 
 def per_class_sample(df: DataFrame, label: str, n_per_class: int, key: str, seed: int = L.SEED) -> DataFrame:
-    """Up to ``n_per_class`` rows of each class by seeded hash order.
-
-    ``row_number() <= n`` is planned as a partial group limit before the
-    shuffle, so each map task ships at most ``n`` rows per class.
-    """
-    w = Window.partitionBy(label).orderBy(seeded_hash(key, seed), F.col(key))
-    return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n_per_class).drop("_rn")
+    """Up to ``n_per_class`` rows of each class by seeded hash order (skew-safe, exact)."""
+    return first_in_seeded_order(df, key, n=n_per_class, label=label, seed=seed)
 
 
 def rank_in_class(df: DataFrame, label: str, key: str, seed: int = L.SEED, out: str = "rank") -> DataFrame:
     """Exact 1-based rank by seeded hash order inside each class, skew-safe.
 
-    Rows are ranked inside (class, top-10-bits-of-hash) buckets, and each
+    Rows are ranked inside (class, top-20-bits-of-hash) buckets, and each
     bucket's offset is the running count of the earlier buckets of the class.
-    The bucket-count table has at most 1024 rows per class.
+    The bucket-count table has at most 2**20 small rows per class.
     """
     h = seeded_hash(key, seed)
-    shift = 4 * 15 - HASH_BUCKET_BITS
-    with_h = df.withColumn("_h", h).withColumn(
-        "_b", F.shiftright(F.conv(F.substring("_h", 1, 15), 16, 10).cast("bigint"), shift).cast("int"))
+    with_h = df.withColumn("_h", h).withColumn("_b", hash_bucket(F.col("_h")))
     counts = with_h.groupBy(label, "_b").agg(F.count(F.lit(1)).alias("_n"))
     wc = Window.partitionBy(label).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(label, "_b", F.coalesce(F.sum("_n").over(wc), F.lit(0)).alias("_off"),
@@ -122,9 +174,7 @@ def rank_in_class(df: DataFrame, label: str, key: str, seed: int = L.SEED, out:
 def stratified_split(df: DataFrame, label: str, key: str, test_fraction: float = 0.2,
                      seed: int = L.SEED) -> DataFrame:
     """Add ``is_test``: the first ``ceil(test_fraction * n_class)`` rows of each class by seeded order."""
-    r = rank_in_class(df, label, key, seed, out="_rank")
-    return (r.withColumn("is_test", F.col("_rank") <= F.ceil(F.lit(test_fraction) * F.col("_class_n")))
-            .drop("_rank", "_class_n"))
+    return first_in_seeded_order(df, key, fraction=test_fraction, label=label, seed=seed, flag="is_test")
 
 
 def drop_null_rows(df: DataFrame, subset: list[str]) -> DataFrame:
@@ -147,7 +197,7 @@ def prepare(df: DataFrame, text_col: str = "text", label_col: str | None = None,
     default tags by script (see ``operators.language.script_language``).
     """
     from ..sources.csvfiles import rename_canonical
-    from .language import script_language
+    from .language import with_script_language
 
     if key not in df.columns:
         df = df.withColumn(key, F.monotonically_increasing_id())
@@ -159,9 +209,11 @@ def prepare(df: DataFrame, text_col: str = "text", label_col: str | None = None,
     if drop_duplicates:
         out = keep_first(out, ["clean_text"], key)
     if detect_lang:
-        fn = language_fn or script_language
-        out = out.withColumn("language", supported_language(fn(F.col("clean_text")), L.SUPPORTED_LANGUAGES)
-                             if language_fn else fn(F.col("clean_text")))
+        if language_fn:
+            out = out.withColumn("language", supported_language(language_fn(F.col("clean_text")),
+                                                                L.SUPPORTED_LANGUAGES))
+        else:
+            out = with_script_language(out, "clean_text", "language")
     if label_col and label_col in df.columns and label_col != text_col:
         if "label" in out.columns and label_col != "label":
             out = out.withColumnRenamed("label", "label_orig")

@@ -26,7 +26,7 @@ from ..operators import similarity as S
 from ..operators import topics as T
 from ..operators import urgency as U
 from ..operators import vectors as V
-from ..operators.language import script_language
+from ..operators.language import with_script_language
 from ..sources import csvfiles as C
 from ..sources.store import is_complete, materialize, write_table
 
@@ -36,7 +36,7 @@ def analyze(df: DataFrame, key: str, text_col: str = "text", index: DataFrame |
             top_k: int = L.MISINFO_TOP_K, threshold: float = L.MISINFO_THRESHOLD) -> DataFrame:
     """One output row per input row with nested ``topic``, ``urgency`` and ``similarity`` records."""
     base = P.with_clean_text(df.select(key, text_col), text_col)
-    base = lowered_text(base.withColumn("language", script_language(F.col("clean_text"))))
+    base = lowered_text(with_script_language(base, "clean_text", "language"))
     needs_vec = index is not None or topic_model is not None
     if needs_vec:  # embed once, reuse for topic and similarity
         base = base.withColumn("embedding", V.hashed_embedding(F.col("clean_text")))
@@ -48,7 +48,7 @@ def analyze(df: DataFrame, key: str, text_col: str = "text", index: DataFrame |
             F.array().cast("array<string>").alias("top_keywords"), F.lit("kmeans").alias("method"))
         ).drop("topic_id", "confidence")
     else:
-        r = topic_rule(F.col("_low"), lowered=True)
+        r = topic_rule("_low", lowered=True)
         out = base.withColumn("topic", F.struct(r["topic_id"].alias("topic_id"), r["topic_label"].alias("topic_label"),
                                                 r["confidence"].alias("confidence"),
                                                 r["top_keywords"].alias("top_keywords"),
@@ -59,7 +59,7 @@ def analyze(df: DataFrame, key: str, text_col: str = "text", index: DataFrame |
         out = out.join(pr.select(key, F.struct(F.col("predicted").alias("urgency"), "confidence", "probabilities",
                                                F.lit("logistic-regression").alias("method")).alias("urgency")), key)
     else:
-        u = api_urgency(F.col("_low"), lowered=True)
+        u = api_urgency("_low", lowered=True)
         out = out.withColumn("urgency", F.struct(u["urgency"].alias("urgency"), u["confidence"].alias("confidence"),
                                                  probability_map(u).alias("probabilities"),
                                                  F.lit("rule-based").alias("method")))
@@ -136,9 +136,8 @@ def train_all(spark: SparkSession, complaints: DataFrame, news: DataFrame | None
         raw = P.seeded_sample(raw, complaint_cap, "row_id")
         t = raw.select("row_id", F.col("Category").alias("category"), P.composite_complaint_text().alias("text"))
         c = P.with_clean_text(t, "text", min_length=20)
-        return c.select("row_id", "category", "text", "clean_text",
-                        script_language(F.col("clean_text")).alias("language"),
-                        urgency_label("clean_text").alias("urgency"))
+        return with_script_language(c, "clean_text", "language").select(
+            "row_id", "category", "text", "clean_text", "language", urgency_label("clean_text").alias("urgency"))
 
     prepared = stage("complaints", lambda: materialize(spark, "complaints", complaints_stage,
                                                        os.path.join(out_dir, "complaints")), optional=False)

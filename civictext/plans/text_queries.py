@@ -247,9 +247,9 @@ def complaints_prepare(spark, sf_dir):
     raw = P.drop_null_rows(raw, ["Category", "Request Details"])
     raw = P.seeded_sample(raw, COMPLAINT_CAP, "doc_id")
     t = raw.select("doc_id", F.col("Category").alias("category"), P.composite_complaint_text().alias("text"))
-    from ..operators.language import script_language
-    c = lowered_text(P.with_clean_text(t, "text", min_length=20))
-    return c.select("doc_id", "category", "clean_text", script_language(F.col("clean_text")).alias("language"),
+    from ..operators.language import with_script_language
+    c = lowered_text(with_script_language(P.with_clean_text(t, "text", min_length=20), "clean_text", "language"))
+    return c.select("doc_id", "category", "clean_text", "language",
                     urgency_label("_low", lowered=True).alias("urgency"))
 
 

@@ -45,7 +45,7 @@ def file_stream(spark: SparkSession, folder: str, file_glob: str, max_files_per_
 
 def rule_analysis(stream: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
     c = clean_text(F.coalesce(F.col(text_col), F.lit("nan")))
-    t = topic_rule(F.col("_low"), lowered=True)
+    t = topic_rule("_low", lowered=True)
     return (stream.select(*keep, c.alias("clean_text"))
             .withColumn("_low", F.lower("clean_text"))
             .select(*keep, "clean_text", script_language(F.col("clean_text")).alias("language"),

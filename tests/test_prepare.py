@@ -1,5 +1,7 @@
 """Sampling, splitting, weights, dedup and accounting on hand-made tables."""
 
+import math
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -70,3 +72,22 @@ def test_prepare_label_rename_clash(spark):
                                "row_id long, Descriptor string, text string, Category string")
     out = P.prepare(df, "Descriptor", "Category", key="row_id")
     assert {"text", "text_orig", "label"} <= set(out.columns)
+
+
+def test_first_in_seeded_order_equals_window_rank_with_coarse_buckets(spark):
+    # 2-bit buckets put hundreds of rows in each cut bucket, so the boundary ranking is exercised
+    df = labels4(spark)
+    rank = F.row_number().over(Window.partitionBy("urgency").orderBy(P.seeded_hash("row_id"), "row_id"))
+    size = F.count(F.lit(1)).over(Window.partitionBy("urgency"))
+    ref = df.select("row_id", "urgency", rank.alias("rk"), size.alias("n_class"))
+    for n in (1, 7, 15, 40):
+        got = {r.row_id for r in P.first_in_seeded_order(df, "row_id", n=n, label="urgency", bits=2).collect()}
+        assert got == {r.row_id for r in ref.where(F.col("rk") <= n).collect()}
+    flagged = P.first_in_seeded_order(df, "row_id", fraction=0.2, label="urgency", bits=2, flag="t")
+    got = {r.row_id: r.t for r in flagged.collect()}
+    want = {r.row_id: r.rk <= math.ceil(0.2 * r.n_class) for r in ref.collect()}
+    assert got == want
+    whole = spark.range(500).withColumnRenamed("id", "k")
+    top = {r.k for r in whole.orderBy(P.seeded_hash("k"), "k").limit(123).collect()}
+    assert {r.k for r in P.first_in_seeded_order(whole, "k", n=123, bits=3).collect()} == top
+    assert P.first_in_seeded_order(whole, "k", n=0, bits=3).count() == 0
