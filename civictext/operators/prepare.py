@@ -117,8 +117,10 @@ def first_in_seeded_order(df: DataFrame, key: str, n: int | None = None, fractio
         rows, cut, grp_join = rows.withColumn("_k", F.lit(1)), cut.withColumn("_k", F.lit(1)), ["_k"]
     else:
         grp_join = grp
+    # a NULL class is a class of its own (as in a window's PARTITION BY): null-safe key
+    cut = cut.withColumnRenamed(grp_join[0], "_cls")
     cut_side = F.broadcast(cut) if n_cut <= MAX_BROADCAST_CLASSES else cut
-    joined = rows.join(cut_side, grp_join, "left")
+    joined = rows.join(cut_side, rows[grp_join[0]].eqNullSafe(cut_side["_cls"]), "left").drop("_cls")
     if n is not None and n <= 0:
         before = F.lit(False)
     else:  # no cut in a class: it is smaller than its limit, so all of it is in

@@ -91,3 +91,11 @@ def test_first_in_seeded_order_equals_window_rank_with_coarse_buckets(spark):
     top = {r.k for r in whole.orderBy(P.seeded_hash("k"), "k").limit(123).collect()}
     assert {r.k for r in P.first_in_seeded_order(whole, "k", n=123, bits=3).collect()} == top
     assert P.first_in_seeded_order(whole, "k", n=0, bits=3).count() == 0
+
+
+def test_first_in_seeded_order_null_class_is_a_class(spark):
+    rows = [(i, None if i % 3 == 0 else "a") for i in range(90)]
+    df = spark.createDataFrame(rows, "row_id long, c string")
+    got = P.first_in_seeded_order(df, "row_id", n=5, label="c", bits=1)
+    counts = {r.c: r.n for r in got.groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert counts == {None: 5, "a": 5}
