@@ -92,7 +92,8 @@ def first_in_seeded_order(df: DataFrame, key: str, n: int | None = None, fractio
     ``row_number()`` over ``(hash, key)`` per class, but no task ever sorts a
     whole class or receives candidates from every map task. Three passes over
     the input: bucket counts, then the rows decided by their bucket, then the
-    ranked rows of each class's cut bucket.
+    ranked rows of each class's cut bucket -- so an input with a costly
+    lineage should be materialised first (``sources.store.checkpoint_table``).
     """
     if (n is None) == (fraction is None):
         raise ValueError("give exactly one of n and fraction")
@@ -111,7 +112,11 @@ def first_in_seeded_order(df: DataFrame, key: str, n: int | None = None, fractio
            .select(*grp, F.col("_b").alias("_cut"), (limit - F.col("_before")).alias("_need")))
     if n is not None and n <= 0:  # nothing is among the first zero rows
         cut = cut.where(F.lit(False))
-    # one row per class whose cut falls inside it; broadcast only under a checked row count
+    # one row per class whose cut falls inside it: written once to the shared checkpoint
+    # folder (so the size check and the join read it instead of recounting the input),
+    # and broadcast only under a checked row count
+    from ..sources.store import checkpoint_table
+    cut = checkpoint_table(df.sparkSession, cut, "seeded-cut")
     n_cut = cut.count()
     if not grp:
         rows, cut, grp_join = rows.withColumn("_k", F.lit(1)), cut.withColumn("_k", F.lit(1)), ["_k"]

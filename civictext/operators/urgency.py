@@ -67,8 +67,9 @@ def train(df: DataFrame, text_col: str = "clean_text", label_col: str = "urgency
     from .prepare import stratified_split
 
     spark = df.sparkSession
-    split = checkpoint_table(spark, stratified_split(df.select(key, text_col, label_col), label_col, key, 0.2, seed),
-                             "urgency-split")
+    # the split reads its input three times: materialise the (usually prepared) input once
+    rows = checkpoint_table(spark, df.select(key, text_col, label_col), "urgency-input")
+    split = checkpoint_table(spark, stratified_split(rows, label_col, key, 0.2, seed), "urgency-split")
     tr = with_class_weights(split.where(~F.col("is_test")), label_col)
     te = split.where(F.col("is_test"))
     pipe = build_pipeline(text_col, label_col, max_iter=max_iter)

@@ -160,6 +160,8 @@ det AS (SELECT te.doc_id, te.lang, best.raw_language FROM te JOIN best ON te.doc
 def _language_split(spark, sf_dir):
     from ..sources.store import checkpoint_table
     prep = prepared_documents(spark, sf_dir, detect_lang=False).select("doc_id", "lang", "clean_text")
+    # the split reads its input three times: clean the text once, into the shared folder
+    prep = checkpoint_table(spark, prep, "language-prep")
     # written once: the profile (train side) and the detection (test side) both read it
     split = checkpoint_table(spark, P.stratified_split(prep, "lang", "doc_id"), "language-split")
     return split.where(~F.col("is_test")), split.where(F.col("is_test"))
