@@ -41,10 +41,12 @@ def class_term_weights(df: DataFrame, class_col: str, text_col: str, top_n: int
     tf = toks.groupBy("_class", "word").agg(F.count(F.lit(1)).alias("tf"))
     per_class = tf.groupBy("_class").agg(F.sum("tf").alias("class_total"))
     freq = tf.groupBy("word").agg(F.sum("tf").alias("f"))
-    mean_total = per_class.agg(F.floor(F.avg("class_total")).alias("A"))
-    # one row per class and one scalar: broadcast; the term table joins on word
-    stats = per_class.withColumn("_k", F.lit(1)).join(F.broadcast(mean_total.withColumn("_k", F.lit(1))), "_k")
-    w = (tf.join(F.broadcast(stats.drop("_k")), "_class")
+    # A over the per-class totals (one row per class) by a whole-table window: every
+    # branch then reads the one term-count shuffle (a separate scalar aggregate joined
+    # in a nested broadcast re-ran the tokenising)
+    stats = per_class.withColumn("A", F.floor(F.avg("class_total").over(Window.partitionBy())))
+    # one row per class: broadcast; the term table joins on word
+    w = (tf.join(F.broadcast(stats), "_class")
          .join(freq, "word")
          .select("_class", "word",
                  ((F.col("tf") / F.col("class_total")) * F.log(1 + F.col("A") / F.col("f"))).alias("weight")))
