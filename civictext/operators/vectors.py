@@ -3,8 +3,11 @@
 The default encoder is a hashed bag of words: tokens are lower-cased word
 runs, each token goes to bucket ``md5(token)[:8] mod dim``, and the bucket
 counts are L2-normalised, so the dot product of two rows is their cosine.
-Tokenising and hashing run JVM-side; only the small integer bucket arrays
-cross to Python, where one Arrow batch at a time becomes a dense matrix.
+Tokenising runs JVM-side; each Arrow batch of token arrays is factorised in
+the pandas UDF, so md5 runs once per distinct token of the batch (not once
+per token through an interpreted higher-order function), and the batch
+becomes a dense matrix with one ``bincount``. ``token_buckets`` states the
+same bucket as a JVM column expression.
 
 A different encoder (e.g. a sentence model) can be plugged in through
 ``encode_with`` which runs a user function over Arrow batches.
@@ -49,9 +52,34 @@ def _dense_from_buckets(dim: int):
     return dense
 
 
+def _dense_from_tokens(dim: int):
+    import hashlib
+
+    @F.pandas_udf(ArrayType(DoubleType()))
+    def dense(toks: pd.Series) -> pd.Series:
+        n = len(toks)
+        if n == 0:
+            return pd.Series([], dtype=object)
+        lengths = toks.map(len).to_numpy()
+        rows = np.repeat(np.arange(n), lengths)
+        if lengths.sum():
+            codes, uniq = pd.factorize(np.concatenate([np.asarray(t, dtype=object) for t in toks]))
+            ub = np.fromiter((int(hashlib.md5(w.encode("utf-8")).hexdigest()[:8], 16) % dim for w in uniq),
+                             dtype=np.int64, count=len(uniq))
+            flat = ub[codes]
+        else:
+            flat = np.zeros(0, dtype=np.int64)
+        m = np.bincount(rows * dim + flat, minlength=n * dim).reshape(n, dim).astype(np.float64)
+        norms = np.sqrt((m * m).sum(axis=1, keepdims=True))
+        m = np.divide(m, norms, out=np.zeros_like(m), where=norms > 0)
+        return pd.Series(list(m))
+
+    return dense
+
+
 def hashed_embedding(c, dim: int = L.EMBEDDING_DIM) -> Column:
     """Unit-length hashed bag-of-words vector ``ARRAY<DOUBLE>`` of width ``dim``."""
-    return _dense_from_buckets(dim)(token_buckets(c, dim))
+    return _dense_from_tokens(dim)(tokens(blank_as_empty_word(c)))
 
 
 def l2_normalize(c) -> Column:
