@@ -97,6 +97,8 @@ def first_in_seeded_order(df: DataFrame, key: str, n: int | None = None, fractio
     """
     if (n is None) == (fraction is None):
         raise ValueError("give exactly one of n and fraction")
+    if (n if n is not None else fraction) <= 0:  # nothing is among the first zero rows
+        return df.withColumn(flag, F.lit(False)) if flag else df.where(F.lit(False))
     grp = [label] if label else []
     rows = df.withColumn("_h", seeded_hash(key, seed))
     rows = rows.withColumn("_b", hash_bucket(F.col("_h"), bits))
@@ -110,14 +112,14 @@ def first_in_seeded_order(df: DataFrame, key: str, n: int | None = None, fractio
     limit = F.lit(n) if n is not None else F.ceil(F.lit(fraction) * F.col("_total"))
     cut = (counts.where((F.col("_before") < limit) & (F.col("_before") + F.col("_n") >= limit))
            .select(*grp, F.col("_b").alias("_cut"), (limit - F.col("_before")).alias("_need")))
-    if n is not None and n <= 0:  # nothing is among the first zero rows
-        cut = cut.where(F.lit(False))
     # one row per class whose cut falls inside it: written once to the shared checkpoint
     # folder (so the size check and the join read it instead of recounting the input),
     # and broadcast only under a checked row count
     from ..sources.store import checkpoint_table
     cut = checkpoint_table(df.sparkSession, cut, "seeded-cut")
     n_cut = cut.count()
+    if n_cut == 0:  # every class is within its limit: all rows are among the first
+        return df.withColumn(flag, F.lit(True)) if flag else df
     if not grp:
         rows, cut, grp_join = rows.withColumn("_k", F.lit(1)), cut.withColumn("_k", F.lit(1)), ["_k"]
     else:
@@ -126,10 +128,8 @@ def first_in_seeded_order(df: DataFrame, key: str, n: int | None = None, fractio
     cut = cut.withColumnRenamed(grp_join[0], "_cls")
     cut_side = F.broadcast(cut) if n_cut <= MAX_BROADCAST_CLASSES else cut
     joined = rows.join(cut_side, rows[grp_join[0]].eqNullSafe(cut_side["_cls"]), "left").drop("_cls")
-    if n is not None and n <= 0:
-        before = F.lit(False)
-    else:  # no cut in a class: it is smaller than its limit, so all of it is in
-        before = F.col("_cut").isNull() | (F.col("_b") < F.col("_cut"))
+    # no cut in a class: it is smaller than its limit, so all of it is in
+    before = F.col("_cut").isNull() | (F.col("_b") < F.col("_cut"))
     drop = ["_h", "_b", "_cut", "_need"] + (["_k"] if "_k" in grp_join else [])
     decided = joined.where(F.col("_cut").isNull() | (F.col("_b") != F.col("_cut")))
     boundary = joined.where(F.col("_b") == F.col("_cut"))

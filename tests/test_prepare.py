@@ -99,3 +99,11 @@ def test_first_in_seeded_order_null_class_is_a_class(spark):
     got = P.first_in_seeded_order(df, "row_id", n=5, label="c", bits=1)
     counts = {r.c: r.n for r in got.groupBy("c").agg(F.count(F.lit(1)).alias("n")).collect()}
     assert counts == {None: 5, "a": 5}
+
+
+def test_first_in_seeded_order_limits_at_the_edges(spark):
+    df = labels4(spark)
+    assert P.first_in_seeded_order(df, "row_id", fraction=0.0, label="urgency", flag="t").where("t").count() == 0
+    assert P.first_in_seeded_order(df, "row_id", n=1000, label="urgency").count() == 100  # all classes under n
+    assert P.first_in_seeded_order(df, "row_id", n=1000, label="urgency", flag="t").where("t").count() == 100
+    assert P.first_in_seeded_order(df, "row_id", fraction=1.0, label="urgency", flag="t", bits=2).where("t").count() == 100
