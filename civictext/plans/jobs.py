@@ -40,6 +40,10 @@ def analyze(df: DataFrame, key: str, text_col: str = "text", index: DataFrame |
     needs_vec = index is not None or topic_model is not None
     if needs_vec:  # embed once, reuse for topic and similarity
         base = base.withColumn("embedding", V.hashed_embedding(F.col("clean_text")))
+        # the cleaned, tagged and embedded rows feed the output, the model, the search's size
+        # check and the verdicts: write them once instead of re-running the chain per use
+        from ..sources.store import checkpoint_table
+        base = checkpoint_table(df.sparkSession, base, "analysis-base")
 
     if topic_model is not None:
         tp = T.predict_topics(topic_model, base, [key])
