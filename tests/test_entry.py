@@ -36,3 +36,24 @@ def test_oracle_sql_matches_on_small_tables(spark):
                     assert abs(float(va) - float(vb)) < 1e-9, (name, ka, va, vb)
                 else:
                     assert va == vb, (name, ka, va, vb)
+
+
+def test_python_kernels_run_when_started_from_another_folder(tmp_path):
+    # executors must not need the package on their path: the pandas UDF behind the hashed
+    # embedding runs in a session started from an unrelated folder
+    import os
+    import subprocess
+    import sys
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    script = f"""
+import importlib.util
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+spec = importlib.util.spec_from_file_location("entry_mod", {os.path.join(repo, "__spark_entry__.py")!r})
+m = importlib.util.module_from_spec(spec); spec.loader.exec_module(m)
+print("ROWS", m.queries()["hashed_embedding_weights"](spark, "/root/testdata/sf0.001").count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, env=env, capture_output=True, text=True,
+                         timeout=600)
+    assert "ROWS" in out.stdout and int(out.stdout.split("ROWS")[1].split()[0]) > 0, out.stderr[-2000:]
