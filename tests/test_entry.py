@@ -40,7 +40,8 @@ def test_oracle_sql_matches_on_small_tables(spark):
 
 def test_python_kernels_run_when_started_from_another_folder(tmp_path):
     # executors must not need the package on their path: the pandas UDF behind the hashed
-    # embedding runs in a session started from an unrelated folder
+    # embedding and the search block kernel (which calls module-level helpers) run in a
+    # session started from an unrelated folder
     import os
     import subprocess
     import sys
@@ -51,7 +52,7 @@ from pyspark.sql import SparkSession
 spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
 spec = importlib.util.spec_from_file_location("entry_mod", {os.path.join(repo, "__spark_entry__.py")!r})
 m = importlib.util.module_from_spec(spec); spec.loader.exec_module(m)
-print("ROWS", m.queries()["hashed_embedding_weights"](spark, "/root/testdata/sf0.001").count())
+print("ROWS", m.queries()["hashed_embedding_weights"](spark, "/root/testdata/sf0.001").count() + m.queries()["embedding_search"](spark, "/root/testdata/sf0.001").count())
 """
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     out = subprocess.run([sys.executable, "-c", script], cwd=tmp_path, env=env, capture_output=True, text=True,
