@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rules import topic_rule, urgency_label
 from ..functions.text import clean_text
-from ..operators.language import script_language
+from ..operators.language import with_script_language
 from ..session import scratch_path
 
 
@@ -46,9 +46,9 @@ def file_stream(spark: SparkSession, folder: str, file_glob: str, max_files_per_
 def rule_analysis(stream: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
     c = clean_text(F.coalesce(F.col(text_col), F.lit("nan")))
     t = topic_rule("_low", lowered=True)
-    return (stream.select(*keep, c.alias("clean_text"))
-            .withColumn("_low", F.lower("clean_text"))
-            .select(*keep, "clean_text", script_language(F.col("clean_text")).alias("language"),
+    tagged = with_script_language(stream.select(*keep, c.alias("clean_text")), "clean_text", "language")
+    return (tagged.withColumn("_low", F.lower("clean_text"))
+            .select(*keep, "clean_text", "language",
                     t["topic_id"].alias("topic_id"), t["topic_label"].alias("topic_label"),
                     urgency_label("_low", lowered=True).alias("urgency")))
 
