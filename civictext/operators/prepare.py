@@ -233,9 +233,13 @@ def dense_row_ids(df: DataFrame, key: str, out: str = "row_num", partitions: int
 
     Rows are range-partitioned on ``key``; each partition numbers its own rows
     and adds the count of all earlier partitions. Only the per-partition counts
-    (one number per partition) go through the driver.
+    (one number per partition) go through the driver. By default there are as
+    many ranges as the session's shuffle partitions (sized for the data on a
+    cluster), and at least one per core.
     """
-    n = partitions or df.sparkSession.sparkContext.defaultParallelism
+    spark = df.sparkSession
+    n = partitions or max(spark.sparkContext.defaultParallelism,
+                          int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
     ranged = df.repartitionByRange(n, F.col(key)).withColumn("_pid", F.spark_partition_id())
     counts = sorted((r["_pid"], r["c"]) for r in ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("c")).collect())
     offsets, run = {}, 0
