@@ -49,7 +49,12 @@ def _sql_case(branches, default: str) -> Column:
 
 def lowered_text(df, src: str = "clean_text", out: str = "_low"):
     """Add the lower-cased text once, so several rules share it instead of each
-    lower-casing the text again inside every keyword test."""
+    lower-casing the text again inside every keyword test.
+
+    Use it before any rule: Spark does not share a ``lower()`` that sits in the
+    later branches of a CASE, so a rule over raw text lower-cases it once per
+    keyword tested (measured: 19 s of task time against 4 s on the prepared
+    sf0.1 documents)."""
     return df.withColumn(out, F.lower(F.col(src)))
 
 

@@ -140,8 +140,9 @@ def train_all(spark: SparkSession, complaints: DataFrame, news: DataFrame | None
         raw = P.seeded_sample(raw, complaint_cap, "row_id")
         t = raw.select("row_id", F.col("Category").alias("category"), P.composite_complaint_text().alias("text"))
         c = P.with_clean_text(t, "text", min_length=20)
-        return with_script_language(c, "clean_text", "language").select(
-            "row_id", "category", "text", "clean_text", "language", urgency_label("clean_text").alias("urgency"))
+        return lowered_text(with_script_language(c, "clean_text", "language")).select(
+            "row_id", "category", "text", "clean_text", "language",
+            urgency_label("_low", lowered=True).alias("urgency"))
 
     prepared = stage("complaints", lambda: materialize(spark, "complaints", complaints_stage,
                                                        os.path.join(out_dir, "complaints")), optional=False)

@@ -61,8 +61,8 @@ ct AS (SELECT topic_id, count(*) AS count FROM rt GROUP BY topic_id)
 SELECT ct.topic_id, ct.count, coalesce(nm.name, CAST(ct.topic_id AS VARCHAR) || '_') AS name
 FROM ct LEFT JOIN nm ON ct.topic_id = nm.topic_id ORDER BY ct.count DESC, ct.topic_id LIMIT 20""")
 def rule_topic_info(spark, sf_dir):
-    prep = prepared_documents(spark, sf_dir, detect_lang=False)
-    rt = prep.select(topic_rule("clean_text")["topic_id"].alias("topic_id"), "clean_text")
+    prep = lowered_text(prepared_documents(spark, sf_dir, detect_lang=False))
+    rt = prep.select(topic_rule("_low", lowered=True)["topic_id"].alias("topic_id"), "clean_text")
     words = T.class_term_weights(rt, "topic_id", "clean_text")
     return T.top_topics(T.topic_info(rt, words), 20)
 
@@ -83,8 +83,8 @@ def cluster_topics(spark, sf_dir):
 @query("urgency_class_distribution", f"""WITH {PREP_SQL}
 SELECT {sql_urgency('clean_text', FREQUENT_LEXICON)} AS urgency, count(*) AS n FROM d GROUP BY 1""")
 def urgency_class_distribution(spark, sf_dir):
-    prep = prepared_documents(spark, sf_dir, detect_lang=False)
-    return prep.groupBy(urgency_label("clean_text", FREQUENT_LEXICON).alias("urgency")).agg(
+    prep = lowered_text(prepared_documents(spark, sf_dir, detect_lang=False))
+    return prep.groupBy(urgency_label("_low", FREQUENT_LEXICON, lowered=True).alias("urgency")).agg(
         F.count(F.lit(1)).alias("n"))
 
 
@@ -110,9 +110,9 @@ def rule_agreement_metrics(spark, sf_dir):
 # --- U1-U7: weighted multinomial classifier, held-out evaluation (rows-only) --------------------
 @query("urgency_classifier_eval")
 def urgency_classifier_eval(spark, sf_dir):
-    prep = prepared_documents(spark, sf_dir, detect_lang=False)
+    prep = lowered_text(prepared_documents(spark, sf_dir, detect_lang=False))
     lab = prep.select(F.col("doc_id").alias("row_id"), "clean_text",
-                      urgency_label("clean_text", FREQUENT_LEXICON).alias("urgency"))
+                      urgency_label("_low", FREQUENT_LEXICON, lowered=True).alias("urgency"))
     model, test = U.train(lab, "clean_text", "urgency", key="row_id")
     pred = U.predict(model, test)
     return U.evaluate(pred, "urgency", "predicted")
@@ -197,7 +197,7 @@ ct AS (SELECT topic_id, count(*) AS count FROM rt WHERE topic_id <> -1 GROUP BY
 SELECT r.cls AS topic_id, r.word, round(r.weight, 4) AS weight, CAST(r.rank AS INTEGER) AS rank
 FROM r JOIN ct ON r.cls = ct.topic_id""")
 def rule_topic_word_chart(spark, sf_dir):
-    prep = prepared_documents(spark, sf_dir, detect_lang=False)
-    rt = prep.select(topic_rule("clean_text")["topic_id"].alias("topic_id"), "clean_text")
+    prep = lowered_text(prepared_documents(spark, sf_dir, detect_lang=False))
+    rt = prep.select(topic_rule("_low", lowered=True)["topic_id"].alias("topic_id"), "clean_text")
     words = T.class_term_weights(rt, "topic_id", "clean_text")
     return T.topic_word_chart(T.topic_info(rt, words), words, 8)

@@ -113,8 +113,8 @@ FREQUENT_LEXICON = [("CRITICAL", ["sich"]), ("HIGH", ["pour"]), ("MEDIUM", ["tio
 WITH {PREP_SQL}
 SELECT doc_id, {sql_urgency('clean_text', FREQUENT_LEXICON)} AS urgency FROM p""")
 def urgency_custom_lexicon(spark, sf_dir):
-    prep = prepared_documents(spark, sf_dir, detect_lang=False)
-    return prep.select("doc_id", urgency_label("clean_text", FREQUENT_LEXICON).alias("urgency"))
+    prep = lowered_text(prepared_documents(spark, sf_dir, detect_lang=False))
+    return prep.select("doc_id", urgency_label("_low", FREQUENT_LEXICON, lowered=True).alias("urgency"))
 
 
 # --- E1, W7: keep-first dedup after truncation ---------------------------------
