@@ -79,8 +79,13 @@ def train_language_profile(df: DataFrame, text_col: str, label_col: str, top_n:
     probability of an unseen token, ``prior`` the log share of documents. The
     table has at most ``top_n`` rows per language, so it is safe to broadcast.
     """
+    from ..sources.store import checkpoint_table
+
     toks = df.select(F.col(label_col).alias("lang"), F.explode(tokens(F.col(text_col))).alias("token"))
-    counts = toks.groupBy("lang", "token").agg(F.count(F.lit(1)).alias("n"))
+    # (language, token) counts feed the vocabulary size, the totals and the top words:
+    # written once (vocabulary x languages rows) so the texts are tokenised once
+    counts = checkpoint_table(df.sparkSession, toks.groupBy("lang", "token").agg(F.count(F.lit(1)).alias("n")),
+                              "language-token-counts")
     vocab = counts.select("token").distinct().agg(F.count(F.lit(1)).alias("v"))
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     docs = df.groupBy(F.col(label_col).alias("lang")).agg(F.count(F.lit(1)).alias("docs"))
