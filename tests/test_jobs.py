@@ -6,6 +6,7 @@ import tempfile
 import numpy as np
 from pyspark.sql import functions as F
 
+from civictext.functions import lexicons as L
 from civictext.operators import vectors as V
 from civictext.plans import jobs as J
 from civictext.sources.store import materialize
@@ -47,3 +48,15 @@ def test_analyze_rules_without_index(spark):
     r = J.analyze(df, "id").first()
     assert r.topic.topic_id == 6 and r.urgency.urgency == "CRITICAL"
     assert r.urgency.probabilities["CRITICAL"] == 0.8 and r.similarity.reason == "unavailable"
+
+
+def test_hashed_embedding_equals_the_jvm_bucket_expression(spark):
+    # the per-batch md5 in the pandas UDF must give the buckets of the JVM expression exactly
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    extra = spark.createDataFrame([(-1, ""), (-2, "   "), (-3, None), (-4, "Ünïcode ÉÈ straße ß 水 x_1")],
+                                  "doc_id long, text string")
+    d = docs.unionByName(extra)
+    jvm = V._dense_from_buckets(L.EMBEDDING_DIM)(V.token_buckets(F.col("text")))
+    got = d.select("doc_id", V.hashed_embedding(F.col("text")).alias("a"), jvm.alias("b"))
+    assert got.where(F.col("a") != F.col("b")).count() == 0
+    assert got.count() == docs.count() + 4
