@@ -51,9 +51,17 @@ def _fits_broadcast(queries: DataFrame, qvec: str, max_bytes: int) -> tuple[int,
 
 
 def _collect_queries(queries: DataFrame, qkey: str, qvec: str, d: int):
-    rows = queries.select(qkey, qvec).collect()  # size checked by _fits_broadcast
-    keys = np.array([r[0] for r in rows])
-    mat = np.array([np.asarray(r[1], dtype=np.float64) for r in rows], dtype=np.float64).reshape(len(rows), d)
+    """Keys and the (n, d) matrix of a query side whose size ``_fits_broadcast`` checked.
+
+    Collected as one Arrow table (flat value buffers), not as Python rows.
+    """
+    t = queries.select(qkey, F.col(qvec).cast("array<double>").alias(qvec)).toArrow()
+    keys = t.column(0).to_numpy(zero_copy_only=False)
+    vecs = t.column(1).combine_chunks()
+    sizes = vecs.value_lengths().to_numpy(zero_copy_only=False) if len(vecs) else np.zeros(0, dtype=np.int64)
+    if len(sizes) and (sizes != d).any():
+        raise ValueError(f"query vectors must all have {d} values")
+    mat = vecs.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(keys), d)
     return keys, mat
 
 
