@@ -67,3 +67,17 @@ def test_short_request_rejected(spark):
     out = QUERIES["request_validation"](spark, "/root/testdata/sf0.001")
     bad = out.where(~F.col("valid"))
     assert bad.where(F.col("reason").isNull()).count() == 0
+
+
+def test_staged_script_language_equals_the_column_rule(spark):
+    from civictext.operators.language import script_language, with_script_language
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", F.col("text").alias("t"))
+    extra = spark.createDataFrame(
+        [(-1, "पानी की समस्या है"), (-2, "రోడ్డు పాడైంది road"), (-3, "water पानी leak leak leak"), (-4, ""),
+         (-5, None), (-6, "தமிழ் text বাংলা")], "doc_id long, t string")
+    d = docs.unionByName(extra)
+    got = with_script_language(d, "t", "a").withColumn("b", script_language(F.col("t")))
+    bad = got.where(~F.col("a").eqNullSafe(F.col("b"))).count()
+    assert bad == 0
+    langs = {r.doc_id: r.a for r in got.where(F.col("doc_id") < 0).collect()}
+    assert langs[-1] == "hi" and langs[-2] == "te" and langs[-4] == "unknown"
