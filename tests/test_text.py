@@ -81,3 +81,16 @@ def test_staged_script_language_equals_the_column_rule(spark):
     assert bad == 0
     langs = {r.doc_id: r.a for r in got.where(F.col("doc_id") < 0).collect()}
     assert langs[-1] == "hi" and langs[-2] == "te" and langs[-4] == "unknown"
+
+
+def test_rules_parsed_once_equal_the_column_built_rules(spark):
+    from civictext.functions.rules import lowered_text
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select(F.col("text").alias("clean_text"))
+    extra = spark.createDataFrame([("Water LEAK near the bus stop",), ("आपातकालीन",), ("",), (None,)], "clean_text string")
+    d = lowered_text(docs.unionByName(extra))
+    col = F.col("_low")
+    got = d.select(topic_rule("_low", lowered=True).alias("t1"), topic_rule(col, lowered=True).alias("t2"),
+                   api_urgency("_low", lowered=True).alias("a1"), api_urgency(col, lowered=True).alias("a2"),
+                   urgency_label("_low", lowered=True).alias("u1"), urgency_label(col, lowered=True).alias("u2"))
+    for a, b in (("t1", "t2"), ("a1", "a2"), ("u1", "u2")):
+        assert got.where(~F.col(a).eqNullSafe(F.col(b))).count() == 0, a
