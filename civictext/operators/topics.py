@@ -41,9 +41,9 @@ def class_term_weights(df: DataFrame, class_col: str, text_col: str, top_n: int
     tf = toks.groupBy("_class", "word").agg(F.count(F.lit(1)).alias("tf"))
     per_class = tf.groupBy("_class").agg(F.sum("tf").alias("class_total"))
     freq = tf.groupBy("word").agg(F.sum("tf").alias("f"))
-    # A over the per-class totals (one row per class) by a whole-table window: every
-    # branch then reads the one term-count shuffle (a separate scalar aggregate joined
-    # in a nested broadcast re-ran the tokenising)
+    # A over the per-class totals (one row per class) by a whole-table window instead of
+    # a scalar aggregate joined in a nested broadcast, which re-ran the tokenising once
+    # more (the per-class totals inside the broadcast below still do so once)
     stats = per_class.withColumn("A", F.floor(F.avg("class_total").over(Window.partitionBy())))
     # one row per class: broadcast; the term table joins on word
     w = (tf.join(F.broadcast(stats), "_class")
