@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, ngram_join
+from . import context_tree, decontaminate, language_profiles, ngram_join, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -32,8 +32,8 @@ WITH RECURSIVE dw AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text,
 sh AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + least(3, len(w)) - 1], ' ') AS s
        FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM dw WHERE len(w) > 0)),
 n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
-link AS (SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS both FROM sh x JOIN sh y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY 1, 2)
-         JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * both >= 90 * (p.n + q.n - both)),
+link AS (SELECT a, b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM sh x JOIN sh y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY 1, 2)
+         JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * common >= 90 * (p.n + q.n - common)),
 reach AS (SELECT doc_id AS a, doc_id AS b FROM dw UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a)
 SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, CAST(c.component_id AS BIGINT) AS component_id, CAST(coalesce(k.n_links, 0) AS BIGINT) AS n_links
 FROM dw d LEFT JOIN n USING (doc_id) JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY 1) c USING (doc_id)
@@ -71,3 +71,20 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
                         F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+@query("op3_token_counts")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = token_counts.count_tokens(table(spark, sf_dir, "documents"))
+    return found.withColumn("over_limit", F.col("n_tokens") > 512)
+
+
+@query("op7_context_tree")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = context_tree.score_texts(table(spark, sf_dir, "documents"))
+    return found.withColumn("bits_per_byte", -F.col("score") * 3.321928094887362 / F.greatest("n_bytes", F.lit(1)))
+
+
+@query("op9_language")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_profiles.identify(table(spark, sf_dir, "documents"))

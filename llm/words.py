@@ -132,3 +132,31 @@ def grams_at(words: np.ndarray, at: np.ndarray, k: int, salt: int = 0) -> np.nda
     for i in range(k):
         out = out * U(0x9FB21C651E98DF25) + words[at + i]
     return mix(out, salt)
+
+
+class Tally:
+    """Counts of 64-bit keys; repeated keys are merged as soon as they pile up."""
+
+    def __init__(self, pile: int = 2_000_000):
+        self.pile, self.keys, self.counts, self.waiting = pile, [], [], 0
+
+    def add(self, keys: np.ndarray, counts: np.ndarray | None = None) -> None:
+        if counts is None:
+            keys, counts = np.unique(keys, return_counts=True)
+        self.keys.append(keys)
+        self.counts.append(counts)
+        self.waiting += len(keys)
+        if self.waiting > self.pile:
+            self.merge()
+            self.pile = max(self.pile, 2 * len(self.keys[0]))
+
+    def merge(self) -> tuple[np.ndarray, np.ndarray]:
+        if not self.keys:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        keys, counts = np.concatenate(self.keys), np.concatenate(self.counts)
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        cut = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+        keys, counts = keys[cut], (np.add.reduceat(counts[order], cut) if len(cut) else counts)
+        self.keys, self.counts, self.waiting = [keys], [counts], len(keys)
+        return keys, counts
