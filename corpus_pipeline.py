@@ -1,24 +1,64 @@
-"""Corpus pipeline: near duplicates and benchmark passages go (more stages follow)."""
+"""Corpus pipeline: language, near duplicates, benchmark passages, personal data, mix.
+
+Each stage takes ``(spark, docs, sf_dir)``, works on all rows that its predecessor kept, and returns a
+DataFrame; the runner writes it as Parquet and reads it again as the next stage's input. All but the last
+return the columns of ``documents``; the last adds the mixing columns. A row's order does not
+matter to any stage, so a lost executor only repeats the tasks of the current stage.
+
+Decisions
+* language: a text without letters, or one that lies far from every learned profile, goes; a null
+  language is filled with the predicted one.
+* near duplicates: of each group (5-word shingles, Jaccard >= 0.8) the row with the smallest id stays.
+* benchmark: rows that hold a window of a benchmark item go.
+* personal data: texts go on with surrogates; ``n_chars`` is counted anew.
+* mix: rows are sampled with their calibrated probabilities.
+
+SQL can state neither the rank-order profiles nor the surrogates, so ``ORACLE_SQL`` is None and the tests hold the
+stages against brute-force versions.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from civictext.session import scratch_path
-from llm import decontaminate, ngram_join
+from llm import decontaminate, language_profiles, mixing, ngram_join, surrogates
+
+MIN_SCORE = 0.2  # a text whose out-of-place distance to every profile is more than 80 % of the greatest possible
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows with a recognised language."""
+    profiles = language_profiles.learn_profiles(docs.where(~language_profiles.held_out("doc_id", 4, 2) & F.col("doc_id").isNotNull()))
+    named = language_profiles.predict(docs, profiles, docs.columns)
+    good = named.where((F.col("lang_pred") != language_profiles.UNKNOWN) & (F.col("score") >= MIN_SCORE))
+    return good.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: 5-word shingles, Jaccard >= 0.8."""
+    """One row of each group of near duplicates."""
     return ngram_join.keep_one(docs, k=5, num=4, den=5)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark window go."""
+    """Rows without a benchmark window."""
     return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet"))
 
 
-STAGES = [("near duplicates", near_duplicates), ("benchmark decontamination", benchmark_passages)]
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, with surrogates for personal data."""
+    out = surrogates.replace_private(docs)
+    return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The sampled rows, with topic, tokens, weight and probability."""
+    return mixing.mix(docs).where("kept").drop("kept")
+
+
+STAGES = [("language", language), ("near duplicates", near_duplicates), ("benchmark decontamination", benchmark_passages),
+          ("personal data", personal_data), ("mix", mix)]
 
 ORACLE_SQL = None
 

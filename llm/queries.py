@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import context_tree, decontaminate, language_profiles, ngram_join, token_counts
+from . import context_tree, decontaminate, language_profiles, license_scan, mixing, ngram_join, quality_rules, surrogates, token_counts, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -88,3 +88,64 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_language")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_profiles.identify(table(spark, sf_dir, "documents"))
+
+
+@query("op1_surrogates")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.replace_private(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_entities", "entity_kinds")
+
+
+def op4_sql(rounds: int = 25) -> str:
+    """The fit unrolled: one CTE a marginal and round; targets as in ``mixing.TARGETS``."""
+    lang = mixing.TARGETS["lang"]
+    cases = " ".join(f"WHEN '{k}' THEN {v}" for k, v in lang.items())
+    parts = [r"""
+WITH t AS (SELECT doc_id, coalesce(source, '(null)') AS source, coalesce(lang, '(null)') AS lang,
+    CASE WHEN contains(x, 'License') THEN 'licensed' WHEN contains(x, '@') OR contains(x, 'token = ') THEN 'personal' WHEN contains(x, ' | ') THEN 'table'
+         WHEN contains(x, '%%%') OR contains(x, '!!') THEN 'noise' ELSE 'prose' END AS topic,
+    CAST(len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS BIGINT) AS n_tokens
+  FROM (SELECT *, coalesce(text, '') AS x FROM documents)),
+cells AS (SELECT source, lang, topic, CAST(sum(n_tokens) AS DOUBLE) AS tokens FROM t GROUP BY ALL HAVING sum(n_tokens) > 0)"""]
+    for m in mixing.MARGINALS:
+        spec = mixing.TARGETS[m]
+        parts.append(f"o_{m} AS (SELECT {m}, sum(tokens) AS own FROM cells GROUP BY 1)")
+        if isinstance(spec, dict):
+            parts.append(f"f_{m} AS (SELECT {m}, own, CASE {m} {cases} END AS fixed FROM o_{m})")
+            parts.append(f"p_{m} AS (SELECT {m}, own, coalesce(fixed, greatest(0.0, 1 - coalesce(sum(fixed) OVER (), 0)) * own / sum(own) FILTER (WHERE fixed IS NULL) OVER ()) AS part FROM f_{m})")
+        else:
+            parts.append(f"p_{m} AS (SELECT {m}, own, pow(own, {spec}) AS part FROM o_{m})")
+        parts.append(f"g_{m} AS (SELECT {m}, sum(own) OVER () * part / sum(part) OVER () AS goal FROM p_{m})")
+    parts.append("w0 AS (SELECT *, tokens AS w FROM cells)")
+    k = 0
+    for _ in range(rounds):
+        for m in mixing.MARGINALS:
+            parts.append(f"w{k + 1} AS MATERIALIZED (SELECT w{k}.* REPLACE (w * goal / sum(w) OVER (PARTITION BY w{k}.{m}) AS w) FROM w{k} JOIN g_{m} ON w{k}.{m} = g_{m}.{m})")
+            k += 1
+    parts.append(f"fit AS (SELECT source, lang, topic, w / tokens AS weight, w / tokens / max(w / tokens) OVER () AS probability FROM w{k})")
+    return ",\n".join(parts) + f"""
+SELECT doc_id, t.source, t.lang, t.topic, n_tokens, round(weight, 6) AS weight, round(probability, 6) AS probability,
+       CAST('0x' || substr(md5('{mixing.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) / 4503599627370496.0 < probability AS kept
+FROM t LEFT JOIN fit USING (source, lang, topic)
+"""
+
+
+@query("op4_mixing", op4_sql())
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.mix(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.coalesce("source", F.lit("(null)")).alias("source"), F.coalesce("lang", F.lit("(null)")).alias("lang"), "topic", "n_tokens",
+                        F.round("weight", 6).alias("weight"), F.round("probability", 6).alias("probability"), "kept")
+
+
+@query("op5_quality_rules")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op6_url_filter")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
+@query("op8_license_scan")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
