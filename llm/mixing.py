@@ -33,7 +33,8 @@ ROUNDS = 200
 CLOSE = 1e-10
 MARGINALS = ("source", "lang", "topic")
 
-TARGETS: dict[str, float | dict[str, float]] = {"source": 0.5, "lang": {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.15}, "topic": 0.7}
+#: Moderate targets: the further they lie from the natural shares, the more documents go.
+TARGETS: dict[str, float | dict[str, float]] = {"source": 0.8, "lang": {"en": 0.55, "de": 0.16, "fr": 0.16, "es": 0.12}, "topic": 0.9}
 
 SEED = "mix-1"
 
