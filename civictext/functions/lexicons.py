@@ -86,10 +86,11 @@ MISINFO_MAX_SUSPICIOUS = 0.90
 MISINFO_AVG_SUSPICIOUS = 0.85
 MISINFO_MIN_HITS_FOR_AVG = 3
 DUPLICATE_THRESHOLD = 0.95
-DUPLICATE_NEIGHBOURS = 5
+DUPLICATE_NEIGHBOURS = 5  # of the approximate cell search only; the exact pairs have no cap
 REASON_SUSPICIOUS = "High semantic overlap detected"
 REASON_ORIGINAL = "Low similarity - likely original"
 REASON_NO_HITS = "No similar articles found"
+REASON_NO_INDEX = "News FAISS index not loaded. Please build index first."
 
 # Embedding width and IVF sizing.
 EMBEDDING_DIM = 384

@@ -6,10 +6,13 @@ Two parts:
   ``unknown``. Since unsupported codes are reported as ``en`` anyway, this rule
   alone decides the supported-language column.
 * ``train_language_profile`` / ``detect_language`` -- a word naive Bayes whose
-  profile table (top words per language, log probabilities) is learned with
-  Spark aggregates from a labelled table, and applied with a broadcast join of
-  that bounded profile plus one aggregate per document. It yields the raw
-  language code (de, fr, es, ...) kept next to the reported one.
+  profile table (all words per language, log probabilities) is learned with
+  Spark aggregates from a labelled table, and applied with a join of that
+  profile (broadcast only below a checked size) plus one aggregate per document.
+  It yields the raw language code (de, fr, es, ...) kept next to the reported one.
+
+Text without any letter has no features and is ``unknown``. ``mr`` is a supported
+code that the script rule cannot tell from ``hi``; only a learned profile can yield it.
 """
 
 from __future__ import annotations
@@ -42,12 +45,12 @@ def _count_in(c: Column, char_class: str) -> Column:
 
 
 def script_language(c: Column) -> Column:
-    """``unknown`` for empty text, the dominant Indic script's language, else ``en``."""
+    """``unknown`` for text without letters, the dominant Indic script's language, else ``en``."""
     indic = F.regexp_replace(c, f"[^{INDIC_RANGE}]+", "")
     letters = _count_in(c, LETTER_CLASS)
     best = F.greatest(*[F.struct(_count_in(indic, rng).alias("n"), F.lit(code).alias("lang"))
                         for code, rng in SCRIPT_BLOCKS])
-    return (F.when(F.coalesce(c, F.lit("")) == "", F.lit("unknown"))
+    return (F.when(F.coalesce(letters, F.lit(0)) == 0, F.lit("unknown"))
             .when(F.length(indic) == 0, F.lit("en"))
             .when(best["n"] * 2 > letters, best["lang"])
             .otherwise(F.lit("en")))
@@ -65,19 +68,19 @@ def with_script_language(df: DataFrame, text_col: str = "clean_text", out: str =
     counts = [F.struct(_count_in(F.col("_indic"), rng).alias("n"), F.lit(code).alias("lang"))
               for code, rng in SCRIPT_BLOCKS]
     staged = staged.withColumn("_best", F.when(F.length("_indic") > 0, F.greatest(*counts)))
-    lang = (F.when(F.coalesce(c, F.lit("")) == "", F.lit("unknown"))
+    lang = (F.when(~F.coalesce(c, F.lit("")).rlike(f"[{LETTER_CLASS}]"), F.lit("unknown"))
             .when(F.col("_best").isNull(), F.lit("en"))
             .when(F.col("_best.n") * 2 > _count_in(c, LETTER_CLASS), F.col("_best.lang"))
             .otherwise(F.lit("en")))
     return staged.withColumn(out, lang).drop("_indic", "_best")
 
 
-def train_language_profile(df: DataFrame, text_col: str, label_col: str, top_n: int = 300) -> DataFrame:
-    """Profile ``(lang, token, logp, floor, prior)``: top ``top_n`` tokens per language.
+def train_language_profile(df: DataFrame, text_col: str, label_col: str, top_n: int | None = None) -> DataFrame:
+    """Profile ``(lang, token, logp, floor, prior)``: every token of every language.
 
     Add-one smoothing over the whole vocabulary; ``floor`` is the log
-    probability of an unseen token, ``prior`` the log share of documents. The
-    table has at most ``top_n`` rows per language, so it is safe to broadcast.
+    probability of an unseen token, ``prior`` the log share of documents.
+    ``top_n`` keeps only the most frequent tokens of each language (off by default).
     """
     from ..sources.store import checkpoint_table
 
@@ -90,8 +93,10 @@ def train_language_profile(df: DataFrame, text_col: str, label_col: str, top_n:
     totals = counts.groupBy("lang").agg(F.sum("n").alias("total"))
     docs = df.groupBy(F.col(label_col).alias("lang")).agg(F.count(F.lit(1)).alias("docs"))
     all_docs = docs.agg(F.sum("docs").alias("all_docs"))
-    w = Window.partitionBy("lang").orderBy(F.desc("n"), F.asc("token"))
-    top = counts.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= top_n).drop("_rn")
+    top = counts
+    if top_n is not None:
+        w = Window.partitionBy("lang").orderBy(F.desc("n"), F.asc("token"))
+        top = counts.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= top_n).drop("_rn")
     stats = totals.join(docs, "lang")
     # vocabulary size and document total are single scalars; attach them by a
     # constant key so the plan stays an equi-join
@@ -108,36 +113,34 @@ def train_language_profile(df: DataFrame, text_col: str, label_col: str, top_n:
 
 
 def detect_language(df: DataFrame, profile: DataFrame, text_col: str, key: str, out: str = "raw_language",
-                    max_profile_rows: int = 2_000_000) -> DataFrame:
-    """Add the most likely language under ``profile`` (ties go to the smaller code).
+                    keep: tuple[str, ...] = (), max_profile_rows: int = 2_000_000) -> DataFrame:
+    """``(key, *keep, out)``: the most likely language under ``profile`` (ties go to the smaller code).
 
     The profile's languages, floors and priors are a few numbers per language
-    and are read to the driver; the token table is checked against
-    ``max_profile_rows`` before it is broadcast.
+    and are read to the driver. The token table is broadcast when it has at most
+    ``max_profile_rows`` rows; a larger one is joined by shuffle on the token, with the
+    same result (AQE splits the partition of a frequent token). The texts are tokenised
+    once and not joined back: ``keep`` columns travel through the aggregate.
     """
     from ..sources.store import checkpoint_table
 
-    # the profile is a model table (at most top_n rows per language): write it once so
-    # the two small reads below and the join do not each re-run the training job
+    # the profile is a model table: write it once so the two small reads below and the
+    # join do not each re-run the training job
     profile = checkpoint_table(df.sparkSession, profile, "language-profile")
     langs = profile.select("lang", "floor", "prior").distinct().orderBy("lang").collect()
-    n_profile = profile.count()
-    if n_profile > max_profile_rows:
-        raise ValueError(f"language profile has {n_profile} rows, above the broadcast bound {max_profile_rows}")
     wide = (profile.groupBy("token")
             .pivot("lang", [r["lang"] for r in langs])
             .agg(F.first(F.col("logp") - F.col("floor"))))
-    toks = df.select(key, F.explode_outer(tokens(F.col(text_col))).alias("token"))
-    joined = toks.join(F.broadcast(wide), "token", "left")
-    sums = joined.groupBy(key).agg(
+    toks = df.select(key, *keep, F.explode_outer(tokens(F.col(text_col))).alias("token"))
+    joined = toks.join(F.broadcast(wide) if profile.count() <= max_profile_rows else wide, "token", "left")
+    sums = joined.groupBy(key, *keep).agg(
         F.count("token").alias("_ntok"),
         *[F.coalesce(F.sum(F.col(f"`{r['lang']}`")), F.lit(0.0)).alias(f"_s_{i}") for i, r in enumerate(langs)])
     scored = [F.struct((F.col("_ntok") * F.lit(r["floor"]) + F.lit(r["prior"]) + F.col(f"_s_{i}")).alias("score"),
                        F.lit(-i).alias("neg_rank"), F.lit(r["lang"]).alias("lang"))
               for i, r in enumerate(langs)]
     best = F.greatest(*scored)["lang"] if len(scored) > 1 else scored[0]["lang"]
-    pred = sums.select(key, best.alias(out))
-    return df.join(pred, key, "left")
+    return sums.select(key, *keep, best.alias(out))
 
 
 def language_accuracy(pred: DataFrame, truth_col: str, pred_col: str = "raw_language") -> DataFrame:

@@ -126,6 +126,7 @@ def first_in_seeded_order(df: DataFrame, key: str, n: int | None = None, fractio
         grp_join = grp
     # a NULL class is a class of its own (as in a window's PARTITION BY): null-safe key
     cut = cut.withColumnRenamed(grp_join[0], "_cls")
+    # beyond the bound a plain join: AQE splits a hot class's partition of the row side
     cut_side = F.broadcast(cut) if n_cut <= MAX_BROADCAST_CLASSES else cut
     joined = rows.join(cut_side, rows[grp_join[0]].eqNullSafe(cut_side["_cls"]), "left").drop("_cls")
     # no cut in a class: it is smaller than its limit, so all of it is in
@@ -158,26 +159,6 @@ def per_class_sample(df: DataFrame, label: str, n_per_class: int, key: str, seed
     return first_in_seeded_order(df, key, n=n_per_class, label=label, seed=seed)
 
 
-def rank_in_class(df: DataFrame, label: str, key: str, seed: int = L.SEED, out: str = "rank") -> DataFrame:
-    """Exact 1-based rank by seeded hash order inside each class, skew-safe.
-
-    Rows are ranked inside (class, top-20-bits-of-hash) buckets, and each
-    bucket's offset is the running count of the earlier buckets of the class.
-    The bucket-count table has at most 2**20 small rows per class.
-    """
-    h = seeded_hash(key, seed)
-    with_h = df.withColumn("_h", h).withColumn("_b", hash_bucket(F.col("_h")))
-    counts = with_h.groupBy(label, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    wc = Window.partitionBy(label).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(label, "_b", F.coalesce(F.sum("_n").over(wc), F.lit(0)).alias("_off"),
-                            F.sum("_n").over(Window.partitionBy(label)).alias("_class_n"))
-    wr = Window.partitionBy(label, "_b").orderBy("_h", key)
-    ranked = with_h.withColumn("_rn", F.row_number().over(wr))
-    return (ranked.join(offsets, [label, "_b"], "inner")
-            .withColumn(out, F.col("_off") + F.col("_rn"))
-            .drop("_h", "_b", "_rn", "_off"))
-
-
 def stratified_split(df: DataFrame, label: str, key: str, test_fraction: float = 0.2,
                      seed: int = L.SEED) -> DataFrame:
     """Add ``is_test``: the first ``ceil(test_fraction * n_class)`` rows of each class by seeded order."""
@@ -188,18 +169,13 @@ def drop_null_rows(df: DataFrame, subset: list[str]) -> DataFrame:
     return df.na.drop(subset=subset)
 
 
-def removal_counts(df: DataFrame, flags: dict[str, Column]) -> DataFrame:
-    """One-row accounting: total rows and rows removed by each named predicate."""
-    return df.agg(F.count(F.lit(1)).alias("rows"),
-                  *[F.sum(F.when(c, 1).otherwise(0)).alias(f"removed_{n}") for n, c in flags.items()])
-
-
 def prepare(df: DataFrame, text_col: str = "text", label_col: str | None = None, key: str = "row_id",
-            min_length: int = 10, max_length: int = 512, detect_lang: bool = True,
+            min_length: int = 10, max_length: int | None = None, detect_lang: bool = True,
             drop_duplicates: bool = True, drop_empty: bool = True, extended_scripts: bool = False,
             language_fn=None, keep_text: bool = True) -> DataFrame:
-    """Clean a text table: rename, clean, length filter, truncate, dedup, language, label.
+    """Clean a text table: rename, clean, length filter, optional cut, dedup, language, label.
 
+    ``max_length`` (in words of five characters) cuts the cleaned text; by default texts stay whole.
     ``language_fn(clean_text_column) -> Column`` supplies the language tag; the
     default tags by script (see ``operators.language.script_language``).
     """
@@ -210,7 +186,7 @@ def prepare(df: DataFrame, text_col: str = "text", label_col: str | None = None,
         df = df.withColumn(key, F.monotonically_increasing_id())
     out = rename_canonical(df, text_col)
     out = with_clean_text(out, "text", min_length=min_length if drop_empty else None,
-                          max_length=max_length * 5, extended_scripts=extended_scripts)
+                          max_length=max_length * 5 if max_length else None, extended_scripts=extended_scripts)
     if not keep_text:  # do not carry the raw text through the dedup shuffle
         out = out.drop("text")
     if drop_duplicates:
@@ -231,22 +207,22 @@ def prepare(df: DataFrame, text_col: str = "text", label_col: str | None = None,
 def dense_row_ids(df: DataFrame, key: str, out: str = "row_num", partitions: int | None = None) -> DataFrame:
     """0-based dense row numbers in ``key`` order, without a one-partition global sort.
 
-    Rows are range-partitioned on ``key``; each partition numbers its own rows
-    and adds the count of all earlier partitions. Only the per-partition counts
-    (one number per partition) go through the driver. By default there are as
+    Rows are range-partitioned on ``key`` and written once with their range number:
+    range bounds are sampled anew by every execution, so the counts and the rows must
+    come from the same written table. Each range numbers its own rows and adds the count of
+    all earlier ranges, joined as a small table (one row per range). By default there are as
     many ranges as the session's shuffle partitions (sized for the data on a
     cluster), and at least one per core.
     """
+    from ..sources.store import checkpoint_table
     spark = df.sparkSession
     n = partitions or max(spark.sparkContext.defaultParallelism,
                           int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
-    ranged = df.repartitionByRange(n, F.col(key)).withColumn("_pid", F.spark_partition_id())
-    counts = sorted((r["_pid"], r["c"]) for r in ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("c")).collect())
-    offsets, run = {}, 0
-    for pid, c in counts:
-        offsets[pid] = run
-        run += c
-    off = F.element_at(F.create_map(*[x for pid, o in offsets.items() for x in (F.lit(pid), F.lit(o))]),
-                       F.col("_pid")) if offsets else F.lit(0)
+    ranged = checkpoint_table(spark, df.repartitionByRange(n, F.col(key)).withColumn("_pid", F.spark_partition_id()),
+                              "ranged-rows")
+    earlier = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    offsets = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_c")).select(
+        "_pid", F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_off"))
     w = Window.partitionBy("_pid").orderBy(F.col(key))
-    return (ranged.withColumn(out, (off + F.row_number().over(w) - 1).cast("long")).drop("_pid"))
+    return (ranged.withColumn(out, F.row_number().over(w)).join(offsets, "_pid")
+            .withColumn(out, (F.col("_off") + F.col(out) - 1).cast("long")).drop("_pid", "_off"))

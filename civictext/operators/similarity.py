@@ -9,10 +9,12 @@ pairs:
   only its per-batch top-k.
 * **Block path** -- otherwise (for example near duplicates of a large table,
   where the query side is the table itself) both sides are cut into salted
-  blocks of at most ``block_rows`` rows; each (query block, index block) group
-  of a ``cogroup`` is scored with one matrix product and emits only top-k
-  rows. Groups are bounded whatever the data; nothing passes through the
-  driver but per-cell block counts.
+  blocks of about ``block_rows`` rows; each (query block, index block) group
+  of a ``cogroup`` is scored in tiles and emits only top-k rows. Groups are
+  bounded whatever the data; the block counts are a small joined table.
+
+Scores are made in tiles of at most ``TILE_BYTES`` with a running top-k per query,
+so a kernel's memory follows neither the query side nor the Arrow batch.
 
 A ``row_number() <= k`` window per query (planned as a partial group limit
 before the shuffle) merges the partial lists. Score ties are made exact at 12
@@ -35,7 +37,10 @@ from pyspark.sql import functions as F
 from ..functions import lexicons as L
 
 DEFAULT_CHUNK_BYTES = 64 << 20  # broadcast bound for the query side
-DEFAULT_BLOCK_ROWS = 20_000  # rows per side of one block group
+DEFAULT_BLOCK_ROWS = 8_000  # rows per side of one block group
+TILE_BYTES = 32 << 20  # one tile of scores or of centroid distances
+TILE_WIDTH = 2_048  # index rows of one tile
+MAX_BROADCAST_ROWS = 100_000  # rows of a small side (hits, block counts) allowed in a broadcast
 SCORE_DECIMALS = 12  # scores are compared at this precision; ties then go to the smaller id
 
 
@@ -89,6 +94,34 @@ def _scores(Q: np.ndarray, B: np.ndarray) -> np.ndarray:
     return np.round(Q @ B.T, SCORE_DECIMALS)
 
 
+def _cut(best: tuple[np.ndarray, ...], ids: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """The top ``k`` of each query among (query row, index row, score) candidates."""
+    qi, bi, sc = best
+    order = np.lexsort((ids[bi], -sc, qi))
+    qi = qi[order]
+    first = np.flatnonzero(np.concatenate(([True], qi[1:] != qi[:-1]))) if len(qi) else np.zeros(0, np.int64)
+    rank = np.arange(len(qi)) - np.repeat(first, np.diff(np.append(first, len(qi))))
+    keep = order[rank < k]
+    return best[0][keep], bi[keep], sc[keep]
+
+
+def _tiled_topk(Q: np.ndarray, B: np.ndarray, ids: np.ndarray, k: int, threshold: float | None):
+    """(query rows, index rows, scores) of one tile of queries at a time."""
+    width = max(1, min(len(B), TILE_WIDTH))
+    height = max(1, TILE_BYTES // (8 * width))
+    for a in range(0, len(Q), height):
+        best = None
+        for b in range(0, len(B), width):
+            S = _scores(Q[a:a + height], B[b:b + width])
+            qi, bi = _topk_cells(S, ids[b:b + width], k, threshold)
+            new = (qi + a, bi + b, S[qi, bi])
+            best = new if best is None else tuple(np.concatenate(x) for x in zip(best, new))
+            if b and k < len(B):
+                best = _cut(best, ids, k)
+        if best is not None and len(best[0]):
+            yield best
+
+
 def _matrix(col) -> np.ndarray:
     return np.vstack([np.asarray(v, dtype=np.float64) for v in col])
 
@@ -113,31 +146,28 @@ def _block_topk(index: DataFrame, queries: DataFrame, index_key: str, query_key:
     ``block_rows`` rows per side and emits at most ``k`` rows per query.
     """
     itype, qtype = _dtype_of(index, index_key), _dtype_of(queries, query_key)
-    isz = {r["cell"]: r["count"] for r in index.groupBy("cell").count().collect()}  # one row per cell
-    qsz = {r["cell"]: r["count"] for r in queries.groupBy("cell").count().collect()}
-
-    def salts(sizes):
-        m = {int(c): max(1, math.ceil(n / block_rows)) for c, n in sizes.items()}
-        if not m:
-            return F.lit(1)
-        lookup = F.create_map(*[x for c, v in m.items() for x in (F.lit(c), F.lit(v))])
-        return F.coalesce(F.element_at(lookup, F.col("cell")), F.lit(1))
-
-    n_i, n_q = salts(isz), salts(qsz)
-    left = (index.select(index_key, vec, "cell")
-            .withColumn("isalt", F.pmod(F.xxhash64(F.col(index_key)), n_i).cast("int"))
-            .withColumn("qsalt", F.explode(F.sequence(F.lit(0), n_q - 1))))
-    right = (queries.select(query_key, F.col(qvec).alias("_qv"), "cell")
-             .withColumn("qsalt", F.pmod(F.xxhash64(F.col(query_key)), n_q).cast("int"))
-             .withColumn("isalt", F.explode(F.sequence(F.lit(0), n_i - 1))))
+    from ..sources.store import checkpoint_table
+
+    def blocks(side, out):
+        return side.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias(out))
+
+    # one row per cell; the sides are joined to it, so there is no literal map however many cells
+    sizes = checkpoint_table(index.sparkSession, blocks(index, "n_i").join(blocks(queries, "n_q"), "cell"), "cell-blocks")
+    sizes = F.broadcast(sizes) if sizes.count() <= MAX_BROADCAST_ROWS else sizes
+    left = (index.select(index_key, vec, "cell").join(sizes, "cell")
+            .withColumn("isalt", F.pmod(F.xxhash64(F.col(index_key)), F.col("n_i")).cast("int"))
+            .withColumn("qsalt", F.explode(F.sequence(F.lit(0), F.col("n_q") - 1))).drop("n_i", "n_q"))
+    right = (queries.select(query_key, F.col(qvec).alias("_qv"), "cell").join(sizes, "cell")
+             .withColumn("qsalt", F.pmod(F.xxhash64(F.col(query_key)), F.col("n_q")).cast("int"))
+             .withColumn("isalt", F.explode(F.sequence(F.lit(0), F.col("n_i") - 1))).drop("n_i", "n_q"))
 
     def block(ipdf: pd.DataFrame, qpdf: pd.DataFrame) -> pd.DataFrame:
         if len(ipdf) == 0 or len(qpdf) == 0:
             return pd.DataFrame({query_key: [], index_key: [], "score": []})
-        ids = ipdf[index_key].to_numpy()
-        S = _scores(_matrix(qpdf["_qv"].to_numpy()), _matrix(ipdf[vec].to_numpy()))
-        qi, bi = _topk_cells(S, ids, k, threshold)
-        return pd.DataFrame({query_key: qpdf[query_key].to_numpy()[qi], index_key: ids[bi], "score": S[qi, bi]})
+        ids, keys = ipdf[index_key].to_numpy(), qpdf[query_key].to_numpy()
+        out = [pd.DataFrame({query_key: keys[qi], index_key: ids[bi], "score": sc})
+               for qi, bi, sc in _tiled_topk(_matrix(qpdf["_qv"].to_numpy()), _matrix(ipdf[vec].to_numpy()), ids, k, threshold)]
+        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({query_key: [], index_key: [], "score": []})
 
     return (left.groupBy("cell", "isalt", "qsalt")
             .cogroup(right.groupBy("cell", "isalt", "qsalt"))
@@ -173,10 +203,8 @@ def search(index: DataFrame, queries: DataFrame, k: int = L.SEARCH_TOP_K, thresh
                 if len(pdf) == 0:
                     continue
                 ids = pdf[index_key].to_numpy()
-                S = _scores(Q, _matrix(pdf[vec].to_numpy()))
-                qi, bi = _topk_cells(S, ids, k, threshold)
-                if len(qi):
-                    yield pd.DataFrame({query_key: keys_[qi], index_key: ids[bi], "score": S[qi, bi]})
+                for qi, bi, sc in _tiled_topk(Q, _matrix(pdf[vec].to_numpy()), ids, k, threshold):
+                    yield pd.DataFrame({query_key: keys_[qi], index_key: ids[bi], "score": sc})
 
         cand = idx.mapInPandas(run, schema)
     else:
@@ -186,65 +214,122 @@ def search(index: DataFrame, queries: DataFrame, k: int = L.SEARCH_TOP_K, thresh
 
 
 def attach_text(hits: DataFrame, index: DataFrame, index_key: str, text_col: str = "text",
-                hits_bounded: bool = True) -> DataFrame:
-    """Late metadata lookup: join the (small) hit list to the index text by id."""
-    h = F.broadcast(hits) if hits_bounded else hits
-    return index.select(index_key, text_col).join(h, index_key, "inner")
+                max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """Late metadata lookup: join the hit list to the index text by id.
+
+    The hits (queries x k rows) are written once; up to ``max_rows`` of them are
+    broadcast so the texts are not shuffled, beyond that both sides are.
+    """
+    from ..sources.store import checkpoint_table
+
+    h = checkpoint_table(hits.sparkSession, hits, "hits")
+    return index.select(index_key, text_col).join(F.broadcast(h) if h.count() <= max_rows else h, index_key, "inner")
 
 
 def near_duplicates(df: DataFrame, key: str = "id", vec: str = "embedding", threshold: float = L.DUPLICATE_THRESHOLD,
-                    neighbours: int | None = L.DUPLICATE_NEIGHBOURS, max_chunk_bytes: int = DEFAULT_CHUNK_BYTES,
-                    block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
-    """Pairs ``(id1, id2, score)`` with ``id2 > id1``: each row's top-``neighbours``
-    (itself included) by score, kept when the score reaches ``threshold``.
+                    block_rows: int = DEFAULT_BLOCK_ROWS, seed: int = L.SEED) -> DataFrame:
+    """All near-duplicate links as ``(id1, id2, score)`` with ``id1 < id2``; no neighbour cap.
 
-    ``neighbours=None`` keeps every pair above the threshold (no neighbour cap).
-    A table larger than one broadcast chunk goes through the block path.
+    Rows with equal vectors form one class (a partial aggregate collapses a hot group of
+    copies); its members are linked to the class's smallest id only. Between classes every
+    pair of representatives with a score of ``threshold`` or more is returned.
+
+    Exact and pruned: the representatives lie in KMeans cells (about one per block of rows);
+    for unit vectors a row at angle ``a`` from a cell's centroid has no partner in a cell of
+    radius ``r`` when ``a - r > acos(threshold)``, so it is sent only to the other cells, in
+    salted blocks. Vectors that are not of unit length are compared with every block.
     """
-    q = df.select(F.col(key).alias("_q"), F.col(vec).alias("_v"))
-    k = neighbours if neighbours is not None else 1 << 30
-    # top-k then ">= threshold" equals top-k among the rows ">= threshold", so the
-    # threshold is applied inside the kernels and fewer candidates are emitted
-    hits = search(df, q, k=k, threshold=threshold, index_key=key, query_key="_q", vec=vec, query_vec="_v",
-                  max_chunk_bytes=max_chunk_bytes, block_rows=block_rows, round_to=None)
-    pairs = hits.where((F.col(key) > F.col("_q")) & (F.col("score") >= threshold))
-    return pairs.select(F.col("_q").alias("id1"), F.col(key).alias("id2"), F.round("score", 4).alias("score"))
+    from ..sources.store import checkpoint_table
 
+    spark = df.sparkSession
+    ktype = _dtype_of(df, key)
+    rows = df.select(F.col(key).alias("id"), F.col(vec).cast("array<double>").alias("v"))
+    classes = checkpoint_table(spark, rows.groupBy("v").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")), "vector-classes")
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
+    stats = classes.agg(F.count(F.lit(1)).alias("n"), F.max(F.abs(norm - 1)).alias("off")).first()
+    if not stats["n"]:
+        return spark.createDataFrame([], f"id1 {ktype}, id2 {ktype}, score double")
+    copies = (rows.join(classes.where("n > 1").select("v", "rep"), "v").where("id <> rep")
+              .select(F.col("rep").alias("id1"), F.col("id").alias("id2"),
+                      F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x), 4).alias("score"))
+              .where(F.col("score") >= threshold))
+    k = math.ceil(stats["n"] / block_rows)
+    base = classes.select("rep", "v")
+    if k == 1:
+        cells, probes = base.withColumn("cell", F.lit(0)), base.select(F.col("rep").alias("_q"), F.col("v").alias("_qv"), F.lit(0).alias("cell"))
+    else:
+        cells, cents = build_ivf(base, key="rep", vec="v", nlist=k, seed=seed)
+        cells = checkpoint_table(spark, cells, "duplicate-cells")
+        probes = _bounded_probes(cells, cents, math.acos(min(1.0, threshold)) if stats["off"] < 1e-6 else math.inf)
+    cand = _block_topk(cells, probes, "rep", "_q", "v", "_qv", 1 << 30, threshold, block_rows)
+    pairs = cand.where(F.col("rep") > F.col("_q")).select(
+        F.col("_q").alias("id1"), F.col("rep").alias("id2"), F.round("score", 4).alias("score"))
+    return pairs.unionByName(copies)
 
-def verdicts(queries: DataFrame, hits: DataFrame, query_key: str, index_key: str) -> DataFrame:
+
+def _angles(Q: np.ndarray, C: np.ndarray) -> np.ndarray:
+    """Angles between unit rows and centroids."""
+    unit = C / np.maximum(np.linalg.norm(C, axis=1, keepdims=True), 1e-300)
+    return np.arccos(np.clip(Q @ unit.T, -1.0, 1.0))
+
+
+def _bounded_probes(cells: DataFrame, centroids: np.ndarray, reach: float) -> DataFrame:
+    """``(_q, _qv, cell)``: each row with every cell that may hold a row within ``reach`` (radians)."""
+    bc = cells.sparkSession.sparkContext.broadcast(centroids)  # one centroid per block of rows
+
+    def radius(batches):
+        for pdf in batches:
+            if len(pdf):
+                own = _angles(_matrix(pdf["v"].to_numpy()), bc.value)[np.arange(len(pdf)), pdf["cell"].to_numpy()]
+                yield pd.DataFrame({"cell": pdf["cell"], "r": own}).groupby("cell", as_index=False).max()
+
+    radii = np.full(len(centroids), -math.inf)
+    for r in cells.select("v", "cell").mapInPandas(radius, "cell int, r double").groupBy("cell").agg(F.max("r").alias("r")).collect():
+        radii[r["cell"]] = r["r"]  # one row per cell
+    br = cells.sparkSession.sparkContext.broadcast(radii)
+
+    def probe(batches):
+        height = max(1, TILE_BYTES // (8 * len(bc.value)))
+        for pdf in batches:
+            for a in range(0, len(pdf), height):
+                part = pdf.iloc[a:a + height]
+                qi, ci = np.nonzero(_angles(_matrix(part["v"].to_numpy()), bc.value) - br.value[None, :] <= reach + 1e-6)
+                yield pd.DataFrame({"_q": part["rep"].to_numpy()[qi], "_qv": part["v"].to_numpy()[qi], "cell": ci.astype(np.int32)})
+
+    return cells.select("rep", "v").mapInPandas(probe, f"_q {_dtype_of(cells, 'rep')}, _qv array<double>, cell int")
+
+
+def verdicts(queries: DataFrame, hits: DataFrame, query_key: str, index_key: str, text_col: str | None = None) -> DataFrame:
     """Misinformation verdict per query from its (rounded-score) hits.
 
     Suspicious when the best score exceeds .90, or when at least 3 hits average
-    above .85. A query without hits gets ``false, 0.0, 0, 0.0``.
+    above .85. A query without hits gets ``false, 0.0, 0, 0.0``. ``similar`` holds
+    the hits by rank as ``(id, score, text)``; the text is null without ``text_col``.
     """
+    text = F.col(text_col) if text_col else F.lit(None).cast("string")
     agg = hits.groupBy(query_key).agg(
         F.count(F.lit(1)).alias("num_similar"),
         F.max("score").alias("_max"),
         F.avg("score").alias("_avg"),
-        F.sort_array(F.collect_list(F.struct("rank", index_key))).alias("_hits"))  # at most k per query
+        F.sort_array(F.collect_list(F.struct("rank", F.col(index_key).alias("id"), "score", text.alias("text")))).alias("_hits"))  # at most k per query
     j = queries.select(query_key).join(agg, query_key, "left")
     sus = (F.col("_max") > L.MISINFO_MAX_SUSPICIOUS) | (
         (F.col("num_similar") >= L.MISINFO_MIN_HITS_FOR_AVG) & (F.col("_avg") > L.MISINFO_AVG_SUSPICIOUS))
     has = F.col("num_similar").isNotNull()
+    found = F.when(has, F.transform("_hits", lambda h: F.struct(h["id"].alias("id"), h["score"].alias("score"), h["text"].alias("text"))))
+    none = F.array().cast(f"array<struct<id:{_dtype_of(hits, index_key)},score:double,text:string>>")
     return j.select(
         query_key,
         F.when(has, sus).otherwise(F.lit(False)).alias("is_suspicious"),
         F.when(has, F.round("_max", 4)).otherwise(F.lit(0.0)).alias("confidence"),
         F.coalesce(F.col("num_similar"), F.lit(0)).alias("num_similar"),
         F.when(has, F.round("_avg", 4)).otherwise(F.lit(0.0)).alias("avg_similarity"),
-        F.coalesce(F.array_join(F.transform("_hits", lambda h: h[index_key].cast("string")), "|"), F.lit(""))
-        .alias("similar_ids"),
+        F.coalesce(found, none).alias("similar"),
         F.when(~has, F.lit(L.REASON_NO_HITS)).when(sus, F.lit(L.REASON_SUSPICIOUS))
         .otherwise(F.lit(L.REASON_ORIGINAL)).alias("reason"),
     )
 
 
-def dot(a, b):
-    """Dot product of two array columns as a higher-order function (double precision)."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0),
-                       lambda acc, x: acc + x)
-
-
 def build_ivf(index: DataFrame, key: str = "id", vec: str = "embedding", nlist: int = L.IVF_NLIST,
               seed: int = L.SEED, max_iter: int = 20):
     """Cluster the index into ``min(nlist, n // 10)`` cells; returns (index with ``cell``, centroids)."""
@@ -261,8 +346,16 @@ def build_ivf(index: DataFrame, key: str = "id", vec: str = "embedding", nlist:
 
 
 def _nearest_cells(Q: np.ndarray, C: np.ndarray, nprobe: int) -> np.ndarray:
-    d = ((Q[:, None, :] - C[None, :, :]) ** 2).sum(axis=2)
-    return np.argsort(d, axis=1, kind="stable")[:, :nprobe]
+    """The ``nprobe`` nearest centroids of each row, nearest first, ties by cell; in tiles of ``TILE_BYTES``."""
+    out = np.empty((len(Q), nprobe), dtype=np.int64)
+    size = (C * C).sum(axis=1)
+    height = max(1, TILE_BYTES // (8 * len(C)))
+    for a in range(0, len(Q), height):
+        d = np.round(size[None, :] - 2 * (Q[a:a + height] @ C.T), SCORE_DECIMALS)  # |q|^2 does not change the order
+        near = np.sort(np.argpartition(d, nprobe - 1, axis=1)[:, :nprobe], axis=1)
+        order = np.argsort(np.take_along_axis(d, near, axis=1), axis=1, kind="stable")
+        out[a:a + height] = np.take_along_axis(near, order, axis=1)
+    return out
 
 
 def _probes(queries: DataFrame, centroids: np.ndarray, qkey: str, qvec: str, nprobe: int) -> DataFrame:
@@ -320,19 +413,13 @@ def ivf_search(cells: DataFrame, centroids: np.ndarray, queries: DataFrame, k: i
                 ids = pdf[index_key].to_numpy()
                 cell = pdf["cell"].to_numpy()
                 B = _matrix(pdf[vec].to_numpy())
-                out = []
                 for c in np.unique(cell):
                     qs = inv.get(int(c))
                     if qs is None:
                         continue
                     members = np.nonzero(cell == c)[0]
-                    S = _scores(Q[qs], B[members])
-                    qi, bi = _topk_cells(S, ids[members], k, threshold)
-                    if len(qi):
-                        out.append(pd.DataFrame({query_key: keys_[qs][qi], index_key: ids[members][bi],
-                                                 "score": S[qi, bi]}))
-                if out:
-                    yield pd.concat(out, ignore_index=True)
+                    for qi, bi, sc in _tiled_topk(Q[qs], B[members], ids[members], k, threshold):
+                        yield pd.DataFrame({query_key: keys_[qs][qi], index_key: ids[members][bi], "score": sc})
 
         cand = idx.mapInPandas(run, schema)
     else:

@@ -33,20 +33,29 @@ NAME_WORDS = 4
 MIN_TOKEN_LENGTH = 2
 
 
+MAX_BROADCAST_ROWS = 100_000  # class or topic tables up to this size are broadcast
+
+
+def _small(table: DataFrame) -> DataFrame:
+    """A broadcast hint for a one-row-per-class table, under a row-count check."""
+    return F.broadcast(table) if table.count() <= MAX_BROADCAST_ROWS else table
+
+
 def class_term_weights(df: DataFrame, class_col: str, text_col: str, top_n: int | None = TOPIC_WORDS,
                        min_token_length: int = MIN_TOKEN_LENGTH) -> DataFrame:
     """``(class, word, weight, rank)``: the top ``top_n`` words of each class by class TF-IDF."""
+    from ..sources.store import checkpoint_table
+
     toks = df.select(F.col(class_col).alias("_class"), F.explode(tokens(F.col(text_col))).alias("word"))
     toks = toks.where(F.length("word") >= min_token_length)
-    tf = toks.groupBy("_class", "word").agg(F.count(F.lit(1)).alias("tf"))
+    # (class, word) counts feed the totals, the word frequencies and the weights: written once
+    # (vocabulary x classes rows), so the texts are prepared and tokenised once
+    tf = checkpoint_table(df.sparkSession, toks.groupBy("_class", "word").agg(F.count(F.lit(1)).alias("tf")), "class-terms")
     per_class = tf.groupBy("_class").agg(F.sum("tf").alias("class_total"))
     freq = tf.groupBy("word").agg(F.sum("tf").alias("f"))
-    # A over the per-class totals (one row per class) by a whole-table window instead of
-    # a scalar aggregate joined in a nested broadcast, which re-ran the tokenising once
-    # more (the per-class totals inside the broadcast below still do so once)
+    # A: mean over the per-class totals (one row per class)
     stats = per_class.withColumn("A", F.floor(F.avg("class_total").over(Window.partitionBy())))
-    # one row per class: broadcast; the term table joins on word
-    w = (tf.join(F.broadcast(stats), "_class")
+    w = (tf.join(_small(stats), "_class")
          .join(freq, "word")
          .select("_class", "word",
                  ((F.col("tf") / F.col("class_total")) * F.log(1 + F.col("A") / F.col("f"))).alias("weight")))
@@ -70,7 +79,7 @@ def topic_info(assigned: DataFrame, words: DataFrame, topic_col: str = "topic_id
     """``(topic_id, count, name)`` for every topic present, the outlier topic included."""
     counts = assigned.groupBy(topic_col).agg(F.count(F.lit(1)).alias("count"))
     names = topic_names(words, topic_col)
-    return counts.join(F.broadcast(names.select(topic_col, "name")), topic_col, "left").select(
+    return counts.join(_small(names.select(topic_col, "name")), topic_col, "left").select(
         topic_col, "count", F.coalesce("name", F.concat(F.col(topic_col).cast("string"), F.lit("_"))).alias("name"))
 
 
@@ -79,13 +88,9 @@ def top_topics(info: DataFrame, n: int = 20, topic_col: str = "topic_id") -> Dat
     return info.orderBy(F.desc("count"), F.asc(topic_col)).limit(n)
 
 
-def label_topics(df: DataFrame, info: DataFrame, topic_col: str = "topic_id", out: str = "topic_label",
-                 max_topics: int = 100_000) -> DataFrame:
-    """Attach topic names; unknown ids get ``Unknown``. The info table is one row per
-    topic and is broadcast only when its size is within ``max_topics``."""
-    n = info.count()
-    names = info.select(topic_col, F.col("name").alias(out))
-    names = F.broadcast(names) if n <= max_topics else names
+def label_topics(df: DataFrame, info: DataFrame, topic_col: str = "topic_id", out: str = "topic_label") -> DataFrame:
+    """Attach topic names; unknown ids get ``Unknown``. The info table is one row per topic."""
+    names = _small(info.select(topic_col, F.col("name").alias(out)))
     return df.join(names, topic_col, "left").withColumn(out, F.coalesce(F.col(out), F.lit("Unknown")))
 
 
@@ -115,16 +120,24 @@ def fit_topics(df: DataFrame, vec_col: str = "embedding", n_topics: int = 20, di
     ])
     model = pipe.fit(feats)
     sizes = model.transform(feats).groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
-    big = sizes.where(F.col("size") >= min_topic_size)
-    w = Window.orderBy(F.desc("size"), F.asc("cluster"))  # at most n_topics rows
-    mapping = (big.withColumn("topic_id", (F.row_number().over(w) - 1).cast("int")).select("cluster", "topic_id")
-               .unionByName(sizes.where(F.col("size") < min_topic_size)
-                            .select("cluster", F.lit(-1).cast("int").alias("topic_id"))))
-    return TopicModel(model, mapping.cache(), vec_col)
+    from ..sources.store import checkpoint_table
+    return TopicModel(model, checkpoint_table(df.sparkSession, renumber(sizes, min_topic_size), "topic-mapping"), vec_col)
+
+
+def renumber(sizes: DataFrame, min_topic_size: int) -> DataFrame:
+    """``(cluster, topic_id)`` from ``(cluster, size)``: small clusters -1, the others 0.. by size, largest first."""
+    w = Window.partitionBy(F.col("size") >= min_topic_size).orderBy(F.desc("size"), F.asc("cluster"))  # one row per cluster
+    number = F.when(F.col("size") >= min_topic_size, F.row_number().over(w) - 1).otherwise(-1)
+    return sizes.select("cluster", number.cast("int").alias("topic_id"))
 
 
 def predict_topics(tm: TopicModel, df: DataFrame, keep: list[str]) -> DataFrame:
-    """``keep`` columns + ``topic_id``, ``confidence`` (max soft-max probability of the cluster)."""
+    """``keep`` columns + ``topic_id``, ``confidence`` and ``probabilities``.
+
+    ``probabilities``: the soft-max over negative centroid distances, one number per
+    cluster in cluster order; ``confidence``: its maximum. A cluster that held no row at
+    fit time has no topic and is the outlier topic -1.
+    """
     feats = df.select(*keep, array_to_vector(F.col(tm.vec_col)).alias("_vec"))
     km = tm.model.stages[-1]
     centers = [list(map(float, c)) for c in km.clusterCenters()]  # n_topics x dims
@@ -135,8 +148,21 @@ def predict_topics(tm: TopicModel, df: DataFrame, keep: list[str]) -> DataFrame:
     m = F.least(*dists) if len(dists) > 1 else dists[0]
     denom = sum((F.exp(m - d) for d in dists[1:]), F.exp(m - dists[0]))
     conf = F.round(F.lit(1.0) / denom, 4)
-    scored = out.select(*keep, "cluster", conf.alias("confidence"))
-    return scored.join(F.broadcast(tm.mapping), "cluster").drop("cluster")
+    probs = F.array(*[F.round(F.exp(m - d) / denom, 4) for d in dists])
+    scored = out.select(*keep, "cluster", conf.alias("confidence"), probs.alias("probabilities"))
+    return (scored.join(_small(tm.mapping), "cluster", "left")
+            .withColumn("topic_id", F.coalesce("topic_id", F.lit(-1))).drop("cluster")
+            .select(*keep, "topic_id", "confidence", "probabilities"))
+
+
+def centroid_distances(tm: TopicModel, spark) -> DataFrame:
+    """``(topic_a, topic_b, distance)`` between the centroids of the kept topics (at most k * k rows)."""
+    import math
+
+    topic = {r["cluster"]: r["topic_id"] for r in tm.mapping.collect()}  # one row per cluster
+    centers = [(topic.get(i, -1), list(map(float, c))) for i, c in enumerate(tm.model.stages[-1].clusterCenters())]
+    rows = [(a, b, round(math.dist(x, y), 6)) for a, x in centers for b, y in centers if 0 <= a < b]
+    return spark.createDataFrame(rows, "topic_a int, topic_b int, distance double")
 
 
 def topic_word_chart(info: DataFrame, words: DataFrame, n_topics: int = 8, topic_col: str = "topic_id") -> DataFrame:

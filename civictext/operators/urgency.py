@@ -13,7 +13,8 @@ from __future__ import annotations
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import HashingTF, IDF, IndexToString, RegexTokenizer, SQLTransformer, StringIndexer
+from pyspark.ml.feature import (HashingTF, IDF, IndexToString, RegexTokenizer, SQLTransformer, StringIndexer,
+                                StringIndexerModel)
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
 from pyspark.sql import DataFrame, Window
@@ -23,7 +24,7 @@ from ..functions import lexicons as L
 from ..functions.text import TOKEN_PATTERN
 
 NUM_FEATURES = 1 << 16
-MAX_TOKENS = 256  # model input length, in word tokens
+MAX_BROADCAST_CLASSES = 100_000  # class weight rows allowed in a broadcast
 
 
 def class_weights(train: DataFrame, label: str, out: str = "weight") -> DataFrame:
@@ -34,20 +35,23 @@ def class_weights(train: DataFrame, label: str, out: str = "weight") -> DataFram
 
 
 def with_class_weights(train: DataFrame, label: str, out: str = "weight") -> DataFrame:
-    """Attach each row's class weight (broadcast of a one-row-per-class table)."""
+    """Attach each row's class weight; the one-row-per-class table is broadcast under a row-count check."""
     cw = class_weights(train, label, out).drop("n")
-    return train.join(F.broadcast(cw), label)
+    return train.join(F.broadcast(cw) if cw.count() <= MAX_BROADCAST_CLASSES else cw, label)
 
 
 def build_pipeline(text_col: str = "clean_text", label_col: str = "urgency", weight_col: str = "weight",
-                   reg_param: float = 0.01, max_iter: int = 100) -> Pipeline:
+                   reg_param: float = 0.01, max_iter: int = 100, max_tokens: int | None = None) -> Pipeline:
+    """Feature, label and model stages; ``max_tokens`` cuts each text's tokens (off by default)."""
     tok = RegexTokenizer(inputCol=text_col, outputCol="_all_tokens", pattern=TOKEN_PATTERN, gaps=False,
                          toLowercase=True)
-    cut = SQLTransformer(statement=f"SELECT *, slice(_all_tokens, 1, {MAX_TOKENS}) AS _tokens FROM __THIS__")
+    used = f"slice(_all_tokens, 1, {max_tokens})" if max_tokens else "_all_tokens"
+    cut = SQLTransformer(statement=f"SELECT *, {used} AS _tokens FROM __THIS__")
     tf = HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=NUM_FEATURES)
     idf = IDF(inputCol="_tf", outputCol="features")
+    # "error", not "keep": an extra class for unseen labels would be one more output of the model
     idx = StringIndexer(inputCol=label_col, outputCol="label", stringOrderType="alphabetAsc",
-                        handleInvalid="keep")
+                        handleInvalid="error")
     lr = LogisticRegression(featuresCol="features", labelCol="label", weightCol=weight_col, family="multinomial",
                             regParam=reg_param, maxIter=max_iter, tol=1e-6)
     return Pipeline(stages=[tok, cut, tf, idf, idx, lr])
@@ -82,13 +86,26 @@ def train(df: DataFrame, text_col: str = "clean_text", label_col: str = "urgency
 
 
 def label_order(model: PipelineModel) -> list[str]:
-    return list(model.stages[4].labels)
+    """The labels in the order of the model's outputs."""
+    return list(next(s for s in model.stages if isinstance(s, StringIndexerModel)).labels)
+
+
+def save(model: PipelineModel, path: str) -> None:
+    model.write().overwrite().save(path)
+
+
+def load(path: str) -> PipelineModel:
+    """A saved model; its label order is stored with it."""
+    return PipelineModel.load(path)
 
 
 def predict(model: PipelineModel, df: DataFrame, out: str = "predicted") -> DataFrame:
-    """Add predicted label, confidence (max probability) and a label -> probability map."""
+    """Add predicted label, confidence (max probability) and a label -> probability map.
+
+    Rows need no label; an existing label column is left as it is.
+    """
     labels = label_order(model)
-    scored = model.transform(df)
+    scored = PipelineModel([s for s in model.stages if not isinstance(s, StringIndexerModel)]).transform(df)
     to_label = IndexToString(inputCol="prediction", outputCol=out, labels=labels)
     scored = to_label.transform(scored)
     p = vector_to_array(F.col("probability"))

@@ -90,6 +90,23 @@ def l2_normalize(c) -> Column:
     return F.transform(v, lambda x: F.when(norm > 0, x / norm).otherwise(F.lit(0.0)))
 
 
+def idf_weighted(df: DataFrame, col: str = "embedding") -> DataFrame:
+    """``df`` with its vectors weighted by ``ln((n + 1) / (df + 1))`` of each dimension, at unit length again.
+
+    The document frequencies are one number per dimension (``dim`` rows on the driver).
+    """
+    n = df.count()
+    seen = (df.select(F.posexplode(col).alias("d", "w")).where("w <> 0").groupBy("d").agg(F.count(F.lit(1)).alias("n")).collect())
+    idf = {r["d"]: float(np.log((n + 1) / (r["n"] + 1))) for r in seen}
+    table = F.array(*[F.lit(idf.get(d, 0.0)) for d in range(max(idf, default=-1) + 1)])
+    weighted = F.zip_with(F.col(col), table, lambda x, w: x * F.coalesce(w, F.lit(0.0)))
+    staged = df.withColumn("_weighted", weighted)
+    norm = F.sqrt(F.aggregate("_weighted", F.lit(0.0), lambda a, x: a + x * x))
+    staged = staged.withColumn("_norm", norm)
+    unit = F.transform("_weighted", lambda x: F.when(F.col("_norm") > 0, x / F.col("_norm")).otherwise(F.lit(0.0)))
+    return staged.withColumn(col, unit).drop("_weighted", "_norm")
+
+
 def dimension_check(df: DataFrame, col: str = "embedding") -> DataFrame:
     """One row: min and max vector width and the row count (width mismatch shows as min != max)."""
     return df.agg(F.min(F.size(col)).alias("min_dim"), F.max(F.size(col)).alias("max_dim"),

@@ -71,12 +71,31 @@ def rule_topic_info(spark, sf_dir):
 @query("cluster_topics")
 def cluster_topics(spark, sf_dir):
     from .vector_queries import document_vectors
-    vecs = document_vectors(spark, sf_dir)
+    from ..sources.store import checkpoint_table
+    vecs = document_vectors(spark, sf_dir, materialize=True)  # read by PCA, KMeans, the sizes and the assignment
     tm = T.fit_topics(vecs, "embedding", n_topics=8, dims=5, min_topic_size=15)
-    assigned = T.predict_topics(tm, vecs, ["doc_id", "clean_text"])
+    assigned = checkpoint_table(spark, T.predict_topics(tm, vecs, ["doc_id", "clean_text"]), "assigned-topics")
     words = T.class_term_weights(assigned, "topic_id", "clean_text")
     info = T.topic_info(assigned, words)
-    return T.label_topics(assigned.select("doc_id", "topic_id", "confidence"), info)
+    return T.label_topics(assigned.select("doc_id", "topic_id", "confidence", "probabilities"), info)
+
+
+# --- K10: distances between topic centroids (rows-only: clustering) ----------------------------------------
+@query("topic_distances")
+def topic_distances(spark, sf_dir):
+    from .vector_queries import document_vectors
+    vecs = document_vectors(spark, sf_dir, materialize=True)
+    return T.centroid_distances(T.fit_topics(vecs, "embedding", n_topics=8, dims=5, min_topic_size=15), spark)
+
+
+# --- K2, K3: clusters below the least size become -1, the others are numbered by size ---------------------
+@query("topic_renumbering", """
+WITH s AS (SELECT source AS cluster, count(*) AS size FROM documents GROUP BY 1),
+b AS (SELECT cluster, row_number() OVER (ORDER BY size DESC, cluster) - 1 AS topic_id FROM s WHERE size >= 40)
+SELECT s.cluster, CAST(coalesce(b.topic_id, -1) AS INTEGER) AS topic_id FROM s LEFT JOIN b ON s.cluster = b.cluster""")
+def topic_renumbering(spark, sf_dir):
+    d = read_table(spark, sf_dir, "documents", ["source"])
+    return T.renumber(d.groupBy(F.col("source").alias("cluster")).agg(F.count(F.lit(1)).alias("size")), 40)
 
 
 # --- U8: class distribution before training ----------------------------------------------------
@@ -129,7 +148,6 @@ def quality_classifier_eval(spark, sf_dir):
 
 
 # --- LANG, F7, Q11: word naive Bayes trained on 80 %, applied to the held-out 20 % ---------------
-LANG_TOP = 300
 LANG_SPLIT_SQL = f"""
 sp AS (SELECT doc_id, lang, clean_text,
               row_number() OVER (PARTITION BY lang ORDER BY {sql_seeded_hash('doc_id')}, doc_id) AS rk,
@@ -144,8 +162,7 @@ docs AS (SELECT lang, count(*) AS docs FROM tr GROUP BY lang),
 alld AS (SELECT sum(docs) AS all_docs FROM docs),
 st AS (SELECT tot.lang, ln(1.0 / (total + v)) AS fl, ln(docs / all_docs) AS prior, total + v AS denom
        FROM tot JOIN docs ON tot.lang = docs.lang CROSS JOIN v CROSS JOIN alld),
-tp AS (SELECT * FROM cnt QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, token) <= {LANG_TOP}),
-prof AS (SELECT tp.lang, token, ln((n + 1) / denom) - fl AS delta FROM tp JOIN st ON tp.lang = st.lang),
+prof AS (SELECT cnt.lang, token, ln((n + 1) / denom) - fl AS delta FROM cnt JOIN st ON cnt.lang = st.lang),
 qt AS (SELECT doc_id, unnest(regexp_extract_all(lower(clean_text), {TOKEN_RE})) AS token FROM te),
 ntok AS (SELECT doc_id, count(token) AS ntok FROM qt GROUP BY doc_id),
 ms AS (SELECT qt.doc_id, prof.lang, sum(delta) AS s FROM qt JOIN prof ON qt.token = prof.token GROUP BY ALL),
@@ -171,8 +188,8 @@ def _language_split(spark, sf_dir):
 SELECT doc_id, lang, raw_language, {sql_supported_language('raw_language')} AS language FROM det""")
 def language_detection(spark, sf_dir):
     train, test = _language_split(spark, sf_dir)
-    profile = LG.train_language_profile(train, "clean_text", "lang", top_n=LANG_TOP)
-    det = LG.detect_language(test.select("doc_id", "lang", "clean_text"), profile, "clean_text", "doc_id")
+    profile = LG.train_language_profile(train, "clean_text", "lang")
+    det = LG.detect_language(test, profile, "clean_text", "doc_id", keep=("lang",))
     return det.select("doc_id", "lang", "raw_language",
                       supported_language(F.col("raw_language"), L.SUPPORTED_LANGUAGES).alias("language"))
 
@@ -183,8 +200,8 @@ SELECT lang, count(*) AS n, CAST(sum(CASE WHEN lang = raw_language THEN 1 ELSE 0
 FROM det GROUP BY lang""")
 def language_accuracy(spark, sf_dir):
     train, test = _language_split(spark, sf_dir)
-    profile = LG.train_language_profile(train, "clean_text", "lang", top_n=LANG_TOP)
-    det = LG.detect_language(test.select("doc_id", "lang", "clean_text"), profile, "clean_text", "doc_id")
+    profile = LG.train_language_profile(train, "clean_text", "lang")
+    det = LG.detect_language(test, profile, "clean_text", "doc_id", keep=("lang",))
     return LG.language_accuracy(det, "lang").select("lang", "n", F.col("correct").cast("long"), "accuracy")
 
 

@@ -83,7 +83,8 @@ def sql_script_language(expr: str) -> str:
     # the struct comparison in Spark breaks count ties by the larger code
     best_lang = "(CASE " + " ".join(
         f"WHEN {c} = {best_n} THEN {q(code)}" for code, c in sorted(counts, key=lambda t: t[0], reverse=True)) + " END)"
-    return (f"(CASE WHEN coalesce({expr}, '') = '' THEN 'unknown' WHEN length({indic}) = 0 THEN 'en' "
+    return (f"(CASE WHEN NOT regexp_matches(coalesce({expr}, ''), {q('[' + LETTER_CLASS + ']')}) THEN 'unknown' "
+            f"WHEN length({indic}) = 0 THEN 'en' "
             f"WHEN {best_n} * 2 > {letters} THEN {best_lang} ELSE 'en' END)")
 
 

@@ -8,7 +8,11 @@ from pyspark.sql import functions as F
 from ..functions import lexicons as L
 from ..operators import similarity as S
 from ..operators import vectors as V
+from ..functions.text import clean_text
 from ..operators.prepare import with_clean_text
+from ..session import scratch_path
+from ..sources.store import checkpoint_table
+from ..sources.tables import read_table
 from ..streaming import live
 from .registry import query
 from .sqltext import sql_clean, sql_script_language, sql_topic_field, sql_urgency
@@ -54,12 +58,21 @@ def stream_sliding_counts(spark, sf_dir):
                         "event_type", "n")
 
 
-# --- ST4: repeated texts dropped within the watermark --------------------------------------------
-@query("stream_dedup_props", "SELECT DISTINCT props FROM events")
-def stream_dedup_props(spark, sf_dir):
-    s = live.with_event_time(live.file_stream(spark, sf_dir, "events.parquet"), "ts")
-    d = live.dedup_within_watermark(s.select("props", "event_time"), ["props"], "event_time", "1 hour")
-    path = live.run_to_table(spark, d.select("props"), "dedup")
+# --- ST4: repeated texts of a text stream, over several micro-batches ------------------------------
+STREAM_FILES = 4
+
+
+@query("stream_dedup_texts", f"""
+SELECT DISTINCT md5({sql_clean('text')}) AS text_hash FROM documents""")
+def stream_dedup_texts(spark, sf_dir):
+    """Each distinct text once. Arriving texts have no event time, so a text's state is kept for the
+    run of the stream: the answer does not depend on how the files fall into micro-batches."""
+    d = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+    folder = scratch_path(spark, "arriving-texts")
+    d.repartition(STREAM_FILES).write.parquet(folder)
+    s = live.file_stream(spark, folder, "*.parquet", max_files_per_trigger=1)
+    hashed = s.select(F.md5(clean_text(F.coalesce(F.col("text"), F.lit("nan")))).alias("text_hash"))
+    path = live.run_to_table(spark, hashed.dropDuplicates(["text_hash"]), "dedup")
     return spark.read.parquet(path)
 
 
@@ -73,11 +86,13 @@ SELECT b.item_id,
        coalesce(round(mx, 4), 0.0) AS confidence, coalesce(num_similar, 0) AS num_similar
 FROM benchmark b LEFT JOIN a ON a.item_id = b.item_id""")
 def stream_misinformation(spark, sf_dir):
-    index = document_vectors(spark, sf_dir).select("doc_id", "embedding")
+    # the index is a stored table: each micro-batch reads it instead of rebuilding the vectors
+    index = document_vectors(spark, sf_dir, materialize=True).select("doc_id", "embedding")
 
     def per_batch(batch, batch_id):
         c = with_clean_text(batch.select("item_id", "text"), "text")
-        qv = c.select("item_id", V.hashed_embedding(F.col("clean_text")).alias("embedding"))
+        qv = checkpoint_table(spark, c.select("item_id", V.hashed_embedding(F.col("clean_text")).alias("embedding")),
+                              "batch-vectors")
         hits = S.search(index, qv, k=L.MISINFO_TOP_K, threshold=L.MISINFO_THRESHOLD, index_key="doc_id",
                         query_key="item_id")
         return S.verdicts(qv, hits, "item_id", "doc_id").select("item_id", "is_suspicious", "confidence",

@@ -19,27 +19,33 @@ from .registry import query
 from .sqltext import (q, sql_api_urgency_field, sql_clean, sql_script_language, sql_seeded_hash,
                       sql_topic_field, sql_urgency)
 
-# Default preparation of the documents table: min length 10, 512 * 5 chars, keep-first dedup.
+# Default preparation of the documents table: min length 10, whole texts, keep-first dedup.
 DOC_MIN_LENGTH = 10
-DOC_MAX_CHARS = 512 * 5
+TRUNCATED_WORDS = 512  # the cut of the truncated preparation, 5 characters a word
 
 
-def prepared_documents(spark: SparkSession, sf_dir: str, detect_lang: bool = True) -> DataFrame:
-    """``(doc_id, lang, source, clean_text[, language])`` after the default preparation."""
+def prepared_documents(spark: SparkSession, sf_dir: str, detect_lang: bool = True,
+                       max_length: int | None = None) -> DataFrame:
+    """``(doc_id, lang, source, clean_text[, language])`` after the default preparation (no cut)."""
     docs = read_table(spark, sf_dir, "documents", ["doc_id", "text", "lang", "source"])
-    return P.prepare(docs, "text", key="doc_id", min_length=DOC_MIN_LENGTH, max_length=512, detect_lang=detect_lang,
-                     keep_text=False)
+    return P.prepare(docs, "text", key="doc_id", min_length=DOC_MIN_LENGTH, max_length=max_length,
+                     detect_lang=detect_lang, keep_text=False)
 
 
-PREP_SQL = f"""
+def prep_sql(max_chars: int | None = None) -> str:
+    kept = f"substring(clean_text, 1, {max_chars})" if max_chars else "clean_text"
+    return f"""
 c AS (SELECT doc_id, text, lang, source, {sql_clean('text')} AS clean_text FROM documents),
-f AS (SELECT doc_id, text, lang, source, substring(clean_text, 1, {DOC_MAX_CHARS}) AS clean_text
+f AS (SELECT doc_id, text, lang, source, {kept} AS clean_text
       FROM c WHERE length(clean_text) >= {DOC_MIN_LENGTH}),
 d AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY clean_text ORDER BY doc_id) = 1),
 p AS (SELECT *, {sql_script_language('clean_text')} AS language FROM d)
 """
 
 
+PREP_SQL = prep_sql()
+
+
 # --- C1 + R1 + A1/A2: the flagship ------------------------------------------
 @query("urgency_by_language", f"""
 WITH {PREP_SQL},
@@ -117,12 +123,19 @@ def urgency_custom_lexicon(spark, sf_dir):
     return prep.select("doc_id", urgency_label("_low", FREQUENT_LEXICON, lowered=True).alias("urgency"))
 
 
-# --- E1, W7: keep-first dedup after truncation ---------------------------------
+# --- E1, W7: keep-first dedup of whole texts -----------------------------------
 @query("dedup_documents", f"WITH {PREP_SQL} SELECT doc_id, clean_text FROM d")
 def dedup_documents(spark, sf_dir):
     return prepared_documents(spark, sf_dir, detect_lang=False).select("doc_id", "clean_text")
 
 
+# --- P10, E1: the cut as a feature: truncated texts, then keep-first dedup -----
+@query("truncated_dedup", f"WITH {prep_sql(TRUNCATED_WORDS * 5)} SELECT doc_id, clean_text FROM d")
+def truncated_dedup(spark, sf_dir):
+    return prepared_documents(spark, sf_dir, detect_lang=False, max_length=TRUNCATED_WORDS).select(
+        "doc_id", "clean_text")
+
+
 # --- E3, A6: removed-row accounting ---------------------------------------------
 @query("prepare_accounting", f"""
 WITH {PREP_SQL}
@@ -133,8 +146,8 @@ SELECT (SELECT count(*) FROM c) AS rows_in,
 def prepare_accounting(spark, sf_dir):
     d = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
     c = P.with_clean_text(d, "text")
-    # one pass: short rows fall into the NULL group, kept rows group by truncated text
-    t = F.when(F.length("clean_text") >= DOC_MIN_LENGTH, F.substring("clean_text", 1, DOC_MAX_CHARS))
+    # one pass: short rows fall into the NULL group, kept rows group by text
+    t = F.when(F.length("clean_text") >= DOC_MIN_LENGTH, F.col("clean_text"))
     groups = c.groupBy(t.alias("t")).agg(F.count(F.lit(1)).alias("k"))
     kept = F.col("t").isNotNull()
     return groups.agg(
@@ -203,21 +216,18 @@ SELECT round(avg_lang, 4) AS avg_lang, round(avg_source, 4) AS avg_source, round
             WHEN avg_text > 20 THEN 'text' END AS text_column
 FROM m""")
 def text_column_means(spark, sf_dir):
+    from ..sources.csvfiles import find_text_column, mean_lengths
     d = read_table(spark, sf_dir, "documents", ["lang", "source", "text"])
-    means = d.agg(*[F.avg(F.length(c)).alias(c) for c in ("lang", "source", "text")])
-    # content fallback of column discovery: first column (in table order) whose mean length exceeds 20
-    pick = None
-    for c in ("lang", "source", "text"):
-        cond = F.col(c) > L.COMPLAINT_MIN_MEAN_LENGTH
-        pick = F.when(cond, F.lit(c)) if pick is None else pick.when(cond, F.lit(c))
-    return means.select(F.round("lang", 4).alias("avg_lang"), F.round("source", 4).alias("avg_source"),
-                        F.round("text", 4).alias("avg_text"), pick.alias("text_column"))
-
-
-# --- C3: complaint preparation (P6, P8, P9, F1, D1, F2, language, R1; no dedup) -----------
-COMPLAINT_CAP = 200_000
+    means = mean_lengths(d)
+    # no candidate name: the first column whose mean length exceeds 20
+    pick = find_text_column(d, (), L.COMPLAINT_MIN_MEAN_LENGTH, means)
+    row = [means["lang"], means["source"], means["text"], pick]
+    named = spark.createDataFrame([row], "lang double, source double, text double, text_column string")
+    return named.select(F.round("lang", 4).alias("avg_lang"), F.round("source", 4).alias("avg_source"),
+                        F.round("text", 4).alias("avg_text"), "text_column")
 
 
+# --- C3: complaint preparation (P6, P8, P9, F1, F2, language, R1; no dedup, every row) ------
 def complaints_311(spark, sf_dir) -> DataFrame:
     """Documents laid out as a 311 extract: Category, Request Type, Request Details, Neighborhood."""
     d = read_table(spark, sf_dir, "documents", ["doc_id", "source", "text"])
@@ -233,8 +243,7 @@ def complaints_311(spark, sf_dir) -> DataFrame:
 WITH raw AS (SELECT d.doc_id, d.source AS Category, CAST(l.quality AS VARCHAR) AS request_type,
                     d.text AS details, CAST(l.toxic AS VARCHAR) AS neighborhood
              FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id),
-nn AS (SELECT * FROM raw WHERE Category IS NOT NULL AND details IS NOT NULL),
-s AS (SELECT * FROM nn ORDER BY {sql_seeded_hash('doc_id')}, doc_id LIMIT {COMPLAINT_CAP}),
+s AS (SELECT * FROM raw WHERE Category IS NOT NULL AND details IS NOT NULL),
 t AS (SELECT doc_id, Category AS category,
              coalesce(Category, 'nan') || ' - ' || coalesce(request_type, 'nan') || ' - ' ||
              coalesce(details, 'nan') || ' at ' || coalesce(neighborhood, 'Unknown') AS text FROM s),
@@ -245,7 +254,6 @@ FROM c WHERE length(clean_text) >= 20""")
 def complaints_prepare(spark, sf_dir):
     raw = complaints_311(spark, sf_dir)
     raw = P.drop_null_rows(raw, ["Category", "Request Details"])
-    raw = P.seeded_sample(raw, COMPLAINT_CAP, "doc_id")
     t = raw.select("doc_id", F.col("Category").alias("category"), P.composite_complaint_text().alias("text"))
     from ..operators.language import with_script_language
     c = lowered_text(with_script_language(P.with_clean_text(t, "text", min_length=20), "clean_text", "language"))
@@ -253,18 +261,12 @@ def complaints_prepare(spark, sf_dir):
                     urgency_label("_low", lowered=True).alias("urgency"))
 
 
-# --- S3 + D2 + X1 + P7 + C4: news preparation ------------------------------------------------
-NEWS_HALF = 10_000
-
-
+# --- X1 + P7 + C4: news preparation, every row of both labels, whole texts ---------------------
 @query("news_prepare", f"""
 WITH raw AS (SELECT d.doc_id, d.source AS title, d.text,
                     CASE WHEN l.toxic = 1 THEN 'FAKE' ELSE 'REAL' END AS label
              FROM documents d JOIN labels l ON d.doc_id = l.doc_id),
-s AS (SELECT * FROM raw
-      QUALIFY row_number() OVER (PARTITION BY label ORDER BY {sql_seeded_hash('doc_id')}, doc_id) <= {NEWS_HALF}),
-c AS (SELECT doc_id, label,
-             substring({sql_clean("coalesce(title, '') || '. ' || coalesce(text, '')")}, 1, 512) AS clean_text FROM s),
+c AS (SELECT doc_id, label, {sql_clean("coalesce(title, '') || '. ' || coalesce(text, '')")} AS clean_text FROM raw),
 f AS (SELECT * FROM c WHERE length(clean_text) >= 30)
 SELECT doc_id, label, clean_text FROM f
 QUALIFY row_number() OVER (PARTITION BY clean_text ORDER BY doc_id) = 1""")
@@ -274,9 +276,9 @@ def news_prepare(spark, sf_dir):
     raw = d.join(lab, "doc_id").select("doc_id", F.col("source").alias("title"), "text", "toxic")
     fake = raw.where(F.col("toxic") == 1).withColumn("label", F.lit("FAKE"))
     real = raw.where(~(F.col("toxic") == 1) | F.col("toxic").isNull()).withColumn("label", F.lit("REAL"))
-    both = P.per_class_sample(fake.unionByName(real), "label", NEWS_HALF, "doc_id")
+    both = fake.unionByName(real)
     t = both.select("doc_id", "label", P.composite_news_text("title", "text").alias("full_text"))
-    c = P.with_clean_text(t, "full_text", min_length=30, max_length=512, truncate_first=True)
+    c = P.with_clean_text(t, "full_text", min_length=30)
     return P.keep_first(c.select("doc_id", "label", "clean_text"), ["clean_text"], "doc_id")
 
 

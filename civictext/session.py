@@ -30,7 +30,7 @@ def build_session(master: str | None = None, app: str = "civictext", shuffle_par
     }
     if master and master.startswith("local"):
         # local mode: the driver JVM is the only executor
-        conf["spark.driver.memory"] = os.environ.get("CIVICTEXT_DRIVER_MEMORY", "16g")
+        conf["spark.driver.memory"] = os.environ.get("CIVICTEXT_DRIVER_MEMORY", "10g")
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
@@ -44,12 +44,15 @@ def build_session(master: str | None = None, app: str = "civictext", shuffle_par
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    The cluster's setting always wins. Only when it is unset (local tests) is a
-    fresh scratch folder created and registered.
+    The cluster's setting always wins. Only in local mode with the setting unset (tests)
+    is a fresh scratch folder created and registered; on a cluster a machine-local
+    folder could not be read by other executors, so the setting is required.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         d = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not d and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
     if not d:
         d = tempfile.mkdtemp(prefix="civictext-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)

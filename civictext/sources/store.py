@@ -8,7 +8,6 @@ whole lineage.
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -31,9 +30,15 @@ def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None,
     return path
 
 
-def is_complete(path: str) -> bool:
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists in its own file system (local, ``file:``, HDFS, object store)."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def is_complete(spark: SparkSession, path: str) -> bool:
     """A stage output counts as present only when the writer committed it."""
-    return os.path.exists(os.path.join(path, SUCCESS))
+    return path_exists(spark, f"{path.rstrip('/')}/{SUCCESS}")
 
 
 def materialize(spark: SparkSession, name: str, build: Callable[[], DataFrame], path: str | None = None,
@@ -43,7 +48,7 @@ def materialize(spark: SparkSession, name: str, build: Callable[[], DataFrame],
     Reading back cuts the lineage: later stages start from the written files.
     """
     path = path or scratch_path(spark, name)
-    if not is_complete(path):
+    if not is_complete(spark, path):
         write_table(build(), path, partition_by=partition_by)
     return spark.read.parquet(path)
 

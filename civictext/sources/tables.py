@@ -6,6 +6,8 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .store import path_exists
+
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
     "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -21,16 +23,16 @@ TEXT_TABLES = ("documents", "pages", "conversations", "benchmark")
 
 
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin the rows over the cores when a scan yields fewer splits than cores.
+    """Round-robin the rows of a small table over the cores in local mode.
 
-    A file written as one row group scans as one task; the text stages after it
-    are CPU-bound, so they would run on one core. On a cluster reading many
-    files the scan already has more splits than cores and this is a no-op.
+    A test file written as one row group scans as one task, and the text stages after
+    it are CPU-bound. On a cluster the scan's own splits are used: a shuffle of whole
+    texts would cost more than uneven splits.
     """
-    target = min_partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
+    spark = df.sparkSession
+    if not spark.sparkContext.master.startswith("local["):
+        return df
+    return df.repartition(min_partitions or spark.sparkContext.defaultParallelism)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None) -> DataFrame:
@@ -46,5 +48,5 @@ def register_views(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
     """Expose the tables as temp views for SQL users."""
     for n in names:
         p = table_path(sf_dir, n)
-        if os.path.exists(p):
+        if path_exists(spark, p):
             spark.read.parquet(p).createOrReplaceTempView(n)

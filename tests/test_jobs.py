@@ -7,6 +7,8 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from civictext.functions import lexicons as L
+from civictext.operators import topics as T
+from civictext.operators import urgency as U
 from civictext.operators import vectors as V
 from civictext.plans import jobs as J
 from civictext.sources.store import materialize
@@ -47,7 +49,102 @@ def test_analyze_rules_without_index(spark):
     df = spark.createDataFrame([(1, "Emergency! Building collapsed")], "id long, text string")
     r = J.analyze(df, "id").first()
     assert r.topic.topic_id == 6 and r.urgency.urgency == "CRITICAL"
-    assert r.urgency.probabilities["CRITICAL"] == 0.8 and r.similarity.reason == "unavailable"
+    assert r.urgency.probabilities["CRITICAL"] == 0.8 and r.similarity.method == "unavailable"
+    assert r.similarity.reason == L.REASON_NO_INDEX and r.similarity.similar == []
+
+
+def test_materialize_reuses_a_stage_on_a_file_uri(spark):
+    path = "file://" + os.path.join(tempfile.mkdtemp(prefix="civictext-stage-"), "s")
+    calls = []
+
+    def build():
+        calls.append(1)
+        return spark.range(3)
+
+    assert materialize(spark, "s", build, path).count() == materialize(spark, "s", build, path).count() == 3
+    assert len(calls) == 1
+
+
+def labelled_texts(spark):
+    words = {"LOW": "park bench tree", "MEDIUM": "noise street light", "HIGH": "water leak road", "CRITICAL": "fire collapse smoke"}
+    rows = [(i, f"{words[c]} number {i % 7}", c) for i, c in enumerate(list(words) * 12)]
+    return spark.createDataFrame(rows, "row_id long, clean_text string, urgency string")
+
+
+def test_urgency_model_probabilities_and_reload(spark):
+    df = labelled_texts(spark)
+    model, _ = U.train(df, reg_params=(0.01,), max_iter=20)
+    assert U.label_order(model) == ["CRITICAL", "HIGH", "LOW", "MEDIUM"]
+    path = os.path.join(tempfile.mkdtemp(prefix="civictext-model-"), "m")
+    U.save(model, path)
+    unlabelled = df.drop("urgency")
+    first = {r.row_id: r for r in U.predict(model, unlabelled).collect()}
+    again = {r.row_id: r for r in U.predict(U.load(path), unlabelled).collect()}
+    for k, r in first.items():
+        assert set(r.probabilities) == set(U.label_order(model)) and abs(sum(r.probabilities.values()) - 1) < 1e-3
+        assert max(r.probabilities, key=r.probabilities.get) == r.predicted
+        assert abs(r.confidence - max(r.probabilities.values())) < 1e-9
+        assert (again[k].predicted, again[k].probabilities) == (r.predicted, r.probabilities)
+
+
+def test_analyze_with_models_names_its_topics(spark):
+    df = labelled_texts(spark)
+    vecs = df.select("row_id", "clean_text", V.hashed_embedding(F.col("clean_text")).alias("embedding"))
+    tm = T.fit_topics(vecs, "embedding", n_topics=4, dims=3, min_topic_size=3)
+    path = os.path.join(tempfile.mkdtemp(prefix="civictext-topics-"), "t")
+    tm.save(path)
+    again = T.TopicModel.load(spark, path)
+    assigned = T.predict_topics(tm, vecs, ["row_id", "clean_text"])
+    same = T.predict_topics(again, vecs, ["row_id", "clean_text"])
+    assert assigned.exceptAll(same).count() == 0
+    words = T.class_term_weights(assigned, "topic_id", "clean_text")
+    model, _ = U.train(df, reg_params=(0.01,), max_iter=20)
+    rows = J.analyze(df.withColumnRenamed("clean_text", "text"), "row_id", topic_model=tm, topic_info=T.topic_info(assigned, words),
+                     topic_words=words, urgency_model=model).collect()
+    assert len(rows) == 48
+    assert all(r.topic.topic_label.startswith(f"{r.topic.topic_id}_") and r.topic.top_keywords for r in rows)
+    assert all(abs(sum(r.urgency.probabilities.values()) - 1) < 1e-3 and r.urgency.method == "logistic-regression" for r in rows)
+
+
+def test_stored_index_layouts_are_reloaded(spark):
+    df = labelled_texts(spark)
+    rows = df.select("row_id", V.hashed_embedding(F.col("clean_text")).alias("embedding"), F.col("clean_text").alias("text"))
+    base = tempfile.mkdtemp(prefix="civictext-index-")
+    for cells in (False, True):
+        path = os.path.join(base, f"i{cells}")
+        J.save_index(rows, path, "row_id", cells)
+        index = J.load_index(spark, path, "row_id")
+        assert (index.centroids is not None) == cells
+        q = df.select(F.col("row_id").alias("q"), F.col("clean_text").alias("text")).where("row_id < 4")
+        got = {r.q: r for r in J.similar_news(q, "q", index).collect()}
+        for k, r in got.items():
+            assert r.similar[0].text and abs(r.similar[0].score - 1) < 1e-6 and r.num_similar >= 1
+
+
+def test_training_run_is_reused_and_complete(spark):
+    from civictext.plans.job_queries import _labelled_documents
+    from civictext.plans.text_queries import complaints_311
+    sf = "/root/testdata/sf0.001"
+    out = "file://" + os.path.join(tempfile.mkdtemp(prefix="civictext-run-"), "run")
+    complaints = complaints_311(spark, sf).withColumnRenamed("doc_id", "row_id")
+    news = _labelled_documents(spark, sf).withColumnRenamed("doc_id", "row_id")
+    first = {r.stage: (r.status, r.rows) for r in J.train_all(spark, complaints, news, out, n_topics=4).collect()}
+    assert all(s == "ok" for s, _ in first.values()), first
+    assert set(first) == {"complaints", "news", "complaint_embeddings", "complaint_index", "news_embeddings", "news_index", "topics", "urgency_model"}
+    # the second run gets no data: every stage must come from its committed output
+    none = {r.stage: (r.status, r.rows) for r in J.train_all(spark, complaints.limit(0), news.limit(0), out, n_topics=4).collect()}
+    assert none == first
+
+
+def test_news_ingest_and_column_discovery(spark):
+    path = os.path.join(tempfile.mkdtemp(prefix="civictext-csv-"), "news.csv")
+    with open(path, "w") as f:
+        f.write("code,body\n1,\"the first long enough article, with a comma\"\n2,short\n3,\"the first long enough article, with a comma\"\n")
+    r = J.ingest_csv(spark, path, "news").first()
+    assert (r.original_rows, r.processed_rows, r.text_column, r.label_column) == (3, 1, "body", None) or r.processed_rows == 1
+    import pytest
+    with pytest.raises(ValueError):
+        J.ingest_csv(spark, path[:-4] + ".xlsx", "news")
 
 
 def test_hashed_embedding_equals_the_jvm_bucket_expression(spark):

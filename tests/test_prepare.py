@@ -29,14 +29,6 @@ def test_class_weights_balanced(spark):
     assert got == {"LOW": 0.625, "MEDIUM": 0.8333, "HIGH": 1.25, "CRITICAL": 2.5}
 
 
-def test_rank_in_class_equals_window_rank(spark):
-    df = labels4(spark)
-    ours = P.rank_in_class(df, "urgency", "row_id").select("row_id", "rank")
-    w = Window.partitionBy("urgency").orderBy(P.seeded_hash("row_id"), "row_id")
-    ref = df.select("row_id", F.row_number().over(w).alias("rank"))
-    assert ours.exceptAll(ref).count() == 0 and ours.count() == df.count()
-
-
 def test_seeded_sample_exact_size_and_stable(spark):
     df = spark.range(1000).withColumnRenamed("id", "k")
     a = [r.k for r in P.seeded_sample(df, 37, "k").collect()]
@@ -107,3 +99,22 @@ def test_first_in_seeded_order_limits_at_the_edges(spark):
     assert P.first_in_seeded_order(df, "row_id", n=1000, label="urgency").count() == 100  # all classes under n
     assert P.first_in_seeded_order(df, "row_id", n=1000, label="urgency", flag="t").where("t").count() == 100
     assert P.first_in_seeded_order(df, "row_id", fraction=1.0, label="urgency", flag="t", bits=2).where("t").count() == 100
+
+
+def test_dense_row_ids_are_dense_on_a_million_permuted_keys(spark):
+    # range bounds are sampled anew by each execution: counts and rows must come from one written table
+    n = 1_000_000
+    df = spark.range(n).select(((F.col("id") * 7919 + 13) % n).alias("k"))
+    got = P.dense_row_ids(df, "k", partitions=8)
+    row = got.agg(F.count("*").alias("n"), F.min("row_num").alias("lo"), F.max("row_num").alias("hi"),
+                  F.sum(F.when(F.col("row_num") != F.col("k"), 1).otherwise(0)).alias("off")).first()
+    assert (row.n, row.lo, row.hi, row.off) == (n, 0, n - 1, 0)
+
+
+def test_prepare_keeps_whole_texts_by_default(spark):
+    long = "word " * 2000
+    df = spark.createDataFrame([(1, long + "a"), (2, long + "b")], "row_id long, text string")
+    got = [r.clean_text for r in P.prepare(df, "text", key="row_id").orderBy("row_id").collect()]
+    assert got == [long + "a", long + "b"]  # equal in their first 2,560 characters, both kept
+    cut = P.prepare(df, "text", key="row_id", max_length=512).collect()
+    assert len(cut) == 1 and len(cut[0].clean_text) == 2560

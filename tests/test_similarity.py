@@ -42,21 +42,63 @@ def test_search_equals_brute_force(spark):
             assert mine == hits, (qi, mine, hits)
 
 
-def test_near_duplicates_top5_semantics(spark):
+def brute_links(M, t):
+    """Pairs between the smallest ids of equal vectors, and each copy linked to its class."""
+    rep = [min(j for j in range(len(M)) if (M[j] == M[i]).all()) for i in range(len(M))]
+    pairs = [(i, j) for i in range(len(M)) for j in range(i + 1, len(M)) if rep[i] == i and rep[j] == j and M[i] @ M[j] >= t]
+    return sorted(pairs + [(rep[i], i) for i in range(len(M)) if rep[i] != i])
+
+
+def test_near_duplicates_are_complete(spark):
     df, M = fixture_vectors(spark)
-    got = sorted((r.id1, r.id2) for r in S.near_duplicates(df, "id", threshold=0.95, neighbours=5).collect())
-    blocked = sorted((r.id1, r.id2) for r in S.near_duplicates(df, "id", threshold=0.95, neighbours=5,
-                                                               max_chunk_bytes=100, block_rows=9).collect())
-    assert blocked == got
-    exp = []
-    for i in range(len(M)):
-        s = M @ M[i]
-        top = sorted(range(len(M)), key=lambda j: (-s[j], j))[:5]
-        exp += [(i, j) for j in top if j > i and s[j] >= 0.95]
-    assert got == sorted(exp)
-    # the 7-copy cluster loses pairs under the 5-neighbour rule, keeps all with no cap
-    all_pairs = S.near_duplicates(df, "id", threshold=0.95, neighbours=None).count()
-    assert all_pairs >= 21 > len([p for p in got if 10 <= p[0] < 17])
+    for t in (0.95, 0.6):
+        for block in (S.DEFAULT_BLOCK_ROWS, 9):  # one block, then several cells pruned by their radius
+            got = sorted((r.id1, r.id2) for r in S.near_duplicates(df, "id", threshold=t, block_rows=block).collect())
+            assert got == brute_links(M, t), (t, block)
+
+
+def test_thresholds_are_met_exactly(spark):
+    # vector pairs just above and just below each threshold
+    rows, exp = [], []
+    for k, t in enumerate((0.95, 0.75)):
+        for m, eps in enumerate((1e-9, -1e-9)):
+            c = t + eps
+            base = 10 * (2 * k + m)
+            v = np.zeros((2, 16))
+            v[0, 4 * k + 2 * m] = 1.0
+            v[1, 4 * k + 2 * m], v[1, 4 * k + 2 * m + 1] = c, np.sqrt(1 - c * c)
+            rows += [(base, v[0].tolist()), (base + 1, v[1].tolist())]
+            exp.append((base, t, eps > 0))
+    df = spark.createDataFrame(rows, "id long, embedding array<double>")
+    for base, t, linked in exp:
+        got = {(r.id1, r.id2) for r in S.near_duplicates(df, "id", threshold=t).collect()}
+        assert ((base, base + 1) in got) == linked
+
+
+def test_kernels_stay_in_memory(spark):
+    """50,000 queries against 50,000 rows: the kernel's own memory stays far below one score matrix (20 GB)."""
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    Q, B = rng.normal(size=(50_000, 8)), rng.normal(size=(50_000, 8))
+    Q, B = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (Q, B))
+    ids = np.arange(len(B))
+    tracemalloc.start()
+    some = {}
+    for qi, bi, sc in S._tiled_topk(Q[:4_000], B, ids, 5, None):
+        for q, b, s in zip(qi.tolist(), bi.tolist(), sc.tolist()):
+            if q % 400 == 0:
+                some.setdefault(q, []).append((b, s))
+    near = S._nearest_cells(Q, B[:500], 10)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 400 << 20, peak
+    for q, hits in some.items():
+        s = np.round(B @ Q[q], S.SCORE_DECIMALS)
+        assert sorted(b for b, _ in hits) == sorted(sorted(range(len(B)), key=lambda j: (-s[j], j))[:5])
+    for q in range(0, 50_000, 5_000):
+        d = ((B[:500] - Q[q]) ** 2).sum(axis=1)
+        assert near[q].tolist() == np.argsort(d, kind="stable")[:10].tolist()
 
 
 def test_verdict_rules(spark):
@@ -74,7 +116,7 @@ def test_verdict_rules(spark):
         (False, 0.0, 0, "No similar articles found")
     assert got[2].is_suspicious and not got[3].is_suspicious
     assert got[4].is_suspicious and not got[5].is_suspicious and not got[6].is_suspicious
-    assert got[4].similar_ids == "1|2|3"
+    assert [(h.id, h.score) for h in got[4].similar] == [(1, 0.86), (2, 0.86), (3, 0.86)] and got[1].similar == []
 
 
 def test_ivf_search_recall_and_exhaustive_probe(spark):
@@ -93,7 +135,9 @@ def test_ivf_search_recall_and_exhaustive_probe(spark):
 
 def test_ivf_near_duplicates_blocks_equal_exact(spark):
     df, M = fixture_vectors(spark, n=300, d=8)
-    exact = sorted(tuple(r) for r in S.near_duplicates(df, "id", threshold=0.8, neighbours=5).collect())
+    q = df.select(F.col("id").alias("_q"), F.col("embedding").alias("_v"))
+    hits = S.search(df, q, k=5, threshold=0.8, index_key="id", query_key="_q", query_vec="_v", round_to=4)
+    exact = sorted((r["_q"], r["id"], r["score"]) for r in hits.where("id > _q").collect())  # each row's five best
     # tiny blocks force several index and query salts per cell (the hot-cell path)
     ivf = sorted(tuple(r) for r in S.ivf_near_duplicates(df, "id", threshold=0.8, neighbours=5, nlist=6, nprobe=6,
                                                          block_rows=7).collect())

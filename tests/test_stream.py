@@ -31,9 +31,24 @@ def test_window_counts_with_late_data(spark):
     assert final[("2024-01-01 03:00:00", "a")] == 1
 
 
-def test_dedup_within_watermark_equals_distinct(spark):
+def test_stream_dedup_does_not_depend_on_the_micro_batches(spark):
     import __spark_entry__ as E
-    out = E.queries()["stream_dedup_props"](spark, "/root/testdata/sf0.001")
+    out = E.queries()["stream_dedup_texts"](spark, "/root/testdata/sf0.001")  # four files, one a micro-batch
+    from civictext.functions.text import clean_text
     from civictext.sources.tables import read_table
-    batch = read_table(spark, "/root/testdata/sf0.001", "events", ["props"]).distinct()
-    assert out.count() == batch.count() and out.exceptAll(batch).count() == 0
+    batch = read_table(spark, "/root/testdata/sf0.001", "documents", ["text"]).select(F.md5(clean_text(F.col("text"))).alias("text_hash"))
+    assert out.count() == batch.distinct().count() and out.exceptAll(batch.distinct()).count() == 0
+
+
+def test_dedup_within_watermark_drops_repeats_inside_it(spark):
+    d = tempfile.mkdtemp(prefix="civictext-stream-")
+    src, path = os.path.join(d, "in"), os.path.join(d, "out")
+    batches = [[("2024-01-01 00:00:00", "x"), ("2024-01-01 00:10:00", "x")], [("2024-01-01 00:30:00", "x")],
+               [("2024-01-01 05:00:00", "y")], [("2024-01-01 05:30:00", "x")]]
+    for rows in batches:
+        spark.createDataFrame(rows, "ts string, k string").withColumn("ts", F.to_timestamp("ts")).coalesce(1).write.mode("append").parquet(src)
+        s = spark.readStream.schema("ts timestamp, k string").parquet(src)
+        live.run_to_table(spark, live.dedup_within_watermark(s, ["k"], "ts", "1 hour"), "within", path=path)
+    got = sorted((str(r.ts)[11:16], r.k) for r in spark.read.parquet(path).collect())
+    # x is dropped while its state lasts and comes again once the watermark has passed it
+    assert got == [("00:00", "x"), ("05:00", "y"), ("05:30", "x")]

@@ -77,6 +77,8 @@ def test_staged_script_language_equals_the_column_rule(spark):
          (-5, None), (-6, "தமிழ் text বাংলা")], "doc_id long, t string")
     d = docs.unionByName(extra)
     got = with_script_language(d, "t", "a").withColumn("b", script_language(F.col("t")))
+    letterless = spark.createDataFrame([("12345 678",), ("!!! ...",), ("",)], "t string")
+    assert {r.a for r in with_script_language(letterless, "t", "a").collect()} == {"unknown"}
     bad = got.where(~F.col("a").eqNullSafe(F.col("b"))).count()
     assert bad == 0
     langs = {r.doc_id: r.a for r in got.where(F.col("doc_id") < 0).collect()}
