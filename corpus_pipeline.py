@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from civictext.session import scratch_path
 from llm import decontaminate, language_profiles, mixing, ngram_join, surrogates
+from llm.shared import free
 
 MIN_SCORE = 0.2  # a text whose out-of-place distance to every profile is more than 80 % of the greatest possible
 
@@ -31,9 +32,10 @@ MIN_SCORE = 0.2  # a text whose out-of-place distance to every profile is more t
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows with a recognised language."""
     profiles = language_profiles.learn_profiles(docs.where(~language_profiles.held_out("doc_id", 4, 2) & F.col("doc_id").isNotNull()))
-    named = language_profiles.predict(docs, profiles, docs.columns)
-    good = named.where((F.col("lang_pred") != language_profiles.UNKNOWN) & (F.col("score") >= MIN_SCORE))
-    return good.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    found, score = free(docs, "lang_pred", "score")
+    named = language_profiles.predict(docs, profiles, docs.columns, out=(found, score))
+    good = named.where((F.col(found) != language_profiles.UNKNOWN) & (F.col(score) >= MIN_SCORE))
+    return good.withColumn("lang", F.coalesce("lang", found)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +51,7 @@ def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows, with surrogates for personal data."""
     out = surrogates.replace_private(docs)
-    return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*[F.col(f"`{c}`") for c in docs.columns if c in out.columns])
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bit_filter, in_filter, saved
+from .shared import bit_filter, free, in_filter, saved
 from .words import ALNUM, gram_hashes, grams_at, text_runs, word_hashes, word_spans
 
 WINDOW = 10
@@ -142,5 +142,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = K, id_col: str = "doc_id") -> DataFrame:
     """``docs`` without the rows whose id has a text that holds an item window; the others stay whole."""
-    bad = contamination(docs, benchmark, window, k, id_col).where("n_hit > 0").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs[id_col] == F.col("_bad"), "left_anti")
+    name = free(docs, "_bad")[0]
+    bad = contamination(docs, benchmark, window, k, id_col).where("n_hit > 0").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(saved(bad, "contaminated"), docs[id_col] == F.col(name), "left_anti")

@@ -146,7 +146,7 @@ class Judge:
         return self.names[best], 1.0 - float(away[best]) / (self.size * len(own))
 
 
-def _judge(shared, size: int):
+def _judge(shared, size: int, names: tuple[str, str]):
     def run(batches):
         judge = Judge(shared.value, size)
         for b in batches:
@@ -154,16 +154,17 @@ def _judge(shared, size: int):
             found = [judge(t.as_py()) for t in text]
             yield pa.RecordBatch.from_arrays(
                 [*b.columns[:-1], pa.array([x for x, _ in found], pa.string()), pa.array([y for _, y in found], pa.float64())],
-                [*b.schema.names[:-1], "lang_pred", "score"])
+                [*b.schema.names[:-1], *names])
     return run
 
 
-def predict(docs: DataFrame, profiles: dict[str, list[int]], keep: list[str], size: int = SIZE, text_col: str = "text") -> DataFrame:
-    """``keep`` columns with ``lang_pred`` and ``score`` for every row; no other column is read."""
+def predict(docs: DataFrame, profiles: dict[str, list[int]], keep: list[str], size: int = SIZE, text_col: str = "text",
+            out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``keep`` columns with the predicted language and its score for every row; no other column is read."""
     shared = docs.sparkSession.sparkContext.broadcast(profiles)
-    rows = docs.select(*keep, F.col(f"`{text_col}`").cast("string").alias("_text"))
+    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").cast("string").alias("_text"))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]]
-    return rows.mapInArrow(_judge(shared, size), ", ".join([*fields, "lang_pred string", "score double"]))
+    return rows.mapInArrow(_judge(shared, size, out), ", ".join([*fields, f"`{out[0]}` string", f"`{out[1]}` double"]))
 
 
 def identify(docs: DataFrame, mod: int = 4, rest: int = 2, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import saved, with_columns_set
+from .shared import free, saved, with_columns_set
 
 LOCAL_CELLS = 100_000
 ROUNDS = 200
@@ -75,12 +75,14 @@ def _fit_rows(rows: list[dict], goals: dict[str, dict[str, float]], rounds: int)
     """Multipliers of every marginal value, by numpy on the driver."""
     import numpy as np
 
+    if not rows:
+        return {m: {} for m in MARGINALS}
     weight = np.array([r["tokens"] for r in rows], float)
     names, at = {}, {}
     for m in MARGINALS:
         names[m] = sorted(goals[m])
         place = {v: i for i, v in enumerate(names[m])}
-        at[m] = np.array([place[r[m]] for r in rows])
+        at[m] = np.array([place[r[m]] for r in rows], np.int64)
     goal = {m: np.array([goals[m][v] for v in names[m]]) for m in MARGINALS}
     factor = {m: np.ones(len(names[m])) for m in MARGINALS}
     for _ in range(rounds):
@@ -144,8 +146,8 @@ def mix(docs: DataFrame, targets: dict[str, float | dict[str, float]] = TARGETS,
     staged = with_columns_set(docs, {"topic": value(form_topic(text) if topic is None else topic), "n_tokens": word_count(text) if tokens is None else tokens})
     marks = staged.select(value(F.col("source")).alias("source"), value(F.col("lang")).alias("lang"), "topic", "n_tokens")
     cells = saved(marks.groupBy(*MARGINALS).agg(F.sum("n_tokens").alias("tokens")), "cells")
-    found = saved(rake(cells, targets, rounds, local_cells), "probabilities").select(
-        F.col("source").alias("_s"), F.col("lang").alias("_l"), F.col("topic").alias("_t"), F.col("weight").alias("_w"), F.col("probability").alias("_p"))
-    out = staged.join(found, (value(F.col("source")) == F.col("_s")) & (value(F.col("lang")) == F.col("_l")) & (F.col("topic") == F.col("_t")), "left")
-    out = with_columns_set(out, {"weight": F.col("_w"), "probability": F.col("_p"), "kept": unit_of(F.col(f"`{id_col}`")) < F.col("_p")})
-    return out.drop("_s", "_l", "_t", "_w", "_p")
+    s, l, t, w, p = names = free(staged, "_source", "_lang", "_topic", "_weight", "_probability")
+    found = saved(rake(cells, targets, rounds, local_cells), "probabilities").toDF(*names)
+    out = staged.join(found, (value(F.col("source")) == F.col(s)) & (value(F.col("lang")) == F.col(l)) & (F.col("topic") == F.col(t)), "left")
+    out = with_columns_set(out, {"weight": F.col(w), "probability": F.col(p), "kept": unit_of(F.col(f"`{id_col}`")) < F.col(p)})
+    return out.drop(*names)

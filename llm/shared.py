@@ -23,6 +23,16 @@ def empty_like(spark: SparkSession, schema: str) -> DataFrame:
     return spark.createDataFrame([], schema)
 
 
+def free(df: DataFrame, *names: str) -> list[str]:
+    """The names, each lengthened until no column of ``df`` has it."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def with_columns_set(df: DataFrame, new: dict[str, Column]) -> DataFrame:
     """``df`` with the given columns added, replacing those whose names differ only in case."""
     low = {c.lower() for c in new}

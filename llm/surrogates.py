@@ -30,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import saved, with_columns_set
+from .shared import free, saved
 
 KEY = "surrogate-key-1"
 
@@ -211,22 +211,22 @@ def replace_private(docs: DataFrame, key: str = KEY, text_col: str = "text") ->
     """``docs`` with surrogates in the text, and ``n_entities`` and ``entity_kinds`` (sorted) added."""
     later = saved(rekeyed(entities(docs, text_col), key), "rekeyed")
     text = F.col(f"`{text_col}`")
-    staged = with_columns_set(docs, {"_found": F.transform(F.transform(matches(text), typed), identified)})
+    found, again, hashed, out = free(docs, "_found", "_again", "_hash", "_new")
+    staged = docs.withColumn(found, F.transform(F.transform(matches(text), typed), identified))
     if later.isEmpty():
         attempt = lambda s: F.lit(0)
     else:
         ident = F.concat_ws("|", "s.kind", "s.canon")
-        each = (staged.select(F.xxhash64(text).alias("_hash"), F.explode(F.array_distinct("_found")).alias("s")).select("_hash", ident.alias("ident"))
-                .join(later, "ident").groupBy("_hash").agg(F.map_from_entries(F.collect_set(F.struct("ident", "attempt"))).alias("_again")))
-        staged = staged.withColumn("_hash", F.xxhash64(text)).join(saved(each, "again"), "_hash", "left").drop("_hash")
-        attempt = lambda s: F.coalesce(F.try_element_at("_again", F.concat_ws("|", s["kind"], s["canon"])), F.lit(0))
-    new = F.transform(F.col("_found"), slotted)
+        each = (staged.select(F.xxhash64(text).alias(hashed), F.explode(F.array_distinct(found)).alias("s")).select(hashed, ident.alias("ident"))
+                .join(later, "ident").groupBy(hashed).agg(F.map_from_entries(F.collect_set(F.struct("ident", "attempt"))).alias(again)))
+        staged = staged.withColumn(hashed, F.xxhash64(text)).join(saved(each, "again"), hashed, "left").drop(hashed)
+        attempt = lambda s: F.coalesce(F.try_element_at(again, F.concat_ws("|", s["kind"], s["canon"])), F.lit(0))
+    new = F.transform(F.col(found), slotted)
     new = F.transform(new, lambda s: keyed(s, attempt(s), key))
     new = F.transform(F.transform(F.transform(new, replaced), checked), written)
     parts = F.zip_with(F.split(text, PATTERN, -1), new, lambda p, s: F.concat(F.coalesce(p, F.lit("")), F.coalesce(s, F.lit(""))))
-    out = F.when(F.size("_found") > 0, F.array_join(parts, "")).otherwise(text)
-    kinds = F.array_join(F.array_sort(F.array_distinct(F.col("_found.kind"))), ",")
-    made = with_columns_set(staged, {"_text": out, "n_entities": F.coalesce(F.size("_found"), F.lit(0)).cast("long"), "entity_kinds": F.coalesce(kinds, F.lit(""))})
-    made = made.withColumn("n_entities", F.when(F.col("n_entities") < 0, 0).otherwise(F.col("n_entities")))
-    keep = [F.col("_text").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("n_entities", "entity_kinds")]
-    return made.select(*keep, "n_entities", "entity_kinds")
+    staged = staged.withColumn(out, F.when(F.size(found) > 0, F.array_join(parts, "")).otherwise(text))
+    kinds = F.array_join(F.array_sort(F.array_distinct(F.col(f"{found}.kind"))), ",")
+    counted = F.when(F.size(found) > 0, F.size(found)).otherwise(0).cast("long")
+    keep = [F.col(out).alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("n_entities", "entity_kinds")]
+    return staged.select(*keep, counted.alias("n_entities"), F.coalesce(kinds, F.lit("")).alias("entity_kinds"))

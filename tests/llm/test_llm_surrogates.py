@@ -1,0 +1,147 @@
+"""Surrogates: a plain Python version of the replacement, and the properties asked for."""
+
+import hashlib
+import re
+
+import regex
+from edge_rows import CLASHES, documents, empty
+from pyspark.sql import functions as F
+
+from llm import surrogates as S
+
+
+def luhn(body):
+    total = sum((d - 9 if d > 9 else d) for d in (int(c) * (2 if i % 2 == 0 else 1) for i, c in enumerate(reversed(body))))
+    return (10 - total % 10) % 10
+
+
+def kind_of(m):
+    if "@" in m:
+        return "email"
+    if re.fullmatch(rf"{S.OCTET}(\.{S.OCTET}){{3}}", m):
+        return "ip"
+    if re.fullmatch("[0-9a-f]{32,64}", m):
+        return "secret"
+    if m[0].isalpha():
+        return "name"
+    if re.fullmatch(r"\d{3}-\d{2}-\d{4}", m):
+        return "ident"
+    return "phone" if re.match(r"\+|\(|\d{3}[.-]\d{3}[.-]", m) else "card"
+
+
+def plain(m, attempt=0, key=S.KEY):
+    """The surrogate of one mention, step by step."""
+    kind, digits = kind_of(m), re.sub("[^0-9]", "", m)
+    code = max(1, len((re.match(r"\+(\d{1,3})[ .(-]", m) or [0, ""])[1])) if m[0] == "+" else 0
+    title = (re.match(S.TITLE, m) or [""])[0] if kind == "name" else ""
+    gender = "f" if re.match(rf"(?:{S.FEMININE})\.? ", m) else "m"
+    canon = {"email": m.lower(), "phone": f"{code}|{digits}", "card": digits, "ident": digits, "name": f"{gender}|{m[len(title):].lower()}"}.get(kind, m)
+    slots = re.sub(r"[\W_]", "", canon.split("|", 1)[-1] if kind in ("phone", "name") else canon)
+    noise = "".join(hashlib.sha512(f"{key}|{kind}|{canon}|{attempt}|{b}".encode()).hexdigest() for b in range(len(slots) // 32 + 1))
+    rnd = lambda i: int(noise[4 * i:4 * i + 4], 16)
+    head = {"phone": code, "card": 1}.get(kind, 0)
+    tail = len(canon.rsplit(".", 1)[1]) if kind == "email" else 0
+    script = "cyrillic" if regex.search(r"\p{IsCyrillic}", slots) else "greek" if regex.search(r"\p{IsGreek}", slots) else "latin"
+    out = []
+    for i, c in enumerate(slots):
+        r = rnd(i)
+        pick = lambda s: s[r % len(s)]  # noqa: E731,B023
+        if i < head or i >= len(slots) - tail:
+            out.append(c)
+        elif kind == "name":
+            v, k, f, g = S.SCRIPTS[script]
+            out.append(pick((f if gender == "f" else g) if i == len(slots) - 1 else v if c in S.VOWELS else k))
+        elif kind == "phone" and i == head:
+            out.append(str(r % 8 + 2))
+        elif c in "0123456789":
+            out.append(str(r % 10))
+        else:
+            out.append(pick("abcdef" if kind == "secret" else "abcdefghijklmnopqrstuvwxyz"))
+    new = "".join(out)
+    if kind == "ip":
+        new = "".join(str(rnd(i) % 156 + 100 if len(o) == 3 else rnd(i) % 90 + 10 if len(o) == 2 else rnd(i) % 10) for i, o in enumerate(m.split(".")))
+    if kind == "card":
+        body, last = new[:-1], rnd(len(slots) - 1)
+        good = luhn(slots[:-1]) == int(slots[-1])
+        new = body + str(luhn(body) if good else (luhn(body) + 1 + last % 9) % 10)
+    fill = iter(new)
+    return title + "".join((lambda n: n.upper() if c != c.lower() else n)(next(fill)) if c.isalnum() else c for c in m[len(title):])
+
+
+MENTIONS = ["anna.k92@mail.example.com", "Anna.K92@Mail.example.com", "x_1+y@a-b.co.uk", "10.20.30.40", "255.1.99.100", "+1 (830) 555-5433", "+1 830-555-5433", "+49 30 1234567",
+            "(212) 555-0100", "212-555-0100", "123-45-6789", "4111 1111 1111 1111", "4111111111111112", "378282246310005", "24be64439e3e49cf46b2d7c90f3602a3d0b907ff",
+            "Mr. Smith", "Mrs Smith-Jones", "Frau Müller", "Herr Karl Groß", "Господин Иванов", "Г-жа Петрова", "Κυρία Παππά"]
+
+
+def replaced(spark, texts, **more):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return [r.text for r in S.replace_private(df, **more).orderBy("doc_id").collect()]
+
+
+def test_every_kind_equals_the_plain_version(spark):
+    got = replaced(spark, [f"see {m}, then" for m in MENTIONS])
+    assert got == [f"see {plain(m)}, then" for m in MENTIONS]
+
+
+def test_types_formats_and_coreference(spark):
+    one, two, three, *_ = replaced(spark, ["+1 (830) 555-5433 a@b.de Mrs Smith", "+1 830-555-5433; A@B.de; Mrs. Smith", "4111 1111 1111 1111", ""])
+    assert re.sub("[^0-9]", "", one.split(" a")[0][:18]) == re.sub("[^0-9]", "", two.split(";")[0])  # one number in two formats
+    assert re.search(r"\S+@\S+", one)[0] == re.search(r"[^; ]+@[^; ]+", two)[0].lower()
+    assert one.split()[-1] == two.split()[-1] and one.split()[-1].endswith("a") and "Smith" not in one + two
+    digits = three.replace(" ", "")
+    assert luhn(digits[:-1]) == int(digits[-1]) and digits[0] == "4" and [len(p) for p in three.split()] == [4] * 4
+
+
+def test_nothing_found_is_left_and_nothing_else_changes(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    old = {r.doc_id: r.text for r in docs.collect()}
+    rows = S.replace_private(docs).collect()
+    pattern = regex.compile(S.PATTERN)
+    originals = {m[0] for t in old.values() for m in pattern.finditer(t)}
+    assert len(rows) == len(old) and sum(r.n_entities > 0 for r in rows) > 40
+    back = {}
+    for r in rows:
+        parts, new = pattern.split(old[r.doc_id])[0], [m[0] for m in pattern.finditer(r.text)]
+        assert r.text.startswith(parts) and len(r.text) == len(old[r.doc_id])
+        found = [m[0] for m in pattern.finditer(old[r.doc_id])]
+        assert len(found) == r.n_entities == len(new) and not set(new) & originals
+        for a, b in zip(found, new):
+            assert back.setdefault(b, a) == a and kind_of(a) == kind_of(b)  # distinct stay distinct
+        if not found:
+            assert r.text == old[r.doc_id]
+
+
+def test_collisions_are_keyed_anew(spark):
+    # 90 two-digit hosts in one net: the surrogates of so small a space collide
+    texts = [f"host 1.1.1.{i}" for i in range(10)] + [f"host 1.1.2.{i}" for i in range(10)] + ["1.1.1.3 and 1.1.1.4"]
+    small = replaced(spark, texts)
+    ents = S.entities(spark.createDataFrame([(t,) for t in texts], "text string"))
+    later = {r.ident: r.attempt for r in S.rekeyed(ents).collect()}
+    new = [t.split()[-1] for t in small[:20]]
+    assert len(set(new)) == 20 and not set(new) & {t.split()[-1] for t in texts[:20]}
+    assert small[20] == f"{new[3]} and {new[4]}"
+    for t, n in zip(texts, new):
+        ip = t.split()[-1]
+        assert n == plain(ip, later.get(f"ip|{ip}", 0))
+
+
+def test_many_collisions_end(spark):
+    texts = [f"{a}.{b}.0.0" for a in range(1, 10) for b in range(10)] * 2
+    assert len(set(replaced(spark, texts))) == 90
+
+
+def test_edge_rows(spark):
+    docs = documents(spark).withColumn("N_entities", F.lit("clash"))
+    out = S.replace_private(docs)
+    assert out.columns == [c for c in docs.columns if c != "N_entities"] + ["n_entities", "entity_kinds"]
+    rows = {r.doc_id: r for r in out.collect()}
+    old = {r.doc_id: r.text for r in docs.collect()}
+    assert out.count() == docs.count() and rows[0].text is None and rows[0].n_entities == 0 and rows[1].text == ""
+    assert rows[14].entity_kinds == "email,ip,phone" and "555-5433" not in rows[14].text
+    assert all(rows[d].text == old[d] for d in rows if d != 14) and all(rows[14][c] == "clash" for c in CLASHES)
+    assert S.replace_private(empty(spark)).count() == 0
+
+
+def test_no_python_in_the_plan(spark):
+    plan = S.replace_private(documents(spark))._jdf.queryExecution().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
