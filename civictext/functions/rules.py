@@ -154,8 +154,3 @@ def topic_rule(c, topics=None, lowered: bool = False) -> Column:
         p = payload(tid, label, L.TOPIC_CONFIDENCE, keywords[: L.TOPIC_KEYWORDS_SHOWN])
         out = F.when(cond, p) if out is None else out.when(cond, p)
     return out.otherwise(payload(no_id, no_label, no_conf, []))
-
-
-def method_tag(name: str) -> Column:
-    """Which engine produced a result: rule-based, a model name, or unavailable."""
-    return F.lit(name)

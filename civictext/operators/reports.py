@@ -54,6 +54,23 @@ def pivot_counts(df: DataFrame, row_col: str, pivot_col: str, values: list[str])
     return df.groupBy(row_col).pivot(pivot_col, values).agg(F.count(F.lit(1))).na.fill(0, subset=values)
 
 
+def report(df: DataFrame, *class_cols: str) -> DataFrame:
+    """The summary of a prepared table: ``(section, class, n, share)`` for its row count and each class column.
+
+    One grouping-sets aggregate over the rows, so the table is read once.
+    """
+    found = df.groupingSets([[], *[[c] for c in class_cols]], *class_cols).agg(
+        F.count(F.lit(1)).alias("n"), F.grouping_id(*class_cols).alias("_g")) if class_cols else df.agg(F.count(F.lit(1)).alias("n"), F.lit(0).alias("_g"))
+    k = len(class_cols)
+    full = (1 << k) - 1
+    section, value = F.lit("rows"), F.lit("all")
+    for i, c in enumerate(class_cols):
+        only = F.col("_g") == full - (1 << (k - 1 - i))
+        section, value = F.when(only, F.lit(c)).otherwise(section), F.when(only, F.coalesce(F.col(c).cast("string"), F.lit("(null)"))).otherwise(value)
+    total = F.max("n").over(Window.partitionBy())
+    return found.select(section.alias("section"), value.alias("class"), "n", F.round(F.col("n") / total, 4).alias("share"))
+
+
 def index_sizes(**tables: DataFrame) -> DataFrame:
     """Rows ``(index_name, size)``: the row count of each named index table."""
     out = None

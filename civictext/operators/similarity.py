@@ -310,9 +310,10 @@ def verdicts(queries: DataFrame, hits: DataFrame, query_key: str, index_key: str
     agg = hits.groupBy(query_key).agg(
         F.count(F.lit(1)).alias("num_similar"),
         F.max("score").alias("_max"),
-        F.avg("score").alias("_avg"),
+        # scores have four places: whole ten-thousandths make the mean and its rounding exact
+        (F.sum(F.round(F.col("score") * 10_000)) / F.count(F.lit(1))).alias("_avg4"),
         F.sort_array(F.collect_list(F.struct("rank", F.col(index_key).alias("id"), "score", text.alias("text")))).alias("_hits"))  # at most k per query
-    j = queries.select(query_key).join(agg, query_key, "left")
+    j = queries.select(query_key).join(agg, query_key, "left").withColumn("_avg", F.col("_avg4") / 10_000)
     sus = (F.col("_max") > L.MISINFO_MAX_SUSPICIOUS) | (
         (F.col("num_similar") >= L.MISINFO_MIN_HITS_FOR_AVG) & (F.col("_avg") > L.MISINFO_AVG_SUSPICIOUS))
     has = F.col("num_similar").isNotNull()
@@ -323,7 +324,7 @@ def verdicts(queries: DataFrame, hits: DataFrame, query_key: str, index_key: str
         F.when(has, sus).otherwise(F.lit(False)).alias("is_suspicious"),
         F.when(has, F.round("_max", 4)).otherwise(F.lit(0.0)).alias("confidence"),
         F.coalesce(F.col("num_similar"), F.lit(0)).alias("num_similar"),
-        F.when(has, F.round("_avg", 4)).otherwise(F.lit(0.0)).alias("avg_similarity"),
+        F.when(has, F.round("_avg4") / 10_000).otherwise(F.lit(0.0)).alias("avg_similarity"),
         F.coalesce(found, none).alias("similar"),
         F.when(~has, F.lit(L.REASON_NO_HITS)).when(sus, F.lit(L.REASON_SUSPICIOUS))
         .otherwise(F.lit(L.REASON_ORIGINAL)).alias("reason"),

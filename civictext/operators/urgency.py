@@ -41,22 +41,30 @@ def with_class_weights(train: DataFrame, label: str, out: str = "weight") -> Dat
 
 
 def build_pipeline(text_col: str = "clean_text", label_col: str = "urgency", weight_col: str = "weight",
-                   reg_param: float = 0.01, max_iter: int = 100, max_tokens: int | None = None) -> Pipeline:
-    """Feature, label and model stages; ``max_tokens`` cuts each text's tokens (off by default)."""
+                   reg_param: float = 0.01, max_iter: int = 100, max_tokens: int | None = None,
+                   labels: StringIndexerModel | None = None) -> Pipeline:
+    """Feature, label and model stages; ``max_tokens`` cuts each text's tokens (off by default).
+
+    ``labels``: a label coding already fitted, so that a validation split may hold a class its
+    training part lacks.
+    """
     tok = RegexTokenizer(inputCol=text_col, outputCol="_all_tokens", pattern=TOKEN_PATTERN, gaps=False,
                          toLowercase=True)
     used = f"slice(_all_tokens, 1, {max_tokens})" if max_tokens else "_all_tokens"
     cut = SQLTransformer(statement=f"SELECT *, {used} AS _tokens FROM __THIS__")
     tf = HashingTF(inputCol="_tokens", outputCol="_tf", numFeatures=NUM_FEATURES)
     idf = IDF(inputCol="_tf", outputCol="features")
-    # "error", not "keep": an extra class for unseen labels would be one more output of the model
-    idx = StringIndexer(inputCol=label_col, outputCol="label", stringOrderType="alphabetAsc",
-                        handleInvalid="error")
+    idx = labels or label_indexer(label_col)
     lr = LogisticRegression(featuresCol="features", labelCol="label", weightCol=weight_col, family="multinomial",
                             regParam=reg_param, maxIter=max_iter, tol=1e-6)
     return Pipeline(stages=[tok, cut, tf, idf, idx, lr])
 
 
+def label_indexer(label_col: str) -> StringIndexer:
+    # "error", not "keep": an extra class for unseen labels would be one more output of the model
+    return StringIndexer(inputCol=label_col, outputCol="label", stringOrderType="alphabetAsc", handleInvalid="error")
+
+
 def train(df: DataFrame, text_col: str = "clean_text", label_col: str = "urgency", key: str = "row_id",
           reg_params=(0.001, 0.01), seed: int = L.SEED, max_iter: int = 50) -> tuple[PipelineModel, DataFrame]:
     """Fit on the training split; returns (best model, test rows).
@@ -76,7 +84,7 @@ def train(df: DataFrame, text_col: str = "clean_text", label_col: str = "urgency
     split = checkpoint_table(spark, stratified_split(rows, label_col, key, 0.2, seed), "urgency-split")
     tr = with_class_weights(split.where(~F.col("is_test")), label_col)
     te = split.where(F.col("is_test"))
-    pipe = build_pipeline(text_col, label_col, max_iter=max_iter)
+    pipe = build_pipeline(text_col, label_col, max_iter=max_iter, labels=label_indexer(label_col).fit(tr))
     lr = pipe.getStages()[-1]
     grid = ParamGridBuilder().addGrid(lr.regParam, list(reg_params)).build()
     ev = MulticlassClassificationEvaluator(metricName="weightedFMeasure", labelCol="label")

@@ -364,6 +364,34 @@ def region_priority_heatmap(spark, sf_dir):
             .na.fill(0, subset=PRIORITIES))
 
 
+# --- N2: neighbourhood x topic heatmap of the complaints (pivot) -------------------------------------
+TOPIC_IDS = [str(i) for i in range(-1, len(L.TOPICS))]
+
+
+@query("neighborhood_topic_heatmap", f"""
+WITH t AS (SELECT coalesce(CAST(l.toxic AS VARCHAR), 'Unknown') AS neighborhood, {sql_topic_field(sql_clean('d.text'), 'topic_id')} AS topic_id
+           FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)
+SELECT neighborhood, """ + ", ".join(f'count(*) FILTER (WHERE topic_id = {i}) AS "{i}"' for i in TOPIC_IDS) + " FROM t GROUP BY neighborhood")
+def neighborhood_topic_heatmap(spark, sf_dir):
+    c = lowered_text(P.with_clean_text(complaints_311(spark, sf_dir).withColumnRenamed("Request Details", "details"), "details"))
+    t = c.select(F.coalesce("Neighborhood", F.lit("Unknown")).alias("neighborhood"),
+                 topic_rule("_low", lowered=True)["topic_id"].cast("string").alias("topic_id"))
+    return R.pivot_counts(t, "neighborhood", "topic_id", TOPIC_IDS)
+
+
+# --- C11: the report of a prepared table: row count and class shares in one pass ----------------------
+@query("prepared_report", f"""WITH {PREP_SQL},
+u AS (SELECT language, source, {sql_urgency('clean_text')} AS urgency FROM p),
+r AS (SELECT 'rows' AS section, 'all' AS class, count(*) AS n FROM u
+      UNION ALL SELECT 'language', language, count(*) FROM u GROUP BY language
+      UNION ALL SELECT 'source', source, count(*) FROM u GROUP BY source
+      UNION ALL SELECT 'urgency', urgency, count(*) FROM u GROUP BY urgency)
+SELECT section, class, n, round(n / (SELECT count(*) FROM u), 4) AS share FROM r""")
+def prepared_report(spark, sf_dir):
+    prep = lowered_text(prepared_documents(spark, sf_dir))
+    return R.report(prep.withColumn("urgency", urgency_label("_low", lowered=True)), "language", "source", "urgency")
+
+
 # --- A1: language distribution of the prepared table ------------------------------------------
 @query("language_distribution", f"""WITH {PREP_SQL}
 SELECT language, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 4) AS share FROM p GROUP BY language""")

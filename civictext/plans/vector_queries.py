@@ -167,15 +167,15 @@ def flat_hits(verdicts: DataFrame) -> DataFrame:
 @query("misinformation_verdicts", f"""{DOC_SEARCH_SQL},
 h AS (SELECT item_id, doc_id, round(score, 4) AS score, rank FROM r
       WHERE rank <= {L.MISINFO_TOP_K} AND score >= {L.MISINFO_THRESHOLD}),
-a AS (SELECT item_id, count(*) AS num_similar, max(score) AS mx, avg(score) AS av,
-             string_agg(CAST(h.doc_id AS VARCHAR), '|' ORDER BY rank) AS ids,
+a AS (SELECT item_id, count(*) AS num_similar, max(score) AS mx, sum(round(score * 10000)) / count(*) / 10000 AS av,
+             round(sum(round(score * 10000)) / count(*)) / 10000 AS av4, string_agg(CAST(h.doc_id AS VARCHAR), '|' ORDER BY rank) AS ids,
              string_agg(printf('%.4f', score), '|' ORDER BY rank) AS scores, min_by(d.clean_text, rank) AS top_text
       FROM h JOIN d ON d.doc_id = h.doc_id GROUP BY item_id)
 SELECT b.item_id,
        coalesce(mx > {L.MISINFO_MAX_SUSPICIOUS} OR (num_similar >= {L.MISINFO_MIN_HITS_FOR_AVG}
                 AND av > {L.MISINFO_AVG_SUSPICIOUS}), false) AS is_suspicious,
        coalesce(round(mx, 4), 0.0) AS confidence, coalesce(num_similar, 0) AS num_similar,
-       coalesce(round(av, 4), 0.0) AS avg_similarity, coalesce(ids, '') AS similar_ids,
+       coalesce(av4, 0.0) AS avg_similarity, coalesce(ids, '') AS similar_ids,
        coalesce(scores, '') AS similar_scores, top_text,
        CASE WHEN num_similar IS NULL THEN {q(L.REASON_NO_HITS)}
             WHEN mx > {L.MISINFO_MAX_SUSPICIOUS} OR (num_similar >= {L.MISINFO_MIN_HITS_FOR_AVG}

@@ -6,8 +6,6 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .store import path_exists
-
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
     "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -42,11 +40,3 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] |
     if name in TEXT_TABLES and (columns is None or any(c in ("text", "html") for c in columns)):
         df = spread(df)
     return df
-
-
-def register_views(spark: SparkSession, sf_dir: str, names=TABLES) -> None:
-    """Expose the tables as temp views for SQL users."""
-    for n in names:
-        p = table_path(sf_dir, n)
-        if path_exists(spark, p):
-            spark.read.parquet(p).createOrReplaceTempView(n)
