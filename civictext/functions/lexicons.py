@@ -73,6 +73,12 @@ NEWS_TEXT_CANDIDATES = [
 ]
 NEWS_LABEL_CANDIDATES = ["label", "Label", "class", "Class", "is_fake", "fake", "target"]
 
+# Cells that a data-frame CSV reader takes as missing by default.
+NA_WORDS = [
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
+    "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
+]
+
 # Mean-length thresholds used when no candidate column name is present.
 COMPLAINT_MIN_MEAN_LENGTH = 20
 NEWS_MIN_MEAN_LENGTH = 30
