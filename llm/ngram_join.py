@@ -15,11 +15,14 @@ to; similar sets share a signature. A projection without elements is left out wh
 the set has few enough of them for the argument to hold without it, otherwise it is
 emitted as well, so no link is lost.
 
-Equal signatures give star edges between sets (locally inside a task first, then
-along sorted rows, never all pairs of a bucket). Connected groups of those edges
-hold every possible link. Each group is checked exactly, whole sets against whole
-sets, in blocks of bounded size: a large group becomes block pairs that run in
-separate tasks, and each task returns a spanning forest and link counts, not pairs.
+Signatures that two sets or more share are kept as buckets (a bucket of up to four sets as its
+pairs, once each). In a bucket two sets are compared by parity sketches: a bit per cell of a hash
+of the elements, about as many cells as elements; sets that differ in d elements differ in at most d
+cells, so a pair with more differing cells than similar sets may have is out, exactly. The
+pairs left link sets into groups, of which each bucket returns a spanning forest, not its pairs.
+Each group is then checked exactly, whole sets against whole sets. Buckets and groups are worked
+on in blocks of bounded size: a large one becomes block pairs that run in separate tasks, and
+each task returns a spanning forest and link counts.
 
 Defined results: null or wordless text: empty set, size 0, own class, no links. Fewer than
 ``k`` words: the whole run is one shingle. Repeated rows are copies. Rows with a null id
@@ -36,11 +39,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bit_filter, components, empty_like, in_filter, saved
+from .shared import bit_filter, components, free, in_filter, saved
 from .words import SPACE, U, mix, shingle_sets, text_runs, word_hashes, word_spans
 
 BLOCK_DOCS = 512  # sets of one side of a block pair
+BUCKET_BLOCK = 1_024  # sketches of one side of a block pair of a bucket
+PAIRS_UP_TO = 4  # buckets of so many sets are kept as pairs
 BLOCK_ITEMS = 1_000_000  # expected shingles of one side of a block pair
+TASK_ITEMS = 250_000  # expected shingles of the groups that share a task
 
 
 def band_starts(n: int, num: int, den: int) -> list[int]:
@@ -68,7 +74,7 @@ def plan(starts: list[int], j: int, num: int, den: int) -> tuple[int, int, int,
     if limit == 0:
         return 0, 0, 1, 1
     dense = num * 20 >= den * 17  # from 0.85 on, plain parts hold enough elements
-    k2, n2 = (0, 1) if dense or s > 600 else (1, 4) if s > 150 else (2, 6)
+    k2, n2 = (0, 1) if dense or s > 150 else (1, 4)
     need = limit // (k2 + 1)
     return limit, k2, need + 1 + (need // 20 if need >= 20 else 0), n2
 
@@ -139,65 +145,183 @@ def _sizes(k: int):
     return run
 
 
-def _signature_rows(k: int, num: int, den: int):
-    """Rows ``(sig, node, head)``: a signature of a set, or (sig null) an edge found inside the batch."""
-    def rows(sig, node, head):
-        return pa.RecordBatch.from_arrays(
-            [pa.array(sig.astype(np.int64), pa.int64(), mask=head != node) if len(sig) else pa.array([], pa.int64()),
-             pa.array(node, pa.int64()), pa.array(head, pa.int64())], ["sig", "node", "head"])
+def sketch(items: np.ndarray) -> np.ndarray:
+    """Parities of the set in cells of a hash, packed in 64-bit words; a power of two of cells, at least 64."""
+    cells = max(64, 1 << (len(items) - 1).bit_length())
+    odd = np.bincount((mix(items, 31) & U(cells - 1)).astype(np.int64), minlength=cells) & 1
+    return np.packbits(odd.astype(np.uint8)).view(U)
+
+
+def folded(words: np.ndarray, size: int) -> np.ndarray:
+    """A sketch brought down to ``size`` words: halves of cells meet in the parity of their sum."""
+    while len(words) > size:
+        half = len(words) // 2
+        words = words[:half] ^ words[half:]
+    return words
+
+
+def _fresh_sets(k: int, column: int):
+    """``(row, set, print)`` of the batches' sets, empty ones and those already seen in this task left out."""
+    seen: set[int] = set()  # as many numbers as the split has different documents
 
+    def of(batch):
+        for r, s in batch_sets(batch.column(column), k):
+            f1 = set_prints(s)[0]
+            if len(s) and f1 not in seen:
+                seen.add(f1)
+                yield r, s, f1
+    return of
+
+
+def _signature_rows(k: int, num: int, den: int):
+    """Rows ``(sig, node)``, the rows of a set together."""
     def run(batches):
-        seen: set[int] = set()  # sets of this task: as many numbers as the split has documents
-        starts = band_starts(1, num, den)
+        fresh, starts = _fresh_sets(k, 0), band_starts(1, num, den)
         for b in batches:
-            sigs, nodes = [], []
-            for _, s in batch_sets(b.column(0), k):
-                f1 = set_prints(s)[0]
-                if not len(s) or f1 in seen:
-                    continue
-                seen.add(f1)
+            sigs, nodes, size = [], [], 0
+            for _, s, f1 in fresh(b):
                 if starts[-3] <= len(s):
                     starts = band_starts(2 * len(s), num, den)
                 g = signatures(s, starts, num, den)
                 sigs.append(g)
                 nodes.append(np.full(len(g), f1, np.int64))
-            if not sigs:
-                continue
-            sig, node = np.concatenate(sigs), np.concatenate(nodes)
-            order = np.argsort(sig, kind="stable")
-            sig, node = sig[order], node[order]
-            first = np.concatenate(([True], sig[1:] != sig[:-1]))
-            head = node[np.flatnonzero(first)][np.cumsum(first) - 1]
-            inner = np.flatnonzero(head != node)
-            keep = first.copy()
-            if len(inner):  # an edge once per batch
-                _, once = np.unique(np.stack([head[inner], node[inner]]), axis=1, return_index=True)
-                keep[inner[once]] = True
-            for a in range(0, len(sig), 200_000):
-                z = keep[a:a + 200_000]
-                yield rows(sig[a:a + 200_000][z], node[a:a + 200_000][z], head[a:a + 200_000][z])
+                size += len(g)
+                if size > 200_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).astype(np.int64)), pa.array(np.concatenate(nodes))], ["sig", "node"])
+                    sigs, nodes, size = [], [], 0
+            if sigs:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs).astype(np.int64)), pa.array(np.concatenate(nodes))], ["sig", "node"])
     return run
 
 
-def _bucket_edges(batches):
-    """Star edges of runs of equal signatures in sorted rows; a run may go over batches."""
-    last_sig, last_head = None, None
+def _buckets(batches):
+    """Rows ``(bucket, node)`` of signatures shared by two sets or more, from sorted rows.
+
+    A run of up to ``PAIRS_UP_TO`` sets inside a batch gives its pairs, each as a bucket of its own;
+    a run that goes over batches keeps its signature as bucket.
+    """
+    sig, node = np.zeros(0, np.int64), np.zeros(0, np.int64)  # the last run so far, at most one row once it was kept
+    kept = False
     for b in batches:
-        sig, node, head = b.column(0), b.column(1).to_numpy(), b.column(2).to_numpy()
-        ready = sig.is_null().to_numpy(zero_copy_only=False)
-        out_a, out_b = [head[ready]], [node[ready]]
-        s, v = sig.fill_null(0).to_numpy()[~ready], node[~ready]
-        if len(s):
-            first = np.concatenate(([s[0] != last_sig], s[1:] != s[:-1]))
-            at = np.maximum.accumulate(np.where(first, np.arange(len(s)), -1))
-            h = np.where(at >= 0, v[at], last_head if last_head is not None else 0)
-            out_a.append(h[h != v])
-            out_b.append(v[h != v])
-            last_sig, last_head = s[-1], h[-1]
-        x, y = np.concatenate(out_a), np.concatenate(out_b)
-        if len(x):
-            pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)]), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+        sig, node = np.concatenate((sig, b.column(0).to_numpy())), np.concatenate((node, b.column(1).to_numpy()))
+        cut = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
+        size = np.diff(np.append(cut, len(sig)))
+        open_run = np.zeros(len(cut), bool)
+        open_run[-1] = True  # may go on in the next batch
+        carried = np.zeros(len(cut), bool)
+        carried[0] = kept
+        big = (size > PAIRS_UP_TO) | (carried & (size > 1)) | (open_run & (size > 1))
+        whole = np.repeat(big, size)
+        if kept:
+            whole[0] = False  # that row is out already
+        out_b, out_n = [sig[whole]], [node[whole]]
+        for m in range(2, PAIRS_UP_TO + 1):
+            at = cut[(size == m) & ~big]
+            for i, j in itertools.combinations(range(m), 2):
+                x, y = np.minimum(node[at + i], node[at + j]), np.maximum(node[at + i], node[at + j])
+                pair = (mix(mix(x.astype(U), 41) + y.astype(U), 42)).astype(np.int64)
+                out_b += [pair, pair]
+                out_n += [x, y]
+        rows = np.unique(np.stack([np.concatenate(out_b), np.concatenate(out_n)]), axis=1)
+        if rows.shape[1]:
+            yield pa.RecordBatch.from_arrays([pa.array(rows[0]), pa.array(rows[1])], ["bucket", "node"])
+        kept = bool(big[-1]) or (kept and len(cut) == 1)
+        last = cut[-1]
+        sig, node = sig[last:last + 1], node[last:last + 1]
+
+
+def _sketches(k: int, bits):
+    """``(node, n, sketch)`` of the sets whose print passes the bitmap, once a task."""
+    def run(batches):
+        fresh = _fresh_sets(k, 0)
+        for b in batches:
+            rows = [(f1, len(s), sketch(s).tobytes()) for _, s, f1 in fresh(b) if in_filter(bits.value, np.array([f1], np.int64))[0]]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary()))], ["node", "n", "sketch"])
+    return run
+
+
+def possible_links(n: np.ndarray, words: list[np.ndarray], block: np.ndarray, cross: bool, num: int, den: int) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs that sizes and sketches do not rule out; ``cross``: only pairs of different blocks."""
+    size = min(len(w) for w in words)
+    table = np.stack([folded(w, size) for w in words])
+    root, out = list(range(len(n))), []
+
+    def find(v):
+        while root[v] != v:
+            root[v] = root[root[v]]
+            v = root[v]
+        return v
+
+    for i in range(len(n) - 1):
+        r, s = np.minimum(n[i], n[i + 1:]), np.maximum(n[i], n[i + 1:])
+        ok = (s * num <= r * den) & (np.bitwise_count(table[i + 1:] ^ table[i]).sum(axis=1, dtype=np.int64) * (den + num) <= (den - num) * (r + s))
+        if cross:
+            ok &= block[i + 1:] != block[i]
+        for j in (i + 1 + np.flatnonzero(ok)).tolist():
+            p, q = find(i), find(j)
+            if p != q:
+                root[p] = q
+                out.append((i, j))
+    return out
+
+
+def _bucket_links(num: int, den: int):
+    """Edges ``(a, b)`` from rows sorted by ``key``: the rows of a key are one bucket or one block pair of a bucket."""
+    def edges(parts):
+        node, n, block, pair = (np.concatenate([p[i] for p in parts]) for i in range(4))
+        words = [np.frombuffer(x, dtype=U) for p in parts for x in p[4]]
+        links = possible_links(n, words, block, bool(pair[0] >= 0), num, den) if len(n) > 1 else []
+        return [(min(int(node[i]), int(node[j])), max(int(node[i]), int(node[j]))) for i, j in links]
+
+    def run(batches):
+        last, waiting = None, []
+        for b in batches:
+            key = b.column(0).to_numpy()
+            cols = [b.column(i).to_numpy() for i in range(1, 5)]
+            blobs = b.column(5).to_pylist()
+            cut = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))).tolist() + [len(key)]
+            out = []
+            for x, y in zip(cut[:-1], cut[1:]):
+                if waiting and key[x] != last:
+                    out += edges(waiting)
+                    waiting = []
+                waiting.append([*[c[x:y] for c in cols], blobs[x:y]])
+                last = key[x]
+            if out:
+                found = np.unique(np.array(out, np.int64), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+        if waiting and (out := edges(waiting)):
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
+    return run
+
+
+def block_pairs(members: DataFrame, group: str, member: str, blocks: DataFrame) -> DataFrame:
+    """``members`` placed in the pairs of blocks of their group: ``block``, ``pair`` (-1: inside one block) and ``key``.
+
+    ``blocks (group, blocks)``: how many blocks each group has. Members fall into blocks by hash; those of
+    a group of one block stay single rows, the others are copied once for every block.
+    """
+    placed = members.join(blocks, group).withColumn("block", F.pmod(F.xxhash64(member), F.col("blocks")))
+    single = F.col("blocks") == 1
+    other = F.explode(F.when(single, F.array(F.col("block"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    placed = placed.withColumn("other", other)
+    key = F.xxhash64(group, F.least("block", "other"), F.greatest("block", "other"))
+    return placed.withColumn("key", key).withColumn("pair", F.when(F.col("block") == F.col("other"), F.lit(-1).cast("long")).otherwise(F.col("other"))).drop("other")
+
+
+def _candidate_edges(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Edges ``(a, b)`` between set prints; every link lies inside a connected group of them."""
+    spark = docs.sparkSession
+    text = docs.select("text")
+    sig = text.mapInArrow(_signature_rows(k, num, den), "sig long, node long")
+    bucket = saved(sig.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(_buckets, "bucket long, node long").distinct(), "buckets")
+    bits = spark.sparkContext.broadcast(bit_filter(bucket, "node"))
+    sketches = text.mapInArrow(_sketches(k, bits), "node long, n long, sketch binary").dropDuplicates(["node"])
+    blocks = bucket.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BUCKET_BLOCK).alias("blocks"))
+    placed = block_pairs(bucket, "bucket", "node", blocks).join(sketches, "node")
+    rows = placed.select("key", "node", "n", "block", "pair", "sketch").repartition("key").sortWithinPartitions("key")
+    return saved(rows.mapInArrow(_bucket_links(num, den), "a long, b long").distinct(), "candidates")
 
 
 def _chosen_sets(k: int, bits):
@@ -319,28 +443,18 @@ def jaccard_classes(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, id_
     sizes = saved(docs.mapInArrow(_sizes(k), "doc_id long, n long, f1 long, f2 long"), "set-sizes")
     classes = saved(sizes.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "set-classes")
 
-    sig = docs.select("text").mapInArrow(_signature_rows(k, num, den), "sig long, node long, head long")
-    by = F.coalesce("sig", F.xxhash64("node"))
-    edges = saved(sig.repartition(by).sortWithinPartitions("sig", "node").mapInArrow(_bucket_edges, "a long, b long").distinct(), "candidates")
-    groups = components(edges)
+    groups = components(_candidate_edges(docs, k, num, den))
 
     member = classes.join(groups, classes["f1"] == groups["node"]).select(F.col("rep").alias("doc_id"), "n", "copies", F.col("root").alias("cluster"))
-    blocks = member.groupBy("cluster").agg(
-        F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_DOCS, F.sum("n") / BLOCK_ITEMS)).alias("blocks"), F.sum("n").alias("total"))
-    member = saved(member.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks"))), "members")
-    total = member.where("blocks = 1").agg(F.sum("n")).first()[0] or 0
-    tasks = max(1, int(total // BLOCK_ITEMS) * 2)
-    single = F.col("blocks") == 1
-    other = F.explode(F.when(single, F.array(F.lit(-1).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    placed = (member.withColumn("other", other)
-              .withColumn("task", F.when(single, F.pmod(F.xxhash64("cluster"), F.lit(tasks))).otherwise(
-                  F.xxhash64("cluster", F.least("block", "other"), F.greatest("block", "other"))))
-              .withColumn("pair", F.when(single | (F.col("block") == F.col("other")), F.lit(-1).cast("long")).otherwise(F.col("other"))))
-    # a block pair's rows: cluster keeps the groups of one task apart, (block, other) the pairs of one cluster
-    placed = placed.withColumn("cluster", F.when(single, F.col("cluster")).otherwise(F.col("task")))
+    member = saved(member, "members")
+    blocks = member.groupBy("cluster").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_DOCS, F.sum("n") / BLOCK_ITEMS)).alias("blocks"))
+    placed = block_pairs(member, "cluster", "doc_id", blocks)
+    # groups of one block share tasks; of the others each block pair is a task of its own
+    tasks = max(1, int((member.agg(F.sum("n")).first()[0] or 0) // TASK_ITEMS))
+    placed = placed.withColumn("task", F.when(F.col("blocks") == 1, F.pmod("key", F.lit(tasks))).otherwise(F.col("key")))
     bits = spark.sparkContext.broadcast(bit_filter(member.withColumn("k", F.col("doc_id")), "k"))
     sets = docs.mapInArrow(_chosen_sets(k, bits), "doc_id long, items binary")
-    checked = saved(sets.join(placed.select("doc_id", "cluster", "block", "pair", "copies", "task"), "doc_id")
+    checked = saved(sets.join(placed.select("doc_id", F.col("key").alias("cluster"), "block", "pair", "copies", "task"), "doc_id")
                     .groupBy("task").applyInArrow(_check_group(num, den), "a long, b long, links long"), "links")
     roots = components(checked.where("a <> b").select("a", "b"))
     least = roots.groupBy("root").agg(F.min("node").alias("component"))
@@ -354,7 +468,9 @@ def jaccard_classes(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, id_
 
 def keep_one(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without near duplicates: of each class the row with the smallest id stays, whole and unchanged."""
-    gone = jaccard_classes(docs, k, num, den, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")
+    name = free(docs, "_gone")[0]
+    gone = jaccard_classes(docs, k, num, den, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias(name))
+    gone = saved(gone, "gone")  # its size is then known: Spark broadcasts it only below its threshold
+    return docs.join(gone, docs[id_col] == F.col(name), "left_anti")
 
 
