@@ -1,13 +1,14 @@
 """Surrogates for personal data, in DataFrame functions only (operator 1).
 
 Detected: e-mail addresses, IPv4 addresses, phone numbers, card numbers (13 to 19 digits),
-identity numbers of the form 3-2-4, hexadecimal secrets of 32 to 64 digits, and names after a
-title that shows the gender. Every entity gets a keyed surrogate of its own type:
+identity numbers of the form 3-2-4, hexadecimal secrets of 32 to 64 digits, access key ids, what
+follows ``password=``, and names after a title that shows the gender. Every entity gets a keyed surrogate of its own type:
 
 * same length, separators and letter case; digits stay digits, letters letters;
 * e-mail: the last domain label stays; phone: the country code stays, an area code starts
   with 2 to 9; IPv4: valid octets of the same widths; card: first digit and Luhn validity
-  stay; secret: hexadecimal;
+  stay; secret: hexadecimal; access key id: its four-letter mark stays; password: the word before
+  it stays, and a hexadecimal one stays hexadecimal;
 * name: the title stays, vowels become vowels and consonants consonants of the same script
   (Latin, Cyrillic, Greek), and the end follows the gender (an open vowel after a feminine
   title, a consonant after a masculine one).
@@ -41,12 +42,17 @@ OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}+@[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}+){0,7}\.[A-Za-z]{2,24}(?![A-Za-z0-9])"
 IPV4 = rf"(?<![0-9.]){OCTET}(?:\.{OCTET}){{3}}(?!\.?[0-9])"
 SECRET = r"(?<![0-9A-Za-z])[0-9a-f]{32,64}+(?![0-9A-Za-z])"
-PHONE = (r"(?<![0-9+])\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,3}(?![0-9])"
+ACCESS = r"(?<![0-9A-Za-z])(?:AKIA|ASIA)[0-9A-Z]{16}(?![0-9A-Za-z])"
+LABEL = r"(?:[Pp]assword|PASSWORD|[Pp]asswd|[Pp]wd) ?[=:] ?"
+PASSWORD = rf"(?<![0-9A-Za-z]){LABEL}[^\s\"',;]{{3,127}}[^\s\"',;.!?]"
+# the groups of a number end where an address begins
+PHONE = (r"(?<![0-9+])\+1[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{4}(?![0-9])"
+         rf"|(?<![0-9+])\+[0-9]{{1,3}}[ .-]?(?:\([0-9]{{1,4}}\)[ .-]?)?[0-9]{{2,4}}(?:[ .-]?(?!{OCTET}(?:\.{OCTET}){{3}})[0-9]{{2,4}}){{1,3}}(?![0-9])"
          r"|(?<![0-9(])\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9.-])[0-9]{3}([.-])[0-9]{3}\1[0-9]{4}(?![0-9])")
 IDENT = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 CARD = r"(?<![0-9A-Za-z.])(?:[0-9]{4}[ -]){3}[0-9]{4}(?![0-9A-Za-z])|(?<![0-9A-Za-z.])[0-9]{13,19}+(?![0-9A-Za-z])"
 NAME = rf"(?<![\p{{L}}\p{{N}}]){TITLE}\p{{Lu}}\p{{L}}+(?:['’-]\p{{L}}+)*(?: \p{{Lu}}\p{{L}}+(?:['’-]\p{{L}}+)*)?"
-PATTERN = "|".join((EMAIL, IPV4, SECRET, PHONE, IDENT, CARD, NAME))
+PATTERN = "|".join((PASSWORD, EMAIL, IPV4, SECRET, ACCESS, PHONE, IDENT, CARD, NAME))
 
 #: Letters of surrogate names by script: vowels, consonants, feminine end, masculine end.
 SCRIPTS = {"latin": ("aeiou", "bcdfghklmnprstvz", "a", "nrstlmk"), "cyrillic": ("аеиоу", "бвгдзклмнпрст", "а", "нрстлмк"), "greek": ("αεηιο", "βγδζκλμνπρστ", "α", "ς")}
@@ -64,7 +70,7 @@ def _pick(letters: str | Column, r: Column) -> Column:
 
 def typed(m: Column) -> Column:
     """``(m, kind)`` of a match."""
-    kind = (F.when(m.contains("@"), "email").when(m.rlike(rf"^{OCTET}(\.{OCTET}){{3}}$"), "ip").when(m.rlike("^[0-9a-f]{32,64}$"), "secret")
+    kind = (F.when(m.rlike("^" + LABEL), "password").when(m.rlike(f"^{ACCESS}$"), "access").when(m.contains("@"), "email").when(m.rlike(rf"^{OCTET}(\.{OCTET}){{3}}$"), "ip").when(m.rlike("^[0-9a-f]{32,64}$"), "secret")
             .when(m.rlike(r"^\p{L}"), "name").when(m.rlike("^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), "ident").when(m.rlike(r"^\+|^\(|^[0-9]{3}[.-][0-9]{3}[.-]"), "phone").otherwise("card"))
     return F.struct(m.alias("m"), kind.alias("kind"))
 
@@ -77,7 +83,7 @@ def identified(s: Column) -> Column:
     gender = F.when(m.rlike(rf"^(?:{FEMININE})\.? "), "f").otherwise("m")
     canon = (F.when(kind == "email", F.lower(m)).when(kind == "phone", F.concat(code.cast("string"), F.lit("|"), digits))
              .when(kind.isin("card", "ident"), digits).when(kind == "name", F.concat(gender, F.lit("|"), F.lower(F.regexp_replace(m, "^" + TITLE, ""))))
-             .otherwise(m))
+             .when(kind == "password", F.regexp_replace(m, "^" + LABEL, "")).otherwise(m))
     return F.struct(m.alias("m"), kind.alias("kind"), canon.alias("canon"))
 
 
@@ -85,7 +91,7 @@ def slotted(s: Column) -> Column:
     """Adds ``slots``, the letters and digits that are replaced one by one, and ``n_head``/``n_tail`` that stay."""
     kind, canon = s["kind"], s["canon"]
     slots = F.when(kind.isin("phone", "name"), F.regexp_replace(F.regexp_replace(canon, r"^[^|]*\|", ""), r"[^\p{L}0-9]", "")).otherwise(F.regexp_replace(canon, "[^A-Za-z0-9]", ""))
-    head = F.when(kind == "phone", F.regexp_extract(canon, r"^([0-9]+)\|", 1).cast("int")).when(kind == "card", 1).otherwise(0)
+    head = F.when(kind == "phone", F.regexp_extract(canon, r"^([0-9]+)\|", 1).cast("int")).when(kind == "card", 1).when(kind == "access", 4).otherwise(0)
     tail = F.when(kind == "email", F.length(F.regexp_extract(canon, r"\.([^.]*)$", 1))).otherwise(0)
     return F.struct(*[s[c].alias(c) for c in ("m", "kind", "canon")], slots.alias("slots"), head.alias("n_head"), tail.alias("n_tail"))
 
@@ -129,7 +135,7 @@ def replaced(s: Column) -> Column:
                 .when(kind == "name", name)
                 .when((kind == "phone") & (i == s["n_head"] + 1), (r % 8 + 2).cast("string"))
                 .when(digit, (r % 10).cast("string"))
-                .when(kind == "secret", _pick("abcdef", r))
+                .when((kind == "secret") | ((kind == "password") & slots.rlike("^[0-9a-f]+$")), _pick("abcdef", r))
                 .otherwise(_pick("abcdefghijklmnopqrstuvwxyz", r)))
 
     octets = F.array_join(F.transform(F.split(s["canon"], r"\."), lambda o, j: F.when(F.length(o) == 3, rnd(j + 1) % 156 + 100)
@@ -151,7 +157,7 @@ def checked(s: Column) -> Column:
 def written(s: Column) -> Column:
     """The surrogate in the format of the mention."""
     m = s["m"]
-    title = F.when(s["kind"] == "name", F.regexp_extract(m, "^" + TITLE, 0)).otherwise("")
+    title = F.when(s["kind"] == "name", F.regexp_extract(m, "^" + TITLE, 0)).when(s["kind"] == "password", F.regexp_extract(m, "^" + LABEL, 0)).otherwise("")
     body = F.substr(m, F.length(title) + 1)
     start = F.struct(F.lit("").alias("out"), F.lit(1).alias("k"))
 
