@@ -52,7 +52,8 @@ PHONE = (r"(?<![0-9+])\+1[ .-]?(?:\([0-9]{3}\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9
 IDENT = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 CARD = r"(?<![0-9A-Za-z.])(?:[0-9]{4}[ -]){3}[0-9]{4}(?![0-9A-Za-z])|(?<![0-9A-Za-z.])[0-9]{13,19}+(?![0-9A-Za-z])"
 NAME = rf"(?<![\p{{L}}\p{{N}}]){TITLE}\p{{Lu}}\p{{L}}+(?:['’-]\p{{L}}+)*(?: \p{{Lu}}\p{{L}}+(?:['’-]\p{{L}}+)*)?"
-PATTERN = "|".join((PASSWORD, EMAIL, IPV4, SECRET, ACCESS, PHONE, IDENT, CARD, NAME))
+#: A look-ahead on the first character keeps the regex from trying the longer alternatives at every position.
+PATTERN = "|".join((f"(?=[Pp])(?:{PASSWORD})", EMAIL, SECRET, f"(?=[0-9+(])(?:{IPV4}|{PHONE}|{IDENT}|{CARD})", f"(?=A)(?:{ACCESS})", f"(?=[MHFSГΚ])(?:{NAME})"))
 
 #: Letters of surrogate names by script: vowels, consonants, feminine end, masculine end.
 SCRIPTS = {"latin": ("aeiou", "bcdfghklmnprstvz", "a", "nrstlmk"), "cyrillic": ("аеиоу", "бвгдзклмнпрст", "а", "нрстлмк"), "greek": ("αεηιο", "βγδζκλμνπρστ", "α", "ς")}
