@@ -44,6 +44,7 @@ from .words import SPACE, U, mix, shingle_sets, text_runs, word_hashes, word_spa
 
 BLOCK_DOCS = 512  # sets of one side of a block pair
 BUCKET_BLOCK = 1_024  # sketches of one side of a block pair of a bucket
+BUCKET_CELLS = 1 << 27  # expected cells of those sketches: 16 MiB, for sets of any size
 PAIRS_UP_TO = 4  # buckets of so many sets are kept as pairs
 BLOCK_ITEMS = 1_000_000  # expected shingles of one side of a block pair
 TASK_ITEMS = 250_000  # expected shingles of the groups that share a task
@@ -317,8 +318,9 @@ def _candidate_edges(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     sig = text.mapInArrow(_signature_rows(k, num, den), "sig long, node long")
     bucket = saved(sig.repartition("sig").sortWithinPartitions("sig", "node").mapInArrow(_buckets, "bucket long, node long").distinct(), "buckets")
     bits = spark.sparkContext.broadcast(bit_filter(bucket, "node"))
-    sketches = text.mapInArrow(_sketches(k, bits), "node long, n long, sketch binary").dropDuplicates(["node"])
-    blocks = bucket.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BUCKET_BLOCK).alias("blocks"))
+    sketches = saved(text.mapInArrow(_sketches(k, bits), "node long, n long, sketch binary").dropDuplicates(["node"]), "sketches")
+    blocks = bucket.join(sketches.select("node", "n"), "node").groupBy("bucket").agg(
+        F.ceil(F.greatest(F.count(F.lit(1)) / BUCKET_BLOCK, F.sum("n") / BUCKET_CELLS)).alias("blocks"))
     placed = block_pairs(bucket, "bucket", "node", blocks).join(sketches, "node")
     rows = placed.select("key", "node", "n", "block", "pair", "sketch").repartition("key").sortWithinPartitions("key")
     return saved(rows.mapInArrow(_bucket_links(num, den), "a long, b long").distinct(), "candidates")
