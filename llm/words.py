@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
 U = np.uint64
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -72,6 +72,7 @@ def text_runs(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int,
         j = min(j, n)
         yield i, j, data[offs[i]:offs[j]], offs[i:j + 1] - offs[i]
         i = j
+    pa.default_memory_pool().release_unused()  # what earlier batches held counts against the executor's memory
 
 
 def word_spans(data: np.ndarray, offs: np.ndarray, rule: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
