@@ -29,6 +29,7 @@ ids repeat or are null. Special strings inside a text count as the library count
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 
@@ -40,7 +41,7 @@ from .shared import saved
 
 CHUNK = 32_768
 OVERLAP = 1_024
-PIECE = 2_048
+PIECE = 1_024
 BATCH_CHARS = 1 << 19
 
 
@@ -111,17 +112,23 @@ def token_totals(tokenizer, texts: list[str], piece: int | None) -> list[int]:
 
 
 def _short(name: str, piece: int | None):
+    """Counts of whole texts; a text that comes again in the task is not encoded again."""
     def run(batches):
         tokenizer = _open(name)
+        seen: dict[bytes, int] = {}  # 128-bit digests: as many as the split has different texts
         for b in batches:
-            text, counts, some, size = b.column(2), [], [], 0
+            text, marks, some, size = b.column(2), [], {}, 0
             for i in range(len(text)):
-                some.append(text[i].as_py())
-                size += len(some[-1])
-                if size > BATCH_CHARS or i + 1 == len(text):
-                    counts += token_totals(tokenizer, some, piece)
-                    some, size = [], 0
-            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(counts, pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
+                t = text[i].as_py()
+                mark = hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+                marks.append(mark)
+                if mark not in seen and mark not in some:
+                    some[mark] = t
+                    size += len(t)
+                if size > BATCH_CHARS or (some and i + 1 == len(text)):
+                    seen.update(zip(some, token_totals(tokenizer, list(some.values()), piece)))
+                    some, size = {}, 0
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array([seen[m] for m in marks], pa.int64())], ["doc_id", "n_bytes", "n_tokens"])
     return run
 
 
