@@ -146,15 +146,14 @@ class Judge:
         return self.names[best], 1.0 - float(away[best]) / (self.size * len(own))
 
 
-def _judge(shared, size: int, names: tuple[str, str]):
+def _judge(shared, size: int, names: tuple[str, str], text_at: int, kept: int):
     def run(batches):
         judge = Judge(shared.value, size)
         for b in batches:
-            text = b.column(b.num_columns - 1)
-            found = [judge(t.as_py()) for t in text]
+            found = [judge(t.as_py()) for t in b.column(text_at)]
             yield pa.RecordBatch.from_arrays(
-                [*b.columns[:-1], pa.array([x for x, _ in found], pa.string()), pa.array([y for _, y in found], pa.float64())],
-                [*b.schema.names[:-1], *names])
+                [*b.columns[:kept], pa.array([x for x, _ in found], pa.string()), pa.array([y for _, y in found], pa.float64())],
+                [*b.schema.names[:kept], *names])
     return run
 
 
@@ -162,9 +161,13 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]], keep: list[str], si
             out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """``keep`` columns with the predicted language and its score for every row; no other column is read."""
     shared = docs.sparkSession.sparkContext.broadcast(profiles)
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").cast("string").alias("_text"))
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]]
-    return rows.mapInArrow(_judge(shared, size, out), ", ".join([*fields, f"`{out[0]}` string", f"`{out[1]}` double"]))
+    cols = [F.col(f"`{c}`") for c in keep]
+    if text_col not in keep or docs.schema[text_col].dataType.simpleString() != "string":  # else the kept text is read: it travels once
+        cols.append(F.col(f"`{text_col}`").cast("string").alias("_text"))
+    rows = docs.select(*cols)
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:len(keep)]]
+    text_at = keep.index(text_col) if len(cols) == len(keep) else len(keep)
+    return rows.mapInArrow(_judge(shared, size, out, text_at, len(keep)), ", ".join([*fields, f"`{out[0]}` string", f"`{out[1]}` double"]))
 
 
 def identify(docs: DataFrame, mod: int = 4, rest: int = 2, size: int = SIZE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
