@@ -18,7 +18,10 @@ of a phone or card number, the lower-cased address, the name without its title c
 surrogate depends on the key and this identity only. Distinctness is checked over the corpus:
 the table of distinct entities (a partial aggregate, so a hot entity collapses before the
 shuffle) is searched for two entities with one surrogate and for surrogates that are
-themselves entities of the corpus; those, but for one owner, are keyed anew until none is left. Only
+themselves entities of the corpus; those, but for one owner, are keyed anew until none is left. After
+``SAME_SPACE`` attempts the space of the surrogates grows with every attempt, so this ends whatever the
+number of entities: a name gets syllables, an address, secret or password letters, a number digits, an
+IPv4 address three-digit octets and later the form of an IPv6 address. Only
 the few entities with a later key are joined to the texts, by a hash of the text; all others
 are replaced inside the scan, and the documents are not shuffled for them.
 
@@ -57,6 +60,9 @@ PATTERN = "|".join((f"(?=[Pp])(?:{PASSWORD})", EMAIL, SECRET, f"(?=[0-9+(])(?:{I
 
 #: Letters of surrogate names by script: vowels, consonants, feminine end, masculine end.
 SCRIPTS = {"latin": ("aeiou", "bcdfghklmnprstvz", "a", "nrstlmk"), "cyrillic": ("аеиоу", "бвгдзклмнпрст", "а", "нрстлмк"), "greek": ("αεηιο", "βγδζκλμνπρστ", "α", "ς")}
+#: Attempts with surrogates of the entity's own length; each later one has longer surrogates.
+SAME_SPACE = 4
+WIDE_IP = 4  # attempts with three-digit octets, before the form of an IPv6 address
 VOWELS = "aeiouyàáâãäåæèéêëìíîïòóôõöøœùúûüýÿаеёиоуыэюяαεηιουωάέήίόύώ"
 
 
@@ -97,8 +103,21 @@ def slotted(s: Column) -> Column:
     return F.struct(*[s[c].alias(c) for c in ("m", "kind", "canon")], slots.alias("slots"), head.alias("n_head"), tail.alias("n_tail"))
 
 
+def widened(s: Column, attempt: Column) -> Column:
+    """The slots of an attempt: longer ones from ``SAME_SPACE`` on, so that the space of surrogates grows."""
+    kind, slots, more = s["kind"], s["slots"], (attempt - (SAME_SPACE - 1)).cast("int")
+    longer = (F.when(kind == "email", F.concat(F.repeat(F.lit("ba"), more), slots))
+              # an even number of zeros behind the first digit keeps the Luhn sum
+              .when(kind == "card", F.concat(F.substr(slots, F.lit(1), F.lit(1)), F.repeat(F.lit("00"), more), F.substr(slots, F.lit(2))))
+              .when(kind.isin("phone", "ident"), F.concat(slots, F.repeat(F.lit("0"), more)))
+              .when(kind == "ip", F.when(more > WIDE_IP, "0" * 32).otherwise("0" * 12))
+              .otherwise(F.concat(slots, F.repeat(F.lit("ba"), more))))
+    return F.when(attempt < SAME_SPACE, slots).otherwise(longer)
+
+
 def keyed(s: Column, attempt: Column, key: str) -> Column:
-    """Adds ``noise``: four hexadecimal digits a slot from SHA-512 of key, type, identity and attempt."""
+    """``slots`` of the attempt, and ``noise``: four hexadecimal digits a slot from SHA-512 of key, type, identity and attempt."""
+    s = F.struct(*[s[c].alias(c) for c in ("m", "kind", "canon")], widened(s, attempt).alias("slots"), *[s[c].alias(c) for c in ("n_head", "n_tail")])
     block = lambda b: F.sha2(F.concat_ws("|", F.lit(key), s["kind"], s["canon"], attempt.cast("string"), b.cast("string")), 512)
     noise = F.array_join(F.transform(F.sequence(F.lit(0), F.floor(F.length(s["slots"]) / 32).cast("int")), block), "")
     return F.struct(*[s[c].alias(c) for c in ("m", "kind", "canon", "slots", "n_head", "n_tail")], noise.alias("noise"))
@@ -141,6 +160,8 @@ def replaced(s: Column) -> Column:
 
     octets = F.array_join(F.transform(F.split(s["canon"], r"\."), lambda o, j: F.when(F.length(o) == 3, rnd(j + 1) % 156 + 100)
                                       .when(F.length(o) == 2, rnd(j + 1) % 90 + 10).otherwise(rnd(j + 1) % 10).cast("string")), "")
+    octets = (F.when((n == 12) & (F.length(F.regexp_replace(s["canon"], r"\.", "")) < 12), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda j: (rnd(j) % 156 + 100).cast("string")), ""))
+              .when(n == 32, F.concat(F.lit("20010db8"), F.substring(noise, 1, 24))).otherwise(octets))
     all_slots = F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), one), "")
     body = F.when(kind == "ip", octets).when(kind == "card", F.substr(all_slots, F.lit(1), n - 1)).otherwise(all_slots)
     return F.struct(*[s[c].alias(c) for c in ("m", "kind", "canon", "slots")], body.alias("body"), rnd(n).alias("last"))
@@ -160,7 +181,9 @@ def written(s: Column) -> Column:
     m = s["m"]
     title = F.when(s["kind"] == "name", F.regexp_extract(m, "^" + TITLE, 0)).when(s["kind"] == "password", F.regexp_extract(m, "^" + LABEL, 0)).otherwise("")
     body = F.substr(m, F.length(title) + 1)
-    start = F.struct(F.lit("").alias("out"), F.lit(1).alias("k"))
+    # a longer surrogate: the letters too many stand before an e-mail address and behind all others
+    front = F.when(s["kind"] == "email", F.greatest(F.length(s["new"]) - F.length(F.regexp_replace(m, r"[^\p{L}0-9]", "")), F.lit(0))).otherwise(0)
+    start = F.struct(F.substr(s["new"], F.lit(1), front).alias("out"), (front + 1).alias("k"))
 
     def step(z, i):
         c, new = _char(body, i), _char(s["new"], z["k"])
@@ -168,7 +191,9 @@ def written(s: Column) -> Column:
         cased = F.when(c != F.lower(c), F.upper(new)).otherwise(new)
         return F.struct(F.concat(z["out"], F.when(slot, cased).otherwise(c)).alias("out"), (z["k"] + F.when(slot, 1).otherwise(0)).alias("k"))
 
-    return F.concat(title, F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(body), F.lit(1))), start, step)["out"])
+    whole = F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(body), F.lit(1))), start, step, lambda z: F.concat(z["out"], F.substr(s["new"], z["k"])))
+    groups = F.when(F.length(s["new"]) == 12, F.regexp_replace(s["new"], "(...)(?=.)", "$1.")).when(F.length(s["new"]) == 32, F.regexp_replace(s["new"], "(....)(?=.)", "$1:")).otherwise(whole)
+    return F.when(s["kind"] == "ip", groups).otherwise(F.concat(title, whole))
 
 
 def matches(text: Column) -> Column:
@@ -185,15 +210,16 @@ def rekeyed(found: DataFrame, key: str = KEY) -> DataFrame:
     """``(ident, attempt)`` of the entities whose first surrogate was taken; see the module text.
 
     Each round one group by surrogate keeps the owner (an entity settled earlier, else the first by
-    identity) and sends the others on; it ends when none is left.
+    identity) and sends the others on; it ends when none is left, as later attempts have more room (``widened``).
     """
     waiting = saved(found.withColumn("attempt", F.lit(0)), "entities")
     taken = waiting.select("kind", F.col("slots").alias("new"), F.lit("").alias("canon"), F.lit(-1).alias("attempt"))  # no surrogate may be an entity
     later, rounds = None, 0
     while True:
         s = F.struct(F.lit("").alias("m"), "kind", "canon", "slots", "n_head", "n_tail")
-        tried = (waiting.select("*", keyed(s, F.col("attempt"), key).alias("s")).withColumn("s", replaced(F.col("s"))).withColumn("s", checked(F.col("s")))
-                 .withColumn("new", F.col("s")["new"]).drop("s"))
+        # lambdas keep one step's expressions out of the next
+        new = F.transform(F.array(s), lambda s: keyed(s, F.col("attempt"), key))
+        tried = waiting.select("*", F.transform(F.transform(new, replaced), checked)[0]["new"].alias("new"))
         tried = saved(tried, "tried")
         rows = taken.select("kind", "new", F.struct("attempt", "canon").alias("o")).unionByName(
             tried.select("kind", "new", F.struct("attempt", "canon").alias("o")))
