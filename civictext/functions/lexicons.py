@@ -92,7 +92,7 @@ MISINFO_MAX_SUSPICIOUS = 0.90
 MISINFO_AVG_SUSPICIOUS = 0.85
 MISINFO_MIN_HITS_FOR_AVG = 3
 DUPLICATE_THRESHOLD = 0.95
-DUPLICATE_NEIGHBOURS = 5  # of the approximate cell search only; the exact pairs have no cap
+DUPLICATE_NEIGHBOURS = 5  # of a best-neighbours search over cells only; the near-duplicate queries have no cap
 REASON_SUSPICIOUS = "High semantic overlap detected"
 REASON_ORIGINAL = "Low similarity - likely original"
 REASON_NO_HITS = "No similar articles found"

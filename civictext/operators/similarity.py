@@ -226,6 +226,19 @@ def attach_text(hits: DataFrame, index: DataFrame, index_key: str, text_col: str
     return index.select(index_key, text_col).join(F.broadcast(h) if h.count() <= max_rows else h, index_key, "inner")
 
 
+def _vector_classes(df: DataFrame, key: str, vec: str, threshold: float):
+    """``(classes (v, rep, n), copies)``: one row per distinct vector, and the links of its smallest id to its other rows."""
+    from ..sources.store import checkpoint_table
+
+    rows = df.select(F.col(key).alias("id"), F.col(vec).cast("array<double>").alias("v"))
+    classes = checkpoint_table(df.sparkSession, rows.groupBy("v").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")), "vector-classes")
+    copies = (rows.join(classes.where("n > 1").select("v", "rep"), "v").where("id <> rep")
+              .select(F.col("rep").alias("id1"), F.col("id").alias("id2"),
+                      F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x), 4).alias("score"))
+              .where(F.col("score") >= threshold))
+    return classes, copies
+
+
 def near_duplicates(df: DataFrame, key: str = "id", vec: str = "embedding", threshold: float = L.DUPLICATE_THRESHOLD,
                     block_rows: int = DEFAULT_BLOCK_ROWS, seed: int = L.SEED) -> DataFrame:
     """All near-duplicate links as ``(id1, id2, score)`` with ``id1 < id2``; no neighbour cap.
@@ -243,16 +256,11 @@ def near_duplicates(df: DataFrame, key: str = "id", vec: str = "embedding", thre
 
     spark = df.sparkSession
     ktype = _dtype_of(df, key)
-    rows = df.select(F.col(key).alias("id"), F.col(vec).cast("array<double>").alias("v"))
-    classes = checkpoint_table(spark, rows.groupBy("v").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")), "vector-classes")
+    classes, copies = _vector_classes(df, key, vec, threshold)
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
     stats = classes.agg(F.count(F.lit(1)).alias("n"), F.max(F.abs(norm - 1)).alias("off")).first()
     if not stats["n"]:
         return spark.createDataFrame([], f"id1 {ktype}, id2 {ktype}, score double")
-    copies = (rows.join(classes.where("n > 1").select("v", "rep"), "v").where("id <> rep")
-              .select(F.col("rep").alias("id1"), F.col("id").alias("id2"),
-                      F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x), 4).alias("score"))
-              .where(F.col("score") >= threshold))
     k = math.ceil(stats["n"] / block_rows)
     base = classes.select("rep", "v")
     if k == 1:
@@ -430,25 +438,37 @@ def ivf_search(cells: DataFrame, centroids: np.ndarray, queries: DataFrame, k: i
 
 
 def ivf_near_duplicates(df: DataFrame, key: str = "id", vec: str = "embedding",
-                        threshold: float = L.DUPLICATE_THRESHOLD, neighbours: int = L.DUPLICATE_NEIGHBOURS,
+                        threshold: float = L.DUPLICATE_THRESHOLD, neighbours: int | None = None,
                         nlist: int = L.IVF_NLIST, nprobe: int = L.IVF_NPROBE, block_rows: int = DEFAULT_BLOCK_ROWS,
                         seed: int = L.SEED) -> DataFrame:
     """Near-duplicate pairs over IVF cells, in salted blocks.
 
-    Every row probes its ``nprobe`` nearest cells; each (cell, index salt,
-    query salt) group holds about ``block_rows`` rows per side and emits only
-    each row's top neighbours. A hot cell (say a third of the table made of
-    copies) becomes many bounded groups, never one task or an all-pairs row
-    set. With ``nprobe`` equal to the number of cells the result equals
-    ``near_duplicates``.
+    Rows with equal vectors form one class, whose smallest id is linked to its other rows.
+    Every class probes its ``nprobe`` nearest cells, and every link of ``threshold`` or more
+    that either side finds there is returned. Each (cell, index salt, query salt) group holds
+    about ``block_rows`` rows per side, so a hot cell becomes many bounded groups. With
+    ``nprobe`` equal to the number of cells the result equals ``near_duplicates``.
+
+    With ``neighbours`` it is a search for each row's best ones: rows are not collapsed, and
+    only pairs among the smaller id's ``neighbours`` best (itself included) come out.
     """
     from ..sources.store import checkpoint_table
 
     spark = df.sparkSession
+    if neighbours is None:
+        ktype = _dtype_of(df, key)
+        classes, copies = _vector_classes(df, key, vec, threshold)
+        if classes.isEmpty():
+            return spark.createDataFrame([], f"id1 {ktype}, id2 {ktype}, score double")
+        df, key, vec = classes.select("rep", "v"), "rep", "v"
     cells, cents = build_ivf(df, key=key, vec=vec, nlist=nlist, seed=seed)
     cells = checkpoint_table(spark, cells, "ivf-cells")  # read several times below
     npr = min(nprobe, len(cents))
     probes = _probes(cells.select(F.col(key).alias("_q"), F.col(vec).alias("_qv")), cents, "_q", "_qv", npr)
+    if neighbours is None:
+        cand = _block_topk(cells, probes, key, "_q", vec, "_qv", 1 << 30, threshold, block_rows).where(F.col(key) != F.col("_q"))
+        links = cand.groupBy(F.least("_q", key).alias("id1"), F.greatest("_q", key).alias("id2")).agg(F.round(F.max("score"), 4).alias("score"))
+        return links.unionByName(copies)
     cand = _block_topk(cells, probes, key, "_q", vec, "_qv", neighbours, threshold, block_rows)
     # a (query, row) pair occurs in exactly one (cell, salt) group, so no dedup is needed
     top = _merge_topk(cand, "_q", key, neighbours, None)

@@ -233,4 +233,4 @@ def document_paraphrase_pairs(spark, sf_dir):
 @query("ivf_near_duplicates")
 def ivf_near_duplicates(spark, sf_dir):
     e = read_table(spark, sf_dir, "embeddings", ["vec_id", "embedding"])
-    return S.ivf_near_duplicates(e, key="vec_id", threshold=EMB_DUP_THRESHOLD, neighbours=L.DUPLICATE_NEIGHBOURS)
+    return S.ivf_near_duplicates(e, key="vec_id", threshold=EMB_DUP_THRESHOLD)

@@ -142,3 +142,17 @@ def test_ivf_near_duplicates_blocks_equal_exact(spark):
     ivf = sorted(tuple(r) for r in S.ivf_near_duplicates(df, "id", threshold=0.8, neighbours=5, nlist=6, nprobe=6,
                                                          block_rows=7).collect())
     assert ivf == exact and len(exact) > 0
+
+
+def test_ivf_near_duplicates_have_no_neighbour_cut(spark):
+    _, M = fixture_vectors(spark, n=300, d=8)
+    M = np.vstack([M, np.repeat(M[:1], 12, axis=0)])  # row 0 and 12 copies
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(M)], "id int, embedding array<double>")
+    t = 0.5
+    got = [(r.id1, r.id2) for r in S.ivf_near_duplicates(df, "id", threshold=t, nlist=12, nprobe=8, block_rows=20).collect()]
+    assert len(got) == len(set(got)) and {(0, i) for i in range(300, 312)} <= set(got)
+    brute = set(brute_links(M, t))
+    assert set(got) <= brute and len(set(got)) >= 0.9 * len(brute) and len(brute) > 5 * 300
+    full = sorted(tuple(r) for r in S.ivf_near_duplicates(df, "id", threshold=t, nlist=12, nprobe=12, block_rows=20).collect())
+    assert full == sorted(tuple(r) for r in S.near_duplicates(df, "id", threshold=t).collect())
+    assert S.ivf_near_duplicates(df.limit(0), "id", threshold=t).count() == 0
