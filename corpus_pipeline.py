@@ -8,8 +8,9 @@ matter to any stage, so a lost executor only repeats the tasks of the current st
 Decisions
 * language: a text without letters, or one that lies far from every learned profile, goes; a null
   language is filled with the predicted one.
-* near duplicates: of each group (5-word shingles, Jaccard >= 0.8) the row with the smallest id stays.
-* benchmark: rows that hold a window of a benchmark item go.
+* near duplicates: of each group (5-word shingles, Jaccard >= 0.8) the row with the smallest id stays
+  (nulls last); each row is judged by itself, also when ids repeat or are null.
+* benchmark: rows that hold a window of a benchmark item go, whatever their id.
 * personal data: texts go on with surrogates; ``n_chars`` is counted anew.
 * mix: rows are sampled with their calibrated probabilities.
 
@@ -40,7 +41,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near duplicates."""
-    return ngram_join.keep_one(docs, k=5, num=4, den=5)
+    return ngram_join.keep_first(docs, k=5, num=4, den=5)
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

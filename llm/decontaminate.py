@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bit_filter, free, in_filter, saved
+from .shared import bit_filter, free, in_filter, saved, with_row_number
 from .words import ALNUM, gram_hashes, grams_at, text_runs, word_hashes, word_spans
 
 WINDOW = 10
@@ -141,7 +141,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k: int = K, id_col: str = "doc_id") -> DataFrame:
-    """``docs`` without the rows whose id has a text that holds an item window; the others stay whole."""
-    name = free(docs, "_bad")[0]
-    bad = contamination(docs, benchmark, window, k, id_col).where("n_hit > 0").select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(saved(bad, "contaminated"), docs[id_col] == F.col(name), "left_anti")
+    """``docs`` without the rows that hold an item window; the others stay whole, also those of the same id."""
+    row, bad_row = free(docs, "_row", "_bad")
+    docs = with_row_number(docs, row, "numbered")
+    bad = contamination(docs, benchmark, window, k, row).where("n_hit > 0").select(F.col("doc_id").alias(bad_row))
+    return docs.join(saved(bad, "contaminated"), F.col(row) == F.col(bad_row), "left_anti").drop(row)

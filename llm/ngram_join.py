@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import bit_filter, components, free, in_filter, saved
+from .shared import bit_filter, components, free, in_filter, saved, with_row_number
 from .words import SPACE, U, mix, shingle_sets, text_runs, word_hashes, word_spans
 
 BLOCK_DOCS = 512  # sets of one side of a block pair
@@ -476,3 +476,17 @@ def keep_one(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, id_col: st
     return docs.join(gone, docs[id_col] == F.col(name), "left_anti")
 
 
+def keep_first(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each class of near duplicates, decided row by row.
+
+    The row with the smallest id stays (nulls last, then by a written row number): repeated rows of one
+    id, rows with a null id and different texts under one id are rows like all others.
+    """
+    row, first, gone_row = free(docs, "_row", "_first", "_gone")
+    docs_ = with_row_number(docs, row, "numbered")
+    found = jaccard_classes(docs_, k, num, den, row, text_col).where("n_links > 0").select(F.col("doc_id").alias(row), "component_id")
+    key = F.struct(F.col(f"`{id_col}`").isNull().alias("a"), F.col(f"`{id_col}`").alias("b"), F.col(row).alias("c"))
+    member = saved(docs_.select(row, key.alias("o")).join(found, row), "linked")
+    least = saved(member.groupBy("component_id").agg(F.min("o").alias(first)), "first")
+    gone = saved(member.join(least, "component_id").where(F.col("o.c") != F.col(f"{first}.c")).select(F.col(row).alias(gone_row)), "gone")
+    return docs_.join(gone, F.col(row) == F.col(gone_row), "left_anti").drop(row)

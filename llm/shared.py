@@ -40,6 +40,17 @@ def with_columns_set(df: DataFrame, new: dict[str, Column]) -> DataFrame:
     return df.select(*keep, *[v.alias(k) for k, v in new.items()])
 
 
+def with_row_number(df: DataFrame, name: str, table: str) -> DataFrame:
+    """``df`` with a distinct long for every row, written, so that later reads see the same numbers.
+
+    The low bits differ between partitions too, as ``bit_filter`` uses them as a hash.
+    """
+    x, low = F.monotonically_increasing_id(), (1 << 33) - 1  # partition << 33 | place
+    part = F.shiftright(x, 33)
+    number = F.shiftleft(part, 33).bitwiseOR((x + part * 2654435761).bitwiseAND(low))
+    return saved(df.withColumn(name, number), table)
+
+
 def bit_filter(keys: DataFrame, col: str) -> np.ndarray:
     """A bitmap of a 64-bit key column: at most 2**22 bits, so a broadcast of it is bounded.
 

@@ -63,3 +63,19 @@ def test_run_and_registration(spark):
     rows = P.run(spark, SF).collect()
     assert rows and all(r.lang is not None for r in rows) and language_profiles.UNKNOWN not in {r.lang for r in rows}
     assert len({r.doc_id for r in rows}) == len(rows) and PATTERN
+
+
+def test_rows_are_judged_one_by_one(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    item = next(r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect() if len(r.text.split()) >= 12)
+    other = " ".join(f"v{i}" for i in range(60))
+    rows = [(5, text), (5, text), (None, text), (3, text + " w60"), (3, other), (None, "x " + other), (7, "y " + item), (7, "clean words"), (None, "z " + item), (None, None)]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+    one = P.near_duplicates(spark, docs, SF)
+    assert one.columns == docs.columns
+    assert got(one) == sorted([rows[3], rows[4], rows[6], rows[7], rows[9]], key=str)  # of the item's two copies the one with an id
+    clean = P.benchmark_passages(spark, docs, SF)
+    assert clean.columns == docs.columns and got(clean) == sorted([r for i, r in enumerate(rows) if i not in (6, 8)], key=str)
+    null_only = docs.where("doc_id is null")
+    assert got(P.near_duplicates(spark, null_only.union(null_only), SF)) == sorted([(None, t) for t in (None, None, text, "x " + other, "z " + item)], key=str)
