@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import context_tree, decontaminate, language_profiles, license_scan, mixing, ngram_join, quality_rules, surrogates, token_counts, url_filter
+from . import context_tree, decontaminate, language_profiles, license_scan, mixing, ngram_join, periodic_runs, quality_rules, surrogates, token_counts, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -157,7 +157,8 @@ WITH t(name, text) AS (VALUES {quoted}),
 tg AS (SELECT name, {grams} AS g FROM (SELECT name, {words.format('text')} AS w FROM t)),
 b AS (SELECT DISTINCT doc_id, unnest(list_concat(string_split(coalesce(text, ''), chr(10)),
         regexp_split_to_array(coalesce(text, ''), '
-[ 	-]*
+[ 	-
+]*
 '), [coalesce(text, '')])) AS b FROM documents),
 bg AS (SELECT doc_id, b, {grams} AS g FROM (SELECT doc_id, b, {words.format('b')} AS w FROM b)),
 d AS (SELECT doc_id, b, name, 2.0 * len(list_intersect(bg.g, tg.g)) / (len(bg.g) + len(tg.g)) AS dice
@@ -173,3 +174,57 @@ FROM documents LEFT JOIN best USING (doc_id) LEFT JOIN every USING (doc_id)
 @query("op8_license_scan", op8_sql())
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+CRC32_SQL = """crc_step AS (SELECT list(list_reduce(list_concat([b], range(8)), lambda a, x: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END) ORDER BY b) AS t
+             FROM range(256) r(b))"""
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB: the unsigned CRC-32 of an ASCII text, by the byte table of ``CRC32_SQL`` (in scope as ``crc_step``)."""
+    codes = f"list_transform(string_split({text}, ''), lambda c: CAST(ascii(c) AS BIGINT))"
+    return f"xor(list_reduce(list_concat([4294967295], {codes}), lambda a, x: xor(a // 256, t[xor(a, x) % 256 + 1])), 4294967295)"
+
+
+def repeated_tails(docs: DataFrame) -> DataFrame:
+    """``(doc_id, text)``: the words of a tenth of the documents, with a tail that repeats itself; the others' texts as they are."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    sized = lambda w: F.struct(w.alias("w"), F.size(w).cast("long").alias("n"), F.floor(h / 10).alias("g"))
+    placed = lambda s: F.struct(s["w"].alias("w"), s["n"].alias("n"), (s["g"] % s["n"]).alias("a"), (s["g"] % 8 + 3).alias("k"))
+    tail = lambda s: F.struct(s["w"].alias("w"), s["n"].alias("n"), s["a"].alias("a"), (F.floor((s["n"] - s["a"]) / s["k"]) + 1).alias("p"))
+    moved = lambda s: F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), s["n"] - 1), lambda i: F.get(
+        s["w"], F.when(i < s["a"], i).otherwise(s["a"] + (i - s["a"]) % s["p"]).cast("int"))), " ")
+    steps = F.filter(F.transform(F.array(words), sized), lambda s: s["n"] > 0)  # one element: each step is evaluated once
+    text = F.transform(F.transform(F.transform(steps, placed), tail), moved)
+    return docs.select("doc_id", F.when(h % 10 == 0, F.get(text, F.lit(0))).otherwise(F.col("text")).alias("text"))
+
+
+OP13_SQL = rf"""
+WITH {CRC32_SQL},
+d0 AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, {crc32_sql('CAST(doc_id AS VARCHAR)')} AS h FROM documents, crc_step),
+d1 AS (SELECT doc_id, w, len(w) AS n, h, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a FROM d0),
+d AS (SELECT doc_id, n, CASE WHEN a IS NULL THEN w ELSE list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + (h // 10) % 8)) END]) END AS w FROM d1),
+x AS (SELECT doc_id, n, unnest(w) AS w, unnest(range(n)) AS i FROM d),
+same AS (SELECT a.doc_id, b.i - a.i AS p, a.i FROM x a JOIN x b ON a.doc_id = b.doc_id AND a.w = b.w AND b.i > a.i AND b.i - a.i <= a.n // 2),
+island AS (SELECT doc_id, p, min(i) AS s, count(*) AS m FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, p ORDER BY i) AS g FROM same) GROUP BY doc_id, p, g HAVING count(*) + p >= greatest(12, 2 * p)),
+run AS (SELECT doc_id, s AS start, m + p AS length, min(p) AS period FROM island GROUP BY ALL),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM run),
+left_over AS (SELECT x.doc_id, string_agg(w, ' ' ORDER BY x.i) AS t FROM x ANTI JOIN gone ON gone.doc_id = x.doc_id AND gone.i = x.i GROUP BY 1),
+best AS (SELECT * FROM run QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length DESC, start, period) = 1),
+every AS (SELECT doc_id, count(*) AS n, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS t FROM run GROUP BY 1)
+SELECT d.doc_id, CAST(coalesce(every.n, 0) AS BIGINT) AS n_runs, start, CAST(length AS BIGINT) AS length, CAST(period AS BIGINT) AS period,
+       CAST(1000 * length // period AS BIGINT) AS exponent_milli, sha256(coalesce(every.t, '')) AS runs_sha256, sha256(coalesce(left_over.t, '')) AS collapsed_sha256
+FROM d LEFT JOIN best USING (doc_id) LEFT JOIN every USING (doc_id) LEFT JOIN left_over USING (doc_id)
+"""
+
+
+@query("op13_periodic_runs", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find_runs(repeated_tails(table(spark, sf_dir, "documents")))
+    best = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("m"), r["start"].alias("start"), r["period"].alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", (-F.col("best.m")).alias("length"), "best.period",
+        F.floor(F.lit(-1000) * F.col("best.m") / F.col("best.period")).alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
