@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import context_tree, decontaminate, language_profiles, license_scan, mixing, ngram_join, periodic_runs, quality_rules, surrogates, token_counts, url_filter
+from . import context_tree, decontaminate, language_profiles, license_scan, mixing, ngram_join, periodic_runs, prefix_forest, prefix_trie, quality_rules, surrogates, token_counts, url_filter
+from .shared import saved
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -228,3 +229,55 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", (-F.col("best.m")).alias("length"), "best.period",
         F.floor(F.lit(-1000) * F.col("best.m") / F.col("best.period")).alias("exponent_milli"),
         F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+OP12_SQL = rf"""
+WITH {CRC32_SQL},
+t AS (SELECT conv_id, turn, md5(len(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS dg, strlen(coalesce(text, '')) AS bytes FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, dg, bytes, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, dg) AS pos FROM t),
+c AS (SELECT conv_id, conv_id - conv_id % 5 AS base, {crc32_sql('CAST(conv_id AS VARCHAR)')} % 9 AS h FROM (SELECT DISTINCT conv_id FROM t), crc_step),
+r AS (SELECT c.conv_id, 0 AS part, pos, dg, bytes FROM c JOIN own ON own.conv_id = c.base AND pos <= h
+      UNION ALL SELECT c.conv_id, 1, pos, dg, bytes FROM c JOIN own USING (conv_id) WHERE pos > h),
+p AS (SELECT conv_id, string_agg(dg, '' ORDER BY part, pos) AS k, list(bytes ORDER BY part, pos) AS b FROM r GROUP BY 1),
+full_ AS (SELECT conv_id, coalesce(k, '') AS k, coalesce(b, []) AS b FROM c LEFT JOIN p USING (conv_id)),
+pre AS (SELECT conv_id, d, k[1:32 * d] AS key, CASE WHEN d > 0 THEN b[d] ELSE 0 END AS bytes, len(b) = d AS ends FROM (SELECT *, unnest(range(len(b) + 1)) AS d FROM full_)),
+node AS (SELECT d, key, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(bytes) AS bytes,
+                coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE ends), '') AS ids FROM pre GROUP BY 1, 2),
+kids AS (SELECT d - 1 AS d, key[1:32 * (d - 1)] AS key, count(*) AS n FROM node WHERE d > 0 GROUP BY 1, 2),
+up AS (SELECT u AS d, key[1:32 * u] AS key, leaf, saved FROM (SELECT n.key, unnest(range(n.d + 1)) AS u, CAST(kids.n IS NULL AS INTEGER) AS leaf, (n_convs - 1) * bytes AS saved
+       FROM node n LEFT JOIN kids USING (d, key))),
+sums AS (SELECT d, key, sum(leaf) AS leaves, sum(saved) AS saved FROM up GROUP BY 1, 2)
+SELECT n.conv_id, CAST(n.d AS BIGINT) AS depth, m.conv_id AS parent_conv_id, n.n_convs, CAST(coalesce(kids.n, 0) AS BIGINT) AS n_children,
+       CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(n.ids) AS ends_sha256
+FROM node n LEFT JOIN kids USING (d, key) JOIN sums USING (d, key) LEFT JOIN node m ON m.d = n.d - 1 AND m.key = n.key[1:32 * (n.d - 1)]
+"""
+
+
+def crossed_conversations(conversations: DataFrame) -> DataFrame:
+    """``paths`` of the conversations with the first turns of another in front; see the contract of operator 12."""
+    h = F.crc32(F.col("conv_id").cast("string").cast("binary")) % 9
+    turns = conversations.where("conv_id is not null").select(
+        F.col("conv_id").cast("long").alias("conv_id"), "turn", prefix_trie.turn_digest(F.col("role"), F.col("text")).alias("digest"),
+        F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("size"))
+    placed = saved(turns.withColumn("place", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.asc_nulls_first("turn"), "digest"))), "turns")
+    ids = placed.select("conv_id").distinct()
+    lead = placed.where("place <= 8").select(F.col("conv_id").alias("base"), (F.col("place") - 9).alias("place"), "digest", "size")
+    lead = ids.withColumn("base", F.col("conv_id") - F.col("conv_id") % 5).join(lead, "base").where(F.col("place") <= h - 9)
+    rest = placed.where(F.col("place") > h)
+    return prefix_trie.paths(rest.select("conv_id", "place", "digest", "size").unionByName(lead.select("conv_id", "place", "digest", "size")), ids)
+
+
+@query("op12_prefix_trie", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = saved(crossed_conversations(table(spark, sf_dir, "conversations")), "paths")
+    nodes = prefix_trie.prefix_trie(paths)
+    found = nodes.join(prefix_trie.ended_digests(paths), "ended", "left")
+    return found.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens",
+                        F.coalesce("digest", F.sha2(F.lit(""), 256)).alias("ends_sha256"))
+
+
+@query("op11_prefix_forest")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    found = prefix_forest.search(vectors, vectors.where(F.col("vec_id") % 20 == 0), k=20, key="vec_id", vec="embedding")
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), "score")
