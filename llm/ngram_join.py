@@ -25,8 +25,10 @@ on in blocks of bounded size: a large one becomes block pairs that run in separa
 each task returns a spanning forest and link counts.
 
 Defined results: null or wordless text: empty set, size 0, own class, no links. Fewer than
-``k`` words: the whole run is one shingle. Repeated rows are copies. Rows with a null id
-are left out. Extra columns are ignored. An empty table gives an empty result.
+``k`` words: the whole run is one shingle. Very long texts: whole sets, a set is one row. Repeated rows are copies,
+each with its own row of the result; so are several texts under one id, each linked by its own text, and rows with a
+null id (a class of such rows alone has a null component). Extra columns are ignored, whatever their names. An empty
+table gives an empty result.
 Sets are compared by 64-bit shingle hashes, classes of equal sets by 128 bits and size.
 """
 
@@ -436,12 +438,25 @@ def _check_group(num: int, den: int):
 
 
 def jaccard_classes(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, n_shingles, component_id, n_links)`` for links of Jaccard >= num / den; see the module text.
+    """``(doc_id, n_shingles, component_id, n_links)`` for links of Jaccard >= num / den, one row a row; see the module text.
 
-    ``component_id``: the smallest id reachable by links; ``n_links``: how many other rows are linked directly.
+    ``component_id``: the smallest id reachable by links, itself included (nulls last); ``n_links``: how many other rows
+    are linked directly. Where ids repeat or are null the rows are numbered first, so that each is judged by its own text.
     """
+    docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    ids = docs.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("d")).first()
+    if ids["n"] == ids["d"]:
+        return _classes(docs, k, num, den)
+    docs = with_row_number(docs, "row", "numbered")
+    found = _classes(docs.select(F.col("row").alias("doc_id"), "text"), k, num, den).withColumnRenamed("doc_id", "row")
+    found = saved(found.join(docs.select("row", "doc_id"), "row"), "numbered-classes")
+    least = found.groupBy("component_id").agg(F.min("doc_id").alias("least"))
+    return found.join(least, "component_id").select("doc_id", "n_shingles", F.col("least").alias("component_id"), "n_links")
+
+
+def _classes(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """``jaccard_classes`` of rows ``(doc_id, text)`` whose ids are distinct."""
     spark = docs.sparkSession
-    docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")).where("doc_id is not null")
     sizes = saved(docs.mapInArrow(_sizes(k), "doc_id long, n long, f1 long, f2 long"), "set-sizes")
     classes = saved(sizes.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "set-classes")
 
@@ -468,14 +483,6 @@ def jaccard_classes(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, id_
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("links", F.lit(0)).alias("n_links"))
 
 
-def keep_one(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without near duplicates: of each class the row with the smallest id stays, whole and unchanged."""
-    name = free(docs, "_gone")[0]
-    gone = jaccard_classes(docs, k, num, den, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias(name))
-    gone = saved(gone, "gone")  # its size is then known: Spark broadcasts it only below its threshold
-    return docs.join(gone, docs[id_col] == F.col(name), "left_anti")
-
-
 def keep_first(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each class of near duplicates, decided row by row.
 
@@ -484,7 +491,7 @@ def keep_first(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, id_col:
     """
     row, first, gone_row = free(docs, "_row", "_first", "_gone")
     docs_ = with_row_number(docs, row, "numbered")
-    found = jaccard_classes(docs_, k, num, den, row, text_col).where("n_links > 0").select(F.col("doc_id").alias(row), "component_id")
+    found = _classes(docs_.select(F.col(row).alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text")), k, num, den).where("n_links > 0").select(F.col("doc_id").alias(row), "component_id")
     key = F.struct(F.col(f"`{id_col}`").isNull().alias("a"), F.col(f"`{id_col}`").alias("b"), F.col(row).alias("c"))
     member = saved(docs_.select(row, key.alias("o")).join(found, row), "linked")
     least = saved(member.groupBy("component_id").agg(F.min("o").alias(first)), "first")

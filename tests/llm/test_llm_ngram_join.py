@@ -95,12 +95,31 @@ def test_sketches_never_rule_out_similar_sets():
                 assert J.possible_links(np.array([len(a), len(b)]), words, np.zeros(2), False, 9, 10) == [(0, 1)]
 
 
+def by_row(rows, k, num, den):
+    """Sorted ``(id, size, smallest id of the class, links)`` of rows whose ids may repeat or be null."""
+    judged = brute([(i, t) for i, (_, t) in enumerate(rows)], k, num, den)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        if d is not None:
+            least[judged[i][1]] = min(d, least.get(judged[i][1], d))
+    return sorted(((d, judged[i][0], least.get(judged[i][1]), judged[i][2]) for i, (d, _) in enumerate(rows)), key=str)
+
+
+def test_rows_of_one_id_are_judged_by_their_own_text(spark):
+    rng = np.random.default_rng(4)
+    a, b = (" ".join(rng.choice([f"w{i}" for i in range(900)], 80)) for _ in range(2))
+    near = a + " one"
+    for rows in ([(1, b), (1, a), (2, near)], [(1, a), (1, b), (2, near)], [(None, a), (None, near), (3, b), (None, b), (3, b)], [(None, a), (None, a)], [(None, None)]):
+        got = J.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string"), 3, 9, 10)
+        assert sorted((tuple(r) for r in got.select("doc_id", "n_shingles", "component_id", "n_links").collect()), key=str) == by_row(rows, 3, 9, 10), rows
+
+
 def test_edge_rows(spark):
     docs = documents(spark)
-    rows = [(r.doc_id, r.text) for r in docs.collect() if r.doc_id is not None]
-    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in J.jaccard_classes(docs, 3, 9, 10).collect())
-    once = brute(list(dict(rows).items()), 3, 9, 10)
-    assert got == sorted((d, *once[d][:2]) for d, _ in rows)
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    got = J.jaccard_classes(docs, 3, 9, 10)
+    assert sorted((tuple(r) for r in got.select("doc_id", "n_shingles", "component_id", "n_links").collect()), key=str) == by_row(rows, 3, 9, 10)
     assert J.jaccard_classes(empty(spark), 3, 9, 10).count() == 0
-    kept = J.keep_one(docs, 3, 9, 10)
-    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == [d for d, _ in sorted(rows) if once[d][1] == d]
+    judged = brute([(i, t) for i, (_, t) in enumerate(rows)], 3, 9, 10)
+    kept = J.keep_first(docs, 3, 9, 10)
+    assert kept.columns == docs.columns and kept.count() == len({v[1] for v in judged.values()})
