@@ -102,7 +102,6 @@ REASON_NO_INDEX = "News FAISS index not loaded. Please build index first."
 EMBEDDING_DIM = 384
 IVF_NLIST = 100
 IVF_NPROBE = 10
-IVF_MIN_ROWS = 1000
 
 # Seed used for every sample and split.
 SEED = 42

@@ -7,11 +7,9 @@ pairs:
   (checked by a count before anything is collected), it is broadcast and every
   index partition computes ``Q @ B.T`` per Arrow batch with NumPy, emitting
   only its per-batch top-k.
-* **Block path** -- otherwise (for example near duplicates of a large table,
-  where the query side is the table itself) both sides are cut into salted
-  blocks of about ``block_rows`` rows; each (query block, index block) group
-  of a ``cogroup`` is scored in tiles and emits only top-k rows. Groups are
-  bounded whatever the data; the block counts are a small joined table.
+* **Pruned path** -- otherwise (for example when the query side is the table
+  itself) ``vector_join.top_k``: cells with bounds, two rounds, salted blocks.
+  Near duplicates take ``vector_join.links``.
 
 Scores are made in tiles of at most ``TILE_BYTES`` with a running top-k per query,
 so a kernel's memory follows neither the query side nor the Arrow batch.
@@ -20,14 +18,14 @@ A ``row_number() <= k`` window per query (planned as a partial group limit
 before the shuffle) merges the partial lists. Score ties are made exact at 12
 decimal places and broken by the smaller id.
 
-IVF restricts both paths to each query's ``nprobe`` nearest KMeans cells: the
+IVF with a fixed ``nprobe`` restricts a search to each query's nearest KMeans cells: the
 broadcast path carries an inverted list cell -> probing queries, the block
-path salts each cell separately, so a hot cell becomes many bounded blocks.
+path salts each cell separately, so a hot cell becomes many bounded blocks. Without
+``nprobe`` each query visits as many cells as a measured recall asks for.
 """
 
 from __future__ import annotations
 
-import math
 
 import numpy as np
 import pandas as pd
@@ -35,6 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
+from . import vector_join as VJ
 
 DEFAULT_CHUNK_BYTES = 64 << 20  # broadcast bound for the query side
 DEFAULT_BLOCK_ROWS = 8_000  # rows per side of one block group
@@ -42,6 +41,9 @@ TILE_BYTES = 32 << 20  # one tile of scores or of centroid distances
 TILE_WIDTH = 2_048  # index rows of one tile
 MAX_BROADCAST_ROWS = 100_000  # rows of a small side (hits, block counts) allowed in a broadcast
 SCORE_DECIMALS = 12  # scores are compared at this precision; ties then go to the smaller id
+IVF_RECALL = 0.97  # share of the calibration queries' true neighbours that an adaptive search must reach
+IVF_CELL_ROWS = 256  # rows a cell stands for
+IVF_MAX_CELLS = 1_024
 
 
 def _dtype_of(df: DataFrame, col: str) -> str:
@@ -74,7 +76,9 @@ def _topk_cells(S: np.ndarray, ids: np.ndarray, k: int, threshold: float | None)
     """(row, col) positions of each row's top ``k`` scores (>= threshold); ties at the
     cut keep the smallest ids, so no more than ``k`` per row are emitted."""
     nb = S.shape[1]
-    kk = min(k, nb)
+    if k >= nb:  # nothing is cut
+        return np.nonzero(S >= (-np.inf if threshold is None else threshold))
+    kk = k
     kth = np.partition(S, nb - kk, axis=1)[:, nb - kk]
     mask = S >= kth[:, None]
     if threshold is not None:
@@ -123,7 +127,9 @@ def _tiled_topk(Q: np.ndarray, B: np.ndarray, ids: np.ndarray, k: int, threshold
 
 
 def _matrix(col) -> np.ndarray:
-    return np.vstack([np.asarray(v, dtype=np.float64) for v in col])
+    """One matrix of a column of equally long vectors, through one flat buffer."""
+    flat = np.concatenate(col) if len(col) else np.zeros(0)
+    return flat.astype(np.float64, copy=False).reshape(len(col), -1)
 
 
 def _merge_topk(cand: DataFrame, query_key: str, index_key: str, k: int, round_to: int | None) -> DataFrame:
@@ -208,8 +214,8 @@ def search(index: DataFrame, queries: DataFrame, k: int = L.SEARCH_TOP_K, thresh
 
         cand = idx.mapInPandas(run, schema)
     else:
-        cand = _block_topk(idx.withColumn("cell", F.lit(0)), q.withColumn("cell", F.lit(0)), index_key, query_key,
-                           vec, "_qv", k, threshold, block_rows)
+        found = VJ.top_k(idx, q, k, threshold, index_key, query_key, vec, "_qv", block_rows, min(VJ.PIVOT_ROWS, block_rows))
+        return found.withColumn("score", F.round("score", round_to)) if round_to is not None else found
     return _merge_topk(cand, query_key, index_key, k, round_to)
 
 
@@ -240,71 +246,13 @@ def _vector_classes(df: DataFrame, key: str, vec: str, threshold: float):
 
 
 def near_duplicates(df: DataFrame, key: str = "id", vec: str = "embedding", threshold: float = L.DUPLICATE_THRESHOLD,
-                    block_rows: int = DEFAULT_BLOCK_ROWS, seed: int = L.SEED) -> DataFrame:
+                    block_rows: int = VJ.BLOCK_ROWS, seed: int = L.SEED) -> DataFrame:
     """All near-duplicate links as ``(id1, id2, score)`` with ``id1 < id2``; no neighbour cap.
 
-    Rows with equal vectors form one class (a partial aggregate collapses a hot group of
-    copies); its members are linked to the class's smallest id only. Between classes every
-    pair of representatives with a score of ``threshold`` or more is returned.
-
-    Exact and pruned: the representatives lie in KMeans cells (about one per block of rows);
-    for unit vectors a row at angle ``a`` from a cell's centroid has no partner in a cell of
-    radius ``r`` when ``a - r > acos(threshold)``, so it is sent only to the other cells, in
-    salted blocks. Vectors that are not of unit length are compared with every block.
+    Rows with equal vectors form one class; its members are linked to the class's smallest id only. Between classes
+    every pair of representatives with a score of ``threshold`` or more is returned (``vector_join.links``).
     """
-    from ..sources.store import checkpoint_table
-
-    spark = df.sparkSession
-    ktype = _dtype_of(df, key)
-    classes, copies = _vector_classes(df, key, vec, threshold)
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
-    stats = classes.agg(F.count(F.lit(1)).alias("n"), F.max(F.abs(norm - 1)).alias("off")).first()
-    if not stats["n"]:
-        return spark.createDataFrame([], f"id1 {ktype}, id2 {ktype}, score double")
-    k = math.ceil(stats["n"] / block_rows)
-    base = classes.select("rep", "v")
-    if k == 1:
-        cells, probes = base.withColumn("cell", F.lit(0)), base.select(F.col("rep").alias("_q"), F.col("v").alias("_qv"), F.lit(0).alias("cell"))
-    else:
-        cells, cents = build_ivf(base, key="rep", vec="v", nlist=k, seed=seed)
-        cells = checkpoint_table(spark, cells, "duplicate-cells")
-        probes = _bounded_probes(cells, cents, math.acos(min(1.0, threshold)) if stats["off"] < 1e-6 else math.inf)
-    cand = _block_topk(cells, probes, "rep", "_q", "v", "_qv", 1 << 30, threshold, block_rows)
-    pairs = cand.where(F.col("rep") > F.col("_q")).select(
-        F.col("_q").alias("id1"), F.col("rep").alias("id2"), F.round("score", 4).alias("score"))
-    return pairs.unionByName(copies)
-
-
-def _angles(Q: np.ndarray, C: np.ndarray) -> np.ndarray:
-    """Angles between unit rows and centroids."""
-    unit = C / np.maximum(np.linalg.norm(C, axis=1, keepdims=True), 1e-300)
-    return np.arccos(np.clip(Q @ unit.T, -1.0, 1.0))
-
-
-def _bounded_probes(cells: DataFrame, centroids: np.ndarray, reach: float) -> DataFrame:
-    """``(_q, _qv, cell)``: each row with every cell that may hold a row within ``reach`` (radians)."""
-    bc = cells.sparkSession.sparkContext.broadcast(centroids)  # one centroid per block of rows
-
-    def radius(batches):
-        for pdf in batches:
-            if len(pdf):
-                own = _angles(_matrix(pdf["v"].to_numpy()), bc.value)[np.arange(len(pdf)), pdf["cell"].to_numpy()]
-                yield pd.DataFrame({"cell": pdf["cell"], "r": own}).groupby("cell", as_index=False).max()
-
-    radii = np.full(len(centroids), -math.inf)
-    for r in cells.select("v", "cell").mapInPandas(radius, "cell int, r double").groupBy("cell").agg(F.max("r").alias("r")).collect():
-        radii[r["cell"]] = r["r"]  # one row per cell
-    br = cells.sparkSession.sparkContext.broadcast(radii)
-
-    def probe(batches):
-        height = max(1, TILE_BYTES // (8 * len(bc.value)))
-        for pdf in batches:
-            for a in range(0, len(pdf), height):
-                part = pdf.iloc[a:a + height]
-                qi, ci = np.nonzero(_angles(_matrix(part["v"].to_numpy()), bc.value) - br.value[None, :] <= reach + 1e-6)
-                yield pd.DataFrame({"_q": part["rep"].to_numpy()[qi], "_qv": part["v"].to_numpy()[qi], "cell": ci.astype(np.int32)})
-
-    return cells.select("rep", "v").mapInPandas(probe, f"_q {_dtype_of(cells, 'rep')}, _qv array<double>, cell int")
+    return VJ.links(df, key, vec, threshold, block_rows, min(VJ.PIVOT_ROWS, block_rows), seed)
 
 
 def verdicts(queries: DataFrame, hits: DataFrame, query_key: str, index_key: str, text_col: str | None = None) -> DataFrame:
@@ -339,13 +287,18 @@ def verdicts(queries: DataFrame, hits: DataFrame, query_key: str, index_key: str
     )
 
 
-def build_ivf(index: DataFrame, key: str = "id", vec: str = "embedding", nlist: int = L.IVF_NLIST,
+def build_ivf(index: DataFrame, key: str = "id", vec: str = "embedding", nlist: int | None = None,
               seed: int = L.SEED, max_iter: int = 20):
-    """Cluster the index into ``min(nlist, n // 10)`` cells; returns (index with ``cell``, centroids)."""
+    """Cluster the index into ``min(nlist, n // 10)`` cells; returns (index with ``cell``, centroids).
+
+    Without ``nlist`` the number follows the table: one cell for ``IVF_CELL_ROWS`` rows, between the fixed
+    number of the source system and ``IVF_MAX_CELLS``.
+    """
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
     n = index.count()
+    nlist = nlist or max(L.IVF_NLIST, min(IVF_MAX_CELLS, n // IVF_CELL_ROWS))
     k = max(1, min(nlist, n // 10))
     feats = index.select(key, vec, array_to_vector(F.col(vec)).alias("_f"))
     model = KMeans(k=k, seed=seed, featuresCol="_f", predictionCol="cell", maxIter=max_iter).fit(feats)
@@ -386,18 +339,28 @@ def _probes(queries: DataFrame, centroids: np.ndarray, qkey: str, qvec: str, npr
 
 
 def ivf_search(cells: DataFrame, centroids: np.ndarray, queries: DataFrame, k: int = L.SEARCH_TOP_K,
-               threshold: float | None = L.SEARCH_THRESHOLD, nprobe: int = L.IVF_NPROBE, index_key: str = "id",
+               threshold: float | None = L.SEARCH_THRESHOLD, nprobe: int | None = None, index_key: str = "id",
                query_key: str = "query_id", vec: str = "embedding", query_vec: str | None = None,
                max_chunk_bytes: int = DEFAULT_CHUNK_BYTES, block_rows: int = DEFAULT_BLOCK_ROWS,
-               round_to: int | None = 4) -> DataFrame:
-    """Approximate top-k over the ``nprobe`` cells nearest to each query.
+               round_to: int | None = 4, recall: float = IVF_RECALL) -> DataFrame:
+    """Approximate top-k over cells.
+
+    Without ``nprobe`` every query visits the rings of cells that may beat its k-th score, cut where the exact neighbours
+    of a sample of queries say that the share ``recall`` of them is reached (``vector_join.top_k``).
 
-    A bounded query side is broadcast with an inverted list cell -> probing
+    With ``nprobe`` its nearest cells only: a bounded query side is broadcast with an inverted list cell -> probing
     queries; each index batch multiplies, per cell present in the batch, only
     the queries probing that cell with the batch's rows of that cell. A larger
     query side goes through salted blocks per cell. Index rows of a hot cell
     are spread over many tasks either way, and only top-k rows are emitted.
     """
+    if nprobe is None:
+        length = np.linalg.norm(centroids, axis=1, keepdims=True)
+        unit = (centroids / np.maximum(length, 1e-300))[length[:, 0] > 1e-12]
+        unit = unit if len(unit) else np.eye(1, centroids.shape[1])
+        found = VJ.top_k(cells.select(index_key, vec), queries, k, threshold, index_key, query_key, vec, query_vec, min(block_rows, VJ.BLOCK_ROWS),
+                         pivots=unit, recall=recall)
+        return found.withColumn("score", F.round("score", round_to)) if round_to is not None else found
     spark = cells.sparkSession
     query_vec = query_vec or vec
     npr = min(nprobe, len(centroids))
@@ -439,7 +402,7 @@ def ivf_search(cells: DataFrame, centroids: np.ndarray, queries: DataFrame, k: i
 
 def ivf_near_duplicates(df: DataFrame, key: str = "id", vec: str = "embedding",
                         threshold: float = L.DUPLICATE_THRESHOLD, neighbours: int | None = None,
-                        nlist: int = L.IVF_NLIST, nprobe: int = L.IVF_NPROBE, block_rows: int = DEFAULT_BLOCK_ROWS,
+                        nlist: int | None = None, nprobe: int = L.IVF_NPROBE, block_rows: int = DEFAULT_BLOCK_ROWS,
                         seed: int = L.SEED) -> DataFrame:
     """Near-duplicate pairs over IVF cells, in salted blocks.
 
