@@ -1,10 +1,12 @@
 """Mixing sources to target weights by iterative proportional fitting (operator 4).
 
 ``mix`` rakes the token weights of the cells (source, language, topic) until the weighted
-tokens of every source, language and topic have their target shares, and gives each document
-the probability ``factor of its cell / largest factor``: sampled with it, the tokens have the
-target mix in expectation, and no document counts more than once. A document is kept when the
-uniform number made of its id is below its probability, so a run can be repeated.
+tokens of every source, language and topic have their target shares. The rate of a cell is its
+factor times one number for all cells, set so that the share ``budget`` of all tokens is kept. Taken
+at their rates, the tokens have the target mix in expectation. A document counts at most once, so its probability is the
+rate up to 1; a cell of a greater rate is kept whole, falls short of its target by what its rate is above 1, and the number
+for all cells makes up for it in the others. So a small cell, however rare, moves the others by no more than its own tokens.
+A document is kept when the uniform number made of its id is below its probability, so a run can be repeated.
 
 Targets, one for each marginal: a number ``a`` tempers the natural shares (share ** a, made to
 sum to one); a dict fixes the shares of some values, and the others share the rest by their tokens.
@@ -17,8 +19,9 @@ cell table; both do the same steps.
 
 Defined results: a null source, language or topic is the value ``(null)``. A null or wordless
 text has no tokens; its document takes the probability of its cell, or that of the product of
-its marginals' factors where the cell has no tokens at all. A null id counts as the empty string. An
-empty table gives an empty result. Extra columns stay, but for those named like the new ones.
+its marginals' factors where the cell has no tokens at all. Very long texts count all their tokens. Repeated rows count each,
+and are kept or left out together, as their ids are equal. A null id counts as the empty string. An empty table gives an
+empty result. Extra columns stay, but for those named like the new ones.
 """
 
 from __future__ import annotations
@@ -31,11 +34,14 @@ from .shared import free, saved, with_columns_set
 LOCAL_CELLS = 100_000
 ROUNDS = 200
 CLOSE = 1e-10
+FAR = 1e100  # factors of targets that contradict each other drift apart; their product stays a number
 MARGINALS = ("source", "lang", "topic")
 
 #: Moderate targets: the further they lie from the natural shares, the more documents go.
 TARGETS: dict[str, float | dict[str, float]] = {"source": 0.8, "lang": {"en": 0.55, "de": 0.16, "fr": 0.16, "es": 0.12}, "topic": 0.9}
 
+BUDGET = 0.5  # share of all tokens that is kept, in expectation
+
 SEED = "mix-1"
 
 
@@ -44,7 +50,7 @@ def word_count(text: Column) -> Column:
 
 
 def form_topic(text: Column) -> Column:
-    """A topic by the form of the text, for tables without a topic column: the first that fits."""
+    """A stand-in topic by the form of the text, for tables without a topic column: the first that fits. ``mix`` takes any other."""
     t = F.coalesce(text, F.lit(""))
     return (F.when(t.contains("License"), "licensed").when(t.contains("@") | t.contains("token = "), "personal")
             .when(t.contains(" | "), "table").when(t.contains("%%%") | t.contains("!!"), "noise").otherwise("prose"))
@@ -91,7 +97,7 @@ def _fit_rows(rows: list[dict], goals: dict[str, dict[str, float]], rounds: int)
             now = np.bincount(at[m], weight, len(names[m]))
             step = np.where(now > 0, goal[m] / np.where(now > 0, now, 1), 1.0)
             weight *= step[at[m]]
-            factor[m] *= step
+            factor[m] = np.clip(factor[m] * step, 1 / FAR, FAR)
             off = max(off, float(np.abs(step - 1).max()))
         if off < CLOSE:
             break
@@ -107,7 +113,7 @@ def _fit_table(cells: DataFrame, goals: dict[str, DataFrame], rounds: int) -> Da
         off = F.lit(0.0)
         for m in MARGINALS:
             out = out.withColumn("step", F.col(f"goal_{m}") / F.sum("w").over(Window.partitionBy(m)))
-            out = out.withColumn("w", F.col("w") * F.col("step")).withColumn(f"f_{m}", F.col(f"f_{m}") * F.col("step")).withColumn(f"off_{m}", F.abs(F.col("step") - 1))
+            out = out.withColumn("w", F.col("w") * F.col("step")).withColumn(f"f_{m}", F.greatest(F.lit(1 / FAR), F.least(F.lit(FAR), F.col(f"f_{m}") * F.col("step")))).withColumn(f"off_{m}", F.abs(F.col("step") - 1))
             off = F.greatest(off, F.col(f"off_{m}"))
         out = saved(out.withColumn("off", off).drop("step", *[f"off_{m}" for m in MARGINALS]), "fit")
         if (out.agg(F.max("off")).first()[0] or 0.0) < CLOSE:
@@ -116,8 +122,29 @@ def _fit_table(cells: DataFrame, goals: dict[str, DataFrame], rounds: int) -> Da
     return out
 
 
-def rake(cells: DataFrame, targets: dict[str, float | dict[str, float]] = TARGETS, rounds: int = ROUNDS, local_cells: int = LOCAL_CELLS) -> DataFrame:
-    """``(source, lang, topic, weight, probability)`` of every cell of ``cells (source, lang, topic, tokens)``."""
+def calibrate(weights: DataFrame, budget: float) -> float:
+    """The number that, times the weights and cut at 1, keeps the share ``budget`` of the tokens; each step is an aggregate over cells.
+
+    A cell that reaches rate 1 stays there, as the number only grows from step to step.
+    """
+    total = weights.agg(F.sum("tokens")).first()[0] or 0
+    if not total:
+        return float("inf")
+    number = 0.0
+    while True:
+        full = F.col("weight") * number >= 1
+        s = weights.agg(F.sum(F.when(full, F.col("tokens"))).alias("whole"), F.sum(F.when(~full, F.col("tokens") * F.col("weight"))).alias("open")).first()
+        if not s["open"]:
+            return float("inf")  # the budget asks for everything
+        step = (budget * total - (s["whole"] or 0)) / s["open"]
+        if step <= number * (1 + 1e-12):
+            return number
+        number = step
+
+
+def rake(cells: DataFrame, targets: dict[str, float | dict[str, float]] = TARGETS, rounds: int = ROUNDS, local_cells: int = LOCAL_CELLS,
+         budget: float = BUDGET) -> DataFrame:
+    """``(source, lang, topic, weight, rate, probability)`` of every cell of ``cells (source, lang, topic, tokens)``."""
     spark = cells.sparkSession
     goals = {m: target_shares(cells, m, targets.get(m, 1.0)) for m in MARGINALS}
     if cells.count() <= local_cells:
@@ -131,13 +158,13 @@ def rake(cells: DataFrame, targets: dict[str, float | dict[str, float]] = TARGET
     for m in MARGINALS:
         out = out.join(factors[m], m, "left").withColumn(f"f_{m}", F.coalesce(f"f_{m}", F.lit(1.0)))
     out = saved(out.withColumn("weight", F.col("f_source") * F.col("f_lang") * F.col("f_topic")), "weights")
-    top = out.where("tokens > 0").agg(F.max("weight")).first()[0] or 1.0
-    return out.select(*MARGINALS, "weight", F.least(F.lit(1.0), F.col("weight") / F.lit(top)).alias("probability"))
+    rate = F.col("weight") * F.lit(calibrate(out.where("tokens > 0"), budget))
+    return out.select(*MARGINALS, "weight", rate.alias("rate"), F.least(F.lit(1.0), rate).alias("probability"))
 
 
 def mix(docs: DataFrame, targets: dict[str, float | dict[str, float]] = TARGETS, id_col: str = "doc_id", text_col: str = "text",
-        topic: Column | None = None, tokens: Column | None = None, rounds: int = ROUNDS, local_cells: int = LOCAL_CELLS) -> DataFrame:
-    """``docs`` with ``topic``, ``n_tokens``, ``weight``, ``probability`` and ``kept`` for every row.
+        topic: Column | None = None, tokens: Column | None = None, rounds: int = ROUNDS, local_cells: int = LOCAL_CELLS, budget: float = BUDGET) -> DataFrame:
+    """``docs`` with ``topic``, ``n_tokens``, ``weight``, ``rate``, ``probability`` and ``kept`` for every row.
 
     ``topic`` and ``tokens``: expressions for the topic (default ``form_topic``) and the tokens (default words).
     """
@@ -146,8 +173,8 @@ def mix(docs: DataFrame, targets: dict[str, float | dict[str, float]] = TARGETS,
     staged = with_columns_set(docs, {"topic": value(form_topic(text) if topic is None else topic), "n_tokens": word_count(text) if tokens is None else tokens})
     marks = staged.select(value(F.col("source")).alias("source"), value(F.col("lang")).alias("lang"), "topic", "n_tokens")
     cells = saved(marks.groupBy(*MARGINALS).agg(F.sum("n_tokens").alias("tokens")), "cells")
-    s, l, t, w, p = names = free(staged, "_source", "_lang", "_topic", "_weight", "_probability")
-    found = saved(rake(cells, targets, rounds, local_cells), "probabilities").toDF(*names)
+    s, l, t, w, r, p = names = free(staged, "_source", "_lang", "_topic", "_weight", "_rate", "_probability")
+    found = saved(rake(cells, targets, rounds, local_cells, budget), "probabilities").toDF(*names)
     out = staged.join(found, (value(F.col("source")) == F.col(s)) & (value(F.col("lang")) == F.col(l)) & (F.col("topic") == F.col(t)), "left")
-    out = with_columns_set(out, {"weight": F.col(w), "probability": F.col(p), "kept": unit_of(F.col(f"`{id_col}`")) < F.col(p)})
+    out = with_columns_set(out, {"weight": F.col(w), "rate": F.col(r), "probability": F.col(p), "kept": unit_of(F.col(f"`{id_col}`")) < F.col(p)})
     return out.drop(*names)

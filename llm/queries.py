@@ -122,7 +122,11 @@ cells AS (SELECT source, lang, topic, CAST(sum(n_tokens) AS DOUBLE) AS tokens FR
         for m in mixing.MARGINALS:
             parts.append(f"w{k + 1} AS MATERIALIZED (SELECT w{k}.* REPLACE (w * goal / sum(w) OVER (PARTITION BY w{k}.{m}) AS w) FROM w{k} JOIN g_{m} ON w{k}.{m} = g_{m}.{m})")
             k += 1
-    parts.append(f"fit AS (SELECT source, lang, topic, w / tokens AS weight, w / tokens / max(w / tokens) OVER () AS probability FROM w{k})")
+    parts.append(f"""f0 AS (SELECT source, lang, topic, tokens, w / tokens AS weight FROM w{k}),
+f1 AS (SELECT *, {mixing.BUDGET} * sum(tokens) OVER () - coalesce(sum(tokens) OVER (ORDER BY weight DESC, source, lang, topic ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS open,
+              sum(tokens * weight) OVER (ORDER BY weight DESC, source, lang, topic ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS below FROM f0),
+c AS (SELECT max_by(open / below, weight) AS number FROM f1 WHERE open / below * weight <= 1),
+fit AS (SELECT source, lang, topic, weight, least(1.0, weight * number) AS probability FROM f0, c)""")
     return ",\n".join(parts) + f"""
 SELECT doc_id, t.source, t.lang, t.topic, n_tokens, round(weight, 6) AS weight, round(probability, 6) AS probability,
        CAST('0x' || substr(md5('{mixing.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 13) AS BIGINT) / 4503599627370496.0 < probability AS kept

@@ -33,7 +33,12 @@ def plain(cells, targets):
                 now[k[m]] = now.get(k[m], 0) + v
             w = {k: v * goals[m][k[m]] / now[k[m]] for k, v in w.items()}
     f = {k: w[k] / cells[k] for k in cells}
-    return f, {k: v / max(f.values()) for k, v in f.items()}
+    low, high = 0.0, 1e6  # by bisection
+    for _ in range(200):
+        c = (low + high) / 2
+        kept = sum(t * min(1.0, c * f[k]) for k, t in cells.items())
+        low, high = (c, high) if kept < M.BUDGET * total else (low, c)
+    return f, {k: min(1.0, low * v) for k, v in f.items()}
 
 
 def some_cells():
@@ -55,16 +60,29 @@ def test_both_fits_equal_the_plain_loop(spark):
 
 def test_sample_has_the_target_mix_in_expectation(spark):
     rows = M.mix(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()
-    total = sum(r.n_tokens * r.probability for r in rows)
+    total = sum(r.n_tokens * r.rate for r in rows)
     listed = M.TARGETS["lang"]
     for lang, share in listed.items():
-        got = sum(r.n_tokens * r.probability for r in rows if r.lang == lang) / total
+        got = sum(r.n_tokens * r.rate for r in rows if r.lang == lang) / total
         assert abs(got - share / sum(listed.values())) < 1e-6
+    assert abs(sum(r.n_tokens * r.probability for r in rows) / sum(r.n_tokens for r in rows) - M.BUDGET) < 1e-9
     for r in rows:
+        assert r.probability == min(1.0, r.rate)
         u = int(hashlib.md5(f"{M.SEED}:{r.doc_id}".encode()).hexdigest()[:13], 16) / 2**52
         assert r.kept == (u < r.probability) and 0 < r.probability <= 1
 
 
+def test_a_rare_cell_does_not_thin_the_others(spark):
+    rows = [(i, "some words of a large source " * 5, "en", "large") for i in range(3000)]
+    schema = "doc_id long, text string, lang string, source string"
+    alone = M.mix(spark.createDataFrame(rows, schema)).where("source = 'large'").first().probability
+    mixed = M.mix(spark.createDataFrame(rows + [(9999, "word", None, "rare")], schema))
+    other = mixed.where("source = 'large'").first().probability
+    assert abs(alone - M.BUDGET) < 1e-9 and abs(other / alone - 1) < 0.01
+    assert mixed.where("source = 'rare'").first().probability == 1.0
+    assert M.mix(spark.createDataFrame(rows, schema), budget=1.0).agg({"probability": "min"}).first()[0] == 1.0
+
+
 def test_query_equals_its_sql(spark):
     import duckdb
 

@@ -59,7 +59,7 @@ def test_every_stage_takes_edge_rows(spark, tmp_path):
 def test_run_and_registration(spark):
     import __spark_entry__ as E
 
-    assert E.queries()["pipeline"] is P.run and {f"op{n}_" for n in range(1, 11)} == {re.match(r"op\d+_", q)[0] for q in E.queries() if re.match(r"op\d+_", q)}
+    assert E.queries()["pipeline"] is P.run and {f"op{n}_" for n in range(1, 14)} == {re.match(r"op\d+_", q)[0] for q in E.queries() if re.match(r"op\d+_", q)}
     rows = P.run(spark, SF).collect()
     assert rows and all(r.lang is not None for r in rows) and language_profiles.UNKNOWN not in {r.lang for r in rows}
     assert len({r.doc_id for r in rows}) == len(rows) and PATTERN
