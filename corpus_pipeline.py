@@ -5,6 +5,9 @@ DataFrame; the runner writes it as Parquet and reads it again as the next stage'
 return the columns of ``documents``; the last adds the mixing columns. A row's order does not
 matter to any stage, so a lost executor only repeats the tasks of the current stage.
 
+Defined results: nulls, empty and very long texts, repeated rows, clashing columns: as the operators define them, row by row; an
+empty table goes through every stage empty.
+
 Decisions
 * language: a text without letters, or one that lies far from every learned profile, goes; a null
   language is filled with the predicted one.
@@ -32,7 +35,7 @@ MIN_SCORE = 0.2  # a text whose out-of-place distance to every profile is more t
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows with a recognised language."""
-    profiles = language_profiles.learn_profiles(docs.where(~language_profiles.held_out("doc_id", 4, 2) & F.col("doc_id").isNotNull()))
+    profiles = language_profiles.learn_profiles(docs)  # all rows with a language
     found, score = free(docs, "lang_pred", "score")
     named = language_profiles.predict(docs, profiles, docs.columns, out=(found, score))
     good = named.where((F.col(found) != language_profiles.UNKNOWN) & (F.col(score) >= MIN_SCORE))
