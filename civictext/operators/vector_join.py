@@ -1,7 +1,7 @@
 """Exact vector joins that skip what cannot match: all links above a threshold, and top-k of a large query side.
 
 Rows are dealt to cells: the nearest of at most ``MAX_PIVOTS`` pivots (fitted on a bounded sample), split into
-rings by their angle to that pivot. For a row ``x`` and a ring whose rows lie at angles ``lo..hi`` from the pivot and are
+rings by their angle to that pivot (small ones joined). For a row ``x`` and a ring whose rows lie at angles ``lo..hi`` from the pivot and are
 no longer than ``m``, every angle between ``x`` and a row of the ring is at least ``max(0, a - hi, lo - a)``, ``a`` being the
 angle of ``x`` to the pivot. So ``x`` goes only to rings where ``|x| * m * cos(that angle)`` reaches its threshold. The bound
 holds for vectors of any length, and the result is that of scoring all pairs.
@@ -12,7 +12,7 @@ holds for vectors of any length, and the result is that of scoring all pairs.
 
 What is shuffled is a compact form of a vector (positions and weights of its non-zero components where that is shorter),
 in salted blocks: a ring of many rows, or one that many rows visit, is several bounded groups. The driver holds
-the pivots and three numbers a ring, both bounded by ``MAX_PIVOTS`` whatever the table's size.
+the pivots and a few numbers a cell, both bounded by ``MAX_PIVOTS`` whatever the table's size.
 """
 
 from __future__ import annotations
@@ -33,6 +33,7 @@ MAX_PIVOTS = 256
 PIVOT_ROWS = 1_024  # rows a pivot stands for, until there are MAX_PIVOTS
 SAMPLE_ROWS = 4_096  # rows the pivots are fitted on
 RING = math.pi / 48
+CELL_ROWS = 512  # rings of fewer rows are joined with their neighbours
 BLOCK_ROWS = 4_096  # rows per side of one group
 TILE_BYTES = 32 << 20
 TILE_WIDTH = 2_048
@@ -104,10 +105,10 @@ def vector_width(df: DataFrame, vec: str) -> int:
 # --- cells ------------------------------------------------------------------------------------
 @dataclass
 class Cells:
-    """Pivots and, for each ring of each pivot, the angles and the greatest length of its rows (NaN: no rows)."""
+    """Pivots, and for each cell its pivot, the range of its rows' angles to it, their greatest length and their number."""
 
     pivots: np.ndarray
-    rings: int
+    pivot: np.ndarray
     low: np.ndarray
     high: np.ndarray
     norm: np.ndarray
@@ -144,12 +145,12 @@ def _sample(rows: DataFrame, n: int, width: int, most: int, seed: int) -> np.nda
     return unpack(picked.column("v"), width) if picked.num_rows else np.zeros((0, width))
 
 
-def build_cells(rows: DataFrame, n: int, width: int, seed: int = L.SEED, pivot_rows: int = PIVOT_ROWS, pivots: np.ndarray | None = None) -> tuple[DataFrame, Cells]:
-    """``rows`` with their ``cell``, written, and the cells' bounds; ``pivots`` may be given (unit rows)."""
+def build_cells(rows: DataFrame, n: int, width: int, seed: int = L.SEED, pivot_rows: int = PIVOT_ROWS, pivots: np.ndarray | None = None) -> tuple[DataFrame, Cells, np.ndarray]:
+    """``rows`` with their ``cell``, the cells' bounds, and the sample of rows; ``pivots`` may be given (unit rows)."""
     spark = rows.sparkSession
+    sample = _sample(rows, n, width, SAMPLE_ROWS, seed)
     if pivots is None:
-        count = max(1, min(MAX_PIVOTS, math.ceil(n / pivot_rows)))
-        pivots = fit_pivots(_sample(rows, n, width, SAMPLE_ROWS, seed), count, seed)
+        pivots = fit_pivots(sample, max(1, min(MAX_PIVOTS, math.ceil(n / pivot_rows))), seed)
     rings = math.ceil(math.pi / RING) + 1
     shared = spark.sparkContext.broadcast(pivots)
 
@@ -158,18 +159,27 @@ def build_cells(rows: DataFrame, n: int, width: int, seed: int = L.SEED, pivot_r
             a = _angles(unpack(b.column("v"), width), shared.value)
             near = np.argmin(a, axis=1)
             own = a[np.arange(len(a)), near]
-            cell = near * rings + np.minimum((own / RING).astype(np.int64), rings - 1)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell.astype(np.int32)), pa.array(own)], [*b.schema.names, "cell", "angle"])
+            ring = near * rings + np.minimum((own / RING).astype(np.int64), rings - 1)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ring.astype(np.int32)), pa.array(own)], [*b.schema.names, "ring", "angle"])
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
-    placed = checkpoint_table(spark, rows.mapInArrow(place, f"{kinds}, cell int, angle double"), "vector-cells")
-    stats = placed.groupBy("cell").agg(F.min("angle").alias("a"), F.max("angle").alias("b"), F.max("norm").alias("m"), F.count(F.lit(1)).alias("n")).collect()
-    size = len(pivots) * rings  # at most 49 rows a pivot were collected
-    low, high, norm = (np.full(size, np.nan) for _ in range(3))
-    held = np.zeros(size, np.int64)
-    for r in stats:
-        low[r["cell"]], high[r["cell"]], norm[r["cell"]], held[r["cell"]] = r["a"], r["b"], r["m"], r["n"]
-    return placed, Cells(pivots, rings, low, high, norm, held)
+    placed = checkpoint_table(spark, rows.mapInArrow(place, f"{kinds}, ring int, angle double"), "vector-cells")
+    stats = placed.groupBy("ring").agg(F.min("angle").alias("a"), F.max("angle").alias("b"), F.max("norm").alias("m"), F.count(F.lit(1)).alias("n")).collect()
+    # neighbouring rings of a pivot become one cell until it holds CELL_ROWS rows: fewer copies of a row that visits them
+    merged: list[list] = []  # pivot, low, high, norm, rows; at most 49 a pivot
+    cell_of = []
+    for r in sorted(stats, key=lambda r: r["ring"]):
+        pivot = r["ring"] // rings
+        if not merged or merged[-1][0] != pivot or merged[-1][4] >= CELL_ROWS:
+            merged.append([pivot, r["a"], r["b"], r["m"], r["n"]])
+        else:
+            last = merged[-1]
+            last[1:] = [min(last[1], r["a"]), max(last[2], r["b"]), max(last[3], r["m"]), last[4] + r["n"]]
+        cell_of.append((r["ring"], len(merged) - 1))
+    table = np.array(merged, np.float64).reshape(-1, 5)
+    cells = Cells(pivots, table[:, 0].astype(np.int64), table[:, 1], table[:, 2], table[:, 3], table[:, 4].astype(np.int64))
+    names = F.broadcast(spark.createDataFrame(cell_of, "ring int, cell int"))
+    return placed.join(names, "ring").drop("ring", "angle"), cells, sample
 
 
 def needed(x: np.ndarray, least: np.ndarray, cells: Cells, at: np.ndarray) -> np.ndarray:
@@ -178,7 +188,7 @@ def needed(x: np.ndarray, least: np.ndarray, cells: Cells, at: np.ndarray) -> np
     Of ``x`` at angle ``a`` and a row at angle ``b`` from the pivot, the product of unit vectors is ``cos a cos b + u sin a sin b``;
     this is the least ``u`` over the angles of the cell, for every row of ``x`` and every cell of ``at``.
     """
-    a = _angles(x, cells.pivots)[:, at // cells.rings]
+    a = _angles(x, cells.pivots)[:, cells.pivot[at]]
     size = np.sqrt((x * x).sum(axis=1))[:, None] * cells.norm[at][None, :]
     share = least[:, None] / np.maximum(size, 1e-300)
     turn = np.arccos(np.clip(np.cos(a) / np.where(share > 0, share, 1.0), -1.0, 1.0))  # where the need is least
@@ -193,24 +203,22 @@ def reachable(x: np.ndarray, least: np.ndarray, cells: Cells, cut: float | None
 
     With ``cut`` only cells that ``needed`` at most that much agreement: approximate.
     """
-    full = np.flatnonzero(cells.rows)
     if cut is not None:
-        row, at = np.nonzero(needed(x, least, cells, full) <= cut)
-        return row, full[at]
-    angle = _angles(x, cells.pivots)[:, full // cells.rings]
-    apart = np.maximum(0.0, np.maximum(angle - cells.high[full], cells.low[full] - angle) - SLACK)
-    size = np.sqrt((x * x).sum(axis=1))[:, None] * cells.norm[full][None, :]
+        return np.nonzero(needed(x, least, cells, np.arange(len(cells.rows))) <= cut)
+    angle = _angles(x, cells.pivots)[:, cells.pivot]
+    apart = np.maximum(0.0, np.maximum(angle - cells.high, cells.low - angle) - SLACK)
+    size = np.sqrt((x * x).sum(axis=1))[:, None] * cells.norm[None, :]
     # a product of at most zero is never ruled out: zero vectors have no angle
-    may = (least[:, None] <= 0) | (size * np.cos(np.minimum(apart, math.pi)) >= least[:, None] * (1 - 1e-9))
-    row, at = np.nonzero(may)
-    return row, full[at]
+    return np.nonzero((least[:, None] <= 0) | (size * np.cos(np.minimum(apart, math.pi)) >= least[:, None] * (1 - 1e-9)))
 
 
 # --- blocks -----------------------------------------------------------------------------------
-def scored_pairs(placed: DataFrame, probes: DataFrame) -> int:
-    """How many pairs of rows are scored when ``probes`` visit their cells."""
-    both = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("a")).join(probes.groupBy("cell").agg(F.count(F.lit(1)).alias("b")), "cell")
-    return int(both.agg(F.sum(F.col("a") * F.col("b")).alias("n")).first()["n"] or 0)
+def counted_visits(probes: DataFrame, cells: Cells) -> np.ndarray:
+    """How many probes visit each cell (one row a cell reaches the driver)."""
+    out = np.zeros(len(cells.rows), np.int64)
+    for r in probes.groupBy("cell").count().collect():
+        out[r["cell"]] = r["count"]
+    return out
 
 
 def _tiles(q: np.ndarray, x: np.ndarray):
@@ -261,12 +269,14 @@ def _score_block(width: int, k: int | None):
     return lambda left, right: run(left, right)
 
 
-def score_blocks(placed: DataFrame, probes: DataFrame, width: int, k: int | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """``(q, id, score)`` of ``placed (id, v, cell)`` and ``probes (q, qv, cell, least, own)``, cell by cell in salted blocks."""
+def score_blocks(placed: DataFrame, probes: DataFrame, cells: Cells, visits: np.ndarray, width: int, k: int | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """``(q, id, score)`` of ``placed (id, v, cell)`` and ``probes (q, qv, cell, least, own)``, cell by cell in salted blocks.
+
+    ``visits``: how many probes a cell has, or about; it only sets the number of its blocks.
+    """
     spark = placed.sparkSession
-    count = lambda df, name: df.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias(name))
-    sizes = checkpoint_table(spark, count(placed, "n_i").join(count(probes, "n_q"), "cell"), "cell-blocks")  # one row a cell, at most MAX_PIVOTS * 49
-    sizes = F.broadcast(sizes)
+    blocks = [(c, math.ceil(n / block_rows), max(1, math.ceil(v / block_rows))) for c, (n, v) in enumerate(zip(cells.rows.tolist(), visits.tolist()))]
+    sizes = F.broadcast(spark.createDataFrame(blocks, "cell int, n_i int, n_q int"))  # one row a cell
     left = (placed.select("id", "v", "cell").join(sizes, "cell").withColumn("i", F.pmod(F.xxhash64("id"), F.col("n_i")).cast("int"))
             .withColumn("s", F.explode(F.sequence(F.lit(0), F.col("n_q") - 1))).drop("n_i", "n_q"))
     right = (probes.join(sizes, "cell").withColumn("s", F.pmod(F.xxhash64("q"), F.col("n_q")).cast("int"))
@@ -277,13 +287,15 @@ def score_blocks(placed: DataFrame, probes: DataFrame, width: int, k: int | None
 
 
 # --- all links above a threshold ------------------------------------------------------------------
-def vector_classes(rows: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """``(representatives, copies)`` of packed rows with ``same``: the smallest id of each distinct vector, and its links to the others.
+def vector_classes(rows: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame | None]:
+    """``(representatives, copies)`` of packed rows with ``same``: the smallest id of each distinct vector, and its links to the others (none: None).
 
     Only digests and ids are grouped, so a hot vector is a partial aggregate.
     """
     spark = rows.sparkSession
     hot = checkpoint_table(spark, rows.groupBy("same").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "equal-vectors")
+    if hot.isEmpty():
+        return rows.drop("same"), None
     copies = rows.select("id", "norm", "same").join(hot, "same").where("id <> rep").select("rep", "id", "norm")
     copies = checkpoint_table(spark, copies, "vector-copies")
     reps = rows.drop("same").join(copies.select("id"), "id", "left_anti")
@@ -305,8 +317,11 @@ def links(df: DataFrame, key: str, vec: str, threshold: float, block_rows: int =
         return spark.createDataFrame([], f"id1 {kind}, id2 {kind}, score double")
     rows = checkpoint_table(spark, packed(df, key, vec, width, digest=True), "packed-vectors")
     reps, copies = vector_classes(rows, threshold)
-    placed, cells = build_cells(reps, rows.count(), width, seed, pivot_rows)
+    n = rows.count()
+    placed, cells, sample = build_cells(reps, n, width, seed, pivot_rows)
     shared = spark.sparkContext.broadcast(cells)
+    seen = np.bincount(reachable(sample, np.full(len(sample), threshold), cells)[1], minlength=len(cells.rows))
+    visits = seen * (n / max(1, len(sample)))  # a row of the sample stands for many
 
     def visit(batches):
         for b in batches:
@@ -323,24 +338,23 @@ def links(df: DataFrame, key: str, vec: str, threshold: float, block_rows: int =
 
     probes = placed.mapInArrow(visit, f"q {kind}, qv binary, cell int, least double, own boolean")
     if report is not None:
-        n = placed.count()
-        report |= {"pairs": n * (n - 1) // 2, "scored": scored_pairs(placed, probes)}
-    found = score_blocks(placed, probes, width, None, block_rows)
+        n = int(cells.rows.sum())
+        report |= {"pairs": n * (n - 1) // 2, "scored": int((counted_visits(probes, cells) * cells.rows).sum())}
+    found = score_blocks(placed, probes, cells, visits, width, None, block_rows)
     pairs = found.select(F.least("q", "id").alias("id1"), F.greatest("q", "id").alias("id2"), F.round("score", 4).alias("score"))
-    return pairs.unionByName(copies)
+    return pairs if copies is None else pairs.unionByName(copies)
 
 
 # --- top-k of a large query side ----------------------------------------------------------------------
 def _nearest(x: np.ndarray, cells: Cells, k: int) -> tuple[np.ndarray, np.ndarray]:
     """``(row, cell)`` of the cells of each row's nearest pivots, as many as hold ``4 * k`` rows."""
-    held = cells.rows.reshape(len(cells.pivots), cells.rings)
-    each = held.sum(axis=1)
+    each = np.bincount(cells.pivot, cells.rows, len(cells.pivots))
     order = np.argsort(_angles(x, cells.pivots), axis=1, kind="stable")
     before = np.cumsum(each[order], axis=1) - each[order]
+    near = np.zeros((len(x), len(cells.pivots)), dtype=bool)
     row, place = np.nonzero(before < 4 * k)
-    pivot = order[row, place]
-    r, ring = np.nonzero(held[pivot] > 0)
-    return row[r], pivot[r] * cells.rings + ring
+    near[row, order[row, place]] = True
+    return np.nonzero(near[:, cells.pivot])
 
 
 def _kth_calibrated(hits: DataFrame, first: DataFrame, placed: DataFrame, asked: DataFrame, cells: Cells, width: int, k: int, floor: float, recall: float) -> float:
@@ -378,7 +392,7 @@ def top_k(index: DataFrame, queries: DataFrame, k: int, threshold: float | None
     rows = checkpoint_table(spark, packed(index, index_key, vec, width), "index-vectors")
     asked = checkpoint_table(spark, packed(queries, query_key, query_vec or vec, width), "query-vectors")
     n = rows.count()
-    placed, cells = build_cells(rows, n, width, seed, pivot_rows, pivots)
+    placed, cells, _ = build_cells(rows, n, width, seed, pivot_rows, pivots)
     shared = spark.sparkContext.broadcast(cells)
     floor = -math.inf if threshold is None else threshold
 
@@ -406,13 +420,15 @@ def top_k(index: DataFrame, queries: DataFrame, k: int, threshold: float | None
     schema = f"q {qkind}, qv binary, cell int, least double, own boolean"
     order = Window.partitionBy("q").orderBy(F.desc("score"), F.asc("id"))
     ranked = lambda hits: hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    first_probes = asked.mapInArrow(visits(False), schema)
-    first = checkpoint_table(spark, ranked(score_blocks(placed, first_probes, width, k, block_rows)), "first-hits")
+    first_probes = checkpoint_table(spark, asked.mapInArrow(visits(False), schema), "first-visits")  # counted by cell, then sent
+    first_count = counted_visits(first_probes, cells)
+    first = checkpoint_table(spark, ranked(score_blocks(placed, first_probes, cells, first_count, width, k, block_rows)), "first-hits")
     kth = first.where(F.col("rank") == k).select(F.col("q").alias("id"), F.col("score").alias("kth"))
 
-    def both_rounds(some: DataFrame, hits: DataFrame, cut: float | None) -> tuple[DataFrame, DataFrame]:
-        probes = checkpoint_table(spark, some.mapInArrow(visits(True, cut), schema), "second-visits")  # counted by cell, then sent
-        return probes, ranked(hits.drop("rank").unionByName(score_blocks(placed, probes, width, k, block_rows)))
+    def both_rounds(some: DataFrame, hits: DataFrame, cut: float | None) -> tuple[np.ndarray, DataFrame]:
+        probes = checkpoint_table(spark, some.mapInArrow(visits(True, cut), schema), "second-visits")
+        count = counted_visits(probes, cells)
+        return count, ranked(hits.drop("rank").unionByName(score_blocks(placed, probes, cells, count, width, k, block_rows)))
 
     known = asked.select("id", "v").join(kth, "id", "left")
     cut = None
@@ -421,7 +437,7 @@ def top_k(index: DataFrame, queries: DataFrame, k: int, threshold: float | None
         some = checkpoint_table(spark, known.where(share), "calibration")
         _, exact = both_rounds(some, first.join(some.select(F.col("id").alias("q")), "q", "left_semi"), None)
         cut = _kth_calibrated(exact, first, placed, asked, cells, width, k, floor, recall)
-    probes, found = both_rounds(known, first, cut)
+    count, found = both_rounds(known, first, cut)
     if report is not None:
-        report |= {"pairs": n * asked.count(), "scored": scored_pairs(placed, first_probes) + scored_pairs(placed, probes), "cut": cut}
+        report |= {"pairs": n * asked.count(), "scored": int(((first_count + count) * cells.rows).sum()), "cut": cut}
     return found.select(F.col("q").alias(query_key), F.col("id").alias(index_key), "score", "rank")
