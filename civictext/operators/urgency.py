@@ -5,7 +5,8 @@ class weights are balanced ``n / (k * n_c)`` from the training rows only; the
 model is a multinomial logistic regression on hashed TF-IDF features with a
 weight column; the best regularisation is kept by weighted F1 on a held-out
 validation split. Probabilities are mapped to labels in the model's own label
-order, so each probability carries its true label.
+order, so each probability carries its true label. ``epochs`` has the same
+model trained in epochs; ``predict``, ``save`` and ``load`` take both.
 """
 
 from __future__ import annotations
@@ -17,11 +18,13 @@ from pyspark.ml.feature import (HashingTF, IDF, IndexToString, RegexTokenizer, S
                                 StringIndexerModel)
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import ParamGridBuilder, TrainValidationSplit
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
 from ..functions.text import TOKEN_PATTERN
+from ..sources.store import path_exists
+from .epochs import EpochModel, predict_epochs
 
 NUM_FEATURES = 1 << 16
 MAX_BROADCAST_CLASSES = 100_000  # class weight rows allowed in a broadcast
@@ -85,33 +88,47 @@ def train(df: DataFrame, text_col: str = "clean_text", label_col: str = "urgency
     tr = with_class_weights(split.where(~F.col("is_test")), label_col)
     te = split.where(F.col("is_test"))
     pipe = build_pipeline(text_col, label_col, max_iter=max_iter, labels=label_indexer(label_col).fit(tr))
-    lr = pipe.getStages()[-1]
+    *made, lr = pipe.getStages()
+    # the features are fitted and written once; the grid and its validation only run the regression
+    features = Pipeline(stages=made).fit(tr)
+    rows = checkpoint_table(spark, features.transform(tr).select("features", "label", "weight"), "urgency-features")
     grid = ParamGridBuilder().addGrid(lr.regParam, list(reg_params)).build()
+    if len(grid) == 1:
+        return PipelineModel([*features.stages, lr.copy(grid[0]).fit(rows)]), te
     ev = MulticlassClassificationEvaluator(metricName="weightedFMeasure", labelCol="label")
-    tvs = TrainValidationSplit(estimator=pipe, estimatorParamMaps=grid, evaluator=ev, trainRatio=0.8, seed=seed)
-    best = tvs.fit(tr).bestModel
-    return best, te
+    tvs = TrainValidationSplit(estimator=lr, estimatorParamMaps=grid, evaluator=ev, trainRatio=0.8, seed=seed)
+    return PipelineModel([*features.stages, tvs.fit(rows).bestModel]), te
 
 
-def label_order(model: PipelineModel) -> list[str]:
+def label_order(model: PipelineModel | EpochModel) -> list[str]:
     """The labels in the order of the model's outputs."""
+    if isinstance(model, EpochModel):
+        return list(model.labels)
     return list(next(s for s in model.stages if isinstance(s, StringIndexerModel)).labels)
 
 
-def save(model: PipelineModel, path: str) -> None:
+def save(model: PipelineModel | EpochModel, path: str) -> None:
+    if isinstance(model, EpochModel):
+        model.save(SparkSession.getActiveSession(), f"{path}/epochs")
+        return
     model.write().overwrite().save(path)
 
 
-def load(path: str) -> PipelineModel:
+def load(path: str) -> PipelineModel | EpochModel:
     """A saved model; its label order is stored with it."""
+    spark = SparkSession.getActiveSession()
+    if path_exists(spark, f"{path}/epochs"):
+        return EpochModel.load(spark, f"{path}/epochs")
     return PipelineModel.load(path)
 
 
-def predict(model: PipelineModel, df: DataFrame, out: str = "predicted") -> DataFrame:
+def predict(model: PipelineModel | EpochModel, df: DataFrame, out: str = "predicted") -> DataFrame:
     """Add predicted label, confidence (max probability) and a label -> probability map.
 
     Rows need no label; an existing label column is left as it is.
     """
+    if isinstance(model, EpochModel):
+        return predict_epochs(model, df, out)
     labels = label_order(model)
     scored = PipelineModel([s for s in model.stages if not isinstance(s, StringIndexerModel)]).transform(df)
     to_label = IndexToString(inputCol="prediction", outputCol=out, labels=labels)

@@ -28,6 +28,7 @@ from ..functions.rules import api_urgency, lowered_text, probability_map, topic_
 from ..operators import prepare as P
 from ..operators import similarity as S
 from ..operators import topics as T
+from ..operators import epochs as E
 from ..operators import urgency as U
 from ..operators import vectors as V
 from ..operators.language import with_script_language
@@ -312,7 +313,7 @@ def train_all(spark: SparkSession, complaints: DataFrame, news: DataFrame | None
         if is_complete(spark, f"{path}/metrics"):
             return spark.read.parquet(f"{path}/metrics")
         rows = P.seeded_sample(prepared.select("row_id", "clean_text", "urgency").na.drop(), training_rows, "row_id")
-        model, test = U.train(rows, "clean_text", "urgency", key="row_id")
+        model, test = E.train_epochs(rows, "clean_text", "urgency", key="row_id", state=f"{path}/epochs-state")
         U.save(model, f"{path}/model")
         write_table(U.evaluate(U.predict(model, test), "urgency", "predicted"), f"{path}/metrics")
         return spark.read.parquet(f"{path}/metrics")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import lexicons as L
 from ..functions.rules import lowered_text, topic_rule, urgency_label
 from ..functions.text import supported_language
+from ..operators import epochs as E
 from ..operators import language as LG
 from ..operators import prepare as P
 from ..operators import topics as T
@@ -132,18 +133,26 @@ def urgency_classifier_eval(spark, sf_dir):
     prep = lowered_text(prepared_documents(spark, sf_dir, detect_lang=False))
     lab = prep.select(F.col("doc_id").alias("row_id"), "clean_text",
                       urgency_label("_low", FREQUENT_LEXICON, lowered=True).alias("urgency"))
-    model, test = U.train(lab, "clean_text", "urgency", key="row_id")
+    model, test = E.train_epochs(lab, "clean_text", "urgency", key="row_id")
     pred = U.predict(model, test)
     return U.evaluate(pred, "urgency", "predicted")
 
 
+# --- U5: weighted F1 of every epoch, and which one is kept (rows-only) ------------------------------
+@query("classifier_epochs")
+def classifier_epochs(spark, sf_dir):
+    prep = lowered_text(prepared_documents(spark, sf_dir, detect_lang=False))
+    lab = prep.select(F.col("doc_id").alias("row_id"), "clean_text", urgency_label("_low", FREQUENT_LEXICON, lowered=True).alias("urgency"))
+    return E.epoch_table(spark, E.train_epochs(lab, "clean_text", "urgency", key="row_id")[0])
+
+
 @query("quality_classifier_eval")
 def quality_classifier_eval(spark, sf_dir):
     prep = prepared_documents(spark, sf_dir, detect_lang=False)
     lab = read_table(spark, sf_dir, "labels", ["doc_id", "quality"])
     rows = prep.join(lab, "doc_id").select(F.col("doc_id").alias("row_id"), "clean_text",
                                            F.col("quality").cast("string").alias("quality"))
-    model, test = U.train(rows, "clean_text", "quality", key="row_id")
+    model, test = E.train_epochs(rows, "clean_text", "quality", key="row_id")
     return U.evaluate(U.predict(model, test), "quality", "predicted")
 
 
@@ -205,6 +214,48 @@ def language_accuracy(spark, sf_dir):
     return LG.language_accuracy(det, "lang").select("lang", "n", F.col("correct").cast("long"), "accuracy")
 
 
+# --- LANG by character n-grams: the same split, 1- to 3-letter n-grams of marked words -----------------
+GRAMS = ("flatten(list_transform([1, 2, 3], lambda s: list_transform(range(1, greatest(len(word) + 2 - s + 1, 0) + 1), "
+         "lambda i: substring('_' || word || '_', i, s))))")
+NGRAM_SQL = f"""
+{LANG_SPLIT_SQL.split("tok AS (SELECT lang")[0]}
+trw AS (SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest(regexp_extract_all(lower(clean_text), {q(LG.NGRAM_WORD)})) AS word FROM tr) GROUP BY ALL),
+cnt AS (SELECT lang, gram, sum(n) AS n FROM (SELECT lang, n, unnest({GRAMS}) AS gram FROM trw) GROUP BY ALL),
+v AS (SELECT count(DISTINCT gram) AS v FROM cnt),
+st AS (SELECT c.lang, ln(1.0 / (total + v)) AS fl, ln(docs / (SELECT count(*) FROM tr)) AS prior, total + v AS denom
+       FROM (SELECT lang, sum(n) AS total FROM cnt GROUP BY 1) c JOIN (SELECT lang, count(*) AS docs FROM tr GROUP BY 1) d ON c.lang = d.lang, v),
+prof AS (SELECT cnt.lang, gram, ln((n + 1) / denom) - fl AS delta FROM cnt JOIN st ON cnt.lang = st.lang),
+tew AS (SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(clean_text), {q(LG.NGRAM_WORD)})) AS word FROM te) GROUP BY ALL),
+wg AS (SELECT word, unnest({GRAMS}) AS gram FROM (SELECT DISTINCT word FROM tew)),
+wn AS (SELECT word, count(*) AS g FROM wg GROUP BY 1),
+ws AS (SELECT word, lang, sum(delta) AS s FROM wg JOIN prof USING (gram) GROUP BY ALL),
+ng AS (SELECT doc_id, sum(n * g) AS g FROM tew JOIN wn USING (word) GROUP BY 1),
+ds AS (SELECT doc_id, lang, sum(n * s) AS s FROM tew JOIN ws USING (word) GROUP BY ALL),
+best AS (SELECT te.doc_id, st.lang AS raw_language FROM te CROSS JOIN st LEFT JOIN ng ON ng.doc_id = te.doc_id LEFT JOIN ds ON ds.doc_id = te.doc_id AND ds.lang = st.lang
+         QUALIFY row_number() OVER (PARTITION BY te.doc_id ORDER BY coalesce(ng.g, 0) * fl + prior + coalesce(ds.s, 0) DESC, st.lang) = 1),
+det AS (SELECT te.doc_id, te.lang, best.raw_language FROM te JOIN best ON te.doc_id = best.doc_id)"""
+
+
+def _detected_by_ngrams(spark, sf_dir):
+    train, test = _language_split(spark, sf_dir)
+    return LG.detect_by_ngrams(test, LG.train_ngram_profile(train, "clean_text", "lang"), "clean_text", "doc_id", keep=("lang",))
+
+
+@query("language_ngram_detection", f"""WITH {PREP_SQL}, {NGRAM_SQL}
+SELECT doc_id, lang, raw_language, {sql_supported_language('raw_language')} AS language FROM det""")
+def language_ngram_detection(spark, sf_dir):
+    return _detected_by_ngrams(spark, sf_dir).select("doc_id", "lang", "raw_language",
+                                                     supported_language(F.col("raw_language"), L.SUPPORTED_LANGUAGES).alias("language"))
+
+
+@query("language_ngram_accuracy", f"""WITH {PREP_SQL}, {NGRAM_SQL}
+SELECT lang, count(*) AS n, CAST(sum(CASE WHEN lang = raw_language THEN 1 ELSE 0 END) AS BIGINT) AS correct,
+       round(sum(CASE WHEN lang = raw_language THEN 1 ELSE 0 END) / count(*), 4) AS accuracy
+FROM det GROUP BY lang""")
+def language_ngram_accuracy(spark, sf_dir):
+    return LG.language_accuracy(_detected_by_ngrams(spark, sf_dir), "lang").select("lang", "n", F.col("correct").cast("long"), "accuracy")
+
+
 # --- K10: chart rows, words of the largest topics ------------------------------------------------
 @query("rule_topic_word_chart", f"""WITH {PREP_SQL},
 rt AS (SELECT {sql_topic_field('clean_text', 'topic_id')} AS topic_id, clean_text FROM d),
