@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from .words import Tally
 
 SIZE = 400
+SLICE = 1_000  # rows of one result batch
 MAX_LANGUAGES = 5_000
 UNKNOWN = "und"
 PIECE = 1 << 20
@@ -86,7 +87,7 @@ def ranked(text: str, size: int) -> np.ndarray:
     if len(text) <= PIECE:
         codes, counts = np.unique(gram_codes(text), return_counts=True)
     else:
-        tally = Tally()
+        tally = Tally(100_000)
         for piece in pieces(text):
             tally.add(gram_codes(piece))
         codes, counts = tally.merge()
@@ -98,9 +99,10 @@ def _count(batches):
     for b in batches:
         for lang, text in zip(b.column(0).to_pylist(), b.column(1)):
             text = text.as_py()
-            t = tallies.setdefault(lang, Tally(500_000))
+            t = tallies.setdefault(lang, Tally(100_000))
             for piece in pieces(text):
                 t.add(gram_codes(piece))
+        pa.default_memory_pool().release_unused()  # an idle worker keeps what its pool holds
     for lang, t in tallies.items():
         keys, counts = t.merge()
         for i in range(0, len(keys), 100_000):
@@ -150,10 +152,13 @@ def _judge(shared, size: int, names: tuple[str, str], text_at: int, kept: int):
     def run(batches):
         judge = Judge(shared.value, size)
         for b in batches:
-            found = [judge(t.as_py()) for t in b.column(text_at)]
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns[:kept], pa.array([x for x, _ in found], pa.string()), pa.array([y for _, y in found], pa.float64())],
-                [*b.schema.names[:kept], *names])
+            for a in range(0, b.num_rows, SLICE):
+                part = b.slice(a, SLICE)
+                found = [judge(t.as_py()) for t in part.column(text_at)]
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns[:kept], pa.array([x for x, _ in found], pa.string()), pa.array([y for _, y in found], pa.float64())],
+                    [*part.schema.names[:kept], *names])
+            pa.default_memory_pool().release_unused()
     return run
 
 
