@@ -105,7 +105,7 @@ def vector_width(df: DataFrame, vec: str) -> int:
 # --- cells ------------------------------------------------------------------------------------
 @dataclass
 class Cells:
-    """Pivots, and for each cell its pivot, the range of its rows' angles to it, their greatest length and their number."""
+    """Pivots, and for each cell its pivot, the range of its rows' angles (``l2``: distances) to it, their greatest length and their number."""
 
     pivots: np.ndarray
     pivot: np.ndarray
@@ -113,6 +113,23 @@ class Cells:
     high: np.ndarray
     norm: np.ndarray
     rows: np.ndarray
+    l2: bool = False
+
+    def plain(self) -> tuple:
+        """The fields, for a broadcast: executors may lack the package, whose classes reach them inside the task only."""
+        return self.pivots, self.pivot, self.low, self.high, self.norm, self.rows, self.l2
+
+    def apart(self, x: np.ndarray) -> np.ndarray:
+        """Angles or distances between rows and pivots."""
+        return distances(x, self.pivots) if self.l2 else _angles(x, self.pivots)
+
+
+def distances(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Euclidean distances, summed component by component, so that equal rows are at 0."""
+    out = np.zeros((len(q), len(x)))
+    for j in range(q.shape[1]):
+        out += (q[:, j, None] - x[None, :, j]) ** 2
+    return np.sqrt(out)
 
 
 def _angles(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
@@ -121,6 +138,19 @@ def _angles(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.arccos(np.clip((x @ pivots.T) / size, -1.0, 1.0))
 
 
+def fit_centres(sample: np.ndarray, count: int, seed: int, rounds: int = 8) -> np.ndarray:
+    """Pivots of a Euclidean search: a few rounds of k-means; ``sample`` is bounded by the caller."""
+    if not len(sample):
+        return np.zeros((1, sample.shape[1]))
+    centres = sample[np.random.default_rng(seed).choice(len(sample), min(count, len(sample)), replace=False)]
+    for _ in range(rounds):
+        near = np.argmin(distances(sample, centres), axis=1)
+        total, n = np.zeros_like(centres), np.bincount(near, minlength=len(centres))
+        np.add.at(total, near, sample)
+        centres = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], centres)
+    return centres
+
+
 def fit_pivots(sample: np.ndarray, count: int, seed: int, rounds: int = 8) -> np.ndarray:
     """Unit pivots by a few rounds of k-means over directions; ``sample`` is bounded by the caller."""
     size = np.sqrt((sample * sample).sum(axis=1, keepdims=True))
@@ -145,21 +175,24 @@ def _sample(rows: DataFrame, n: int, width: int, most: int, seed: int) -> np.nda
     return unpack(picked.column("v"), width) if picked.num_rows else np.zeros((0, width))
 
 
-def build_cells(rows: DataFrame, n: int, width: int, seed: int = L.SEED, pivot_rows: int = PIVOT_ROWS, pivots: np.ndarray | None = None) -> tuple[DataFrame, Cells, np.ndarray]:
+def build_cells(rows: DataFrame, n: int, width: int, seed: int = L.SEED, pivot_rows: int = PIVOT_ROWS, pivots: np.ndarray | None = None,
+                l2: bool = False) -> tuple[DataFrame, Cells, np.ndarray]:
     """``rows`` with their ``cell``, the cells' bounds, and the sample of rows; ``pivots`` may be given (unit rows)."""
     spark = rows.sparkSession
     sample = _sample(rows, n, width, SAMPLE_ROWS, seed)
     if pivots is None:
-        pivots = fit_pivots(sample, max(1, min(MAX_PIVOTS, math.ceil(n / pivot_rows))), seed)
+        pivots = (fit_centres if l2 else fit_pivots)(sample, max(1, min(MAX_PIVOTS, math.ceil(n / pivot_rows))), seed)
     rings = math.ceil(math.pi / RING) + 1
+    width_of = float(distances(sample, pivots).min(axis=1).max()) / (rings - 1) if l2 and len(sample) else RING
     shared = spark.sparkContext.broadcast(pivots)
 
     def place(batches):
         for b in batches:
-            a = _angles(unpack(b.column("v"), width), shared.value)
+            x = unpack(b.column("v"), width)
+            a = distances(x, shared.value) if l2 else _angles(x, shared.value)
             near = np.argmin(a, axis=1)
             own = a[np.arange(len(a)), near]
-            ring = near * rings + np.minimum((own / RING).astype(np.int64), rings - 1)
+            ring = near * rings + np.minimum((own / max(width_of, 1e-300)).astype(np.int64), rings - 1)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ring.astype(np.int32)), pa.array(own)], [*b.schema.names, "ring", "angle"])
 
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
@@ -177,7 +210,7 @@ def build_cells(rows: DataFrame, n: int, width: int, seed: int = L.SEED, pivot_r
             last[1:] = [min(last[1], r["a"]), max(last[2], r["b"]), max(last[3], r["m"]), last[4] + r["n"]]
         cell_of.append((r["ring"], len(merged) - 1))
     table = np.array(merged, np.float64).reshape(-1, 5)
-    cells = Cells(pivots, table[:, 0].astype(np.int64), table[:, 1], table[:, 2], table[:, 3], table[:, 4].astype(np.int64))
+    cells = Cells(pivots, table[:, 0].astype(np.int64), table[:, 1], table[:, 2], table[:, 3], table[:, 4].astype(np.int64), l2)
     names = F.broadcast(spark.createDataFrame(cell_of, "ring int, cell int"))
     return placed.join(names, "ring").drop("ring", "angle"), cells, sample
 
@@ -205,8 +238,10 @@ def reachable(x: np.ndarray, least: np.ndarray, cells: Cells, cut: float | None
     """
     if cut is not None:
         return np.nonzero(needed(x, least, cells, np.arange(len(cells.rows))) <= cut)
-    angle = _angles(x, cells.pivots)[:, cells.pivot]
+    angle = cells.apart(x)[:, cells.pivot]
     apart = np.maximum(0.0, np.maximum(angle - cells.high, cells.low - angle) - SLACK)
+    if cells.l2:  # scores are distances below zero
+        return np.nonzero(-apart >= least[:, None])
     size = np.sqrt((x * x).sum(axis=1))[:, None] * cells.norm[None, :]
     # a product of at most zero is never ruled out: zero vectors have no angle
     return np.nonzero((least[:, None] <= 0) | (size * np.cos(np.minimum(apart, math.pi)) >= least[:, None] * (1 - 1e-9)))
@@ -221,13 +256,14 @@ def counted_visits(probes: DataFrame, cells: Cells) -> np.ndarray:
     return out
 
 
-def _tiles(q: np.ndarray, x: np.ndarray):
-    """``(first query, first row, scores)`` in tiles of at most ``TILE_BYTES``."""
+def _tiles(q: np.ndarray, x: np.ndarray, l2: bool = False):
+    """``(first query, first row, scores)`` in tiles of at most ``TILE_BYTES``; ``l2``: distances below zero."""
     height = max(1, TILE_BYTES // (8 * max(1, min(len(x), TILE_WIDTH))))
     for a in range(0, len(q), height):
         for b in range(0, len(x), TILE_WIDTH):
             # equal vectors may differ in the last bit after a matrix product; rounded, their ties are exact
-            yield a, b, np.round(q[a:a + height] @ x[b:b + TILE_WIDTH].T, SCORE_DECIMALS)
+            part, rows = q[a:a + height], x[b:b + TILE_WIDTH]
+            yield a, b, np.round(-distances(part, rows) if l2 else part @ rows.T, SCORE_DECIMALS)
 
 
 def _best(at_q: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -239,7 +275,7 @@ def _best(at_q: np.ndarray, score: np.ndarray, ids: np.ndarray, k: int) -> np.nd
     return order[rank < k]
 
 
-def _score_block(width: int, k: int | None):
+def _score_block(width: int, k: int | None, l2: bool):
     """Products of one group that reach the query's ``least``; with ``k`` at most that many for each query."""
     def run(rows: pa.Table, probes: pa.Table) -> pa.Table:
         kinds = probes.schema.field("q").type, rows.schema.field("id").type
@@ -249,7 +285,7 @@ def _score_block(width: int, k: int | None):
             ids, who = rows.column("id").to_numpy(), probes.column("q").to_numpy()
             least, own = probes.column("least").to_numpy(), probes.column("own").to_numpy(zero_copy_only=False)
             best = None
-            for a, b, s in _tiles(q, x):
+            for a, b, s in _tiles(q, x, l2):
                 i, j = np.nonzero(s >= least[a:a + len(s), None])
                 score = s[i, j]
                 i, j = i + a, j + b
@@ -283,7 +319,7 @@ def score_blocks(placed: DataFrame, probes: DataFrame, cells: Cells, visits: np.
              .withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n_i") - 1))).drop("n_i", "n_q"))
     kinds = probes.schema["q"].dataType.simpleString(), placed.schema["id"].dataType.simpleString()
     return (left.groupBy("cell", "i", "s").cogroup(right.groupBy("cell", "i", "s"))
-            .applyInArrow(_score_block(width, k), f"q {kinds[0]}, id {kinds[1]}, score double"))
+            .applyInArrow(_score_block(width, k, cells.l2), f"q {kinds[0]}, id {kinds[1]}, score double"))
 
 
 # --- all links above a threshold ------------------------------------------------------------------
@@ -319,15 +355,16 @@ def links(df: DataFrame, key: str, vec: str, threshold: float, block_rows: int =
     reps, copies = vector_classes(rows, threshold)
     n = rows.count()
     placed, cells, sample = build_cells(reps, n, width, seed, pivot_rows)
-    shared = spark.sparkContext.broadcast(cells)
+    shared = spark.sparkContext.broadcast(cells.plain())
     seen = np.bincount(reachable(sample, np.full(len(sample), threshold), cells)[1], minlength=len(cells.rows))
     visits = seen * (n / max(1, len(sample)))  # a row of the sample stands for many
 
     def visit(batches):
+        cells = Cells(*shared.value)
         for b in batches:
             for a in range(0, b.num_rows, 512):
                 part = b.slice(a, 512)
-                row, cell = reachable(unpack(part.column("v"), width), np.full(part.num_rows, threshold), shared.value)
+                row, cell = reachable(unpack(part.column("v"), width), np.full(part.num_rows, threshold), cells)
                 own = part.column("cell").to_numpy()[row]
                 later = cell >= own  # the other side of a pair of cells visits the earlier one
                 row, cell, own = row[later], cell[later], own[later]
@@ -349,7 +386,7 @@ def links(df: DataFrame, key: str, vec: str, threshold: float, block_rows: int =
 def _nearest(x: np.ndarray, cells: Cells, k: int) -> tuple[np.ndarray, np.ndarray]:
     """``(row, cell)`` of the cells of each row's nearest pivots, as many as hold ``4 * k`` rows."""
     each = np.bincount(cells.pivot, cells.rows, len(cells.pivots))
-    order = np.argsort(_angles(x, cells.pivots), axis=1, kind="stable")
+    order = np.argsort(cells.apart(x), axis=1, kind="stable")
     before = np.cumsum(each[order], axis=1) - each[order]
     near = np.zeros((len(x), len(cells.pivots)), dtype=bool)
     row, place = np.nonzero(before < 4 * k)
@@ -377,8 +414,8 @@ def _kth_calibrated(hits: DataFrame, first: DataFrame, placed: DataFrame, asked:
 
 def top_k(index: DataFrame, queries: DataFrame, k: int, threshold: float | None = None, index_key: str = "id", query_key: str = "query_id",
           vec: str = "embedding", query_vec: str | None = None, block_rows: int = BLOCK_ROWS, pivot_rows: int = PIVOT_ROWS, seed: int = L.SEED,
-          pivots: np.ndarray | None = None, recall: float | None = None, report: dict | None = None) -> DataFrame:
-    """``(query_key, index_key, score, rank)``: the ``k`` rows of the greatest product for each query.
+          pivots: np.ndarray | None = None, recall: float | None = None, report: dict | None = None, l2: bool = False) -> DataFrame:
+    """``(query_key, index_key, score, rank)``: the ``k`` rows of the greatest product for each query; ``l2``: of the least distance, scored below zero.
 
     Exact, unless ``recall`` is given: then the second round visits only the cells that, measured on the exact
     neighbours of ``CALIBRATION`` queries, hold that share of them. ``pivots``: unit rows to use instead of fitted ones.
@@ -392,23 +429,24 @@ def top_k(index: DataFrame, queries: DataFrame, k: int, threshold: float | None
     rows = checkpoint_table(spark, packed(index, index_key, vec, width), "index-vectors")
     asked = checkpoint_table(spark, packed(queries, query_key, query_vec or vec, width), "query-vectors")
     n = rows.count()
-    placed, cells, _ = build_cells(rows, n, width, seed, pivot_rows, pivots)
-    shared = spark.sparkContext.broadcast(cells)
+    placed, cells, _ = build_cells(rows, n, width, seed, pivot_rows, pivots, l2)
+    shared = spark.sparkContext.broadcast(cells.plain())
     floor = -math.inf if threshold is None else threshold
 
     def visits(second: bool, cut: float | None = None):
         def run(batches):
+            cells = Cells(*shared.value)
             for b in batches:
                 for a in range(0, b.num_rows, 512):
                     part = b.slice(a, 512)
                     x = unpack(part.column("v"), width)
-                    row, cell = _nearest(x, shared.value, k)
+                    row, cell = _nearest(x, cells, k)
                     least = np.full(len(x), floor)
                     if second:
                         least = np.maximum(floor, part.column("kth").fill_null(-math.inf).to_numpy(zero_copy_only=False))
-                        seen = np.zeros((len(x), len(shared.value.rows)), dtype=bool)
+                        seen = np.zeros((len(x), len(cells.rows)), dtype=bool)
                         seen[row, cell] = True
-                        row, cell = reachable(x, least, shared.value, cut)
+                        row, cell = reachable(x, least, cells, cut)
                         new = ~seen[row, cell]
                         row, cell = row[new], cell[new]
                     take = pa.array(row)
