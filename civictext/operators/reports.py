@@ -49,6 +49,21 @@ def daily_trend(df: DataFrame, ts_col: str, class_col: str) -> DataFrame:
     return daily.withColumn("change", F.col("n") - F.lag("n").over(w))
 
 
+def calendar_trend(df: DataFrame, ts_col: str, class_col: str) -> DataFrame:
+    """Count per class on every calendar day from its first to its last, and the change against the day before.
+
+    Days without rows count 0, so the change of a day after a gap is against 0, not against the last day with rows. The days
+    between are made from each class's first and last day, a range of dates for each class.
+    """
+    daily = (df.where(F.col(ts_col).isNotNull()).groupBy(F.col(class_col), F.to_date(F.col(ts_col)).alias("day"))
+             .agg(F.count(F.lit(1)).alias("n")))
+    span = daily.groupBy(class_col).agg(F.explode(F.sequence(F.min("day"), F.max("day"))).alias("day"))
+    same = F.col("s." + class_col).eqNullSafe(F.col("d." + class_col)) & (F.col("s.day") == F.col("d.day"))
+    full = span.alias("s").join(daily.alias("d"), same, "left").select(F.col("s.day"), F.col("s." + class_col), F.coalesce("d.n", F.lit(0)).cast("long").alias("n"))
+    w = Window.partitionBy(class_col).orderBy("day")
+    return full.withColumn("change", F.col("n") - F.lag("n").over(w))
+
+
 def pivot_counts(df: DataFrame, row_col: str, pivot_col: str, values: list[str]) -> DataFrame:
     """Counts of ``row_col`` x ``pivot_col`` with explicit pivot values (one aggregation pass)."""
     return df.groupBy(row_col).pivot(pivot_col, values).agg(F.count(F.lit(1))).na.fill(0, subset=values)

@@ -124,6 +124,13 @@ def fit_topics(df: DataFrame, vec_col: str = "embedding", n_topics: int = 20, di
     return TopicModel(model, checkpoint_table(df.sparkSession, renumber(sizes, min_topic_size), "topic-mapping"), vec_col)
 
 
+def reduce_vectors(df: DataFrame, vec_col: str = "embedding", dims: int = 5) -> DataFrame:
+    """``df`` with its vectors reduced to ``dims`` principal components."""
+    feats = df.withColumn("_vec", array_to_vector(F.col(vec_col)))
+    out = PCA(k=dims, inputCol="_vec", outputCol="_reduced").fit(feats).transform(feats)
+    return out.withColumn(vec_col, vector_to_array("_reduced")).drop("_vec", "_reduced")
+
+
 def renumber(sizes: DataFrame, min_topic_size: int) -> DataFrame:
     """``(cluster, topic_id)`` from ``(cluster, size)``: small clusters -1, the others 0.. by size, largest first."""
     w = Window.partitionBy(F.col("size") >= min_topic_size).orderBy(F.desc("size"), F.asc("cluster"))  # one row per cluster

@@ -15,6 +15,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import time
 import traceback
 from dataclasses import dataclass
@@ -33,7 +34,8 @@ from ..operators import urgency as U
 from ..operators import vectors as V
 from ..operators.language import with_script_language
 from ..sources import csvfiles as C
-from ..sources.store import checkpoint_table, is_complete, materialize, path_exists, write_table
+from ..sources.store import (checkpoint_table, fingerprint, frame_inputs, is_current, materialize, path_exists, seal, stage, unseal,
+                             write_table)
 
 
 def _with_topic(base: DataFrame, model: T.TopicModel | None, info: DataFrame | None, words: DataFrame | None) -> DataFrame:
@@ -253,15 +255,18 @@ class Stages:
 
 def _vector_stages(spark: SparkSession, run: Stages, prepared: DataFrame, name: str, out_dir: str, cells: bool) -> DataFrame | None:
     """Embedding table and index of one prepared table; both are reused when committed."""
-    emb = run.run(f"{name}_embeddings", lambda: materialize(
-        spark, "embeddings",
+    emb = run.run(f"{name}_embeddings", lambda: stage(
+        spark, f"{out_dir}/{name}_embeddings",
         lambda: prepared.select("row_id", V.hashed_embedding(F.col("clean_text")).cast("array<float>").alias("embedding")),
-        f"{out_dir}/{name}_embeddings"))
+        inputs=frame_inputs(prepared)))
 
     def index():
         path = f"{out_dir}/{name}_index"
-        if not is_complete(spark, f"{path}/rows"):
+        mark = fingerprint(spark, {"cells": cells}, frame_inputs(emb))
+        if not is_current(spark, path, mark):
+            unseal(spark, path)
             save_index(emb.join(prepared.select("row_id", F.col("clean_text").alias("text")), "row_id"), path, "row_id", cells)
+            seal(spark, path, mark)
         return load_index(spark, path, "row_id").rows
 
     if emb is not None:  # without embeddings the run goes on and reports what it has
@@ -276,26 +281,29 @@ def train_all(spark: SparkSession, complaints: DataFrame, news: DataFrame | None
 
     ``complaints`` has ``row_id`` and the four 311 columns; ``news`` has
     ``row_id, title, text, label`` (optional). Stages are skipped when their
-    output is already committed. Every row is used; ``complaint_cap`` and
+    output is committed and was made with the same parameters from the same inputs (the files
+    behind the tables, the outputs of the stages before). Every row is used; ``complaint_cap`` and
     ``news_half`` sample when given. The classifier is fitted on at most
     ``training_rows`` labelled rows (a documented bound, raised by the caller at
     will). ``cells`` stores the indexes in the approximate cell layout.
     """
     run = Stages()
     out_dir = out_dir.rstrip("/")
-    prepared = run.run("complaints", lambda: materialize(spark, "complaints", lambda: prepare_complaints(complaints, complaint_cap),
-                                                         f"{out_dir}/complaints"), optional=False)
+    prepared = run.run("complaints", lambda: stage(spark, f"{out_dir}/complaints", lambda: prepare_complaints(complaints, complaint_cap),
+                                                   {"cap": complaint_cap}, frame_inputs(complaints)), optional=False)
     prepared_news = None
     if news is not None:
-        prepared_news = run.run("news", lambda: materialize(spark, "news", lambda: prepare_news(news, news_half), f"{out_dir}/news"))
+        prepared_news = run.run("news", lambda: stage(spark, f"{out_dir}/news", lambda: prepare_news(news, news_half), {"half": news_half}, frame_inputs(news)))
     emb = _vector_stages(spark, run, prepared, "complaint", out_dir, cells)
     if prepared_news is not None:
         _vector_stages(spark, run, prepared_news, "news", out_dir, cells)
 
     def topic_stage():
         path = f"{out_dir}/topic_model"
-        if is_complete(spark, f"{path}/mapping"):
+        mark = fingerprint(spark, {"topics": n_topics, "least": min_topic_size}, frame_inputs(emb))
+        if is_current(spark, path, mark):
             return T.TopicModel.load(spark, path).mapping
+        unseal(spark, path)
         tm = T.fit_topics(emb, "embedding", n_topics=n_topics, min_topic_size=min_topic_size)
         tm.save(path)
         assigned = T.predict_topics(tm, emb.join(prepared.select("row_id", "clean_text"), "row_id"), ["row_id", "clean_text"])
@@ -303,6 +311,7 @@ def train_all(spark: SparkSession, complaints: DataFrame, news: DataFrame | None
         words = T.class_term_weights(assigned, "topic_id", "clean_text")
         write_table(words, f"{path}/words")
         write_table(T.topic_info(assigned, spark.read.parquet(f"{path}/words")), f"{path}/info")
+        seal(spark, path, mark)
         return tm.mapping
 
     if emb is not None:
@@ -310,12 +319,16 @@ def train_all(spark: SparkSession, complaints: DataFrame, news: DataFrame | None
 
     def urgency_stage():
         path = f"{out_dir}/urgency_model"
-        if is_complete(spark, f"{path}/metrics"):
+        mark = fingerprint(spark, {"rows": training_rows}, frame_inputs(prepared))
+        if is_current(spark, path, mark):
             return spark.read.parquet(f"{path}/metrics")
+        unseal(spark, path)
         rows = P.seeded_sample(prepared.select("row_id", "clean_text", "urgency").na.drop(), training_rows, "row_id")
-        model, test = E.train_epochs(rows, "clean_text", "urgency", key="row_id", state=f"{path}/epochs-state")
+        model, test = E.train_epochs(rows, "clean_text", "urgency", key="row_id",
+                                     state=f"{path}/state-{hashlib.sha256(mark.encode()).hexdigest()[:16]}")  # an interrupted training goes on
         U.save(model, f"{path}/model")
         write_table(U.evaluate(U.predict(model, test), "urgency", "predicted"), f"{path}/metrics")
+        seal(spark, path, mark)
         return spark.read.parquet(f"{path}/metrics")
 
     run.run("urgency_model", urgency_stage)

@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 from ..functions import lexicons as L
 from ..functions.rules import lowered_text, topic_rule, urgency_label
 from ..functions.text import supported_language
+from ..operators import density as D
 from ..operators import epochs as E
 from ..operators import language as LG
 from ..operators import prepare as P
 from ..operators import topics as T
 from ..operators import urgency as U
+from ..sources.store import checkpoint_table
 from ..sources.tables import read_table
 from .registry import query
 from .sqltext import q, sql_clean, sql_seeded_hash, sql_supported_language, sql_topic_field, sql_urgency
@@ -63,7 +65,8 @@ SELECT ct.topic_id, ct.count, coalesce(nm.name, CAST(ct.topic_id AS VARCHAR) ||
 FROM ct LEFT JOIN nm ON ct.topic_id = nm.topic_id ORDER BY ct.count DESC, ct.topic_id LIMIT 20""")
 def rule_topic_info(spark, sf_dir):
     prep = lowered_text(prepared_documents(spark, sf_dir, detect_lang=False))
-    rt = prep.select(topic_rule("_low", lowered=True)["topic_id"].alias("topic_id"), "clean_text")
+    # the texts are prepared once: the words and the counts read the written table
+    rt = checkpoint_table(spark, prep.select(topic_rule("_low", lowered=True)["topic_id"].alias("topic_id"), "clean_text"), "topic-texts")
     words = T.class_term_weights(rt, "topic_id", "clean_text")
     return T.top_topics(T.topic_info(rt, words), 20)
 
@@ -81,6 +84,15 @@ def cluster_topics(spark, sf_dir):
     return T.label_topics(assigned.select("doc_id", "topic_id", "confidence", "probabilities"), info)
 
 
+# --- K2: density clusters of the reduced document vectors, outliers -1 (rows-only; equal to a plain version in the tests) ----
+@query("density_topics")
+def density_topics(spark, sf_dir):
+    from .vector_queries import document_vectors
+    vecs = document_vectors(spark, sf_dir, materialize=True).select("doc_id", "embedding")
+    reduced = checkpoint_table(spark, T.reduce_vectors(vecs, "embedding", dims=5), "reduced-vectors")
+    return D.density_clusters(reduced, "doc_id", "embedding", min_cluster_size=15).withColumnRenamed("cluster", "topic_id")
+
+
 # --- K10: distances between topic centroids (rows-only: clustering) ----------------------------------------
 @query("topic_distances")
 def topic_distances(spark, sf_dir):
@@ -266,6 +278,6 @@ SELECT r.cls AS topic_id, r.word, round(r.weight, 4) AS weight, CAST(r.rank AS I
 FROM r JOIN ct ON r.cls = ct.topic_id""")
 def rule_topic_word_chart(spark, sf_dir):
     prep = lowered_text(prepared_documents(spark, sf_dir, detect_lang=False))
-    rt = prep.select(topic_rule("_low", lowered=True)["topic_id"].alias("topic_id"), "clean_text")
+    rt = checkpoint_table(spark, prep.select(topic_rule("_low", lowered=True)["topic_id"].alias("topic_id"), "clean_text"), "topic-texts")
     words = T.class_term_weights(rt, "topic_id", "clean_text")
     return T.topic_word_chart(T.topic_info(rt, words), words, 8)

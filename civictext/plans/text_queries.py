@@ -341,6 +341,17 @@ def daily_trend(spark, sf_dir):
     return R.daily_trend(e, "ts", "event_type")
 
 
+# --- N1 by the calendar: days without rows count 0 (single users leave days out) -------------------
+@query("calendar_trend", """
+WITH d AS (SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS n FROM events WHERE ts IS NOT NULL GROUP BY 1, 2),
+s AS (SELECT user_id, CAST(unnest(generate_series(min(day), max(day), INTERVAL 1 DAY)) AS DATE) AS day FROM d GROUP BY 1),
+f AS (SELECT s.day, s.user_id, coalesce(d.n, 0) AS n FROM s LEFT JOIN d ON s.user_id IS NOT DISTINCT FROM d.user_id AND s.day = d.day)
+SELECT day, user_id, n, n - lag(n) OVER (PARTITION BY user_id ORDER BY day) AS change FROM f""")
+def calendar_trend(spark, sf_dir):
+    e = read_table(spark, sf_dir, "events", ["ts", "user_id"])
+    return R.calendar_trend(e, "ts", "user_id")
+
+
 # --- N2: region x class heatmap (pivot) -----------------------------------------------------------
 PRIORITIES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 
