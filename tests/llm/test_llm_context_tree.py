@@ -23,12 +23,12 @@ def plain_model(texts):
     low = lambda t: re.sub(rb"[A-Z]", lambda m: m[0].lower(), t.encode())
 
     def steps(t):
-        data = b"\xff\xff" + low(t) + b"\xff"
-        for i in range(2, len(data)):
+        data = b"\xff" * C.DEPTH + low(t) + b"\xff"
+        for i in range(C.DEPTH, len(data)):
             node = 1
             for k in range(7, -1, -1):
                 bit = data[i] >> k & 1
-                yield [data[i - d:i] for d in range(3)], node, bit
+                yield [data[i - d:i] for d in range(C.DEPTH + 1)], node, bit
                 node = node << 1 | bit
 
     for t in texts:
@@ -43,14 +43,14 @@ def plain_model(texts):
     @lru_cache(None)
     def weighted(c, node):
         e = own(*counts[c, node]) if (c, node) in counts else 0.0
-        if len(c) == 2:
+        if len(c) == C.DEPTH:
             return e
         return np.logaddexp(e, sum(weighted(x, node) for x in seen[c, node])) - math.log(2)
 
     def one(contexts, node, d=0):
         a, b = counts.get((contexts[d], node), (0, 0))
         p = (b + .5) / (a + b + 1)
-        if d == 2:
+        if d == C.DEPTH:
             return p
         e = own(a, b) if a + b else 0.0
         stop = math.exp(e - math.log(2) - weighted(contexts[d], node))
@@ -68,7 +68,7 @@ def check(spark, rows):
         w = tokens(t)
         assert (got[d].n_tokens, got[d].n_known, got[d].train_tokens) == (len(w), sum(c[x] > 0 for x in w), n)
         assert math.isclose(got[d].base_score, sum(math.log10((c[x] + 1) / (n + 1 * (v + 1))) for x in w), rel_tol=1e-9, abs_tol=1e-9)
-        assert math.isclose(got[d].score, score(t or ""), rel_tol=1e-4), (d, t)
+        assert math.isclose(got[d].score, score(t or ""), rel_tol=1e-9), (d, t)
     assert any(r.held_out for r in got.values())
 
 
@@ -81,11 +81,49 @@ def test_rare_words_go_through_the_join(spark, monkeypatch):
     check(spark, [(i, " ".join(f"w{(i * j) % 9}" for j in range(12))) for i in range(20)])
 
 
+def test_small_blocks_and_runs_change_nothing(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    rows = [(i, " ".join("".join(rng.choice(list("abc"), 3)) for _ in range(40))) for i in range(30)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = {r.doc_id: r.score for r in C.score_texts(frame).collect()}
+    monkeypatch.setattr(C, "BLOCK", 700)
+    monkeypatch.setattr(C, "RUN", 10)
+    got = {r.doc_id: r.score for r in C.score_texts(frame).collect()}
+    assert got.keys() == want.keys() and all(math.isclose(got[d], want[d], rel_tol=1e-9) for d in want)
+
+
 def test_byte_probabilities_sum_to_one():
     rng = np.random.default_rng(0)
-    codes = np.unique(rng.integers(0, 1 << 24, 3000))
-    table = C.byte_table(codes, rng.integers(1, 50, len(codes))).reshape(65536, 256)
-    assert np.allclose((10.0 ** table[::997].astype(float)).sum(axis=1), 1, atol=1e-4)
+    seen = np.unique(rng.integers(97, 101, (3000, 6)) @ (1 << 8 * np.arange(5, -1, -1)))
+    counts = rng.integers(1, 50, len(seen))
+    parts = [part for _, part, _ in C.deep_levels(seen, counts)]
+    code, zero, one, weight = (np.concatenate(x) for x in zip(*parts))
+    codes, at = np.unique(code, return_inverse=True)
+    upper = C.upper_table(codes, *[np.bincount(at, x) for x in (zero, one, weight)])
+    contexts = np.concatenate((np.unique(seen >> 8)[::97], [0, 0x6161616161, 0x6162000000]))
+    every = np.unique(np.concatenate((seen, (contexts[:, None] << 8 | np.arange(256)).ravel())))
+    n = np.zeros(len(every), np.int64)
+    n[np.searchsorted(every, seen)] = counts
+    chance = 10 ** C.gram_logs(every, n, upper)
+    for c in contexts:
+        assert math.isclose(chance[every >> 8 == c].sum(), 1, rel_tol=1e-9)
+
+
+def test_texts_of_the_corpus_cost_less_than_others(spark):
+    """A text learned twice is told apart from held-out ones by its code length."""
+    rng = np.random.default_rng(2)
+    texts = ["".join(rng.choice(list("etaoinshrdlu "), 300)) for _ in range(300)]
+    held = [i for i in range(300) if zlib.crc32(str(i).encode()) % 7 == 2]
+    twice = [i for i in range(300) if i not in held][:20]
+    rows = list(enumerate(texts)) + [(i, texts[i]) for i in twice]
+    got = {r.doc_id: -r.score / r.n_bytes for r in C.score_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert max(got[i] for i in twice) < min(got[i] for i in held)
+
+
+def test_places():
+    keys = np.unique(np.random.default_rng(3).integers(0, 1 << 48, 50_000))
+    wanted = np.random.default_rng(4).choice(keys, 200_000)
+    assert (keys[C.Places(keys).of(wanted)] == wanted).all()
 
 
 def test_log_gamma():
