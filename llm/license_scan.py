@@ -1,6 +1,10 @@
 """License scan by Dice coefficient over word bigrams, in DataFrame functions only (operator 8).
 
-A text is cut into blocks: its lines, its paragraphs (between blank lines) and the whole text.
+A text is cut into blocks: its lines, its paragraphs (between blank lines), the whole text, and windows for notices
+that stand inside a line or run over lines: a window has as many words as a template, line ends do not
+count, and it lies where the template would lie if one of the template's anchors were in its place.
+Anchors are those bigrams of a template, the ones of the longest words, of which every window with the wanted
+coefficient holds at least one (so many that the rest of the template is too small for it): texts without an anchor have no windows.
 A block is normalised (lower case, every run of other characters than a-z, 0-9 and other letters a blank) and
 compared with each licence template: ``2 * common / (a + b)`` over the sets of word bigrams.
 Dice >= t needs a size ratio of at least t / (2 - t), so a block is
@@ -8,11 +12,15 @@ compared only with templates of fitting size, and bigrams are made only for bloc
 some template; those that share no bigram with any template go before the comparison.
 
 Defined results: null or empty text: no blocks, no licence, score 0. A text of one word has no
-bigrams. Equal scores: the first template by name. Every input row gives one row.
+bigrams. Equal scores: the longer template, then the first by name. A text of any length is compared whole. Every input row gives one
+row, repeated rows too; an empty table gives none; other columns are not read.
 """
 
 from __future__ import annotations
 
+import math
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,28 +28,73 @@ THRESHOLD = 0.85
 
 #: Notices and short licence texts as their publishers word them.
 TEMPLATES = {
+    "AGPL-3.0": ["This work is licensed under the GNU Affero General Public License, version 3.", "Licensed under the GNU Affero General Public License v3.0.",
+                 "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by "
+                 "the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
     "Apache-2.0": ["Licensed under the Apache License, Version 2.0.",
                    'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. '
                    "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, "
                    'software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. '
                    "See the License for the specific language governing permissions and limitations under the License."],
+    "BSD-2-Clause": ["Licensed under the BSD 2-Clause License.", "Released under the BSD 2-Clause License.",
+                     "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+                     "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+                     "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation "
+                     "and/or other materials provided with the distribution."],
+    "BSD-3-Clause": ["Licensed under the BSD 3-Clause License.", "Released under the BSD 3-Clause License.",
+                     "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+                     "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+                     "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation "
+                     "and/or other materials provided with the distribution. "
+                     "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software "
+                     "without specific prior written permission."],
+    "BSD": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+            "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.", "Released under the BSD License.", "Licensed under the BSD License."],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.",
                      "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
     "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."],
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
-    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2."],
-    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.",
+    "CC0-1.0": ["Licensed under CC0 1.0.", "CC0 1.0 Universal", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+                "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide. "
+                "This software is distributed without any warranty."],
+    "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2.", "Licensed under the GNU General Public License v2.0.",
+                "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
+                "the Free Software Foundation; either version 2 of the License, or (at your option) any later version."],
+    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", "Licensed under the GNU General Public License v3.0.",
                 "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
                 "the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
-    "ISC": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above "
-            "copyright notice and this permission notice appear in all copies."],
+    "ISC": ["Released under the ISC License.", "Licensed under the ISC License.",
+            "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above "
+            "copyright notice and this permission notice appear in all copies.",
+            "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above "
+            "copyright notice and this permission notice appear in all copies. "
+            'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. '
+            "IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, "
+            "WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."],
+    "LGPL-2.1": ["Licensed under the GNU Lesser General Public License v2.1.", "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+                 "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by "
+                 "the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."],
+    "LGPL-3.0": ["Licensed under the GNU Lesser General Public License v3.0.", "This work is licensed under the GNU Lesser General Public License, version 3.",
+                 "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by "
+                 "the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
     "MIT": ["Released under the MIT License.", "Licensed under the MIT License.",
             "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), "
             "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, "
-            "and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"],
-    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, "
+            "and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+            "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), "
+            "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, "
+            "and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: "
+            "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+            'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, '
+            "FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, "
+            "WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."],
+    "MPL-2.0": ["Licensed under the Mozilla Public License 2.0.",
+                "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, "
                 "You can obtain one at http://mozilla.org/MPL/2.0/."],
     "Proprietary": ["All rights reserved."],
+    "Unlicense": ["This is free and unencumbered software released into the public domain.",
+                  "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, "
+                  "either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."],
 }
 
 SEPARATOR = r"[^\p{L}\p{N}]+"
@@ -51,42 +104,83 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), SEPARATOR, -1), lambda w: w != "")
 
 
-def bigrams_of(words: Column) -> Column:
-    """Distinct bigrams of a word array, as strings; none below two words."""
+def pairs_of(words: Column) -> Column:
+    """Bigrams of a word array in their order, as strings; none below two words."""
     n = F.size(words)
     pairs = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.concat_ws(" ", F.get(words, i - 1), F.get(words, i)))
-    return F.when(n >= 2, F.array_distinct(pairs)).otherwise(F.array().cast("array<string>"))
+    return F.when(n >= 2, pairs).otherwise(F.array().cast("array<string>"))
 
 
-def template_bigrams(text: str) -> list[str]:
-    import re
+def bigrams_of(words: Column) -> Column:
+    """Distinct bigrams of a word array."""
+    return F.array_distinct(pairs_of(words))
 
-    words = [w for w in re.split(r"[\W_]+", text.lower()) if w]
+
+def template_words(text: str) -> list[str]:
+    return [w for w in re.split(r"[\W_]+", text.lower()) if w]
+
+
+def template_bigrams(text: str) -> list[str]:
+    words = template_words(text)
     return list(dict.fromkeys(" ".join(p) for p in zip(words, words[1:])))
 
 
+def anchors(text: str, threshold: float) -> dict[str, list[int]]:
+    """Anchor bigrams of a template with their places in it: the longest, one more than a fitting window can lack."""
+    words, grams = template_words(text), template_bigrams(text)
+    lacking = len(grams) - math.ceil(len(grams) * threshold / (2 - threshold) - 1e-9)
+    chosen = sorted(grams, key=lambda g: (-len(g), g))[:lacking + 1]
+    pairs = [" ".join(p) for p in zip(words, words[1:])]
+    return {g: [i for i, p in enumerate(pairs) if p == g] for g in chosen}
+
+
 def scan(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc_id, license, score, licenses)``: the best template, its Dice coefficient, and the best templates of all blocks, sorted and comma-joined."""
-    grams = [(name, g) for name, texts in sorted(templates.items()) for g in map(template_bigrams, texts) if g]
+    known = [(name, g, len(template_words(t)), anchors(t, threshold)) for name, texts in sorted(templates.items()) for t in texts if (g := template_bigrams(t))]
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), text.alias("text"))
-    least = int(min(len(g) for _, g in grams) * low)
-    # distinct bigrams of a block are at most its words less one: shorter blocks than the least size cannot fit
-    blocks = F.array_distinct(F.concat(F.split("text", "\n", -1), F.split("text", r"\n[\x20\x09-\x0D]*\n", -1), F.array("text")))
-    any_bigram = F.array(*[F.lit(b) for b in dict.fromkeys(b for _, g in grams for b in g)])
-    rows = rows.select("doc_id", F.filter(F.transform(blocks, words_of), lambda w: F.size(w) > max(1, least)).alias("blocks"))
-    rows = rows.select("doc_id", F.filter(F.transform("blocks", bigrams_of), lambda b: F.arrays_overlap(b, any_bigram)).alias("blocks"))
+    least = int(min(len(g) for _, g, _, _ in known) * low)
+    none = F.array().cast("array<struct<away:double,size:int,name:string>>")
+
+    def literal(grams) -> Column:
+        return F.split(F.lit("|".join(grams)), r"\|")  # one constant, where an array of literals would make the plan large
+
+    def coefficient(b: Column, g: list[str]) -> Column:
+        return 2.0 * F.size(F.array_intersect(b, literal(g))) / (F.size(b) + len(g))
 
     def fits(b: Column) -> Column:
         tests = []
-        for name, g in grams:
-            dice = 2.0 * F.size(F.array_intersect(b, F.array(*[F.lit(x) for x in g]))) / (F.size(b) + len(g))
+        for name, g, _, _ in known:
             sized = (F.size(b) >= len(g) * low) & (F.size(b) <= len(g) * high)
-            tests.append(F.when(sized, F.struct((-dice).alias("away"), F.lit(name).alias("name"))))
+            tests.append(F.when(sized, F.struct((-coefficient(b, g)).alias("away"), F.lit(-len(g)).alias("size"), F.lit(name).alias("name"))))
         best = F.array_min(F.filter(F.array(*tests), lambda s: s.isNotNull() & (s["away"] <= -threshold)))
-        return F.when(best.isNotNull(), F.array(best)).otherwise(F.array().cast("array<struct<away:double,name:string>>"))
-
+        return F.when(best.isNotNull(), F.array(best)).otherwise(none)
+
+    def windows(pairs: Column) -> Column:
+        """Distinct ``(start, words)`` of the windows of all templates."""
+        out = []
+        for _, _, size, at in known:
+            places = F.array(*[F.array(*map(F.lit, v)) for v in at.values()])
+            hits = F.filter(F.transform(pairs, lambda p, i: F.struct(F.array_position(literal(at), p).cast("int").alias("k"), i.alias("i"))), lambda x: x["k"] > 0)
+            starts = F.flatten(F.transform(hits, lambda x: F.transform(F.get(places, x["k"] - 1), lambda o: F.struct((x["i"] - o).alias("start"), F.lit(size).alias("words")))))
+            out.append(F.when(F.arrays_overlap(pairs, literal(at)), F.filter(starts, lambda x: x["start"] >= 0)).otherwise(F.array().cast("array<struct<start:int,words:int>>")))
+        return F.array_distinct(F.flatten(F.array(*out)))
+
+    any_anchor = literal(dict.fromkeys(a for _, _, _, at in known for a in at))
+    any_bigram = literal(dict.fromkeys(b for _, g, _, _ in known for b in g))
+    # distinct bigrams of a block are at most its words less one: shorter blocks than the least size cannot fit
+    blocks = F.array_distinct(F.concat(F.split("text", "\n", -1), F.split("text", r"\n[\x20\x09-\x0D]*\n", -1), F.array("text")))
+    rows = rows.select("doc_id", F.filter(F.transform(blocks, words_of), lambda w: F.size(w) > max(1, least)).alias("blocks"))
+    # the whole text is the block with the most words
+    rows = rows.select("doc_id", F.transform("blocks", lambda w: F.struct(w.alias("words"), pairs_of(w).alias("pairs"))).alias("cut"))
+    rows = rows.select("doc_id", F.filter("cut", lambda b: F.arrays_overlap(b["pairs"], any_bigram)).alias("cut"))
+    rows = rows.select("doc_id", "cut", F.array_max(F.transform("cut", lambda b: F.size(b["words"]))).alias("most"))
+    whole = F.filter("cut", lambda b: (F.size(b["words"]) == F.col("most")) & F.arrays_overlap(b["pairs"], any_anchor))
+    rows = rows.select("doc_id", F.transform("cut", lambda b: F.array_distinct(b["pairs"])).alias("sets"), F.get(whole, F.lit(0)).alias("whole"))
+    rows = rows.select("doc_id", "sets", F.col("whole.words").alias("words"), F.when(F.col("whole").isNotNull(), windows(F.col("whole.pairs"))).alias("windows"))
+    inside = F.transform("windows", lambda x: bigrams_of(F.slice("words", x["start"] + 1, x["words"])))
+    rows = rows.select("doc_id", F.concat("sets", F.coalesce(inside, F.array().cast("array<array<string>>"))).alias("blocks"))
     rows = rows.select("doc_id", F.array_sort(F.flatten(F.transform("blocks", fits))).alias("found"))
     return rows.select("doc_id", F.get("found", F.lit(0))["name"].alias("license"), F.coalesce(-F.get("found", F.lit(0))["away"], F.lit(0.0)).alias("score"),
                        F.array_join(F.array_sort(F.array_distinct(F.col("found.name"))), ",").alias("licenses"))

@@ -152,24 +152,35 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sql() -> str:
-    """Every block against every template of fitting size."""
-    quoted = ", ".join("('{}', '{}')".format(name, text.replace("'", "''")) for name, texts in sorted(license_scan.TEMPLATES.items()) for text in texts)
+    """Every block and window against every template of fitting size."""
+    def quote(x):
+        return "'" + x.replace("'", "''") + "'"
+
+    texts = [(name, text) for name, group in sorted(license_scan.TEMPLATES.items()) for text in group]
     t = license_scan.THRESHOLD
+    quoted = ", ".join(f"({quote(name)}, {quote(text)})" for name, text in texts)
+    anchors = ", ".join(f"({quote(a)}, {place}, {len(license_scan.template_words(text))})" for _, text in texts
+                        for a, places in license_scan.anchors(text, t).items() for place in places)
     words = r"list_filter(regexp_split_to_array(lower({}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
     grams = "CASE WHEN len(w) > 1 THEN list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) ELSE [] END"
     return rf"""
 WITH t(name, text) AS (VALUES {quoted}),
+an(p, place, size) AS (SELECT DISTINCT * FROM (VALUES {anchors})),
 tg AS (SELECT name, {grams} AS g FROM (SELECT name, {words.format('text')} AS w FROM t)),
 b AS (SELECT DISTINCT doc_id, unnest(list_concat(string_split(coalesce(text, ''), chr(10)),
         regexp_split_to_array(coalesce(text, ''), '
 [ 	-
 ]*
 '), [coalesce(text, '')])) AS b FROM documents),
-bg AS (SELECT doc_id, b, {grams} AS g FROM (SELECT doc_id, b, {words.format('b')} AS w FROM b)),
-d AS (SELECT doc_id, b, name, 2.0 * len(list_intersect(bg.g, tg.g)) / (len(bg.g) + len(tg.g)) AS dice
+dw AS (SELECT doc_id, {words.format("coalesce(text, '')")} AS w FROM documents),
+pairs AS (SELECT doc_id, i - 1 AS i, w[i] || ' ' || w[i + 1] AS p FROM (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM dw)),
+win AS (SELECT DISTINCT doc_id, i - place AS s, size FROM pairs JOIN an USING (p) WHERE i >= place),
+bw AS (SELECT doc_id, b, {words.format('b')} AS w FROM b UNION ALL SELECT doc_id, s || ':' || size, w[s + 1:s + size] FROM win JOIN dw USING (doc_id)),
+bg AS (SELECT doc_id, row_number() OVER () AS b, {grams} AS g FROM bw),
+d AS (SELECT doc_id, b, name, len(tg.g) AS size, 2.0 * len(list_intersect(bg.g, tg.g)) / (len(bg.g) + len(tg.g)) AS dice
       FROM bg JOIN tg ON len(bg.g) BETWEEN len(tg.g) * {t / (2 - t)} AND len(tg.g) * {(2 - t) / t} WHERE len(bg.g) > 0),
-f AS (SELECT * FROM d WHERE dice >= {t} QUALIFY row_number() OVER (PARTITION BY doc_id, b ORDER BY dice DESC, name) = 1),
-best AS (SELECT doc_id, name, dice FROM f QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY dice DESC, name) = 1),
+f AS (SELECT * FROM d WHERE dice >= {t} QUALIFY row_number() OVER (PARTITION BY doc_id, b ORDER BY dice DESC, size DESC, name) = 1),
+best AS (SELECT doc_id, name, dice FROM f QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY dice DESC, size DESC, name) = 1),
 every AS (SELECT doc_id, string_agg(name, ',' ORDER BY name) AS licenses FROM (SELECT DISTINCT doc_id, name FROM f) GROUP BY 1)
 SELECT doc_id, best.name AS license, coalesce(dice, 0.0) AS score, coalesce(licenses, '') AS licenses
 FROM documents LEFT JOIN best USING (doc_id) LEFT JOIN every USING (doc_id)

@@ -14,15 +14,47 @@ def grams(t):
 
 def plain(text, threshold=L.THRESHOLD):
     text = text or ""
+    words = lambda t: [x for x in re.split(r"[\W_]+", t.lower()) if x]
+    templates = [(name, t, words(t)) for name, ts in L.TEMPLATES.items() for t in ts]
     blocks = {*text.split("\n"), *re.split(r"\n[\x20\x09-\x0D]*\n", text), text}
+    w = words(text)
+    for _, t, tw in templates:
+        for a, places in L.anchors(t, threshold).items():
+            blocks |= {" ".join(w[i - o:i - o + len(tw)]) for i in range(len(w) - 1) if f"{w[i]} {w[i + 1]}" == a for o in places if i >= o}
     best = []
     for b in blocks:
         g = grams(b)
-        found = [(-2.0 * len(g & grams(t)) / (len(g) + len(grams(t))), name) for name, ts in L.TEMPLATES.items() for t in ts if g]
+        found = [(-2.0 * len(g & grams(t)) / (len(g) + len(grams(t))), -len(grams(t)), name) for name, t, _ in templates if g]
         found = [f for f in found if f[0] <= -threshold]
         if found:
             best.append(min(found))
-    return (min(best)[1], -min(best)[0], ",".join(sorted({n for _, n in best}))) if best else (None, 0.0, "")
+    return (min(best)[2], -min(best)[0], ",".join(sorted({n for _, _, n in best}))) if best else (None, 0.0, "")
+
+
+def test_notices_inside_lines_are_found(spark):
+    wanted = {
+        "This file is licensed under the Apache License, Version 2.0.": "Apache-2.0",
+        "Copyright (c) 2020 Foo. Licensed under the MIT License.": "MIT",
+        "Copyright 2020 Foo Inc. All rights reserved.": "Proprietary",
+        "The tool came out in May. Released under the MIT License. It was small then.": "MIT",
+        "// Redistribution and use in source and binary forms, with or without\n// modification, are permitted provided that the following conditions are met:": "BSD",
+        "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.": "CC0-1.0",
+        "Foo is free.\nThis library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public\n"
+        "License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.": "LGPL-2.1",
+        "We say: this work is licensed under the GNU General Public License, version 2, as ever.": "GPL-2.0",
+        L.TEMPLATES["BSD-3-Clause"][2] + " and so on": "BSD-3-Clause",
+        "He has the right to a licence under the law of the land.": None,
+    }
+    got = {r.doc_id: r.license for r in L.scan(spark.createDataFrame(list(wanted), "string").selectExpr("value AS doc_id", "value AS text")).collect()}
+    assert got == wanted
+
+
+def test_no_window_that_fits_lacks_an_anchor():
+    for texts in L.TEMPLATES.values():
+        for t in texts:
+            g, at = L.template_bigrams(t), L.anchors(t, L.THRESHOLD)
+            rest = len(g) - len(at)  # a window without anchors shares at most these, and is best when it has no others
+            assert 2 * rest / (rest + len(g)) < L.THRESHOLD
 
 
 def test_dice_equals_the_plain_version(spark):
