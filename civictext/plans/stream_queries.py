@@ -3,6 +3,8 @@ completion and returns the written result, which must equal the batch answer."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
 from ..functions import lexicons as L
@@ -11,8 +13,8 @@ from ..operators import vectors as V
 from ..functions.text import clean_text
 from ..operators.prepare import with_clean_text
 from ..session import scratch_path
-from ..sources.store import checkpoint_table
-from ..sources.tables import read_table
+from ..sources.store import checkpoint_table, stored_bytes
+from ..sources.tables import table_path
 from ..streaming import live
 from .registry import query
 from .sqltext import sql_clean, sql_script_language, sql_topic_field, sql_urgency
@@ -59,7 +61,8 @@ def stream_sliding_counts(spark, sf_dir):
 
 
 # --- ST4: repeated texts of a text stream, over several micro-batches ------------------------------
-STREAM_FILES = 4
+STREAM_FILES = 4  # micro-batches
+STREAM_FILE_BYTES = 8 << 20  # of the table, in one arriving file
 
 
 @query("stream_dedup_texts", f"""
@@ -67,10 +70,12 @@ SELECT DISTINCT md5({sql_clean('text')}) AS text_hash FROM documents""")
 def stream_dedup_texts(spark, sf_dir):
     """Each distinct text once. Arriving texts have no event time, so a text's state is kept for the
     run of the stream: the answer does not depend on how the files fall into micro-batches."""
-    d = read_table(spark, sf_dir, "documents", ["doc_id", "text"])
+    d = spark.read.parquet(table_path(sf_dir, "documents")).select("doc_id", "text")
     folder = scratch_path(spark, "arriving-texts")
-    d.repartition(STREAM_FILES).write.parquet(folder)
-    s = live.file_stream(spark, folder, "*.parquet", max_files_per_trigger=1)
+    # a micro-batch has as many files as its share of the table needs, so that no task writes or reads more than one of bounded size
+    each = max(1, math.ceil(stored_bytes(spark, table_path(sf_dir, "documents")) / (STREAM_FILES * STREAM_FILE_BYTES)))
+    d.repartition(STREAM_FILES * each).write.parquet(folder)
+    s = live.file_stream(spark, folder, "*.parquet", max_files_per_trigger=each)
     hashed = s.select(F.md5(clean_text(F.coalesce(F.col("text"), F.lit("nan")))).alias("text_hash"))
     path = live.run_to_table(spark, hashed.dropDuplicates(["text_hash"]), "dedup")
     return spark.read.parquet(path)

@@ -29,13 +29,18 @@ from ..functions.rules import topic_rule, urgency_label
 from ..functions.text import clean_text
 from ..operators.language import with_script_language
 from ..session import scratch_path
+from ..sources.store import is_folder
 
 
 def file_stream(spark: SparkSession, folder: str, file_glob: str, max_files_per_trigger: int | None = None) -> DataFrame:
     """Parquet files arriving in ``folder`` (matching ``file_glob``) as a stream.
 
+    A match that is a folder itself (a table written by Spark) gives the files in it.
     The schema is taken from the files present now (a stream needs it fixed).
     """
+    path = f"{folder.rstrip('/')}/{file_glob}"
+    if is_folder(spark, path):
+        folder, file_glob = path, "*.parquet"
     schema = spark.read.option("pathGlobFilter", file_glob).parquet(folder).schema
     r = spark.readStream.schema(schema).option("pathGlobFilter", file_glob)
     if max_files_per_trigger:

@@ -52,3 +52,28 @@ def test_dedup_within_watermark_drops_repeats_inside_it(spark):
     got = sorted((str(r.ts)[11:16], r.k) for r in spark.read.parquet(path).collect())
     # x is dropped while its state lasts and comes again once the watermark has passed it
     assert got == [("00:00", "x"), ("05:00", "y"), ("05:30", "x")]
+
+
+def test_a_table_of_several_files_is_a_stream(spark, tmp_path):
+    import __spark_entry__ as E
+    texts = [(i, f"Broken pipe number {i % 7} floods the road", "en", "web", 40) for i in range(30)]
+    spark.createDataFrame(texts, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    out = E.queries()["stream_rule_analysis"](spark, str(tmp_path))
+    assert sorted((r.doc_id, r.topic_id, r.urgency) for r in out.collect()) == [(i, 0, "CRITICAL") for i in range(30)]
+
+
+def test_arriving_files_are_bounded(spark, tmp_path, monkeypatch):
+    import __spark_entry__ as E
+    from civictext.plans import stream_queries as Q
+    from civictext.sources.store import stored_bytes
+    texts = [(i, f"text {i} " + " ".join(str(j * i) for j in range(200))) for i in range(400)]
+    spark.createDataFrame(texts, "doc_id long, text string").repartition(2).write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(Q, "STREAM_FILE_BYTES", 20_000)
+    made = []
+    stream = Q.live.file_stream
+    monkeypatch.setattr(Q.live, "file_stream", lambda s, folder, *a, **b: made.append((folder, b)) or stream(s, folder, *a, **b))
+    assert E.queries()["stream_dedup_texts"](spark, str(tmp_path)).count() == 400
+    folder, more = made[0]
+    files = [f for f in os.listdir(folder) if f.endswith(".parquet")]
+    assert len(files) == 4 * more["max_files_per_trigger"] and more["max_files_per_trigger"] > 1
+    assert stored_bytes(spark, folder) / len(files) < 40_000
