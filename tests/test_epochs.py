@@ -70,3 +70,20 @@ def test_regression_pipeline_is_unchanged(spark):
     model, test = U.train(data, reg_params=(0.001, 0.01), max_iter=20)
     assert U.label_order(model) == ["CRITICAL", "HIGH", "LOW", "MEDIUM"]
     assert U.evaluate(U.predict(model, test), "urgency", "predicted").first().accuracy > 0.8
+
+
+def test_kernels_hold_a_slice_of_a_batch(spark):
+    """10,000 texts of 400 words in one batch: beside the batch the kernels hold a slice's arrays."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    n, words = 10_000, 400
+    b = np.random.default_rng(1).integers(0, E.FEATURES, n * words).astype(np.int32)
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, n * words + 1, words), pa.int32()), pa.array(b))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(n) % 2, pa.int32()), pa.array(np.ones(n)), pa.array(np.ones(n, bool)), lists], ["label", "weight", "valid", "b"])
+    tracemalloc.start()
+    rows = sum(out.num_rows for out in E._featured([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == n and peak < 40 << 20, peak
