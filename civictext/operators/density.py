@@ -65,7 +65,7 @@ def _foreign_block(width: int):
             who, qcore, qcomp, least = (probes.column(c).to_numpy() for c in ("q", "qcore", "qcomp", "least"))
             for a, b, s in VJ._tiles(q, x, True):
                 h, w = s.shape
-                d = np.maximum(np.maximum(-s, qcore[a:a + h, None]), core[None, b:b + w])
+                d = np.maximum(np.maximum(np.round(-s, VJ.SCORE_DECIMALS), qcore[a:a + h, None]), core[None, b:b + w])
                 d[qcomp[a:a + h, None] == comp[None, b:b + w]] = np.inf
                 best = d.min(axis=1)
                 for i in np.flatnonzero(np.isfinite(best) & (best <= -least[a:a + h])).tolist():
@@ -95,7 +95,7 @@ def _foreign(points: DataFrame, active: DataFrame, cells: VJ.Cells, width: int,
                                                  ["q", "qv", "qcore", "qcomp", "least", "cell"])
 
     probes = checkpoint_table(spark, active.select("id", "v", "core", "comp", "least").mapInArrow(visit, "q long, qv binary, qcore double, qcomp long, least double, cell int"), "foreign-visits")
-    seen = VJ.counted_visits(probes, cells)
+    seen = VJ.counted_visits(probes, len(cells.rows))
     blocks = [(c, math.ceil(n / block_rows), max(1, math.ceil(v / block_rows))) for c, (n, v) in enumerate(zip(cells.rows.tolist(), seen.tolist()))]
     sizes = F.broadcast(spark.createDataFrame(blocks, "cell int, n_i int, n_q int"))  # one row a cell
     left = (points.select("id", "v", "core", "comp", "cell").join(sizes, "cell").withColumn("i", F.pmod(F.xxhash64("id"), F.col("n_i")).cast("int"))

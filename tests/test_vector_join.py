@@ -107,3 +107,28 @@ def test_packed_vectors_are_exact():
     import pyarrow as pa
     blobs = V.pack(x)
     assert (V.unpack(pa.array(blobs, pa.binary()), 30) == x).all() and max(map(len, blobs)) <= 8 + 30 * 8 and len(blobs[0]) == 8
+
+
+def test_a_row_is_sent_once_to_a_shard(spark, monkeypatch):
+    """Vectors without clusters visit every cell; what is sent follows the blocks, not the cells."""
+    x = unit(np.random.default_rng(4).normal(size=(3_000, 16)))
+    df = frame(spark, x)
+    sent = []
+    blocks = V.score_blocks
+    monkeypatch.setattr(V, "score_blocks", lambda placed, probes, *a, **b: sent.append(probes.count()) or blocks(placed, probes, *a, **b))
+    monkeypatch.setattr(V, "CELL_ROWS", 20)
+    assert V.links(df, "id", "embedding", 0.3, block_rows=1_000, pivot_rows=100).count() > 0
+    V.top_k(df, df.select(F.col("id").alias("query_id"), "embedding"), 5, 0.1, block_rows=1_000, pivot_rows=100).count()
+    assert max(sent) <= 3_000 * 2 * 3 and sent[0] <= 3_000 * 6, sent
+
+
+def test_packed_forms_are_short_and_exact():
+    import pyarrow as pa
+    rng = np.random.default_rng(3)
+    counts = rng.poisson(0.8, size=(40, 384)).astype(float)
+    few = counts / np.linalg.norm(counts, axis=1, keepdims=True)  # few distinct weights: a byte each
+    floats = rng.normal(size=(40, 64)).astype(np.float32).astype(float)
+    odd = np.array([[0.0, 1e300, -1e-300, 0.1], [np.nan, np.inf, 0.0, 0.0], [0.0, 0.0, 0.0, 0.1]])
+    for x, most in ((few, 8 + 384 + 8 * 12), (floats, 8 + 4 * 64), (odd, 40)):
+        blobs = V.pack(x)
+        assert np.array_equal(V.unpack(pa.array(blobs, pa.binary()), x.shape[1]), x, equal_nan=True) and max(map(len, blobs)) <= most
