@@ -8,7 +8,7 @@ once (equal core distances make such ties common), so the result does not depend
 * Neighbour lists come from ``vector_join.top_k`` (exact, pruned by cells).
 * The minimum spanning tree grows in Boruvka rounds: each component takes its shortest edge to another one. Candidates are the
   neighbour lists first; a row whose list ends before the component's candidate may have a nearer row outside its list, and visits the
-  cells that can hold one. Edges are ordered by (distance, ids), so rounds never close a circle. There are O(log n) rounds,
+  cells that can hold one. The largest component takes none: the others' edges reach it. Edges are ordered by (distance, ids), so rounds never close a circle. There are O(log n) rounds,
   each with written tables.
 * Components below ``min_cluster_size`` are contracted along their shortest tree edges, in the order of the lengths. This
   gives each row the leaf (a cluster without smaller ones) that it joins, and the distance at which it does; the tree edges left
@@ -58,24 +58,28 @@ def _follow(picks: DataFrame, name: str) -> DataFrame:
 def _foreign_block(width: int):
     """For each component of the visitors its shortest edge to a row of another component in this group."""
     def run(rows: pa.Table, probes: pa.Table) -> pa.Table:
-        out: dict[int, tuple] = {}
+        found: list[tuple[np.ndarray, ...]] = []
         if rows.num_rows and probes.num_rows:
             x, q = VJ.unpack(rows.column("v"), width), VJ.unpack(probes.column("qv"), width)
             ids, core, comp = (rows.column(c).to_numpy() for c in ("id", "core", "comp"))
             who, qcore, qcomp, least = (probes.column(c).to_numpy() for c in ("q", "qcore", "qcomp", "least"))
+            names, place = np.unique(qcomp, return_inverse=True)
+            shortest = np.full(len(names), np.inf)  # so far, of each visiting component
             for a, b, s in VJ._tiles(q, x, True):
                 h, w = s.shape
                 d = np.maximum(np.maximum(np.round(-s, VJ.SCORE_DECIMALS), qcore[a:a + h, None]), core[None, b:b + w])
                 d[qcomp[a:a + h, None] == comp[None, b:b + w]] = np.inf
                 best = d.min(axis=1)
-                for i in np.flatnonzero(np.isfinite(best) & (best <= -least[a:a + h])).tolist():
-                    c, me = int(qcomp[a + i]), int(who[a + i])
-                    for j in (np.flatnonzero(d[i] == best[i]) + b).tolist():  # ties: the edge of the smaller ids
-                        edge = (float(best[i]), min(me, int(ids[j])), max(me, int(ids[j])), int(comp[j]))
-                        if c not in out or edge[:3] < out[c][:3]:
-                            out[c] = edge
-        cols = list(zip(*[(c, *e) for c, e in out.items()])) or [[]] * 5
-        return pa.table({n: pa.array(list(v), t) for n, v, t in zip(("comp", "w", "a", "b", "to"), cols, (pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()))})
+                np.minimum.at(shortest, place[a:a + h], np.where(best <= -least[a:a + h], best, np.inf))
+                some = np.flatnonzero(np.isfinite(best) & (best <= -least[a:a + h]) & (best == shortest[place[a:a + h]]))
+                i, j = np.nonzero(d[some] == best[some, None])
+                i, j = some[i] + a, j + b
+                found.append((qcomp[i], best[i - a], np.minimum(who[i], ids[j]), np.maximum(who[i], ids[j]), comp[j]))
+        cols = [np.concatenate(v) for v in zip(*found)] if found else [np.zeros(0)] * 5
+        order = np.lexsort((cols[4], cols[3], cols[2], cols[1], cols[0]))  # ties: the edge of the smaller ids
+        order = order[np.diff(cols[0][order], prepend=np.nan) != 0]
+        cols = [v[order] for v in cols]
+        return pa.table({n: pa.array(v, t) for n, v, t in zip(("comp", "w", "a", "b", "to"), cols, (pa.int64(), pa.float64(), pa.int64(), pa.int64(), pa.int64()))})
     return lambda left, right: run(left, right)
 
 
@@ -131,8 +135,11 @@ def spanning_tree(df: DataFrame, key: str, vec: str, min_samples: int, block_row
         sides = open_.select(F.col("ca").alias("comp"), "w", "a", "b", F.col("cb").alias("to")).unionByName(open_.select(F.col("cb").alias("comp"), "w", "a", "b", F.col("ca").alias("to")))
         least = lambda edges: edges.groupBy("comp").agg(F.min(F.struct("w", "a", "b", "to")).alias("e")).select("comp", "e.*")
         known = checkpoint_table(spark, least(sides), "density-candidates")
+        # the largest component waits for the others' edges to it: in late rounds it holds nearly all rows, and all of them would visit
+        largest = points.groupBy("comp").count().orderBy(F.desc("count"), "comp").limit(1).first()["comp"]
+        known = known.where(F.col("comp") != largest)
         # only a row whose list ends at or before the candidate can have a nearer row beyond the list
-        active = (points.join(known.select("comp", "w"), "comp", "left").where(F.col("w").isNull() | (F.col("core") <= F.col("w")))
+        active = (points.where(F.col("comp") != largest).join(known.select("comp", "w"), "comp", "left").where(F.col("w").isNull() | (F.col("core") <= F.col("w")))
                   .withColumn("least", F.coalesce(-F.col("w"), F.lit(-math.inf))))
         picks = checkpoint_table(spark, least(known.unionByName(_foreign(points, active, cells, width, block_rows))), "density-picks")
         if picks.isEmpty():

@@ -123,3 +123,15 @@ def test_equal_rows_few_rows_and_one_blob(spark):
     assert len(few) == 5 and {r.cluster for r in few} == {-1}
     assert D.density_clusters(df.limit(0), min_cluster_size=10).count() == 0
     assert math.isclose(1 / D.LEAST, 1e9)
+
+
+def test_the_largest_component_does_not_visit(spark, monkeypatch):
+    x = np.round(blobs(3), 6)
+    df = spark.createDataFrame([(i, [float(v) for v in p]) for i, p in enumerate(x)], "row_id long, embedding array<double>").repartition(2)
+    seen = []
+    foreign = D._foreign
+    monkeypatch.setattr(D, "_foreign", lambda points, active, *a: seen.append((active.select("comp").distinct().count(), active.count(), points.select("comp").distinct().count(),
+                                                                                points.groupBy("comp").count().agg(F.max("count")).first()[0])) or foreign(points, active, *a))
+    tree = D.spanning_tree(df, "row_id", "embedding", 5)
+    assert tree.count() == len(x) - 1 and tree.select("a", "b").distinct().count() == len(x) - 1
+    assert all(rows <= len(x) - largest and comps < every for comps, rows, every, largest in seen) and len(seen) > 1
