@@ -156,3 +156,16 @@ def test_ivf_near_duplicates_have_no_neighbour_cut(spark):
     full = sorted(tuple(r) for r in S.ivf_near_duplicates(df, "id", threshold=t, nlist=12, nprobe=12, block_rows=20).collect())
     assert full == sorted(tuple(r) for r in S.near_duplicates(df, "id", threshold=t).collect())
     assert S.ivf_near_duplicates(df.limit(0), "id", threshold=t).count() == 0
+
+
+def test_many_cells_are_fitted_in_rounds_of_few_rows(spark, monkeypatch):
+    df, M = fixture_vectors(spark, n=400, d=8)
+    monkeypatch.setattr(S, "LOCAL_STATISTICS", 1)
+    cells, cents = S.build_ivf(df, key="id", nlist=12)
+    got = {r.id: r.cell for r in cells.collect()}
+    near = ((M[:, None] - cents[None]) ** 2).sum(-1)
+    assert cents.shape == (12, 8) and len(got) == 400 and all(near[i, c] <= near[i].min() + 1e-9 for i, c in got.items())
+    for c in set(got.values()):  # rounds have come to rest or are near it
+        assert np.abs(M[[i for i in got if got[i] == c]].mean(axis=0) - cents[c]).max() < 0.1
+    full = sorted(tuple(r) for r in S.ivf_near_duplicates(df, "id", threshold=0.5, nlist=12, nprobe=12, block_rows=20).collect())
+    assert full == sorted(tuple(r) for r in S.near_duplicates(df, "id", threshold=0.5).collect())
