@@ -87,3 +87,19 @@ def test_kernels_hold_a_slice_of_a_batch(spark):
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert rows == n and peak < 40 << 20, peak
+
+
+def test_features_are_packed_and_read_back_from_any_slice():
+    """A row's features and counts are one binary each; slices and empty rows keep their own values."""
+    import pyarrow as pa
+
+    texts = [[1, 5, 5], [], [E.FEATURES - 1] * 70_000, [7], []]
+    batch = pa.RecordBatch.from_arrays([pa.array([0] * 5, pa.int32()), pa.array([1.0] * 5), pa.array([False] * 5), pa.array(texts, pa.list_(pa.int32()))], ["label", "weight", "valid", "b"])
+    made, = E._featured([batch])
+    assert [made.schema.field(c).type for c in ("feature", "count")] == [pa.binary(), pa.binary()]
+    for a, n in ((0, 5), (1, 2), (2, 3), (4, 1), (5, 0)):
+        part = made.slice(a, n)
+        sizes, feature = E._unpacked(part.column("feature"), E.FEATURE_TYPE)
+        _, count = E._unpacked(part.column("count"), E.COUNT_TYPE)
+        want = [sorted((f, t.count(f)) for f in set(t)) for t in texts[a:a + n]]
+        assert sizes.tolist() == [len(w) for w in want] and list(zip(feature.tolist(), count.tolist())) == [p for w in want for p in w]
