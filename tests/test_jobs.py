@@ -157,3 +157,21 @@ def test_hashed_embedding_equals_the_jvm_bucket_expression(spark):
     got = d.select("doc_id", V.hashed_embedding(F.col("text")).alias("a"), jvm.alias("b"))
     assert got.where(F.col("a") != F.col("b")).count() == 0
     assert got.count() == docs.count() + 4
+
+
+def test_training_writes_term_counts_once_and_fits_the_same_weights(spark, monkeypatch):
+    """The texts are tokenised into one written table of term counts; the IDF weights are those of the whole pipeline."""
+    from civictext.sources import store
+
+    rows = [(i, f"{'fire flood' if i % 2 else 'park bench'} street {'house ' * (i % 3)}w{i % 7}", "HIGH" if i % 2 else "LOW") for i in range(60)]
+    df = spark.createDataFrame(rows, "row_id long, clean_text string, urgency string")
+    made, write = {}, store.checkpoint_table
+    monkeypatch.setattr(store, "checkpoint_table", lambda s, d, name: made.setdefault(name, write(s, d, name)))
+    model, test = U.train(df, max_iter=5)
+    assert made["urgency-terms"].columns == ["_tf", "urgency", "weight"] and "urgency-features" not in made
+    idf = next(s for s in model.stages if type(s).__name__ == "IDFModel")
+    train = made["urgency-split"].where("not is_test")
+    plain = U.build_pipeline(max_iter=1).fit(U.with_class_weights(train, "urgency"))
+    want = next(s for s in plain.stages if type(s).__name__ == "IDFModel")
+    assert np.allclose(idf.idf.toArray(), want.idf.toArray()) and test.count() == 12
+    assert U.predict(model, df).where("predicted = urgency").count() == 60
