@@ -175,3 +175,16 @@ def test_training_writes_term_counts_once_and_fits_the_same_weights(spark, monke
     want = next(s for s in plain.stages if type(s).__name__ == "IDFModel")
     assert np.allclose(idf.idf.toArray(), want.idf.toArray()) and test.count() == 12
     assert U.predict(model, df).where("predicted = urgency").count() == 60
+
+
+def test_urgency_labels_of_documents_that_are_already_prepared(spark, monkeypatch):
+    """A query that has the prepared texts does not prepare the documents once more for their labels."""
+    from civictext.plans import job_queries as Q
+
+    def again(*a, **k):
+        raise AssertionError("prepared twice")
+
+    monkeypatch.setattr(Q, "prepared_documents", again)
+    have = spark.createDataFrame([(1, "There was a fire"), (2, "A quiet park")], "doc_id long, clean_text string")
+    got = Q.labelled_urgency(spark, None, have)
+    assert got.columns == ["row_id", "clean_text", "urgency"] and got.count() == 2
