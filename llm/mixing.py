@@ -34,7 +34,8 @@ from .shared import free, saved, with_columns_set
 LOCAL_CELLS = 100_000
 ROUNDS = 200
 CLOSE = 1e-10
-FAR = 1e100  # factors of targets that contradict each other drift apart; their product stays a number
+FAR = 230.0  # logarithm: the furthest a factor moves in one step, as to a target of none
+MOST = 690.0  # logarithm: a weight stays a number
 MARGINALS = ("source", "lang", "topic")
 
 #: Moderate targets: the further they lie from the natural shares, the more documents go.
@@ -78,7 +79,10 @@ def target_shares(cells: DataFrame, name: str, spec: float | dict[str, float]) -
 
 
 def _fit_rows(rows: list[dict], goals: dict[str, dict[str, float]], rounds: int) -> dict[str, dict[str, float]]:
-    """Multipliers of every marginal value, by numpy on the driver."""
+    """Logarithms of the multipliers of every marginal value, by numpy on the driver.
+
+    Multipliers of targets that contradict each other drift apart without end; as logarithms their products stay exact.
+    """
     import numpy as np
 
     if not rows:
@@ -90,14 +94,14 @@ def _fit_rows(rows: list[dict], goals: dict[str, dict[str, float]], rounds: int)
         place = {v: i for i, v in enumerate(names[m])}
         at[m] = np.array([place[r[m]] for r in rows], np.int64)
     goal = {m: np.array([goals[m][v] for v in names[m]]) for m in MARGINALS}
-    factor = {m: np.ones(len(names[m])) for m in MARGINALS}
+    factor = {m: np.zeros(len(names[m])) for m in MARGINALS}
     for _ in range(rounds):
         off = 0.0
         for m in MARGINALS:
             now = np.bincount(at[m], weight, len(names[m]))
             step = np.where(now > 0, goal[m] / np.where(now > 0, now, 1), 1.0)
             weight *= step[at[m]]
-            factor[m] = np.clip(factor[m] * step, 1 / FAR, FAR)
+            factor[m] += np.log(np.clip(step, np.exp(-FAR), np.exp(FAR)))
             off = max(off, float(np.abs(step - 1).max()))
         if off < CLOSE:
             break
@@ -108,12 +112,12 @@ def _fit_table(cells: DataFrame, goals: dict[str, DataFrame], rounds: int) -> Da
     """The same fit with windows, for more cells than the driver takes; a table is written each round."""
     out = cells.where("tokens > 0").withColumn("w", F.col("tokens").cast("double"))
     for m in MARGINALS:
-        out = out.join(goals[m].withColumnRenamed("goal", f"goal_{m}"), m).withColumn(f"f_{m}", F.lit(1.0))
+        out = out.join(goals[m].withColumnRenamed("goal", f"goal_{m}"), m).withColumn(f"f_{m}", F.lit(0.0))
     for _ in range(rounds):
         off = F.lit(0.0)
         for m in MARGINALS:
             out = out.withColumn("step", F.col(f"goal_{m}") / F.sum("w").over(Window.partitionBy(m)))
-            out = out.withColumn("w", F.col("w") * F.col("step")).withColumn(f"f_{m}", F.greatest(F.lit(1 / FAR), F.least(F.lit(FAR), F.col(f"f_{m}") * F.col("step")))).withColumn(f"off_{m}", F.abs(F.col("step") - 1))
+            out = out.withColumn("w", F.col("w") * F.col("step")).withColumn(f"f_{m}", F.col(f"f_{m}") + F.log(F.greatest(F.exp(F.lit(-FAR)), F.least(F.exp(F.lit(FAR)), F.col("step"))))).withColumn(f"off_{m}", F.abs(F.col("step") - 1))
             off = F.greatest(off, F.col(f"off_{m}"))
         out = saved(out.withColumn("off", off).drop("step", *[f"off_{m}" for m in MARGINALS]), "fit")
         if (out.agg(F.max("off")).first()[0] or 0.0) < CLOSE:
@@ -150,14 +154,15 @@ def rake(cells: DataFrame, targets: dict[str, float | dict[str, float]] = TARGET
     if cells.count() <= local_cells:
         full = [r.asDict() for r in cells.where("tokens > 0").collect()]
         fitted = _fit_rows(full, {m: {r[m]: r["goal"] for r in goals[m].collect()} for m in MARGINALS}, rounds)
-        factors = {m: spark.createDataFrame(list(fitted[m].items()) or [("", 1.0)], f"{m} string, f_{m} double") for m in MARGINALS}
+        factors = {m: spark.createDataFrame(list(fitted[m].items()) or [("", 0.0)], f"{m} string, f_{m} double") for m in MARGINALS}
     else:
         fitted_cells = _fit_table(cells, goals, rounds)
         factors = {m: fitted_cells.groupBy(m).agg(F.max(f"f_{m}").alias(f"f_{m}")) for m in MARGINALS}
     out = cells
     for m in MARGINALS:
-        out = out.join(factors[m], m, "left").withColumn(f"f_{m}", F.coalesce(f"f_{m}", F.lit(1.0)))
-    out = saved(out.withColumn("weight", F.col("f_source") * F.col("f_lang") * F.col("f_topic")), "weights")
+        out = out.join(factors[m], m, "left").withColumn(f"f_{m}", F.coalesce(f"f_{m}", F.lit(0.0)))
+    far = F.col("f_source") + F.col("f_lang") + F.col("f_topic")
+    out = saved(out.withColumn("weight", F.exp(F.greatest(F.lit(-MOST), F.least(F.lit(MOST), far)))), "weights")
     rate = F.col("weight") * F.lit(calibrate(out.where("tokens > 0"), budget))
     return out.select(*MARGINALS, "weight", rate.alias("rate"), F.least(F.lit(1.0), rate).alias("probability"))
 
