@@ -136,6 +136,18 @@ def test_training_run_is_reused_and_complete(spark):
     assert none == first
 
 
+def test_texts_travel_with_their_vectors(spark):
+    """Unique ids: no join of texts and vectors; repeated or missing ids: the rows of the join by id."""
+    prepared = spark.createDataFrame([(1, "a b"), (2, "c"), (3, "d e")], "row_id long, clean_text string")
+    embedded = lambda t: t.select("row_id", V.hashed_embedding("clean_text").alias("embedding"), F.col("clean_text").alias("text"))
+    rows = J.with_texts(embedded(prepared), prepared)
+    assert rows.columns == ["row_id", "embedding", "text"] and "Join" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.row_id, r.text) for r in rows.collect()} == {(1, "a b"), (2, "c"), (3, "d e")}
+    odd = prepared.unionByName(spark.createDataFrame([(1, "f"), (None, "g")], prepared.schema))
+    got = sorted((r.row_id, r.clean_text) for r in J.with_texts(embedded(odd), odd, "clean_text").collect())
+    assert got == [(1, "a b"), (1, "a b"), (1, "f"), (1, "f"), (2, "c"), (3, "d e")]
+
+
 def test_news_ingest_and_column_discovery(spark):
     path = os.path.join(tempfile.mkdtemp(prefix="civictext-csv-"), "news.csv")
     with open(path, "w") as f:

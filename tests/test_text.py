@@ -96,3 +96,32 @@ def test_rules_parsed_once_equal_the_column_built_rules(spark):
                    urgency_label("_low", lowered=True).alias("u1"), urgency_label(col, lowered=True).alias("u2"))
     for a, b in (("t1", "t2"), ("a1", "a2"), ("u1", "u2")):
         assert got.where(~F.col(a).eqNullSafe(F.col(b))).count() == 0, a
+
+
+def test_cleaning_patterns_match_what_the_steps_match(spark):
+    """Every character between letters, blanks and its own kind: the faster patterns change what the plain steps change, no single blank is a match."""
+    from civictext.functions import text as X
+    c = F.expr("CASE WHEN id < 55296 OR id > 57343 THEN decode(unhex(lpad(hex(id), 8, '0')), 'UTF-32') END")
+    chars = spark.range(1, 0x1FFFF).select(c.alias("c")).where("c IS NOT NULL")
+    rows = chars.select(F.explode(F.array(*[F.concat(*[F.col("c") if k == "c" else F.lit(k) for k in form]) for form in
+                                            (("a", "c", "b"), ("a ", "c", " b"), ("c", "c", "z  Z"), ("A b", "c", " "))])).alias("t"))
+    for extended in (False, True):
+        plain = F.col("t")
+        for pattern, repl in X.clean_steps(extended):
+            plain = F.regexp_replace(plain, pattern, repl)
+        assert rows.where(clean_text("t", extended) != F.btrim(plain, F.lit(" "))).count() == 0
+    assert rows.where(F.concat_ws(" ", tokens("t")) != X.spaced_tokens("t")).count() == 0
+    single = spark.createDataFrame([("three plain words",)], "t string")
+    assert single.select(F.col("t").rlike(X._collapse_pattern(False)).alias("m")).first().m is False
+
+
+def test_urgency_by_batch_equals_the_column_rule(spark):
+    from civictext.functions import lexicons as L
+    from civictext.functions.rules import urgency_label_by_batch
+    words = [k for _, ks in L.TRAINING_URGENCY for k in ks]
+    texts = [f"x{k}y" for k in words] + [f"{a} {b}" for a, b in zip(words, reversed(words))] + ["", None, "nothing here", "no  water", "a+b (c) [d"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    odd = [("HIGH", ["a+b (c)", "["]), ("MEDIUM", []), ("CRITICAL", ["x"])]
+    for lexicon in (None, odd):
+        got = df.select("t", urgency_label("t", lexicon, lowered=True).alias("a"), urgency_label_by_batch("t", lexicon).alias("b")).collect()
+        assert len(got) == len(texts) and all(r.a == r.b for r in got)
