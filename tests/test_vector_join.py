@@ -1,6 +1,7 @@
 """Exact links and top-k of pruned vector joins against brute force, the share of pairs they score, and the measured recall."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -132,3 +133,59 @@ def test_packed_forms_are_short_and_exact():
     for x, most in ((few, 8 + 384 + 8 * 12), (floats, 8 + 4 * 64), (odd, 40)):
         blobs = V.pack(x)
         assert np.array_equal(V.unpack(pa.array(blobs, pa.binary()), x.shape[1]), x, equal_nan=True) and max(map(len, blobs)) <= most
+
+
+def weighted_tables(spark, x):
+    from civictext.operators import vectors as VEC
+    df = frame(spark, x)
+    return VEC.idf_weighted(df), VEC.idf_weighted(V.compact(df, "id", "embedding", x.shape[1]))
+
+
+def test_blocks_hold_each_vector_once_and_pairs_are_not_shuffled(spark, monkeypatch):
+    """What the join writes follows the rows: no vector is copied to the blocks that it is compared with."""
+    x = unit(np.random.default_rng(4).normal(size=(1_200, 16)))
+    x[100:400] = x[5]  # a hot vector
+    held = []
+    blocks = V._blocks
+    monkeypatch.setattr(V, "_blocks", lambda *a: held.append(blocks(*a)) or held[0])
+    got = V.links(frame(spark, x), "id", "embedding", 0.5, block_rows=100, pivot_rows=100)
+    read = [V._block_read(pa.py_buffer(r.data), 16, None) for r in held[0].collect()]
+    assert len(read) > 8 and sorted(np.concatenate([r[0] for r in read]).tolist()) == [i for i in range(1_200) if not 100 <= i < 400]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "CoGroup" not in plan and "Aggregate" not in plan, plan
+    assert sorted((r.id1, r.id2) for r in got.collect()) == brute_links(x, 0.5)
+
+
+def test_weights_beside_packed_vectors_give_the_same_links(spark):
+    x = TABLES["sparse"].copy()
+    x[:, 0] = np.where(x.any(axis=1), 0.1, 0.0) + x[:, 0]
+    dense, short = weighted_tables(spark, x)
+    assert short.schema["embedding"].dataType.typeName() == "binary"
+    width, weights = V.vectors_of(short, "embedding")
+    both = {r.id: r.embedding for r in dense.collect()}
+    for r in short.collect():
+        assert V.weigh(V.unpack(pa.array([r.embedding], pa.binary()), width), weights)[0].tolist() == list(both[r.id])
+    want, got = (sorted(map(tuple, V.links(d, "id", "embedding", 0.6, block_rows=50, pivot_rows=20).collect())) for d in (dense, short))
+    assert got == want and len(want) > 50
+
+
+def test_scores_are_rounded_as_spark_does(spark):
+    score = np.round(np.array([0.00005, -0.00005, 0.12345, 0.123449999999, 0.99995, 1.0, -0.87655, 123.45675, 20_000.00005, 0.0]), 12)
+    want = [r[0] for r in spark.createDataFrame([(float(s),) for s in score], "s double").select(F.round("s", 4)).collect()]
+    assert V.four_places(score).tolist() == want
+
+
+def test_single_precision_rules_out_no_link():
+    rng = np.random.default_rng(6)
+    x = unit(np.abs(rng.normal(size=(300, 40))))
+    for scale in (1.0, 1e-3, 1e20):
+        y = x * scale
+        exact = np.round(y @ y.T, 12)
+        t = float(np.quantile(exact, 0.9995))  # a product of the table itself
+        for many in (0.0, 0.5):
+            V_many, V.MANY = V.MANY, many
+            try:
+                found = {(int(i), int(j)) for a in V._reaching(y, y, t) for i, j in zip(*a[:2])}
+            finally:
+                V.MANY = V_many
+            assert {(i, j) for i, j in zip(*np.nonzero(exact > t * (1 + 1e-9) + 1e-11))} <= found <= {(i, j) for i, j in zip(*np.nonzero(exact >= t * (1 - 1e-9) - 1e-11))}
