@@ -169,3 +169,20 @@ def test_many_cells_are_fitted_in_rounds_of_few_rows(spark, monkeypatch):
         assert np.abs(M[[i for i in got if got[i] == c]].mean(axis=0) - cents[c]).max() < 0.1
     full = sorted(tuple(r) for r in S.ivf_near_duplicates(df, "id", threshold=0.5, nlist=12, nprobe=12, block_rows=20).collect())
     assert full == sorted(tuple(r) for r in S.near_duplicates(df, "id", threshold=0.5).collect())
+
+
+def test_document_links_keep_neither_texts_nor_long_vectors(spark, monkeypatch):
+    """The near-duplicate query writes its vectors packed, without the texts."""
+    from civictext.operators import vector_join as VJ
+    from civictext.operators import vectors as VEC
+    from civictext.plans import vector_queries as Q
+    texts = [(i, f"report {i % 3} of the water main in street {i % 5} " * 4 + "closed " * (i // 15)) for i in range(40)]
+    docs = VEC.hashed_embedding("clean_text")
+    monkeypatch.setattr(Q, "document_vectors", lambda spark, d, **k: spark.createDataFrame(texts, "doc_id long, clean_text string").withColumn("embedding", docs))
+    tables = []
+    keep = VJ.checkpoint_table
+    monkeypatch.setattr(VJ, "checkpoint_table", lambda s, df, name: tables.append((name, df.schema)) or keep(s, df, name))
+    got = sorted((r.id1, r.id2, r.score) for r in Q.document_near_duplicates(spark, "unused").collect())
+    assert tables[0][0] == "compact-vectors" and not any("array" in f.dataType.simpleString() or f.name == "clean_text" for _, schema in tables for f in schema)
+    plain = spark.createDataFrame(texts, "doc_id long, clean_text string").select("doc_id", docs.alias("embedding"))
+    assert got == sorted(map(tuple, S.near_duplicates(plain, key="doc_id").collect())) and len(got) > 10
