@@ -35,6 +35,25 @@ from . import vector_join as VJ
 
 MAX_LEAVES = 1_000_000
 LEAST = 1e-9  # the least distance that is rated
+FOLLOWED_ROWS = 1 << 20  # pointers that the driver follows: 16 MB; more are doubled as tables
+
+
+def _followed(picks: DataFrame) -> DataFrame:
+    """``_follow`` of at most ``FOLLOWED_ROWS`` pointers, on the driver (two numbers a pointer)."""
+    table = picks.select("comp", "to").toArrow()
+    comp, to = (table.column(c).to_numpy() for c in ("comp", "to"))
+    order = np.argsort(comp)
+    comp, to = comp[order], to[order]
+    names = np.unique(np.concatenate((comp, to)))  # a name without a pointer is a root
+    at = np.arange(len(names))
+    at[np.searchsorted(names, comp)] = np.searchsorted(names, to)
+    pair = (at[at] == np.arange(len(at))) & (np.arange(len(at)) < at)
+    at[pair] = np.flatnonzero(pair)
+    while (at[at] != at).any():
+        at = at[at]
+    root = names[at[np.searchsorted(names, comp)]]
+    out = picks.sparkSession.createDataFrame(pa.table({"comp": pa.array(comp, pa.int64()), "root": pa.array(root, pa.int64())}))
+    return F.broadcast(out) if len(comp) <= VJ.MAX_BROADCAST_ROWS else out
 
 
 def _follow(picks: DataFrame, name: str) -> DataFrame:
@@ -43,6 +62,8 @@ def _follow(picks: DataFrame, name: str) -> DataFrame:
     Pointers are doubled until none moves; a ``to`` that has no pointer itself is a root.
     """
     spark = picks.sparkSession
+    if picks.count() <= FOLLOWED_ROWS:
+        return _followed(picks)
     back = picks.select(F.col("comp").alias("to"), F.col("to").alias("back"))
     root = picks.join(back, "to", "left").select("comp", F.when((F.col("back") == F.col("comp")) & (F.col("comp") < F.col("to")), F.col("comp")).otherwise(F.col("to")).alias("root"))
     root = checkpoint_table(spark, root, name)
@@ -65,16 +86,25 @@ def _foreign_block(width: int):
             who, qcore, qcomp, least = (probes.column(c).to_numpy() for c in ("q", "qcore", "qcomp", "least"))
             names, place = np.unique(qcomp, return_inverse=True)
             shortest = np.full(len(names), np.inf)  # so far, of each visiting component
+            off = VJ.squares_off(q, x)
             for a, b, s in VJ._tiles(q, x, True):
                 h, w = s.shape
-                d = np.maximum(np.maximum(np.round(-s, VJ.SCORE_DECIMALS), qcore[a:a + h, None]), core[None, b:b + w])
-                d[qcomp[a:a + h, None] == comp[None, b:b + w]] = np.inf
-                best = d.min(axis=1)
-                np.minimum.at(shortest, place[a:a + h], np.where(best <= -least[a:a + h], best, np.inf))
-                some = np.flatnonzero(np.isfinite(best) & (best <= -least[a:a + h]) & (best == shortest[place[a:a + h]]))
-                i, j = np.nonzero(d[some] == best[some, None])
-                i, j = some[i] + a, j + b
-                found.append((qcomp[i], best[i - a], np.minimum(who[i], ids[j]), np.maximum(who[i], ids[j]), comp[j]))
+                other = qcomp[a:a + h, None] != comp[None, b:b + w]
+                most = np.minimum(-least[a:a + h], shortest[place[a:a + h]])
+                free = np.flatnonzero(np.isinf(most))  # no edge is known yet: not longer than the shortest of this tile
+                if len(free):
+                    d = np.maximum(np.maximum(np.sqrt(np.maximum(s[free], 0.0) + off), qcore[a + free, None]), core[None, b:b + w])
+                    most[free] = np.where(other[free], d, np.inf).min(axis=1)
+                other &= s <= ((most + VJ.EPS) ** 2 + off)[:, None]
+                i, j = np.nonzero(other)  # few pairs are left whose distance is wanted exactly
+                i, j = i + a, j + b
+                d = np.maximum(np.maximum(np.round(VJ.pair_distances(q, x, i, j), VJ.SCORE_DECIMALS), qcore[i]), core[j])
+                keep = d <= np.minimum(-least[i], shortest[place[i]])
+                i, j, d = i[keep], j[keep], d[keep]
+                np.minimum.at(shortest, place[i], d)
+                keep = d == shortest[place[i]]
+                i, j, d = i[keep], j[keep], d[keep]
+                found.append((qcomp[i], d, np.minimum(who[i], ids[j]), np.maximum(who[i], ids[j]), comp[j]))
         cols = [np.concatenate(v) for v in zip(*found)] if found else [np.zeros(0)] * 5
         order = np.lexsort((cols[4], cols[3], cols[2], cols[1], cols[0]))  # ties: the edge of the smaller ids
         order = order[np.diff(cols[0][order], prepend=np.nan) != 0]
@@ -86,14 +116,21 @@ def _foreign_block(width: int):
 def _foreign(points: DataFrame, active: DataFrame, cells: VJ.Cells, width: int, block_rows: int) -> DataFrame:
     """Edges ``(comp, w, a, b, to)``: the shortest of each visiting component found in each group of blocks."""
     spark = points.sparkSession
-    shared = spark.sparkContext.broadcast(cells.plain())
+    only = np.full(len(cells.rows), -1, np.int64)  # the component of all rows of a cell: its own rows need not visit it
+    mixed = np.ones(len(cells.rows), dtype=bool)
+    for r in points.groupBy("cell").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).collect():
+        only[r["cell"]], mixed[r["cell"]] = r["a"], r["a"] != r["b"]
+    shared = spark.sparkContext.broadcast((cells.plain(), only, mixed))
 
     def visit(batches):
-        cells = VJ.Cells(*shared.value)
+        plain, only, mixed = shared.value
+        cells = VJ.Cells(*plain)
         for batch in batches:
             for a in range(0, batch.num_rows, 512):
                 part = batch.slice(a, 512)
                 row, cell = VJ.reachable(VJ.unpack(part.column("v"), width), part.column("least").to_numpy(), cells)
+                keep = mixed[cell] | (only[cell] != part.column("comp").to_numpy()[row])
+                row, cell = row[keep], cell[keep]
                 take = pa.array(row)
                 yield pa.RecordBatch.from_arrays([*[part.column(c).take(take) for c in ("id", "v", "core", "comp", "least")], pa.array(cell.astype(np.int32))],
                                                  ["q", "qv", "qcore", "qcomp", "least", "cell"])
@@ -127,12 +164,9 @@ def spanning_tree(df: DataFrame, key: str, vec: str, min_samples: int, block_row
              .select(F.least("q", "id").alias("a"), F.greatest("q", "id").alias("b"), F.greatest("d", "core", "other").alias("w")).distinct())
     lists = checkpoint_table(spark, lists, "density-lists")
     tree: list[DataFrame] = []
+    lists = lists.select("a", "b", "w", F.col("a").alias("ca"), F.col("b").alias("cb"))  # at first a row is a component
     while True:
-        comp_of = points.select("id", "comp")
-        open_ = (lists.join(comp_of.toDF("a", "ca"), "a").join(comp_of.toDF("b", "cb"), "b").where("ca <> cb"))
-        lists = checkpoint_table(spark, open_.select("a", "b", "w"), "density-lists")  # edges inside a component are done with
-        open_ = lists.join(comp_of.toDF("a", "ca"), "a").join(comp_of.toDF("b", "cb"), "b")
-        sides = open_.select(F.col("ca").alias("comp"), "w", "a", "b", F.col("cb").alias("to")).unionByName(open_.select(F.col("cb").alias("comp"), "w", "a", "b", F.col("ca").alias("to")))
+        sides = lists.select(F.col("ca").alias("comp"), "w", "a", "b", F.col("cb").alias("to")).unionByName(lists.select(F.col("cb").alias("comp"), "w", "a", "b", F.col("ca").alias("to")))
         least = lambda edges: edges.groupBy("comp").agg(F.min(F.struct("w", "a", "b", "to")).alias("e")).select("comp", "e.*")
         known = checkpoint_table(spark, least(sides), "density-candidates")
         # the largest component waits for the others' edges to it: in late rounds it holds nearly all rows, and all of them would visit
@@ -147,6 +181,9 @@ def spanning_tree(df: DataFrame, key: str, vec: str, min_samples: int, block_row
         tree.append(picks.select("a", "b", "w").distinct())
         root = _follow(picks.select("comp", "to"), "density-roots")
         points = checkpoint_table(spark, points.join(root, "comp", "left").select("id", "v", "cell", "core", F.coalesce("root", "comp").alias("comp")), "density-points")
+        moved = lambda edges, c: edges.join(root.toDF(c, "root"), c, "left").withColumn(c, F.coalesce("root", c)).drop("root")
+        # edges inside a component are done with
+        lists = checkpoint_table(spark, moved(moved(lists, "ca"), "cb").where("ca <> cb").select("a", "b", "w", "ca", "cb"), "density-lists")
     out = spark.createDataFrame([], "a long, b long, w double")
     for part in tree:
         out = out.unionByName(part)

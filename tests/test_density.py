@@ -135,3 +135,44 @@ def test_the_largest_component_does_not_visit(spark, monkeypatch):
     tree = D.spanning_tree(df, "row_id", "embedding", 5)
     assert tree.count() == len(x) - 1 and tree.select("a", "b").distinct().count() == len(x) - 1
     assert all(rows <= len(x) - largest and comps < every for comps, rows, every, largest in seen) and len(seen) > 1
+
+
+def test_pointers_are_followed_on_the_driver_as_in_tables(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    to = {i: int(rng.integers(i + 1, 200)) for i in range(150)}  # chains that end in names without a pointer
+    to |= {300: 301, 301: 300, 302: 300, 303: 302}
+    picks = spark.createDataFrame(list(to.items()), "comp long, to long")
+    made = []
+    keep = D.checkpoint_table
+    monkeypatch.setattr(D, "checkpoint_table", lambda s, df, name: made.append(name) or keep(s, df, name))
+    near = {r.comp: r.root for r in D._follow(picks, "roots").collect()}
+    assert made == [] and near[303] == near[300] == near[301] == 300
+    monkeypatch.setattr(D, "FOLLOWED_ROWS", 0)
+    assert {r.comp: r.root for r in D._follow(picks, "roots").collect()} == near and len(made) > 1
+
+
+def test_few_distances_are_made_exactly(monkeypatch):
+    """The kernel finds each component's shortest edge, but makes only the distances that can be it component by component."""
+    import pyarrow as pa
+
+    from civictext.operators import vector_join as V
+    rng = np.random.default_rng(7)
+    x, q = (rng.normal(size=(n, 3)) + 1_000 for n in (900, 700))  # far from zero: squared distances lose digits
+    q[:5] = x[:5]
+    core, qcore = rng.uniform(0, 0.1, 900), rng.uniform(0, 0.1, 700)
+    comp, qcomp = rng.integers(0, 9, 900), rng.integers(0, 9, 700)
+    least = np.where(qcomp < 4, -0.2, -np.inf)
+    rows = pa.table({"id": np.arange(900), "v": pa.array(V.pack(x), pa.binary()), "core": core, "comp": comp})
+    probes = pa.table({"q": np.arange(1_000, 1_700), "qv": pa.array(V.pack(q), pa.binary()), "qcore": qcore, "qcomp": qcomp, "least": least})
+    made = []
+    exact = V.pair_distances
+    monkeypatch.setattr(V, "pair_distances", lambda q, x, i, j: made.append(len(i)) or exact(q, x, i, j))
+    got = {r["comp"]: (r["w"], r["a"], r["b"], r["to"]) for r in D._foreign_block(3)(rows, probes).to_pylist()}
+    w = np.maximum(np.maximum(np.round(V.distances(q, x), V.SCORE_DECIMALS), qcore[:, None]), core[None])
+    w[(qcomp[:, None] == comp[None]) | (w > -least[:, None])] = np.inf
+    want = {}
+    for c in range(9):
+        best = sorted((w[i, j], int(j), 1_000 + int(i), int(comp[j])) for i in np.flatnonzero(qcomp == c) for j in np.flatnonzero(w[i] == w[qcomp == c].min()) if np.isfinite(w[i, j]))
+        if best:
+            want[c] = best[0]
+    assert got == want and len(want) > 4 and sum(made) < w.size / 20, (sum(made), w.size)

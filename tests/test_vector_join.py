@@ -189,3 +189,26 @@ def test_single_precision_rules_out_no_link():
             finally:
                 V.MANY = V_many
             assert {(i, j) for i, j in zip(*np.nonzero(exact > t * (1 + 1e-9) + 1e-11))} <= found <= {(i, j) for i, j in zip(*np.nonzero(exact >= t * (1 - 1e-9) - 1e-11))}
+
+
+def test_nearest_rows_far_from_zero_and_among_equal_distances(spark):
+    """Distances are first taken from products, which lose digits far from zero; the result is that of the exact ones."""
+    rng = np.random.default_rng(9)
+    for x in (rng.normal(size=(300, 3)) * 1e-2 + 5_000, rng.integers(0, 4, size=(300, 3)).astype(float)):
+        df = frame(spark, x)
+        q = df.select(F.col("id").alias("query_id"), "embedding").where("id % 5 = 0")
+        d = np.round(V.distances(x, x), 12)
+        got = {}
+        for r in V.top_k(df, q, 6, None, block_rows=60, pivot_rows=30, l2=True).orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append((r.id, -r.score))
+        for i in range(0, 300, 5):
+            assert got[i] == [(j, d[i, j]) for j in sorted(range(300), key=lambda j: (d[i, j], j))[:6]], i
+
+
+def test_rows_written_alike_are_read_in_one_step():
+    x = np.random.default_rng(2).normal(size=(30, 5))
+    for y in (x, x.astype(np.float32).astype(float)):
+        column = pa.array([b"other"] + V.pack(y), pa.binary()).slice(1)
+        assert V._unpacked_alike(column, 5).tolist() == y.tolist() == V.unpack(column, 5).tolist() and V.unpack(column.slice(7, 4), 5).tolist() == y[7:11].tolist()
+    mixed = np.vstack([x, x.astype(np.float32).astype(float), np.zeros((1, 5))])
+    assert V._unpacked_alike(pa.array(V.pack(mixed), pa.binary()), 5) is None and V.unpack(pa.array(V.pack(mixed), pa.binary()), 5).tolist() == mixed.tolist()
